@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefwarden import scratch
+from hrefwarden import scratch, shipping
 from hrefwarden.functions import urls
 from hrefwarden.operators import extract, queue, report, spread, verdict
 from hrefwarden.options import AuditOptions
@@ -23,7 +24,7 @@ TTL_HOURS = 24
 
 def entry(spark: SparkSession) -> DataFrame:
     """Which files hold dead links, worst first."""
-    return dead_links_by_file(spark, SMOKE_DIR)
+    return queries()["error_report"](spark, SMOKE_DIR)
 
 
 # --- shared inputs -----------------------------------------------------------
@@ -279,16 +280,10 @@ def prune_counts(spark, sf):
 # --- probing and verdicts ----------------------------------------------------
 
 
-def _stub_fetch(url: str) -> tuple[int | None, str | None]:
-    """Stands for the network: the length of a URL decides its answer."""
-    kind = len(url) % 5
-    return ((200, 301, 404, 500)[kind], None) if kind < 4 else (None, "Timeout")
-
-
 def probe_map(spark, sf):
     """Every distinct URL asked once; the answers are stored before they are used."""
     targets = queue.url_targets(_markdown_queue(spark, sf))
-    return scratch.stage(verdict.probe(targets, _stub_fetch, threads_per_task=4), scratch.run_folder(spark), "answers")
+    return scratch.stage(verdict.probe(targets, corpora.stub_fetch, threads_per_task=4), scratch.run_folder(spark), "answers")
 
 
 def probe_join(spark, sf):
@@ -389,11 +384,6 @@ def _report(outcome: str) -> Query:
     return run
 
 
-def dead_links_by_file(spark, sf):
-    """Links of Markdown files that lead nowhere; files with most of them first."""
-    return _report(verdict.ERROR)(spark, sf)
-
-
 def nested_error_report(spark, sf):
     """The report as one row per file and part; items joined to a text."""
     rows, counts = _Judged(spark, sf).staged_defects()
@@ -482,7 +472,18 @@ def queries() -> dict[str, Query]:
         found[f"{outcome}s_by_file"] = _defects_by_file(outcome)
         found[f"{outcome}_count_by_file"] = _count_by_file(outcome)
         found[f"{outcome}_report"] = _report(outcome)
-    return found
+    return {name: _with_package(query) for name, query in found.items()}
+
+
+def _with_package(query: Query) -> Query:
+    """Python workers import the package; make sure they have it."""
+
+    @functools.wraps(query)
+    def run(spark, sf):
+        shipping.ship(spark)
+        return query(spark, sf)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

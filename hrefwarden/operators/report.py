@@ -57,7 +57,7 @@ def _with_count(rows: DataFrame, counts: DataFrame, hot: spread.HotKeys | None)
 
 
 def listing(defect_rows: DataFrame, outcome: str, counts: DataFrame | None = None, hot_files=None) -> DataFrame:
-    """(path, n, pos, url, linktext, code): worst file first once sorted by ``REPORT_ORDER``."""
+    """(path, n, pos, url, linktext, code): sort with ``sorted_listing``."""
     rows = by_file(defect_rows, outcome)
     counts = counts_by_file(defect_rows) if counts is None else counts
     return _with_count(rows, counts.filter(F.col("outcome") == outcome), hot_files).select(
@@ -65,12 +65,9 @@ def listing(defect_rows: DataFrame, outcome: str, counts: DataFrame | None = Non
     )
 
 
-REPORT_ORDER = (F.desc("n"), F.asc("path"), F.asc("pos"))
-
-
 def sorted_listing(rows: DataFrame) -> DataFrame:
-    """Range-sorted. The position is part of the key, so a hot file spans tasks."""
-    return rows.orderBy(*REPORT_ORDER)
+    """Worst file first, by a range sort. The position is part of the key, so a hot file spans tasks."""
+    return rows.orderBy(F.desc("n"), F.asc("path"), F.asc("pos"))
 
 
 def nested_listing(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefwarden import scratch
+from hrefwarden import scratch, shipping
 from hrefwarden.functions import urls
 from hrefwarden.operators import extract, queue, report, spread, verdict
 from hrefwarden.options import AuditOptions, DeadLinks
@@ -206,6 +206,7 @@ def check(
     markdown: bool = False,
 ) -> Audit | None:
     """Audit a file or folder, report, keep the cache, raise if asked to."""
+    shipping.ship(spark)
     folder = scratch.run_folder(spark)
     documents = files.open_path(spark, searchpath, options.suffixes, folder)
     if documents is None:

@@ -152,3 +152,9 @@ def doi_cache(spark, sf_dir) -> DataFrame:
 def doi_log(spark, sf_dir) -> DataFrame:
     status = F.when(F.col("url").endswith(".html"), 404).when(F.contains(F.col("url"), F.lit("utm_source")), 500).otherwise(200)
     return pages(spark, sf_dir).select(_doi().alias("doi"), status.alias("status"), F.lit(None).cast("string").alias("failure"))
+
+
+def stub_fetch(url: str) -> tuple[int | None, str | None]:
+    """Stands for the network: the length of a URL decides its answer."""
+    kind = len(url) % 5
+    return ((200, 301, 404, 500)[kind], None) if kind < 4 else (None, "Timeout")
