@@ -78,10 +78,6 @@ class _Judged:
         return rows, scratch.stage(report.counts_by_file(rows), self.folder, "counts")
 
 
-def _hot_files(counts: DataFrame, outcome: str) -> spread.HotKeys | None:
-    return spread.hot_keys(counts.filter(F.col("outcome") == outcome), "path", "n")
-
-
 # --- sources -----------------------------------------------------------------
 
 
@@ -220,13 +216,11 @@ def hostname(spark, sf):
 
 
 def normalize_url(spark, sf):
-    return _spellings(spark, sf).select("page_id", "spelling", "url", urls.normalize_url(F.col("url")).alias("normalized_url"))
+    return urls.with_normalized_url(_spellings(spark, sf))
 
 
 def normalize_query_conflict(spark, sf):
-    return _spellings(spark, sf).select(
-        "page_id", "spelling", urls.normalize_url(F.col("url"), keep_query=True).alias("normalized_url")
-    )
+    return urls.with_normalized_url(_spellings(spark, sf), keep_query=True).drop("url")
 
 
 def link_queue(spark, sf):
@@ -379,7 +373,7 @@ def _count_by_file(outcome: str) -> Query:
 def _report(outcome: str) -> Query:
     def run(spark, sf):
         rows, counts = _Judged(spark, sf).staged_defects()
-        return report.sorted_listing(report.listing(rows, outcome, counts, _hot_files(counts, outcome)))
+        return report.sorted_listing(report.listing(rows, outcome, counts, report.hot_files(counts).get(outcome)))
 
     return run
 
@@ -387,7 +381,7 @@ def _report(outcome: str) -> Query:
 def nested_error_report(spark, sf):
     """The report as one row per file and part; items joined to a text."""
     rows, counts = _Judged(spark, sf).staged_defects()
-    nested = report.nested_listing(report.listing(rows, verdict.ERROR, counts, _hot_files(counts, verdict.ERROR)))
+    nested = report.nested_listing(report.listing(rows, verdict.ERROR, counts, report.hot_files(counts).get(verdict.ERROR)))
     item = F.transform("items", lambda i: F.concat_ws(" ", i["url"], i["linktext"], i["code"]))
     return nested.withColumn("items", F.array_join(item, "|"))
 
@@ -408,7 +402,7 @@ def report_lines(spark, sf):
         markdown=True,
         folder="/corpus",
         base_url="https://www.example.com",
-        hot_files={o: _hot_files(counts, o) for o in (verdict.ERROR, verdict.REDIRECT, verdict.EXCEPTION)},
+        hot_files=report.hot_files(counts),
     )
 
 

@@ -93,7 +93,7 @@ class _Scanner:
                     raise BadBibtex(f"undefined macro '{name}'")
                 parts.append(name if name.isdigit() else self.macros[name.lower()])
             if self.peek() != "#":
-                return _BLANKS.sub(" ", "".join(parts))
+                return "".join(parts)
             self.at += 1
 
     def fields(self, closing: str) -> dict[str, str]:
@@ -131,6 +131,11 @@ class _Scanner:
         return key, self.fields(closing)
 
 
+def one_line(value: str) -> str:
+    """A field value with every run of blanks made one space."""
+    return _BLANKS.sub(" ", value)
+
+
 def bibtex_entries(text: str) -> Iterator[tuple[str | None, dict[str, str] | str]]:
     """(key, fields) per entry, or (None, problem) for a stretch that cannot be read."""
     scanner = _Scanner(text)

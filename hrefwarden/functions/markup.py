@@ -24,10 +24,22 @@ def _no_links() -> Column:
 
 
 def _pairs(text: Column, pattern: str, url_group: int, text_group: int) -> Column:
-    urls = F.regexp_extract_all(text, F.lit(pattern), url_group)
-    if url_group == text_group:
-        return F.arrays_zip(urls, urls).cast(LINK_ARRAY)
-    return F.arrays_zip(urls, F.regexp_extract_all(text, F.lit(pattern), text_group)).cast(LINK_ARRAY)
+    """One scan of the text for whole matches; the groups are cut out of the short matches."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.transform(
+        matches,
+        lambda match: F.struct(
+            F.regexp_extract(match, pattern, url_group).alias("url"),
+            F.regexp_extract(match, pattern, text_group).alias("linktext"),
+        ),
+    )
+
+
+def _singles(text: Column, pattern: str) -> Column:
+    """Links whose URL is their text."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), 1), lambda url: F.struct(url.alias("url"), url.alias("linktext"))
+    )
 
 
 def md_inline(text: Column) -> Column:
@@ -35,7 +47,7 @@ def md_inline(text: Column) -> Column:
 
 
 def md_pointy(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("<")), _pairs(text, fixed.MD_POINTY, 1, 1)).otherwise(_no_links())
+    return F.when(F.contains(text, F.lit("<")), _singles(text, fixed.MD_POINTY)).otherwise(_no_links())
 
 
 def tex_href(text: Column) -> Column:
@@ -43,7 +55,7 @@ def tex_href(text: Column) -> Column:
 
 
 def tex_url(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("\\")), _pairs(text, fixed.TEX_URL, 1, 1)).otherwise(_no_links())
+    return F.when(F.contains(text, F.lit("\\")), _singles(text, fixed.TEX_URL)).otherwise(_no_links())
 
 
 def html_simple(text: Column) -> Column:

@@ -8,7 +8,7 @@ running a regex engine six times per link.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefwarden.functions import fixed
@@ -60,7 +60,9 @@ def hostname(url: Column) -> Column:
 def _sorted_query(query: Column) -> Column:
     """Order the parts of a query; leave it alone if one of its keys repeats."""
     parts = F.array_remove(F.split(query, "&", -1), "")
-    keys = F.transform(parts, lambda part: F.substring_index(part, "=", 1))
+    # Keys by cutting the values out of the joined text: a lambda would take the
+    # projection out of code generation.
+    keys = F.split(F.regexp_replace(F.array_join(parts, "&"), "=[^&]*", ""), "&", -1)
     return (
         F.when(F.instr(query, "&") == 0, query)
         .when(F.size(F.array_distinct(keys)) < F.size(keys), query)
@@ -68,39 +70,46 @@ def _sorted_query(query: Column) -> Column:
     )
 
 
-def normalize_url(url: Column, keep_query: bool = False) -> Column:
-    """One spelling for URLs that lead to the same resource.
+def with_normalized_url(rows: DataFrame, url: str = "url", to: str = "normalized_url", keep_query: bool = False) -> DataFrame:
+    """Add one spelling for all URLs that lead to the same resource.
 
     Lower-case scheme and host, no fragment, no default port, '/' for an empty
     path, no repeated slashes in the path, query parts in order. Text without a
     scheme or host comes back trimmed. ``keep_query`` leaves the query as found.
+
+    The parts are columns of intermediate projections, not one nested
+    expression: each is computed once and the plan stays small.
     """
-    text = F.btrim(url, F.lit(" \t\r\n"))
-    no_fragment = F.substring_index(text, "#", 1)
-    base = F.substring_index(no_fragment, "?", 1)
-    query = _after(no_fragment, F.concat(base, F.lit("?")))
-    scheme_raw = F.substring_index(base, "://", 1)
-    scheme = F.lower(scheme_raw)
-    rest = _after(base, F.concat(scheme_raw, F.lit("://")))
-    authority = F.substring_index(rest, "/", 1)
-    host_port = F.lower(F.substring_index(authority, "@", -1))
-    user = F.substring(authority, F.lit(1), F.length(authority) - F.length(host_port))
+    text, page, base, query, scheme, rest, place, host, path = (
+        F.col(f"_{name}") for name in ("text", "page", "base", "query", "scheme", "rest", "place", "host", "path")
+    )
+    columns = [column for column in rows.columns if column != to]
+    rows = (
+        rows.withColumn("_text", F.btrim(F.col(url), F.lit(" \t\r\n")))
+        .withColumn("_page", F.substring_index(text, "#", 1))
+        .withColumn("_base", F.substring_index(page, "?", 1))
+        .withColumns({"_query": F.substring(page, F.length(base) + 2, F.length(page)), "_scheme": F.substring_index(base, "://", 1)})
+        .withColumns({"_rest": F.substring(base, F.length(scheme) + 4, F.length(base)), "_scheme": F.lower(scheme)})
+        .withColumn("_place", F.substring_index(rest, "/", 1))
+        .withColumns({"_host": F.lower(F.substring_index(place, "@", -1)), "_path": _after(rest, place)})
+    )
+    user = F.substring(place, F.lit(1), F.length(place) - F.length(host))
     bare_host = (
-        F.when((scheme == "http") & host_port.endswith(":80"), F.substring_index(host_port, ":80", 1))
-        .when((scheme == "https") & host_port.endswith(":443"), F.substring_index(host_port, ":443", 1))
-        .otherwise(host_port)
+        F.when((scheme == "http") & host.endswith(":80"), F.substring(host, F.lit(1), F.length(host) - 3))
+        .when((scheme == "https") & host.endswith(":443"), F.substring(host, F.lit(1), F.length(host) - 4))
+        .otherwise(host)
     )
-    path = _after(rest, authority)
-    path = (
+    clean_path = (
         F.when(path == "", F.lit("/"))
         .when(F.contains(path, F.lit("//")), F.regexp_replace(path, "/{2,}", "/"))
         .otherwise(path)
     )
-    query = query if keep_query else _sorted_query(query)
+    rows = rows.withColumn("_query", query if keep_query else _sorted_query(query))
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-    return F.when(
-        text.rlike(_HAS_AUTHORITY), F.concat(scheme, F.lit("://"), user, bare_host, path, tail)
+    normalized = F.when(
+        text.rlike(_HAS_AUTHORITY), F.concat(scheme, F.lit("://"), user, bare_host, clean_path, tail)
     ).otherwise(text)
+    return rows.select(*columns, normalized.alias(to))
 
 
 def rewrite_path(path: Column, folder: str, base_url: str) -> Column:

@@ -29,7 +29,7 @@ def _html_findings(text: str) -> list[tuple]:
 
 
 def _bibtex_findings(text: str) -> list[tuple]:
-    from hrefwarden.functions.bibtex import bibtex_entries
+    from hrefwarden.functions.bibtex import bibtex_entries, one_line
 
     links, dois, problems = [], [], []
     for key, fields in bibtex_entries(text):
@@ -37,9 +37,9 @@ def _bibtex_findings(text: str) -> list[tuple]:
             problems.append((PROBLEM, None, fields))
             continue
         if "url" in fields:
-            links.append((LINK, fields["url"], f"Key: {key}, Field: Url"))
+            links.append((LINK, one_line(fields["url"]), f"Key: {key}, Field: Url"))
         if "doi" in fields:
-            dois.append((DOI, fields["doi"].strip(), f"Key: {key}, Field: DOI"))
+            dois.append((DOI, one_line(fields["doi"]).strip(), f"Key: {key}, Field: DOI"))
     return links + dois + problems
 
 
@@ -169,20 +169,23 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     if unknown:
         raise ValueError(f"unsupported suffixes: {sorted(unknown)}")
     suffix = urls.suffix_of(F.col("path"))
-    content = F.col("content")
+    native = suffix.isin(*fixed.MARKDOWN_SUFFIXES, *fixed.TEX_SUFFIXES)
+    content = F.when(native, _content()).otherwise(F.col("content"))
     problem = F.col("problem") if "problem" in documents.columns else F.lit(None).cast("string")
-    chosen = documents.select("path", "content", suffix.alias("suffix"), problem.alias("problem")).filter(
+    chosen = documents.select("path", content.alias("content"), suffix.alias("suffix"), problem.alias("problem")).filter(
         F.col("suffix").isin(*suffixes) & ((F.col("content") != "") | F.col("problem").isNotNull())
     )
     unreadable = F.array(F.struct(F.lit(PROBLEM).alias("kind"), F.lit(None).alias("value"), F.col("problem").alias("text")))
 
+    content = F.col("content")
+
     def of(format_suffixes):
         return F.col("suffix").isin(*[s for s in format_suffixes if s in suffixes])
 
     found = (
         F.when(F.col("problem").isNotNull(), unreadable.cast(FINDING_ARRAY))
-        .when(of(fixed.MARKDOWN_SUFFIXES), _tagged(markup.markdown_links(_content())))
-        .when(of(fixed.TEX_SUFFIXES), _tagged(markup.tex_links(_content())))
+        .when(of(fixed.MARKDOWN_SUFFIXES), _tagged(markup.markdown_links(content)))
+        .when(of(fixed.TEX_SUFFIXES), _tagged(markup.tex_links(content)))
     )
     # A worker sees NULL for the documents that are not its business.
     if set(fixed.HTML_SUFFIXES) & set(suffixes):

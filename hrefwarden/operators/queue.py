@@ -12,13 +12,9 @@ from hrefwarden.functions import urls
 
 def link_queue(links: DataFrame) -> DataFrame:
     """Links that can be checked, with host and normalised URL; the URL as found stays."""
-    return links.filter(F.col("url").startswith("http")).select(
-        "path",
-        "pos",
-        urls.hostname(F.col("url")).alias("hostname"),
-        "url",
-        urls.normalize_url(F.col("url")).alias("normalized_url"),
-        "linktext",
+    http = links.filter(F.col("url").startswith("http"))
+    return urls.with_normalized_url(http).select(
+        "path", "pos", urls.hostname(F.col("url")).alias("hostname"), "url", "normalized_url", "linktext"
     )
 
 

@@ -47,6 +47,18 @@ def count_by_file(queue: DataFrame, verdicts: DataFrame, outcome: str, hot=None)
     )
 
 
+def hot_files(counts: DataFrame) -> dict[str, spread.HotKeys]:
+    """Per outcome, the files with too many defects for one task; one job if there are none."""
+    sizes = counts.groupBy("outcome").agg(F.sum("n").alias("total"), F.max("n").alias("largest")).collect()
+    found = {}
+    for outcome, total, largest in sizes:  # at most three rows
+        if largest >= spread.hot_floor(total):
+            hot = spread.hot_keys(counts.filter(F.col("outcome") == outcome), "path", "n", total)
+            if hot:
+                found[outcome] = hot
+    return found
+
+
 def shown_path(folder: str | None, base_url: str | None) -> Column:
     path = F.col("path")
     return urls.rewrite_path(path, folder, base_url) if folder and base_url else path

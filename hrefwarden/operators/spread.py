@@ -42,18 +42,25 @@ def hot_keys(
     """The keys of ``counts(key, n)`` that hold too many rows for one task.
 
     ``counts`` should be a written table: it is read here and again in the join.
-    Two numbers come to the driver.
+    A few numbers come to the driver, in one job if ``total`` is known or no
+    key is hot.
     """
     if total is None:
-        total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    floor = max(min_rows, -(-total // max_keys))
-    hot = counts.filter(F.col(n) >= floor).select(key)
+        total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+        if largest < hot_floor(total, min_rows, max_keys):
+            return None
+    hot = counts.filter(F.col(n) >= hot_floor(total, min_rows, max_keys)).select(key)
     found, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
     if not found or size > max_bytes:
         return None
     return HotKeys(hot, key, found)
 
 
+def hot_floor(total: int, min_rows: int = MIN_HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> int:
+    """Rows from which a key is hot; at most ``max_keys`` keys can reach it."""
+    return max(min_rows, -(-total // max_keys))
+
+
 def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: HotKeys | None = None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which has each key once; how: inner, left_semi or left."""
     if hot is None:

@@ -75,14 +75,8 @@ def read_findings(documents: DataFrame, options: AuditOptions) -> DataFrame:
     """The one pass over the corpus. Links that cannot be checked go no further."""
     found = extract.findings(documents, options.suffixes)
     is_link = F.col("kind") == extract.LINK
-    return found.filter(~is_link | F.col("value").startswith("http")).select(
-        "path",
-        "pos",
-        "value",
-        "text",
-        F.when(is_link, urls.normalize_url(F.col("value"))).alias("normalized_url"),
-        "kind",
-    )
+    kept = found.filter(~is_link | F.col("value").startswith("http"))
+    return urls.with_normalized_url(kept, "value").select("path", "pos", "value", "text", "normalized_url", "kind")
 
 
 def queued_links(findings: DataFrame) -> DataFrame:
@@ -151,10 +145,7 @@ def run_audit(
     hot_urls = spread.hot_keys(bad, "normalized_url", "n_links", total)
     defects = stage(report.defects(links, verdicts, hot_urls), DEFECTS)
     counts = stage(report.counts_by_file(defects), COUNTS)
-    hot_files = {
-        outcome: spread.hot_keys(counts.filter(F.col("outcome") == outcome), "path", "n")
-        for outcome in (verdict.ERROR, verdict.REDIRECT, verdict.EXCEPTION)
-    }
+    hot_files = report.hot_files(counts)
 
     dois = extract.dois_of(findings)
     doi_targets = stage(

@@ -113,11 +113,8 @@ def raw_corpus(spark, sf_dir) -> DataFrame:
 
 
 def _by_target(spark, sf_dir) -> DataFrame:
-    return (
-        pages(spark, sf_dir)
-        .groupBy(urls.normalize_url(F.col("url")).alias("normalized_url"))
-        .agg(F.min("page_id").alias("page_id"))
-    )
+    named = urls.with_normalized_url(pages(spark, sf_dir).select("page_id", "url"))
+    return named.groupBy("normalized_url").agg(F.min("page_id").alias("page_id"))
 
 
 def probe_log(spark, sf_dir) -> DataFrame:
