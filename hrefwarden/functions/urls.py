@@ -66,7 +66,7 @@ def _sorted_query(query: Column) -> Column:
     return (
         F.when(F.instr(query, "&") == 0, query)
         .when(F.size(F.array_distinct(keys)) < F.size(keys), query)
-        .otherwise(F.array_join(F.array_sort(parts), "&"))
+        .otherwise(F.array_join(F.sort_array(parts), "&"))
     )
 
 

@@ -87,7 +87,7 @@ def nested_listing(rows: DataFrame) -> DataFrame:
     item = F.struct("pos", "url", "linktext", "code")
     return (
         rows.groupBy("path", "n", F.floor(F.col("pos") / POSITIONS_PER_PART).cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .withColumn(
             "items",
             F.transform("items", lambda i: F.struct(i["url"].alias("url"), i["linktext"].alias("linktext"), i["code"].alias("code"))),

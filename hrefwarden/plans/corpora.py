@@ -46,7 +46,7 @@ def markdown_corpus(spark, sf_dir) -> DataFrame:
             urls.hostname(url).alias("host"),
             F.floor(F.col("page_id") / PAGES_PER_DOCUMENT).cast("string").alias("chunk"),
         )
-        .agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))).alias("lines"))
         .select(
             _text("/corpus/", F.col("host"), "/", F.col("chunk"), ".md").alias("path"),
             F.array_join(F.col("lines.line"), "").alias("content"),
