@@ -47,7 +47,13 @@ def md_inline(text: Column) -> Column:
 
 
 def md_pointy(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("<")), _singles(text, fixed.MD_POINTY)).otherwise(_no_links())
+    # A match ends in '>'. Behind the last one there is none, and the engine
+    # would search to the end of the text again for every '<' it meets there.
+    behind = F.substring_index(text, ">", -1)
+    searched = F.substring(text, F.lit(1), F.length(text) - F.length(behind))
+    return F.when(F.contains(text, F.lit("<")) & F.contains(text, F.lit(">")), _singles(searched, fixed.MD_POINTY)).otherwise(
+        _no_links()
+    )
 
 
 def tex_href(text: Column) -> Column:

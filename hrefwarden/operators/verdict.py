@@ -124,18 +124,26 @@ def has_errors(verdicts: DataFrame) -> bool:
     return not verdicts.filter(F.col("outcome") == ERROR).select("outcome").limit(1).isEmpty()
 
 
+def newly_fine(verdicts: DataFrame) -> DataFrame:
+    return verdicts.filter(F.col("outcome") == FINE).select("normalized_url", F.col("checked_at").alias("last_valid"))
+
+
+def newly_valid(verdicts: DataFrame) -> DataFrame:
+    return verdicts.filter(F.col("outcome") == VALID).select("doi", F.col("checked_at").alias("last_seen"))
+
+
 def refreshed_urls(fresh: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """URL cache after a run: what is still fresh and what is newly fine; stale rows fall out."""
-    newly_fine = verdicts.filter(F.col("outcome") == FINE).select(
-        "normalized_url", F.col("checked_at").alias("last_valid")
-    )
-    return fresh.unionByName(newly_fine).groupBy("normalized_url").agg(F.max("last_valid").alias("last_valid"))
+    """URL cache after a run: what is still fresh and what is newly fine; stale rows fall out.
+
+    Fresh URLs were not asked, so the two parts have no key in common and need
+    no shuffle to be put together.
+    """
+    return fresh.unionByName(newly_fine(verdicts))
 
 
 def refreshed_dois(known: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """DOI cache after a run: an entry once made keeps its time."""
-    newly_valid = verdicts.filter(F.col("outcome") == VALID).select("doi", F.col("checked_at").alias("last_seen"))
-    return known.unionByName(newly_valid).groupBy("doi").agg(F.min("last_seen").alias("last_seen"))
+    """DOI cache after a run: known DOIs keep their entry; they were not asked again."""
+    return known.unionByName(newly_valid(verdicts))
 
 
 def invalid_dois_by_file(dois: DataFrame, verdicts: DataFrame, hot=None) -> DataFrame:

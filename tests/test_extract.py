@@ -83,6 +83,8 @@ def test_bibtex(docs):
         ("[t](http://u", []),
         ("<b>x</b>", [("b", "b"), ("/b", "/b")]),
         ("a < b", []),
+        ("> a <b> c < d", [("b", "b")]),
+        ("<a\n<b>", [("a\n<b", "a\n<b")]),
     ],
 )
 def test_markdown_forms(docs, text, expected):
@@ -176,6 +178,18 @@ def test_findings_of_all_formats_in_one_pass(docs, spark):
         extract.findings(documents, (".txt",))
 
 
+def test_long_texts_are_read_whole_and_in_time(docs):
+    """Megabytes of brackets that open and never close, and a link behind them."""
+    n = 300_000
+    texts = {
+        "a.md": "[" * n + "<" * n + "[t](http://u) <http://v>" + "<" * n + "[" * n,
+        "b.tex": "\\href{" * 1000 + "x" * n + "\n\\url{http://u}",
+        "c.html": "<p>" * n + "<a href='http://u'>t</a>" + "<" * n,
+    }
+    found = extract.findings(docs(texts)).groupBy("path").count()
+    assert {r["path"]: r["count"] for r in found.collect()} == {"a.md": 2, "b.tex": 1, "c.html": 1}
+
+
 def test_unknown_format_raises_on_request(docs):
     with pytest.raises(Exception, match="no extractor for"):
         extract.require_supported(docs({"a.txt": "x"})).collect()
