@@ -85,7 +85,7 @@ def queued_links(findings: DataFrame) -> DataFrame:
     )
 
 
-def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options: AuditOptions, folder: str, name: str) -> DataFrame:
+def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options: AuditOptions, keep) -> DataFrame:
     if fetch is None:
         if log is None:
             return targets.sparkSession.createDataFrame([], f"{key} string, status int, failure string")
@@ -99,7 +99,7 @@ def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options
         lanes_per_host=options.lanes_per_host,
         threads_per_task=options.threads_per_task,
     )
-    return scratch.stage(asked, folder, name)
+    return keep(asked)
 
 
 def run_audit(
@@ -111,11 +111,16 @@ def run_audit(
     folder: str | None = None,
     run_key: str | None = None,
     batch: str = "",
+    add_to_cache: int = 0,
 ) -> Audit | None:
     """Audit ``documents(path, content[, problem])``.
 
+    The cache is replaced at the end, or only added to as long as fewer than
+    ``add_to_cache`` runs have done so since it was last replaced.
+
     URLs are asked with ``options.fetch`` or looked up in ``probe_log``. A run
-    whose ``run_key`` is the one that last wrote the cache is complete: None.
+    whose ``run_key`` is the one that last wrote the cache is complete: None. A
+    run with a key that broke takes up the answers stored in its ``folder``.
     """
     started = time.monotonic()
     folder = folder or scratch.run_folder(spark)
@@ -129,6 +134,10 @@ def run_audit(
     def stage(df, name, by=None):
         return scratch.stage(df, folder, name + batch, by)
 
+    def stage_asked(df, name):
+        # Answers are not repeatable: a named run started again takes up those it has.
+        return scratch.stage_once(df, folder, name + batch) if run_key else stage(df, name)
+
     findings = stage(read_findings(documents, options), FINDINGS, by="kind")
     links = queued_links(findings)
     total = links.count()
@@ -137,8 +146,8 @@ def run_audit(
     targets = queue.without_ignored(targets, options.ignore_urls)
     targets = queue.without_cached(targets, fresh, "normalized_url")
     if options.fetch:
-        targets = stage(targets, TARGETS)
-    answers = _answers(targets, "normalized_url", probe_log, options.fetch, options, folder, ANSWERS + batch)
+        targets = stage_asked(targets, TARGETS)
+    answers = _answers(targets, "normalized_url", probe_log, options.fetch, options, lambda df: stage_asked(df, ANSWERS))
     verdicts = stage(verdict.url_verdicts(targets, answers, options.as_of), VERDICTS)
 
     bad = verdicts.filter(F.col("outcome") != verdict.FINE)
@@ -148,10 +157,9 @@ def run_audit(
     hot_files = report.hot_files(counts)
 
     dois = extract.dois_of(findings)
-    doi_targets = stage(
-        queue.without_cached(dois.groupBy("doi").agg(F.count("*").alias("n_links")), state.dois, "doi"), DOI_TARGETS
-    )
-    doi_answers = _answers(doi_targets, "doi", doi_log, options.fetch_doi, options, folder, DOI_ANSWERS + batch)
+    doi_targets = dois.groupBy("doi").agg(F.count("*").alias("n_links"))
+    doi_targets = stage_asked(queue.without_cached(doi_targets, state.dois, "doi"), DOI_TARGETS)
+    doi_answers = _answers(doi_targets, "doi", doi_log, options.fetch_doi, options, lambda df: stage_asked(df, DOI_ANSWERS))
     doi_verdicts = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
     hot_dois = spread.hot_keys(doi_targets, "doi", "n_links")
 
@@ -171,13 +179,17 @@ def run_audit(
         hot_files=hot_files,
     )
     if options.cache_path:
-        cache.replace(
-            options.cache_path,
-            state,
-            verdict.refreshed_urls(fresh, verdicts),
-            verdict.refreshed_dois(state.dois, doi_verdicts),
-            run_key or folder,
-        )
+        key = run_key or folder
+        if state.depth < add_to_cache:
+            cache.add(options.cache_path, state, verdict.newly_fine(verdicts), verdict.newly_valid(doi_verdicts), key)
+        else:
+            cache.replace(
+                options.cache_path,
+                state,
+                verdict.refreshed_urls(fresh, verdicts),
+                verdict.refreshed_dois(state.dois, doi_verdicts),
+                key,
+            )
     return audit
 
 

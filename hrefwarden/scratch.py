@@ -38,6 +38,14 @@ def stage(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_once(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """As ``stage``, but a table an earlier try has finished is taken as it is."""
+    path = f"{folder}/{name}"
+    if path_kind(df.sparkSession, f"{path}/_SUCCESS"):
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, folder, name)
+
+
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """'file', 'folder' or None, on whatever file system the path names."""
     jvm = spark.sparkContext._jvm

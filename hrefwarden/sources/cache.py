@@ -1,9 +1,11 @@
 """The cache of URLs and DOIs seen valid: two Parquet tables kept in two slots.
 
-A run reads the slot written last and writes the other one; the marker of a
-slot is written after its tables. So a run never overwrites what it reads, a
-broken run leaves the older slot in force, and the cache never takes more than
-twice its size.
+A run reads the slot written last and replaces the other one, so it never
+overwrites what it reads and the cache takes at most twice its size. A stream
+adds its finds to the slot in force instead, one version per batch, so a batch
+writes what is new and not the whole cache. The marker of a version is written
+after its tables; tables without a marker, left by a broken run, do not count
+and are overwritten by the next.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from hrefwarden import scratch
 URL_SCHEMA = "normalized_url string, last_valid timestamp"
 DOI_SCHEMA = "doi string, last_seen timestamp"
 MARKER_SCHEMA = "version long, run_key string"
+VERSION = "v"
 SLOTS = ("a", "b")
 
 
@@ -31,6 +34,8 @@ class CacheState:
     version: int = 0
     slot: str | None = None
     run_key: str | None = None
+    #: versions in the slot since it was last replaced
+    depth: int = 0
 
 
 def check_path(spark: SparkSession, path: str) -> None:
@@ -51,39 +56,51 @@ def fresh_urls(urls: DataFrame, ttl_hours: int, as_of: dt.datetime) -> DataFrame
     return urls.filter(F.col("last_valid") > F.lit(bound))
 
 
-def _marker(spark: SparkSession, path: str, slot: str):
+def _markers(spark: SparkSession, path: str, slot: str) -> list:
+    """Versions of a slot; one small row each, and few of them between two replacements."""
     try:
-        return spark.read.schema(MARKER_SCHEMA).parquet(f"{path}/{slot}/marker").first()
+        return spark.read.schema(MARKER_SCHEMA).parquet(f"{path}/{slot}/marker").collect()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return []
         raise
 
 
 def load(spark: SparkSession, path: str | None) -> CacheState:
     """The state in force; empty tables where there is no cache yet."""
-    found = []
-    for slot in SLOTS if path else ():
-        marker = _marker(spark, path, slot)
-        if marker:
-            found.append((marker["version"], slot, marker["run_key"]))
+    found = {slot: markers for slot in SLOTS if path and (markers := _markers(spark, path, slot))}
     if not found:
         return CacheState(spark.createDataFrame([], URL_SCHEMA), spark.createDataFrame([], DOI_SCHEMA))
-    version, slot, run_key = max(found)
+    slot = max(found, key=lambda name: max(marker["version"] for marker in found[name]))
+    newest = max(found[slot], key=lambda marker: marker["version"])
+
+    def table(name: str, schema: str) -> DataFrame:
+        rows = spark.read.schema(f"{schema}, {VERSION} long").parquet(f"{path}/{slot}/{name}")
+        return rows.filter(F.col(VERSION) <= newest["version"]).drop(VERSION)
+
     return CacheState(
-        spark.read.schema(URL_SCHEMA).parquet(f"{path}/{slot}/urls"),
-        spark.read.schema(DOI_SCHEMA).parquet(f"{path}/{slot}/dois"),
-        version,
-        slot,
-        run_key,
+        table("urls", URL_SCHEMA), table("dois", DOI_SCHEMA), newest["version"], slot, newest["run_key"], len(found[slot])
     )
 
 
+def _write(path: str, slot: str, version: int, urls: DataFrame, dois: DataFrame, run_key: str, whole: bool) -> None:
+    spark = urls.sparkSession
+    marker = spark.createDataFrame([(version, run_key)], MARKER_SCHEMA).coalesce(1)
+    for name, rows in (("urls", urls), ("dois", dois), ("marker", marker)):
+        if whole:
+            rows.withColumn(VERSION, F.lit(version)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "static"
+            ).partitionBy(VERSION).parquet(f"{path}/{slot}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/{slot}/{name}/{VERSION}={version}")
+
+
 def replace(path: str, state: CacheState, urls: DataFrame, dois: DataFrame, run_key: str) -> None:
     """Put new tables in force; ``state`` is what the run had loaded."""
-    spark = urls.sparkSession
     slot = SLOTS[1] if state.slot == SLOTS[0] else SLOTS[0]
-    urls.write.mode("overwrite").parquet(f"{path}/{slot}/urls")
-    dois.write.mode("overwrite").parquet(f"{path}/{slot}/dois")
-    marker = spark.createDataFrame([(state.version + 1, run_key)], MARKER_SCHEMA)
-    marker.coalesce(1).write.mode("overwrite").parquet(f"{path}/{slot}/marker")
+    _write(path, slot, state.version + 1, urls, dois, run_key, whole=True)
+
+
+def add(path: str, state: CacheState, new_urls: DataFrame, new_dois: DataFrame, run_key: str) -> None:
+    """Put new rows in force beside those of the slot that ``state`` was loaded from."""
+    _write(path, state.slot or SLOTS[0], state.version + 1, new_urls, new_dois, run_key, whole=False)

@@ -2,7 +2,8 @@
 
 Every micro-batch is one audit against the cache the batch before it left, so
 URLs seen valid within the limit are not asked again, however many batches link
-to them. Tables are written per batch under its number and the cache remembers
+to them. A batch adds its finds to the cache; every ``replace_every`` batches
+the cache is written anew without its stale rows. Tables are written per batch under its number and the cache remembers
 the batch that wrote it; a batch that is run again overwrites its own tables or,
 if it had finished, does nothing.
 """
@@ -28,6 +29,7 @@ def audit_stream(
     name: str = "audit",
     fixed_time: bool = False,
     trigger: dict | None = None,
+    replace_every: int = 100,
 ) -> StreamingQuery:
     """Start auditing the stream ``documents(path, content)``; tables go to ``out``.
 
@@ -48,6 +50,7 @@ def audit_stream(
             folder=out,
             run_key=f"{name}:{batch_id}",
             batch=f"/batch={batch_id}",
+            add_to_cache=replace_every,
         )
 
     return (

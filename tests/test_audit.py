@@ -165,7 +165,8 @@ def test_stream_finds_what_the_batch_finds(spark, arriving, logs, tmp_path):
     out = str(tmp_path / "out")
     os.makedirs(out)
     kept = options(cache_path=f"{out}/cache")
-    stream.audit_stream(read_stream(spark, arriving), kept, out, *logs, fixed_time=True).awaitTermination()
+    running = stream.audit_stream(read_stream(spark, arriving), kept, out, *logs, fixed_time=True, replace_every=2)
+    running.awaitTermination()
     whole = audit.run_audit(spark, spark.read.parquet(arriving), options(), *logs)
     assert defects_of(stream.batches_of(spark, out, audit.DEFECTS)) == defects_of(whole.defects)
     verdicts = stream.batches_of(spark, out, audit.VERDICTS)
@@ -173,6 +174,8 @@ def test_stream_finds_what_the_batch_finds(spark, arriving, logs, tmp_path):
     # Fine in the first batch, so never asked again; the dead one is asked every time.
     asked = {r["normalized_url"]: r["count"] for r in verdicts.groupBy("normalized_url").count().collect()}
     assert asked["http://fine.example.com/"] == 1 and asked["http://dead.example.com/x"] == 4
+    state = cache.load(spark, kept.cache_path)
+    assert (state.version, [r[0] for r in state.urls.collect()]) == (4, ["http://fine.example.com/"])
 
 
 def test_batch_run_again_changes_nothing(spark, arriving, logs, tmp_path):
@@ -188,6 +191,18 @@ def test_batch_run_again_changes_nothing(spark, arriving, logs, tmp_path):
     assert cache.load(spark, kept.cache_path).version == 1
 
 
+def test_named_run_takes_up_stored_answers(spark, docs, tmp_path):
+    documents = docs({"a.md": "<http://dead.example.com/x>"})
+    named = dict(folder=str(tmp_path / "run"), run_key="nightly")
+
+    def broken(url):
+        raise RuntimeError("asked again")
+
+    first = audit.run_audit(spark, documents, options(**fetchers()), **named)
+    again = audit.run_audit(spark, documents, options(fetch=lambda url: broken(url)), **named)
+    assert [tuple(r) for r in again.defects.collect()] == [tuple(r) for r in first.defects.collect()] != []
+
+
 def test_stream_needs_a_cache(spark, arriving, tmp_path):
     with pytest.raises(ValueError):
         stream.audit_stream(read_stream(spark, arriving), options(), str(tmp_path))

@@ -124,6 +124,33 @@ def test_cache_slots_take_turns(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["a", "b"]
 
 
+def test_added_versions_count_once_marked(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    none = spark.createDataFrame([], cache.DOI_SCHEMA)
+
+    def url(name):
+        return spark.createDataFrame([(name, NOW)], cache.URL_SCHEMA)
+
+    for n in range(3):
+        state = cache.load(spark, path)
+        cache.add(path, state, url(f"u{n}"), none, f"batch{n}")
+    state = cache.load(spark, path)
+    assert (state.slot, state.version, state.depth, state.run_key) == ("a", 3, 3, "batch2")
+    assert sorted(r[0] for r in state.urls.collect()) == ["u0", "u1", "u2"]
+    # A batch that broke before its marker does not count; run again, it overwrites what it left.
+    url("junk").write.parquet(f"{path}/a/urls/v=4")
+    assert cache.load(spark, path).urls.count() == 3
+    cache.add(path, cache.load(spark, path), url("u3"), none, "batch3")
+    assert sorted(r[0] for r in cache.load(spark, path).urls.collect()) == ["u0", "u1", "u2", "u3"]
+    state = cache.load(spark, path)
+    cache.replace(path, state, state.urls, none, "run")
+    state = cache.load(spark, path)
+    assert (state.slot, state.version, state.depth, state.urls.count()) == ("b", 5, 1, 4)
+    # The slot that was left is replaced as a whole the next time.
+    cache.replace(path, state, url("only"), none, "run2")
+    assert [r[0] for r in cache.load(spark, path).urls.collect()] == ["only"]
+
+
 def test_broken_write_leaves_the_cache_in_force(spark, tmp_path):
     path = str(tmp_path / "cache")
     none = spark.createDataFrame([], cache.DOI_SCHEMA)
