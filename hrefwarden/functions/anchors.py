@@ -7,7 +7,9 @@ left open runs to the end of the document.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 # --- fixed values: HTML elements without content, and elements whose text
@@ -40,6 +42,9 @@ class AnchorCollector(HTMLParser):
             for href, first, end in self.found
         ]
 
+    def is_open(self, tag: str) -> bool:
+        return self._open[tag] > 0
+
     def _flush(self):
         if not self._pending:
             return
@@ -107,8 +112,83 @@ class AnchorCollector(HTMLParser):
             self._flush()
 
 
-def html_anchors(text: str) -> list[tuple[str | None, str]]:
-    """(href, text) of every anchor; href is None where the attribute is absent."""
+# Regular markup: quoted attributes, closed comments, no '<' or '>' out of place.
+_BLANK = r"[ \t\n\r\f]"
+_TOKEN = re.compile(
+    rf"""([^<]*+)(?:<([a-z][a-z0-9]*+)((?:{_BLANK}++[a-z_][-a-z0-9_:.]*+(?:="[^"<>]*+"|='[^'<>]*+')?+)*+){_BLANK}*+(/?)>"""
+    rf"""|</([a-z][a-z0-9]*+){_BLANK}*+>|<!--(?!-?>)[^-]*+(?:-(?!-)[^-]*+)*+-->|<!doctype[^<>\[]*+>|\Z)""",
+    re.IGNORECASE,
+)
+_HREF_ONLY = re.compile(r' href="([^"&]*)"')
+# Elements whose content parsers read by rules of their own, and its regular form.
+_RAW = {
+    name: re.compile(rf"[^<]*+(?:<(?!/{name}|!--)[^<]*+)*+</{name}>", re.IGNORECASE) for name in ("script", "style")
+} | {
+    name: re.compile(rf"[^<]*+</{name}>", re.IGNORECASE)
+    for name in ("iframe", "noembed", "noframes", "noscript", "textarea", "title", "xmp")
+}
+
+
+def _regular_anchors(text: str) -> list[tuple[str | None, str]] | None:
+    """As the parser finds them, several times faster; None unless all markup is regular."""
+    if "\0" in text:
+        return None
+    collector = AnchorCollector()
+    at, size = 0, len(text)
+    while at < size:
+        token = _TOKEN.match(text, at)
+        if not token:
+            return None
+        data, name, attributes, slash, end = token.groups()
+        at = token.end()
+        if data and collector.is_open("a"):
+            collector.handle_data(unescape(data))
+        if end:
+            collector.handle_endtag(end.lower())
+        elif not name:
+            collector.handle_comment("")
+        else:
+            name = name.lower()
+            attrs = ()
+            if name == "a":
+                href = _HREF_ONLY.fullmatch(attributes)
+                attrs = (("href", href.group(1)),) if href else _attributes(token.group()[len(data) :])
+            if name == "plaintext" or (slash and name in _RAW):
+                return None
+            if slash:
+                collector.handle_startendtag(name, attrs)
+                continue
+            collector.handle_starttag(name, attrs)
+            if name in _RAW:
+                content = _RAW[name].match(text, at)
+                if not content or (collector.is_open("a") and "&" in content.group()):
+                    return None
+                collector.handle_data(content.group()[: -len(f"</{name}>")])
+                collector.handle_endtag(name)
+                at = content.end()
+    return collector.anchors()
+
+
+class _FirstTag(HTMLParser):
+    attrs: list = []
+
+    def handle_starttag(self, tag, attrs):
+        self.attrs = attrs
+
+
+def _attributes(tag: str) -> list[tuple[str, str | None]]:
+    parser = _FirstTag()
+    parser.feed(tag)
+    return parser.attrs
+
+
+def parsed_anchors(text: str) -> list[tuple[str | None, str]]:
     collector = AnchorCollector()
     collector.feed(text)
     return collector.anchors()
+
+
+def html_anchors(text: str) -> list[tuple[str | None, str]]:
+    """(href, text) of every anchor; href is None where the attribute is absent."""
+    found = _regular_anchors(text)
+    return parsed_anchors(text) if found is None else found

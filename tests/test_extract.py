@@ -1,6 +1,8 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from hrefwarden.functions.anchors import html_anchors
+from hrefwarden.functions.anchors import _regular_anchors, html_anchors, parsed_anchors
 from hrefwarden.functions.bibtex import bibtex_entries
 from hrefwarden.operators import extract
 
@@ -135,6 +137,29 @@ def test_anchor_forms(text, expected):
     assert html_anchors(text) == expected
 
 
+PIECES = st.sampled_from(
+    ["<a href=\"u\">", "<a href='v&amp;w' class=\"c\">", "<a>", "<A HREF=\"W\">", "<a href=x>", "<a href=\"y\"/>", "</a>", "</A >", "<p>", "</p>",
+     "<b class=\"k\">", "</b>", "<br>", "<br/>", "<img src='s' alt=\"t\">", "<pre>", "</pre>", "text", " ", "\n", "&amp;", "&lt;", "&copy", "a&b",
+     "<!-- note -->", "<!-- <a href=\"c\"> -->", "<!-- a--b -->", "<!-->", "<!doctype html>", "<!DOCTYPE html>", "<script>", "</script>",
+     "<script>if (a < b) x();</script>", "<script><!-- y --></script>", "<style>p{}</style>", "<title>t &amp; u</title>", "<textarea> x </textarea>",
+     "<title>", "</title>", "<", ">", "\"", "<?pi?>", "<![CDATA[x]]>", "<a b=\"<\">", "<rt>r</rt>", "<template>t</template>", "<plaintext>", "\0", "é"]
+)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(PIECES, max_size=14).map("".join))
+def test_regular_markup_is_read_as_the_parser_reads_it(text):
+    quick = _regular_anchors(text)
+    assert quick is None or quick == parsed_anchors(text)
+
+
+def test_real_pages_are_regular():
+    pq = pytest.importorskip("pyarrow.parquet")
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    quick = [_regular_anchors(page) for page in pages]
+    assert None not in quick and quick == [parsed_anchors(page) for page in pages]
+
+
 def test_bibtex_forms():
     text = """
     @string{base = "http://m.example.com/"}
