@@ -68,7 +68,7 @@ class _Judged:
 
     def hot(self) -> spread.HotKeys | None:
         bad = self.verdicts.filter(F.col("outcome") != verdict.FINE)
-        return spread.hot_keys(bad, "normalized_url", "n_links", self.queue.count())
+        return spread.hot_keys(bad, "normalized_url", "n_links")
 
     def defects(self) -> DataFrame:
         return report.defects(self.queue, self.verdicts, self.hot())
@@ -259,7 +259,7 @@ def distinct_dois(spark, sf):
 
 def prune_cached_links(spark, sf):
     links = scratch.stage(_markdown_queue(spark, sf), scratch.run_folder(spark), "links")
-    hot = spread.hot_keys(queue.url_targets(links), "normalized_url", "n_links", links.count())
+    hot = spread.hot_keys(queue.url_targets(links), "normalized_url", "n_links")
     return queue.without_cached(links, _fresh(spark, sf), "normalized_url", hot)
 
 
@@ -373,7 +373,7 @@ def _count_by_file(outcome: str) -> Query:
 def _report(outcome: str) -> Query:
     def run(spark, sf):
         rows, counts = _Judged(spark, sf).staged_defects()
-        return report.sorted_listing(report.listing(rows, outcome, counts, report.hot_files(counts).get(outcome)))
+        return report.sorted_listing(report.listing(rows, outcome, counts, report.hot_files(counts)))
 
     return run
 
@@ -381,7 +381,7 @@ def _report(outcome: str) -> Query:
 def nested_error_report(spark, sf):
     """The report as one row per file and part; items joined to a text."""
     rows, counts = _Judged(spark, sf).staged_defects()
-    nested = report.nested_listing(report.listing(rows, verdict.ERROR, counts, report.hot_files(counts).get(verdict.ERROR)))
+    nested = report.nested_listing(report.listing(rows, verdict.ERROR, counts, report.hot_files(counts)))
     item = F.transform("items", lambda i: F.concat_ws(" ", i["url"], i["linktext"], i["code"]))
     return nested.withColumn("items", F.array_join(item, "|"))
 
@@ -402,7 +402,7 @@ def report_lines(spark, sf):
         markdown=True,
         folder="/corpus",
         base_url="https://www.example.com",
-        hot_files=report.hot_files(counts),
+        hot=report.hot_files(counts),
     )
 
 

@@ -47,16 +47,12 @@ def count_by_file(queue: DataFrame, verdicts: DataFrame, outcome: str, hot=None)
     )
 
 
-def hot_files(counts: DataFrame) -> dict[str, spread.HotKeys]:
-    """Per outcome, the files with too many defects for one task; one job if there are none."""
-    sizes = counts.groupBy("outcome").agg(F.sum("n").alias("total"), F.max("n").alias("largest")).collect()
-    found = {}
-    for outcome, total, largest in sizes:  # at most three rows
-        if largest >= spread.hot_floor(total):
-            hot = spread.hot_keys(counts.filter(F.col("outcome") == outcome), "path", "n", total)
-            if hot:
-                found[outcome] = hot
-    return found
+FILE_KEY = ("outcome", "path")
+
+
+def hot_files(counts: DataFrame) -> spread.HotKeys | None:
+    """Files with too many defects of one outcome for one task."""
+    return spread.hot_keys(counts, FILE_KEY, "n")
 
 
 def shown_path(folder: str | None, base_url: str | None) -> Column:
@@ -64,15 +60,16 @@ def shown_path(folder: str | None, base_url: str | None) -> Column:
     return urls.rewrite_path(path, folder, base_url) if folder and base_url else path
 
 
-def _with_count(rows: DataFrame, counts: DataFrame, hot: spread.HotKeys | None) -> DataFrame:
-    return spread.lookup(rows, counts.select("path", "n"), "path", hot)
+def with_counts(defect_rows: DataFrame, counts: DataFrame, hot: spread.HotKeys | None = None) -> DataFrame:
+    """Defects of all outcomes, each with the number of its outcome in its file."""
+    return spread.lookup(defect_rows, counts.select(*FILE_KEY, "n"), FILE_KEY, hot)
 
 
-def listing(defect_rows: DataFrame, outcome: str, counts: DataFrame | None = None, hot_files=None) -> DataFrame:
+def listing(defect_rows: DataFrame, outcome: str, counts: DataFrame | None = None, hot: spread.HotKeys | None = None) -> DataFrame:
     """(path, n, pos, url, linktext, code): sort with ``sorted_listing``."""
-    rows = by_file(defect_rows, outcome)
     counts = counts_by_file(defect_rows) if counts is None else counts
-    return _with_count(rows, counts.filter(F.col("outcome") == outcome), hot_files).select(
+    chosen = F.col("outcome") == outcome
+    return with_counts(defect_rows.filter(chosen), counts.filter(chosen), hot).select(
         "path", "n", "pos", "url", "linktext", "code"
     )
 
@@ -122,69 +119,83 @@ def timed(stats: DataFrame, seconds: float, at: dt.datetime) -> DataFrame:
 
 
 # --- text --------------------------------------------------------------------
-# A line has a sort key (section, -n, path, pos, line), so the text is one
+# A line has a sort key (section, rank, path, pos, line), so the text is one
 # range sort of rows that were made independently of each other.
 
-_SECTIONS = ("access", ERROR, REDIRECT, EXCEPTION)
+_SECTIONS = (ERROR, REDIRECT, EXCEPTION)
+_ACCESS = 1
 LINE_ORDER = ("section", "rank", "path", "pos", "line")
 
 
-def _line_rows(rows: DataFrame, section: int, rank: Column, path: Column, pos: Column, lines: list[Column]) -> DataFrame:
+def _per_section(choose) -> Column:
+    """An expression chosen by the column ``outcome``."""
+    chosen = F.when(F.col("outcome") == _SECTIONS[0], choose(_SECTIONS[0]))
+    for section in _SECTIONS[1:]:
+        chosen = chosen.when(F.col("outcome") == section, choose(section))
+    return chosen
+
+
+def _number() -> Column:
+    return _per_section(lambda section: F.lit(_SECTIONS.index(section) + _ACCESS + 1))
+
+
+def _line_rows(rows: DataFrame, section, rank, path, pos, lines) -> DataFrame:
+    lines = F.array(*lines) if isinstance(lines, list) else lines
     return rows.select(
-        F.lit(section).alias("section"),
+        section.cast("int").alias("section"),
         rank.cast("long").alias("rank"),
         path.alias("path"),
         pos.cast("long").alias("pos"),
-        F.posexplode(F.array(*lines)).alias("line", "text"),
+        F.posexplode(lines).alias("line", "text"),
     )
 
 
-def _heading(section: str, markdown: bool) -> Column:
-    title = fixed.SECTION_TITLES[section]
-    return F.lit(f"# {title}" if markdown else f" {title} ".center(39, "#"))
+def _heading(title: str, markdown: bool) -> str:
+    return f"# {title}" if markdown else f" {title} ".center(39, "#")
 
 
-def _status_table(markdown: bool) -> list[Column]:
+def _legend(markdown: bool) -> list[str]:
     if markdown:
-        head = ["HTTP status code | Meaning", "--:|:--"]
-        return [F.lit(t) for t in head + [f"{code} | {text}" for code, text in fixed.STATUS_MEANING.items()]]
-    return [F.lit(f"HTTP status code {code} = {text}") for code, text in fixed.STATUS_MEANING.items()]
-
-
-def _intro(section: str, counts: DataFrame, number: int, markdown: bool) -> DataFrame:
-    """Heading of a section, and either its legend or the note that it is empty."""
-    n = counts.filter(F.col("outcome") == section).agg(F.count("*").alias("files"))
-    legend = _status_table(markdown) if section == ERROR else []
-    empty = F.array(F.lit(""), _heading(section, markdown), F.lit(fixed.SECTION_EMPTY[section]))
-    full = F.array(F.lit(""), _heading(section, markdown), *legend)
-    rows = n.select(F.when(F.col("files") == 0, empty).otherwise(full).alias("lines"))
-    return rows.select(
-        F.lit(number).alias("section"),
-        F.lit(None).cast("long").alias("rank"),
-        F.lit("").alias("path"),
-        F.lit(-2).cast("long").alias("pos"),
-        F.posexplode("lines").alias("line", "text"),
-    )
+        return ["HTTP status code | Meaning", "--:|:--"] + [f"{code} | {text}" for code, text in fixed.STATUS_MEANING.items()]
+    return [f"HTTP status code {code} = {text}" for code, text in fixed.STATUS_MEANING.items()]
+
 
+def _texts(texts: list[str]) -> Column:
+    return F.array(*[F.lit(text) for text in texts])
 
-def _file_heading(counts: DataFrame, section: str, number: int, markdown: bool, shown: Column) -> DataFrame:
+
+def _intros(counts: DataFrame, markdown: bool) -> DataFrame:
+    """Heading of each section, with its legend or with the note that it is empty."""
+    spark = counts.sparkSession
+    every = spark.createDataFrame([(section, 0) for section in _SECTIONS], "outcome string, files int")
+    files = counts.select("outcome", F.lit(1).alias("files")).unionByName(every)
+    rows = files.groupBy("outcome").agg(F.sum("files").alias("files"))
+
+    def lines(section):
+        head = ["", _heading(fixed.SECTION_TITLES[section], markdown)]
+        full = head + (_legend(markdown) if section == ERROR else [])
+        return F.when(F.col("files") == 0, _texts(head + [fixed.SECTION_EMPTY[section]])).otherwise(_texts(full))
+
+    return _line_rows(rows, _number(), F.lit(None), F.lit(""), F.lit(-2), _per_section(lines))
+
+
+def _file_headings(counts: DataFrame, markdown: bool, shown: Column) -> DataFrame:
     n = F.col("n").cast("string")
     if markdown:
-        column = "exception" if section == EXCEPTION else "code"
+        column = F.when(F.col("outcome") == EXCEPTION, "exception").otherwise("code")
         lines = [
             F.lit(""),
             F.concat(F.lit("**"), shown, F.lit("** ("), n, F.lit(")")),
             F.lit(""),
-            F.lit(f"|{column}| URL and link text |"),
+            F.concat(F.lit("|"), column, F.lit("| URL and link text |")),
             F.lit("|--:|:------------------|"),
         ]
     else:
         lines = [F.lit(""), F.concat(shown, F.lit(" "), n)]
-    chosen = counts.filter(F.col("outcome") == section)
-    return _line_rows(chosen, number, -F.col("n"), F.col("path"), F.lit(-1), lines)
+    return _line_rows(counts, _number(), -F.col("n"), F.col("path"), F.lit(-1), lines)
 
 
-def _defect_lines(rows: DataFrame, number: int, markdown: bool) -> DataFrame:
+def _defect_lines(rows: DataFrame, markdown: bool) -> DataFrame:
     url, code = F.col("url"), F.col("code")
     label = F.coalesce(F.col("linktext"), F.lit(""))
     if markdown:
@@ -194,7 +205,7 @@ def _defect_lines(rows: DataFrame, number: int, markdown: bool) -> DataFrame:
         ]
     else:
         lines = [F.concat(F.lit("* "), code, F.lit(": "), label, F.lit(" "), url)]
-    return _line_rows(rows, number, -F.col("n"), F.col("path"), F.col("pos"), lines)
+    return _line_rows(rows, _number(), -F.col("n"), F.col("path"), F.col("pos"), lines)
 
 
 def _opening(timed_stats: DataFrame, markdown: bool) -> DataFrame:
@@ -211,15 +222,15 @@ def _opening(timed_stats: DataFrame, markdown: bool) -> DataFrame:
         F.lit(""),
         F.format_string("%d of those hyperlinks are fine.", F.col("num_fine")),
     ]
-    return _line_rows(timed_stats, 0, F.lit(None), F.lit(""), F.lit(-3), lines)
+    return _line_rows(timed_stats, F.lit(0), F.lit(None), F.lit(""), F.lit(-3), lines)
 
 
 def _access_lines(access_errors: DataFrame, markdown: bool, shown: Column) -> DataFrame:
     lines = [F.concat(F.lit("* "), shown, F.lit(" ("), F.col("problem"), F.lit(")"))]
-    body = _line_rows(access_errors, 1, F.lit(0), F.col("path"), F.lit(0), lines)
+    body = _line_rows(access_errors, F.lit(_ACCESS), F.lit(0), F.col("path"), F.lit(0), lines)
     any_error = access_errors.limit(1)
-    head = _line_rows(any_error, 1, F.lit(None), F.lit(""), F.lit(-2), [F.lit(""), _heading("access", markdown), F.lit("")])
-    return head.unionByName(body)
+    head = _texts(["", _heading(fixed.SECTION_TITLES["access"], markdown), ""])
+    return _line_rows(any_error, F.lit(_ACCESS), F.lit(None), F.lit(""), F.lit(-2), head).unionByName(body)
 
 
 def report_lines(
@@ -232,24 +243,22 @@ def report_lines(
     show_exceptions: bool = True,
     folder: str | None = None,
     base_url: str | None = None,
-    hot_files: dict | None = None,
+    hot: spread.HotKeys | None = None,
 ) -> DataFrame:
-    """Lines of the text report with their sort keys; see ``sorted_lines``."""
+    """Lines of the text report with their sort keys; see ``sorted_lines``.
+
+    A section switched off is written as an empty one.
+    """
     shown = shown_path(folder, base_url)
-    parts = [_opening(timed_stats, markdown), _access_lines(access_errors, markdown, shown)]
-    shown_outcomes = [ERROR] + [REDIRECT] * show_redirects + [EXCEPTION] * show_exceptions
-    for number, section in enumerate(_SECTIONS[1:], start=2):
-        # A section switched off is written as an empty one.
-        visible = counts if section in shown_outcomes else counts.filter(F.lit(False))
-        parts.append(_intro(section, visible, number, markdown))
-        if section in shown_outcomes:
-            parts.append(_file_heading(counts, section, number, markdown, shown))
-            rows = listing(defect_rows, section, counts, (hot_files or {}).get(section))
-            parts.append(_defect_lines(rows, number, markdown))
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
-    return lines
+    visible = F.col("outcome").isin([ERROR] + [REDIRECT] * show_redirects + [EXCEPTION] * show_exceptions)
+    counts = counts.filter(visible)
+    return (
+        _opening(timed_stats, markdown)
+        .unionByName(_access_lines(access_errors, markdown, shown))
+        .unionByName(_intros(counts, markdown))
+        .unionByName(_file_headings(counts, markdown, shown))
+        .unionByName(_defect_lines(with_counts(defect_rows.filter(visible), counts, hot), markdown))
+    )
 
 
 def sorted_lines(lines: DataFrame) -> DataFrame:

@@ -23,18 +23,28 @@ MIN_HOT_ROWS = 1_000_000
 MAX_HOT_BYTES = 64 * 1024 * 1024
 
 
+Key = str | tuple[str, ...]
+
+
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 @dataclass
 class HotKeys:
     keys: DataFrame
-    key: str
     count: int
 
 
+def hot_floor(total: int, min_rows: int = MIN_HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> int:
+    """Rows from which a key is hot; at most ``max_keys`` keys can reach it."""
+    return max(min_rows, -(-total // max_keys))
+
+
 def hot_keys(
     counts: DataFrame,
-    key: str,
+    key: Key,
     n: str,
-    total: int | None = None,
     min_rows: int = MIN_HOT_ROWS,
     max_keys: int = MAX_HOT_KEYS,
     max_bytes: int = MAX_HOT_BYTES,
@@ -42,45 +52,43 @@ def hot_keys(
     """The keys of ``counts(key, n)`` that hold too many rows for one task.
 
     ``counts`` should be a written table: it is read here and again in the join.
-    A few numbers come to the driver, in one job if ``total`` is known or no
-    key is hot.
+    Four numbers come to the driver; where no key is hot, one small job tells.
     """
-    if total is None:
-        total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-        if largest < hot_floor(total, min_rows, max_keys):
-            return None
-    hot = counts.filter(F.col(n) >= hot_floor(total, min_rows, max_keys)).select(key)
-    found, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
-    if not found or size > max_bytes:
+    names = _names(key)
+    total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    floor = hot_floor(total, min_rows, max_keys)
+    if largest < floor:
         return None
-    return HotKeys(hot, key, found)
-
-
-def hot_floor(total: int, min_rows: int = MIN_HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> int:
-    """Rows from which a key is hot; at most ``max_keys`` keys can reach it."""
-    return max(min_rows, -(-total // max_keys))
+    hot = counts.filter(F.col(n) >= floor).select(*names)
+    size = sum((F.octet_length(name) for name in names), F.lit(0))
+    found, total_size = hot.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if total_size > max_bytes:
+        return None
+    return HotKeys(hot, found)
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: HotKeys | None = None, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which has each key once; how: inner, left_semi or left."""
+    names = _names(key)
     if hot is None:
-        return rows.join(facts, key, how)
+        return rows.join(facts, names, how)
     keys = F.broadcast(hot.keys)
-    hot_facts = F.broadcast(facts.join(keys, key, "left_semi"))
-    cold = rows.join(keys, key, "left_anti").join(facts, key, how)
+    hot_facts = F.broadcast(facts.join(keys, names, "left_semi"))
+    cold = rows.join(keys, names, "left_anti").join(facts, names, how)
     if how == "left":
-        warm = rows.join(keys, key, "left_semi").join(hot_facts, key, how)
+        warm = rows.join(keys, names, "left_semi").join(hot_facts, names, how)
     else:
-        warm = rows.join(hot_facts, key, how)
+        warm = rows.join(hot_facts, names, how)
     return cold.unionByName(warm)
 
 
-def anti_lookup(rows: DataFrame, facts: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
+def anti_lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = None) -> DataFrame:
     """Rows without a partner in ``facts``; a NULL key never has one."""
+    names = _names(key)
     if hot is None:
-        return rows.join(facts, key, "left_anti")
+        return rows.join(facts, names, "left_anti")
     keys = F.broadcast(hot.keys)
-    hot_facts = F.broadcast(facts.join(keys, key, "left_semi").distinct())
-    cold = rows.join(keys, key, "left_anti").join(facts, key, "left_anti")
-    warm = rows.join(keys, key, "left_semi").join(hot_facts, key, "left_anti")
+    hot_facts = F.broadcast(facts.join(keys, names, "left_semi").distinct())
+    cold = rows.join(keys, names, "left_anti").join(facts, names, "left_anti")
+    warm = rows.join(keys, names, "left_semi").join(hot_facts, names, "left_anti")
     return cold.unionByName(warm)

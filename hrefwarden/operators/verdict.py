@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,19 +67,21 @@ def probe(
     spread = targets.select(key, *([host] if host else []))
     spread = spread.repartition(n, *([host] if host else []), lane).select(key)
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers=max(1, threads_per_task)) as pool:
             for batch in batches:
-                answers = list(pool.map(fetch, batch[key]))
-                yield pd.DataFrame(
-                    {
-                        key: batch[key],
-                        "status": pd.array([status for status, _ in answers], dtype="Int32"),
-                        "failure": pd.Series([failure for _, failure in answers], dtype=object, index=batch.index),
-                    }
+                asked = batch.column(key)
+                answers = list(pool.map(fetch, asked.to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        asked,
+                        pa.array([status for status, _ in answers], pa.int32()),
+                        pa.array([failure for _, failure in answers], pa.string()),
+                    ],
+                    names=[key, "status", "failure"],
                 )
 
-    return spread.mapInPandas(ask, f"{key} string, status int, failure string")
+    return spread.mapInArrow(ask, f"{key} string, status int, failure string")
 
 
 def latest_answers(log: DataFrame, key: str, at: str | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def doi_verdicts(dois: DataFrame, answers: DataFrame, checked_at: dt.datetime) -
     """One verdict per distinct DOI."""
     status = F.col("status")
     return dois.join(answers.select("doi", "status"), "doi", "left").select(
-        "doi",
+        *dois.columns,
         status.cast("int").alias("status"),
         doi_outcome_of(status).alias("outcome"),
         F.lit(checked_at).cast("timestamp").alias("checked_at"),

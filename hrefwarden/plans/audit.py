@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,24 +29,40 @@ DOI_TARGETS, DOI_ANSWERS, DOI_VERDICTS = "doi_targets", "doi_answers", "doi_verd
 
 @dataclass
 class Audit:
+    """Tables of a finished audit. What only reports need is made when one asks for it."""
+
     folder: str
+    batch: str
     options: AuditOptions
     links: DataFrame
     dois: DataFrame
     verdicts: DataFrame
     doi_verdicts: DataFrame
-    invalid_dois: DataFrame
     defects: DataFrame
-    counts: DataFrame
     access_errors: DataFrame
-    statistics: DataFrame
-    hot_files: dict
+    seconds: float
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return scratch.stage(report.counts_by_file(self.defects), self.folder, COUNTS + self.batch)
+
+    @cached_property
+    def hot_files(self) -> spread.HotKeys | None:
+        return report.hot_files(self.counts)
+
+    @property
+    def statistics(self) -> DataFrame:
+        return report.timed(report.statistics(self.links, self.verdicts), self.seconds, self.options.as_of)
+
+    @property
+    def invalid_dois(self) -> DataFrame:
+        bad = self.doi_verdicts.filter(F.col("outcome") == verdict.INVALID)
+        return verdict.invalid_dois_by_file(self.dois, bad, spread.hot_keys(bad, "doi", "n_links"))
 
     def listing(self, outcome: str) -> DataFrame:
         """Flat defects of one outcome: path, n, pos, url, linktext, code."""
         shown = report.shown_path(self.options.base_folder, self.options.base_url)
-        rows = report.listing(self.defects, outcome, self.counts, self.hot_files.get(outcome))
-        return rows.withColumn("path", shown)
+        return report.listing(self.defects, outcome, self.counts, self.hot_files).withColumn("path", shown)
 
     def lines(self, markdown: bool = False) -> DataFrame:
         return report.report_lines(
@@ -58,7 +75,7 @@ class Audit:
             show_exceptions=self.options.show_exceptions,
             folder=self.options.base_folder,
             base_url=self.options.base_url,
-            hot_files=self.hot_files,
+            hot=self.hot_files,
         )
 
     def write_report(self, path: str, markdown: bool = False) -> None:
@@ -140,7 +157,6 @@ def run_audit(
 
     findings = stage(read_findings(documents, options), FINDINGS, by="kind")
     links = queued_links(findings)
-    total = links.count()
 
     targets = queue.url_targets(links)
     targets = queue.without_ignored(targets, options.ignore_urls)
@@ -151,32 +167,25 @@ def run_audit(
     verdicts = stage(verdict.url_verdicts(targets, answers, options.as_of), VERDICTS)
 
     bad = verdicts.filter(F.col("outcome") != verdict.FINE)
-    hot_urls = spread.hot_keys(bad, "normalized_url", "n_links", total)
+    hot_urls = spread.hot_keys(bad, "normalized_url", "n_links")
     defects = stage(report.defects(links, verdicts, hot_urls), DEFECTS)
-    counts = stage(report.counts_by_file(defects), COUNTS)
-    hot_files = report.hot_files(counts)
 
     dois = extract.dois_of(findings)
     doi_targets = dois.groupBy("doi").agg(F.count("*").alias("n_links"))
     doi_targets = stage_asked(queue.without_cached(doi_targets, state.dois, "doi"), DOI_TARGETS)
     doi_answers = _answers(doi_targets, "doi", doi_log, options.fetch_doi, options, lambda df: stage_asked(df, DOI_ANSWERS))
     doi_verdicts = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
-    hot_dois = spread.hot_keys(doi_targets, "doi", "n_links")
-
-    stats = report.statistics(links, verdicts)
     audit = Audit(
         folder=folder,
+        batch=batch,
         options=options,
         links=links,
         dois=dois,
         verdicts=verdicts,
         doi_verdicts=doi_verdicts,
-        invalid_dois=verdict.invalid_dois_by_file(dois, doi_verdicts, hot_dois),
         defects=defects,
-        counts=counts,
         access_errors=extract.problems_of(findings),
-        statistics=report.timed(stats, time.monotonic() - started, options.as_of),
-        hot_files=hot_files,
+        seconds=time.monotonic() - started,
     )
     if options.cache_path:
         key = run_key or folder

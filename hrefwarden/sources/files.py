@@ -13,7 +13,7 @@ import os
 import pathlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,20 +62,28 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
         yield f"{scheme}://{info.path.lstrip('/')}", is_dir, info.size or 0
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "is_dir", "size"]
+def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(rows, path=pa.string(), is_dir=pa.bool_(), size=pa.int64())
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for folder in batch["path"]:
+        for folder in batch.column("path").to_pylist():
             try:
                 for child in _children(folder):
                     rows.append(child)
                     if len(rows) >= NAMES_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _listed(rows)
                         rows = []
             except OSError as error:
                 log.warning("cannot list %s: %s", folder, error)
-        yield pd.DataFrame(rows, columns=columns)
+        yield _listed(rows)
 
 
 def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame:
@@ -88,7 +96,7 @@ def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES
     frontier = spark.createDataFrame([(absolute(base),)], "path string")
     level = 0
     while True:
-        listed = frontier.repartition(tasks, "path").mapInPandas(_list_folders, LISTING)
+        listed = frontier.repartition(tasks, "path").mapInArrow(_list_folders, LISTING)
         table = scratch.stage(listed, folder, f"listing/level={level}")
         frontier = table.filter("is_dir").select("path")
         if frontier.isEmpty():
@@ -140,18 +148,22 @@ def read_one(path: str) -> tuple[str | None, str | None]:
         return None, str(error)
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "content", "problem"]
+def _read(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(rows, path=pa.string(), content=pa.string(), problem=pa.string())
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0
-        for path in batch["path"]:
+        for path in batch.column("path").to_pylist():
             content, problem = read_one(path)
-            rows.append((path, content, problem))
-            size += len(content or "")
-            if size >= BYTES_PER_BATCH:
-                yield pd.DataFrame(rows, columns=columns)
+            length = len(content or "")
+            if rows and size + length > BYTES_PER_BATCH:
+                yield _read(rows)
                 rows, size = [], 0
-        yield pd.DataFrame(rows, columns=columns)
+            rows.append((path, content, problem))
+            size += length
+        yield _read(rows)
 
 
 def read_files(listing: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def read_files(listing: DataFrame) -> DataFrame:
     spark = listing.sparkSession
     total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
-    return listing.select("path").repartition(int(tasks), "path").mapInPandas(_read_files, READ)
+    return listing.select("path").repartition(int(tasks), "path").mapInArrow(_read_files, READ)
 
 
 def read_visible_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFrame:

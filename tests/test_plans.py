@@ -10,7 +10,7 @@ from hrefwarden.plans import audit, corpora
 from hrefwarden.options import AuditOptions
 
 SF = "/root/testdata/sf0.001"
-PYTHON_NODES = ("ArrowEvalPython", "MapInPandas", "BatchEvalPython", "FlatMapGroups")
+PYTHON_NODES = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "BatchEvalPython", "FlatMapGroups")
 WITH_PYTHON = {"html_anchors_parser", "bib_urls", "bib_dois", "links_all_formats", "doi_queue", "distinct_dois", "prune_cached_dois",
                "classify_doi", "upsert_valid_dois"}
 EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "nested_error_report", "invalid_dois_by_file",

@@ -36,18 +36,16 @@ def as_set(df):
 
 
 def test_hot_keys_are_few_by_construction(judged):
-    total = judged.agg(F.sum("n_links")).first()[0]
-    hot = spread.hot_keys(judged, "normalized_url", "n_links", total, min_rows=100)
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     assert hot.count == 1 and [r[0] for r in hot.keys.collect()] == ["http://hot/"]
     assert spread.hot_floor(10**12) == 10**8  # at most 10,000 keys hold 1e8 of 1e12 rows
-    assert spread.hot_keys(judged, "normalized_url", "n_links", total) is None
-    assert spread.hot_keys(judged, "normalized_url", "n_links", total, min_rows=100, max_bytes=3) is None
-    assert spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100).count == 1
+    assert spread.hot_keys(judged, "normalized_url", "n_links") is None
+    assert spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3) is None
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
 def test_split_join_equals_plain_join(skewed, judged, how):
-    hot = spread.hot_keys(judged, "normalized_url", "n_links", 3000, min_rows=100)
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     facts = judged.filter("outcome = 'error'").select("normalized_url", "outcome")
     split = spread.lookup(skewed, facts, "normalized_url", hot, how)
     assert as_set(split) == as_set(skewed.join(facts, "normalized_url", how))
@@ -55,7 +53,7 @@ def test_split_join_equals_plain_join(skewed, judged, how):
 
 
 def test_split_anti_join_keeps_rows_without_a_key(spark, skewed, judged):
-    hot = spread.hot_keys(judged, "normalized_url", "n_links", 3000, min_rows=100)
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     rows = skewed.unionByName(skewed.limit(1).withColumn("normalized_url", F.lit(None).cast("string")))
     for cached in (
         judged.filter("outcome = 'error'"),
@@ -68,7 +66,7 @@ def test_split_anti_join_keeps_rows_without_a_key(spark, skewed, judged):
 
 
 def test_rows_of_hot_keys_are_not_shuffled(spark, skewed, judged):
-    hot = spread.hot_keys(judged, "normalized_url", "n_links", 3000, min_rows=100)
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -80,13 +78,13 @@ def test_rows_of_hot_keys_are_not_shuffled(spark, skewed, judged):
 
 
 def test_counts_and_listing_of_a_hot_file(spark, skewed, judged):
-    hot = spread.hot_keys(judged, "normalized_url", "n_links", 3000, min_rows=100)
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     rows = scratch.stage(report.defects(skewed, judged, hot), scratch.run_folder(spark), "defects")
     counts = scratch.stage(report.counts_by_file(rows), scratch.run_folder(spark), "counts")
     expected = [r for r in skewed.collect() if r["url"] == "http://hot/" or r["url"].endswith("7")]
     assert rows.count() == len(expected)
-    hot_files = spread.hot_keys(counts, "path", "n", min_rows=50)
-    assert [r[0] for r in hot_files.keys.collect()] == ["/hot.md"]
+    hot_files = spread.hot_keys(counts, report.FILE_KEY, "n", min_rows=50)
+    assert [tuple(r) for r in hot_files.keys.collect()] == [("error", "/hot.md")]
     listed = report.listing(rows, verdict.ERROR, counts, hot_files)
     assert as_set(listed) == as_set(report.listing(rows, verdict.ERROR, counts))
     per_file = {}
