@@ -66,15 +66,15 @@ class _Judged:
         targets = queue.url_targets(self.queue)
         self.verdicts = scratch.stage(_verdicts(spark, sf, targets), folder, "verdicts")
 
-    def hot(self) -> spread.HotKeys | None:
+    def hot(self, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
         bad = self.verdicts.filter(F.col("outcome") != verdict.FINE)
-        return spread.hot_keys(bad, "normalized_url", "n_links")
+        return spread.hot_keys(bad, "normalized_url", "n_links", min_rows)
 
-    def defects(self) -> DataFrame:
-        return report.defects(self.queue, self.verdicts, self.hot())
+    def defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> DataFrame:
+        return report.defects(self.queue, self.verdicts, self.hot(min_rows))
 
-    def staged_defects(self) -> tuple[DataFrame, DataFrame]:
-        rows = scratch.stage(self.defects(), self.folder, "defects")
+    def staged_defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+        rows = scratch.stage(self.defects(min_rows), self.folder, "defects")
         return rows, scratch.stage(report.counts_by_file(rows), self.folder, "counts")
 
 
@@ -378,6 +378,18 @@ def _report(outcome: str) -> Query:
     return run
 
 
+def errors_by_file_hot_urls(spark, sf):
+    """Errors per file with every URL that is linked twice treated as a hot one."""
+    return report.by_file(_Judged(spark, sf).defects(min_rows=2), verdict.ERROR)
+
+
+def error_report_hot_files(spark, sf):
+    """The error report with every file of three or more errors treated as a hot one."""
+    rows, counts = _Judged(spark, sf).staged_defects(min_rows=2)
+    hot = report.hot_files(counts, min_rows=3)
+    return report.sorted_listing(report.listing(rows, verdict.ERROR, counts, hot))
+
+
 def nested_error_report(spark, sf):
     """The report as one row per file and part; items joined to a text."""
     rows, counts = _Judged(spark, sf).staged_defects()
@@ -391,19 +403,22 @@ def run_statistics(spark, sf):
     return report.statistics(judged.queue, judged.verdicts)
 
 
-def report_lines(spark, sf):
-    judged = _Judged(spark, sf)
-    rows, counts = judged.staged_defects()
-    return report.report_lines(
-        report.timed(report.statistics(judged.queue, judged.verdicts), 2.0, corpora.AS_OF),
-        access_errors(spark, sf),
-        rows,
-        counts,
-        markdown=True,
-        folder="/corpus",
-        base_url="https://www.example.com",
-        hot=report.hot_files(counts),
-    )
+def _lines(markdown: bool) -> Query:
+    def run(spark, sf):
+        judged = _Judged(spark, sf)
+        rows, counts = judged.staged_defects()
+        return report.report_lines(
+            report.timed(report.statistics(judged.queue, judged.verdicts), 2.0, corpora.AS_OF),
+            access_errors(spark, sf),
+            rows,
+            counts,
+            markdown=markdown,
+            folder="/corpus",
+            base_url="https://www.example.com",
+            hot=report.hot_files(counts),
+        )
+
+    return run
 
 
 # --- whole audits ------------------------------------------------------------
@@ -459,13 +474,15 @@ def queries() -> dict[str, Query]:
         distinct_urls, url_targets, distinct_dois, prune_cached_links, prune_cached_dois, prune_counts,
         probe_map, probe_join, classify_status, classify_failure, verdicts, classify_doi, upsert_valid_dois,
         invalid_dois_by_file, refresh_url_cache, errors_by_code, count_errors,
-        nested_error_report, run_statistics, report_lines, link_audit, link_audit_repeat, stream_link_audit,
+        errors_by_file_hot_urls, error_report_hot_files, nested_error_report, run_statistics, link_audit, link_audit_repeat, stream_link_audit,
     ]
     found: dict[str, Query] = {query.__name__: query for query in named}
     for outcome in (verdict.ERROR, verdict.REDIRECT, verdict.EXCEPTION):
         found[f"{outcome}s_by_file"] = _defects_by_file(outcome)
         found[f"{outcome}_count_by_file"] = _count_by_file(outcome)
         found[f"{outcome}_report"] = _report(outcome)
+    found["report_lines"] = _lines(markdown=True)
+    found["report_lines_plain"] = _lines(markdown=False)
     return {name: _with_package(query) for name, query in found.items()}
 
 

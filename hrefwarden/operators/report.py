@@ -50,9 +50,9 @@ def count_by_file(queue: DataFrame, verdicts: DataFrame, outcome: str, hot=None)
 FILE_KEY = ("outcome", "path")
 
 
-def hot_files(counts: DataFrame) -> spread.HotKeys | None:
+def hot_files(counts: DataFrame, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
     """Files with too many defects of one outcome for one task."""
-    return spread.hot_keys(counts, FILE_KEY, "n")
+    return spread.hot_keys(counts, FILE_KEY, "n", min_rows)
 
 
 def shown_path(folder: str | None, base_url: str | None) -> Column:

@@ -130,7 +130,7 @@ REPORTS = (*JUDGED, "defects", "counts", "listing")
 DOIS = ("dois", "doi_cache", "doi_verdicts")
 
 
-def _report_lines() -> str:
+def _report_lines(markdown: bool) -> str:
     shown = "CASE WHEN instr(path, '/corpus') > 0 THEN substring(path, 1, instr(path, '/corpus') - 1) || 'https://www.example.com' || substring(path, instr(path, '/corpus') + 7) ELSE path END"
 
     def rows(section, rank, path, pos, lines, source):
@@ -141,40 +141,48 @@ def _report_lines() -> str:
         )
 
     stats = """(SELECT (SELECT count(*) FROM queue) AS links, count(*) AS checked, count(*) FILTER (outcome = 'fine') AS fine FROM verdict_all)"""
+    def heading(title):
+        return f"'# {title}'" if markdown else "'" + f" {title} ".center(39, "#") + "'"
+
+    bar = "'" + "#" * 39 + "'"
+    title = ["'---'", "'title: Results of Linkcheck'", "'---'"] if markdown else [bar, heading("RESULTS"), bar]
+    kind = "links" if markdown else "hyperlinks"
     parts = [
         rows(
             0, "NULL", "''", -3,
-            ["'---'", "'title: Results of Linkcheck'", "'---'", "''", "'generated: 2024-Jan-02 00:00h'", "''",
-             "'Found ' || links || ' links which had ' || checked || ' distinct targets.'",
+            [*title, "''", "'generated: 2024-Jan-02 00:00h'", "''",
+             f"'Found ' || links || ' {kind} which had ' || checked || ' distinct targets.'",
              "'Checked those in 2 seconds.'",
              "'This averages to ' || round(checked / 2.0::DOUBLE, 2) || ' checks/second.'", "''",
              "fine || ' of those hyperlinks are fine.'"],
             stats,
         ),
-        rows(1, "NULL", "''", -2, ["''", "'# FILE ACCESS ERRORS'", "''"], "(SELECT 1 FROM raw WHERE problem IS NOT NULL LIMIT 1)"),
+        rows(1, "NULL", "''", -2, ["''", heading("FILE ACCESS ERRORS"), "''"], "(SELECT 1 FROM raw WHERE problem IS NOT NULL LIMIT 1)"),
         rows(1, "0", "path", 0, [f"'* ' || {shown} || ' (' || problem || ')'"], "(SELECT * FROM raw WHERE problem IS NOT NULL)"),
     ]
-    legend = ["'HTTP status code | Meaning'", "'--:|:--'", "'403 | Forbidden'", "'404 | Not Found'", "'410 | Gone'"]
+    meanings = {403: "Forbidden", 404: "Not Found", 410: "Gone"}
+    if markdown:
+        legend = ["'HTTP status code | Meaning'", "'--:|:--'"] + [f"'{code} | {text}'" for code, text in meanings.items()]
+    else:
+        legend = [f"'HTTP status code {code} = {text}'" for code, text in meanings.items()]
     for number, outcome, title, empty, column, extra in (
         (2, "error", "PERMANENT ERRORS", "No permanent errors found!", "code", legend),
         (3, "redirect", "PERMANENT REDIRECTS", "No permanent redirects found!", "code", []),
         (4, "exception", "EXCEPTIONS", "No exceptions during the crawl!", "exception", []),
     ):
         here = f"(SELECT count(*) AS n FROM counts WHERE outcome = '{outcome}')"
+        if markdown:
+            file_lines = ["''", f"'**' || {shown} || '** (' || n || ')'", "''", f"'|{column}| URL and link text |'", "'|--:|:------------------|'"]
+            defect_lines = ["'|' || code || ' | [' || url || '](' || url || ')|'", "'| | ' || linktext || ' |'"]
+        else:
+            file_lines = ["''", f"{shown} || ' ' || n"]
+            defect_lines = ["'* ' || code || ': ' || linktext || ' ' || url"]
         parts += [
-            rows(number, "NULL", "''", -2, ["''", f"'# {title}'", f"'{empty}'"], f"{here} WHERE n = 0"),
-            rows(number, "NULL", "''", -2, ["''", f"'# {title}'", *extra], f"{here} WHERE n > 0"),
-            rows(
-                number, "-n", "path", -1,
-                ["''", f"'**' || {shown} || '** (' || n || ')'", "''", f"'|{column}| URL and link text |'", "'|--:|:------------------|'"],
-                f"(SELECT * FROM counts WHERE outcome = '{outcome}')",
-            ),
-            rows(
-                number, "-n", "path", "pos",
-                ["'|' || code || ' | [' || url || '](' || url || ')|'", "'| | ' || linktext || ' |'"],
-                f"(SELECT * FROM listing WHERE outcome = '{outcome}')",
-            ),
-        ]
+            rows(number, "NULL", "''", -2, ["''", heading(title), f"'{empty}'"], f"{here} WHERE n = 0"),
+            rows(number, "NULL", "''", -2, ["''", heading(title), *extra], f"{here} WHERE n > 0"),
+            rows(number, "-n", "path", -1, file_lines, f"(SELECT * FROM counts WHERE outcome = '{outcome}')"),
+            rows(number, "-n", "path", "pos", defect_lines, f"(SELECT * FROM listing WHERE outcome = '{outcome}')"),
+        ]
     return with_ctes("\nUNION ALL ".join(parts), *REPORTS, "raw")
 
 
@@ -285,7 +293,8 @@ def statements() -> dict[str, str]:
             "SELECT (SELECT count(*) FROM queue) AS num_links, count(*) AS num_checked, count(*) FILTER (outcome = 'fine') AS num_fine FROM verdict_all",
             *JUDGED,
         ),
-        "report_lines": _report_lines(),
+        "report_lines": _report_lines(markdown=True),
+        "report_lines_plain": _report_lines(markdown=False),
         "link_audit": with_ctes(
             f"""SELECT path, pos, value AS url, text AS linktext, outcome, coalesce(reason, CAST(status AS VARCHAR)) AS code
  FROM (SELECT *, {norm('value')} AS normalized_url FROM prose_findings WHERE kind = 'link') f
@@ -304,6 +313,12 @@ def statements() -> dict[str, str]:
             "by_target", "probe_log",
         ),
     }
+    found["errors_by_file_hot_urls"] = with_ctes(
+        "SELECT path, pos, url, linktext, code FROM defects WHERE outcome = 'error'", *JUDGED, "defects"
+    )
+    found["error_report_hot_files"] = with_ctes(
+        "SELECT path, n, pos, url, linktext, code FROM listing WHERE outcome = 'error'", *REPORTS
+    )
     for outcome in ("error", "redirect", "exception"):
         found[f"{outcome}s_by_file"] = with_ctes(
             f"SELECT path, pos, url, linktext, code FROM defects WHERE outcome = '{outcome}'", *JUDGED, "defects"

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "BatchEvalPython", "FlatMapGroups")
 WITH_PYTHON = {"html_anchors_parser", "bib_urls", "bib_dois", "links_all_formats", "doi_queue", "distinct_dois", "prune_cached_dois",
                "classify_doi", "upsert_valid_dois"}
-EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "nested_error_report", "invalid_dois_by_file",
+EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "report_lines_plain", "errors_by_file_hot_urls", "error_report_hot_files", "nested_error_report", "invalid_dois_by_file",
          "run_statistics", "prune_cached_links"}
 
 
