@@ -67,8 +67,7 @@ class _Judged:
         self.verdicts = scratch.stage(_verdicts(spark, sf, targets), folder, "verdicts")
 
     def hot(self, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
-        bad = self.verdicts.filter(F.col("outcome") != verdict.FINE)
-        return spread.hot_keys(bad, "normalized_url", "n_links", min_rows)
+        return spread.hot_keys(self.verdicts, "normalized_url", "n_links", min_rows)
 
     def defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> DataFrame:
         return report.defects(self.queue, self.verdicts, self.hot(min_rows))
@@ -331,8 +330,11 @@ def upsert_valid_dois(spark, sf):
 
 
 def invalid_dois_by_file(spark, sf):
-    dois = scratch.stage(_dois(spark, sf), scratch.run_folder(spark), "dois")
-    return verdict.invalid_dois_by_file(dois, _doi_verdicts(spark, sf, dois))
+    folder = scratch.run_folder(spark)
+    dois = scratch.stage(_dois(spark, sf), folder, "dois")
+    counts = scratch.stage(dois.groupBy("doi").agg(F.count("*").alias("n_links")), folder, "doi_counts")
+    hot = spread.hot_keys(counts, "doi", "n_links")
+    return verdict.invalid_dois_by_file(dois, _doi_verdicts(spark, sf, dois), hot)
 
 
 def refresh_url_cache(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefwarden.functions import urls
@@ -47,16 +47,35 @@ def distinct_dois(dois: DataFrame) -> DataFrame:
     return dois.select("doi").distinct()
 
 
-def without_ignored(targets: DataFrame, ignore: Iterable[str]) -> DataFrame:
-    """Drop the URLs of the user's list, matched exactly as normalised."""
-    listed = sorted(set(ignore))
-    if not listed:
-        return targets
-    spark = targets.sparkSession
+def _ignored(spark: SparkSession, ignore: Iterable[str], key: str) -> DataFrame:
     # A list the user typed: Spark knows the size of the local relation and
     # broadcasts it only below its threshold.
-    ignored = spark.createDataFrame([(url,) for url in listed], "normalized_url string")
-    return targets.join(ignored, "normalized_url", "left_anti")
+    return spark.createDataFrame([(url,) for url in sorted(set(ignore))], f"{key} string")
+
+
+def without_ignored(targets: DataFrame, ignore: Iterable[str]) -> DataFrame:
+    """Drop the URLs of the user's list, matched exactly as normalised."""
+    return targets.join(_ignored(targets.sparkSession, ignore, "normalized_url"), "normalized_url", "left_anti")
+
+
+def mark_skipped(targets: DataFrame, cached: DataFrame, key: str, ignore: Iterable[str] = ()) -> DataFrame:
+    """Add ``skipped``: 'ignored', 'cached', or NULL for what has to be asked.
+
+    Skipped keys stay in the table for their counts: a hot one among them must
+    be known as hot when link rows are joined later.
+    """
+    known = cached.select(key).distinct().withColumn("_cached", F.lit(True))
+    marked = targets.join(known, key, "left")
+    reason = F.when(F.col("_cached"), "cached")
+    if ignore:
+        listed = _ignored(targets.sparkSession, ignore, key).withColumn("_ignored", F.lit(True))
+        marked = marked.join(listed, key, "left")
+        reason = F.when(F.col("_ignored"), "ignored").otherwise(reason)
+    return marked.select(*targets.columns, reason.alias("skipped"))
+
+
+def to_ask(marked: DataFrame) -> DataFrame:
+    return marked.filter(F.col("skipped").isNull()).drop("skipped")
 
 
 def without_cached(rows: DataFrame, cached: DataFrame, key: str, hot=None) -> DataFrame:

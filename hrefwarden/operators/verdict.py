@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hrefwarden.functions import fixed
 
 FINE, REDIRECT, ERROR, EXCEPTION = "fine", "redirect", "error", "exception"
+_FAILURES = (*fixed.KNOWN_FAILURES, fixed.UNCLASSIFIED)
 VALID, INVALID, UNEXPECTED = "valid", "invalid", "unexpected"
 
 Fetch = Callable[[str], tuple[int | None, str | None]]
@@ -84,11 +85,32 @@ def probe(
     return spread.mapInArrow(ask, f"{key} string, status int, failure string")
 
 
+def _packed(status: Column, failure: Column) -> Column:
+    """An answer as one number: the status, or minus the place of the failure in its list."""
+    place = F.array_position(F.array(*[F.lit(name) for name in _FAILURES]), failure).cast("int")
+    return F.when(failure.isNull(), status.cast("int")).when(place > 0, -place).otherwise(-len(_FAILURES))
+
+
 def latest_answers(log: DataFrame, key: str, at: str | None = None) -> DataFrame:
-    """One answer per key of a recorded log: the newest, or the smallest if it has no time."""
-    answer = F.struct("status", "failure") if "failure" in log.columns else F.struct("status")
-    chosen = F.max_by(answer, F.col(at)) if at else F.min(answer)
-    return log.groupBy(key).agg(chosen.alias("answer")).select(key, "answer.*")
+    """One answer per key of a recorded log: the newest, or the smallest if it has no time.
+
+    Answers are packed into numbers first: fixed-width buffers let Spark
+    aggregate by hashing, where structs would be sorted before the shuffle.
+    """
+    failure = F.col("failure") if "failure" in log.columns else F.lit(None).cast("string")
+    packed = log.select(key, _packed(F.col("status"), failure).alias("_answer"), *([at] if at else []))
+    chosen = F.max_by("_answer", at) if at else F.min("_answer")
+    answer = F.col("_answer")
+    names = F.array(*[F.lit(name) for name in _FAILURES])
+    return (
+        packed.groupBy(key)
+        .agg(chosen.alias("_answer"))
+        .select(
+            key,
+            F.when(answer >= 0, answer).alias("status"),
+            F.when(answer < 0, F.element_at(names, -answer)).alias("failure"),
+        )
+    )
 
 
 def url_verdicts(targets: DataFrame, answers: DataFrame, checked_at: dt.datetime) -> DataFrame:

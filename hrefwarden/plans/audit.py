@@ -3,9 +3,9 @@
 Three tables are written on the way, each once, and everything after it starts
 from the table: the findings (so the corpus is read and parsed once), the
 verdicts (so nothing is asked twice) and the defects (so every report is a scan
-of the small part of the links that matters). Cached URLs are left out of the
-distinct targets, not of the link rows: a URL that is not asked has no verdict,
-and links without a verdict are in no report.
+of the small part of the links that matters). Cached URLs are marked among the
+distinct targets, not deleted from the link rows: a URL that is not asked has no
+verdict, and links without a verdict are in no report.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Audit:
     dois: DataFrame
     verdicts: DataFrame
     doi_verdicts: DataFrame
+    judged_dois: DataFrame
     defects: DataFrame
     access_errors: DataFrame
     seconds: float
@@ -56,8 +57,8 @@ class Audit:
 
     @property
     def invalid_dois(self) -> DataFrame:
-        bad = self.doi_verdicts.filter(F.col("outcome") == verdict.INVALID)
-        return verdict.invalid_dois_by_file(self.dois, bad, spread.hot_keys(bad, "doi", "n_links"))
+        hot = spread.hot_keys(self.judged_dois, "doi", "n_links")
+        return verdict.invalid_dois_by_file(self.dois, self.doi_verdicts, hot)
 
     def listing(self, outcome: str) -> DataFrame:
         """Flat defects of one outcome: path, n, pos, url, linktext, code."""
@@ -158,23 +159,27 @@ def run_audit(
     findings = stage(read_findings(documents, options), FINDINGS, by="kind")
     links = queued_links(findings)
 
-    targets = queue.url_targets(links)
-    targets = queue.without_ignored(targets, options.ignore_urls)
-    targets = queue.without_cached(targets, fresh, "normalized_url")
+    targets = queue.mark_skipped(queue.url_targets(links), fresh, "normalized_url", options.ignore_urls)
     if options.fetch:
         targets = stage_asked(targets, TARGETS)
-    answers = _answers(targets, "normalized_url", probe_log, options.fetch, options, lambda df: stage_asked(df, ANSWERS))
-    verdicts = stage(verdict.url_verdicts(targets, answers, options.as_of), VERDICTS)
-
-    bad = verdicts.filter(F.col("outcome") != verdict.FINE)
-    hot_urls = spread.hot_keys(bad, "normalized_url", "n_links")
+    asked = queue.to_ask(targets)
+    answers = _answers(asked, "normalized_url", probe_log, options.fetch, options, lambda df: stage_asked(df, ANSWERS))
+    judged = stage(verdict.url_verdicts(targets, answers, options.as_of), VERDICTS)
+    verdicts = queue.to_ask(judged)
+
+    # Hot among all targets: a hot URL that is fine or cached must not be
+    # shuffled by its links either.
+    hot_urls = spread.hot_keys(judged, "normalized_url", "n_links")
     defects = stage(report.defects(links, verdicts, hot_urls), DEFECTS)
 
     dois = extract.dois_of(findings)
     doi_targets = dois.groupBy("doi").agg(F.count("*").alias("n_links"))
-    doi_targets = stage_asked(queue.without_cached(doi_targets, state.dois, "doi"), DOI_TARGETS)
-    doi_answers = _answers(doi_targets, "doi", doi_log, options.fetch_doi, options, lambda df: stage_asked(df, DOI_ANSWERS))
-    doi_verdicts = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
+    doi_targets = stage_asked(queue.mark_skipped(doi_targets, state.dois, "doi"), DOI_TARGETS)
+    doi_answers = _answers(
+        queue.to_ask(doi_targets), "doi", doi_log, options.fetch_doi, options, lambda df: stage_asked(df, DOI_ANSWERS)
+    )
+    judged_dois = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
+    doi_verdicts = queue.to_ask(judged_dois)
     audit = Audit(
         folder=folder,
         batch=batch,
@@ -183,6 +188,7 @@ def run_audit(
         dois=dois,
         verdicts=verdicts,
         doi_verdicts=doi_verdicts,
+        judged_dois=judged_dois,
         defects=defects,
         access_errors=extract.problems_of(findings),
         seconds=time.monotonic() - started,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hrefwarden import AuditOptions, DeadLinks, scratch
-from hrefwarden.operators import report
+from hrefwarden.operators import queue, report
 from hrefwarden.plans import audit, corpora
 from hrefwarden.sources import cache
 from hrefwarden.streaming import audit_stream as stream
@@ -128,6 +128,18 @@ def test_each_url_has_one_verdict_and_counts_add_up(spark):
     assert done.verdicts.agg(F.sum("n_links")).first()[0] == done.links.count()
 
 
+def test_skipped_targets_are_counted_but_not_judged(spark, docs, logs, tmp_path):
+    documents = docs({"a.md": FILES["post.md"], "b.tex": FILES["_draft/note.tex"], "c.html": FILES["index.html"]})
+    kept = options(cache_path=str(tmp_path / "cache"))
+    audit.run_audit(spark, documents, kept, *logs)
+    again = audit.run_audit(spark, documents, kept, *logs)
+    table = spark.read.parquet(f"{again.folder}/{audit.VERDICTS}")
+    skipped = {r["normalized_url"]: r["skipped"] for r in table.filter("skipped is not null").collect()}
+    assert skipped == {"http://fine.example.com/": "cached", "http://ignored.example.com/": "ignored"}
+    assert table.agg(F.sum("n_links")).first()[0] == again.links.count()
+    assert "ignored" not in str(again.defects.collect())
+
+
 def test_sections_can_be_switched_off(spark, site, logs):
     done = audit.check(spark, str(site), options(show_redirects=False, show_exceptions=False), *logs)
     text = [r["text"] for r in done.lines().collect()]
@@ -172,7 +184,7 @@ def test_stream_finds_what_the_batch_finds(spark, arriving, logs, tmp_path):
     verdicts = stream.batches_of(spark, out, audit.VERDICTS)
     assert verdicts.select("batch").distinct().count() == 4
     # Fine in the first batch, so never asked again; the dead one is asked every time.
-    asked = {r["normalized_url"]: r["count"] for r in verdicts.groupBy("normalized_url").count().collect()}
+    asked = {r["normalized_url"]: r["count"] for r in queue.to_ask(verdicts).groupBy("normalized_url").count().collect()}
     assert asked["http://fine.example.com/"] == 1 and asked["http://dead.example.com/x"] == 4
     state = cache.load(spark, kept.cache_path)
     assert (state.version, [r[0] for r in state.urls.collect()]) == (4, ["http://fine.example.com/"])

@@ -70,3 +70,9 @@ def test_distinct_urls_aggregate_before_the_shuffle(spark):
     plan = plan_of(registered.queries()["distinct_urls"](spark, SF))
     tree = plan.split("\n\n")[0]
     assert tree.count("HashAggregate") >= 2
+
+
+@pytest.mark.parametrize("name", ["errors_by_file_hot_urls", "error_report_hot_files"])
+def test_hot_queries_take_both_ways(spark, name):
+    frame = registered.queries()[name](spark, SF)
+    assert "Union" in plan_of(frame) and frame.count() > 0

@@ -55,6 +55,15 @@ def test_newest_recorded_answer_counts(spark):
     assert verdict.latest_answers(log.drop("at"), "normalized_url").collect()[0]["status"] == 200
 
 
+def test_recorded_answers_keep_their_meaning(spark):
+    schema = "normalized_url string, status int, failure string"
+    log = spark.createDataFrame([(f"http://e/{i}", s, f) for i, (s, f, _, _) in enumerate(CASES)], schema)
+    answers = verdict.latest_answers(log, "normalized_url")
+    assert "SortAggregate" not in answers._jdf.queryExecution().executedPlan().toString()
+    got = {r["normalized_url"]: (r["outcome"], r["reason"]) for r in verdict.url_verdicts(log.select("normalized_url"), answers, NOW).collect()}
+    assert got == {f"http://e/{i}": (outcome, reason) for i, (_, _, outcome, reason) in enumerate(CASES)}
+
+
 def test_probe_asks_each_url_once_and_spreads_a_hot_host(spark):
     urls = [(f"http://hot.example.com/{'x' * (i % 7)}{i}", "hot.example.com") for i in range(400)] + [("http://b.org/", "b.org")]
     targets = spark.createDataFrame(urls, "normalized_url string, hostname string")
