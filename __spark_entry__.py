@@ -457,7 +457,7 @@ def stream_link_audit(spark, sf):
     )
     docs = corpora.tex_documents_of(arriving)
     options = _audit_options(cache_path=f"{out}/cache")
-    running = stream.audit_stream(docs, options, out, corpora.probe_log(spark, sf), corpora.doi_log(spark, sf), fixed_time=True)
+    running = stream.audit_stream(docs, options, out, corpora.probe_log(spark, sf), corpora.doi_log(spark, sf))
     running.awaitTermination()
     return stream.batches_of(spark, out, audit.DEFECTS).drop("batch")
 

@@ -60,7 +60,8 @@ def probe(
     A host is asked by at most ``lanes_per_host`` tasks, so a host that owns a
     third of all URLs neither sits in one task nor is asked by the whole
     cluster. The status expected is that of the first answer, redirects not
-    followed. Store the result before using it: evaluating it again asks again.
+    followed; an exception is the failure of its URL and not of the job. Store
+    the result before using it: evaluating it again asks again.
     """
     spark = targets.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,11 +69,17 @@ def probe(
     spread = targets.select(key, *([host] if host else []))
     spread = spread.repartition(n, *([host] if host else []), lane).select(key)
 
+    def answer(url: str) -> tuple[int | None, str | None]:
+        try:
+            return fetch(url)
+        except Exception as error:
+            return None, type(error).__name__
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers=max(1, threads_per_task)) as pool:
             for batch in batches:
                 asked = batch.column(key)
-                answers = list(pool.map(fetch, asked.to_pylist()))
+                answers = list(pool.map(answer, asked.to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         asked,

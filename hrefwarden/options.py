@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from hrefwarden.functions import fixed
 
@@ -25,7 +25,7 @@ class AuditOptions:
     ignore_urls: str | Iterable[str] = field(default_factory=frozenset)
     #: hours for which a URL seen valid is not asked again
     ttl_hours: int = 24
-    #: time of the run, UTC; now if not given
+    #: time of the run, UTC; if not given, the time at which a run starts
     as_of: dt.datetime | None = None
     #: where the audited folder is published; replaces it in reports
     base_folder: str | None = None
@@ -47,13 +47,16 @@ class AuditOptions:
         if self.file_types not in fixed.FILE_TYPES:
             raise ValueError(f"file_types must be one of {sorted(fixed.FILE_TYPES)}")
         self.ignore_urls = _url_set(self.ignore_urls)
-        if self.as_of is None:
-            self.as_of = dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
-        elif self.as_of.tzinfo is None:
+        if self.as_of is not None and self.as_of.tzinfo is None:
             self.as_of = self.as_of.replace(tzinfo=dt.timezone.utc)
         if self.base_url:
             self.base_url = self.base_url.rstrip("/")
 
+    def for_run(self, **changes) -> "AuditOptions":
+        """A copy for one run, with the time of the run filled in."""
+        now = dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
+        return replace(self, **({"as_of": self.as_of or now} | changes))
+
     @property
     def suffixes(self) -> tuple[str, ...]:
         return fixed.FILE_TYPES[self.file_types]

@@ -141,6 +141,7 @@ def run_audit(
     run with a key that broke takes up the answers stored in its ``folder``.
     """
     started = time.monotonic()
+    options = options.for_run()
     folder = folder or scratch.run_folder(spark)
     if options.cache_path:
         cache.check_path(spark, options.cache_path)
@@ -229,7 +230,7 @@ def check(
     documents = files.open_path(spark, searchpath, options.suffixes, folder)
     if documents is None:
         return None
-    options.base_folder = options.base_folder or files.absolute(searchpath)
+    options = options.for_run(base_folder=options.base_folder or files.absolute(searchpath))
     audit = run_audit(spark, documents, options, probe_log, doi_log, folder)
     if write_to:
         audit.write_report(write_to, markdown)

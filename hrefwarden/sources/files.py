@@ -11,6 +11,7 @@ from __future__ import annotations
 import logging
 import os
 import pathlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ def _is_local(path: str) -> bool:
 
 def absolute(path: str) -> str:
     """Local paths in full, so that reports can put a URL in their place."""
-    path = str(path).removeprefix("file://")
+    path = re.sub("^file:(//)?", "", str(path))
     return str(pathlib.Path(path).resolve()) if _is_local(path) else path.rstrip("/")
 
 
@@ -55,11 +56,10 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
         return
     from pyarrow import fs
 
-    scheme = folder.split("://", 1)[0]
     store, inner = fs.FileSystem.from_uri(folder)
     for info in store.get_file_info(fs.FileSelector(inner, recursive=False)):
         is_dir = info.type == fs.FileType.Directory
-        yield f"{scheme}://{info.path.lstrip('/')}", is_dir, info.size or 0
+        yield f"{folder.rstrip('/')}/{info.base_name}", is_dir, info.size or 0
 
 
 def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:

@@ -10,9 +10,6 @@ if it had finished, does nothing.
 
 from __future__ import annotations
 
-import dataclasses
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,24 +24,22 @@ def audit_stream(
     probe_log: DataFrame | None = None,
     doi_log: DataFrame | None = None,
     name: str = "audit",
-    fixed_time: bool = False,
     trigger: dict | None = None,
     replace_every: int = 100,
 ) -> StreamingQuery:
     """Start auditing the stream ``documents(path, content)``; tables go to ``out``.
 
-    The default trigger takes what is there and stops. ``fixed_time`` keeps
-    ``options.as_of`` for every batch, for repeatable results.
+    The default trigger takes what is there and stops. Leave ``options.as_of``
+    open in a stream that runs on, so that each batch has its own time.
     """
     if not options.cache_path:
         raise ValueError("a stream needs a cache_path: the cache is its state")
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        now = options.as_of if fixed_time else dt.datetime.now(dt.timezone.utc)
         audit.run_audit(
             batch.sparkSession,
             batch,
-            dataclasses.replace(options, as_of=now),
+            options,
             probe_log,
             doi_log,
             folder=out,

@@ -177,7 +177,7 @@ def test_stream_finds_what_the_batch_finds(spark, arriving, logs, tmp_path):
     out = str(tmp_path / "out")
     os.makedirs(out)
     kept = options(cache_path=f"{out}/cache")
-    running = stream.audit_stream(read_stream(spark, arriving), kept, out, *logs, fixed_time=True, replace_every=2)
+    running = stream.audit_stream(read_stream(spark, arriving), kept, out, *logs, replace_every=2)
     running.awaitTermination()
     whole = audit.run_audit(spark, spark.read.parquet(arriving), options(), *logs)
     assert defects_of(stream.batches_of(spark, out, audit.DEFECTS)) == defects_of(whole.defects)

@@ -38,6 +38,16 @@ def test_discovery_takes_hidden_files_and_no_folders(spark, tree):
     assert len(names(files.find_markdown_files(spark, str(tree)), tree)) == 6
 
 
+def test_folders_named_by_uri(spark, tree):
+    """The way of remote file systems, tried on a local one."""
+    found = {path: is_dir for path, is_dir, _ in files._children(f"file://{tree}/sub")}
+    assert found[f"file://{tree}/sub/f.md"] is False and found[f"file://{tree}/sub/sub"] is True
+    assert files.read_one(f"file://{tree}/b.md") == ("<http://example.com/b.md>", None)
+    assert files.read_one(f"file://{tree}/none.md") == (None, fixed.NOT_FOUND)
+    assert files.absolute(f"file:{tree}") == files.absolute(f"file://{tree}") == str(tree)
+    assert files.absolute("hdfs://host:8020/a/") == "hdfs://host:8020/a"
+
+
 def test_native_source_leaves_hidden_files_out(spark, tree):
     found = files.read_visible_files(spark, str(tree))
     assert names(found, tree) == ["a.tex", "b.md", "c.html", "d.htm", "sub/e.tex", "sub/f.md", "sub/sub/h.bib", "with space/ü.md"]

@@ -77,6 +77,14 @@ def test_probe_asks_each_url_once_and_spreads_a_hot_host(spark):
     assert hot.select("task").distinct().count() == 1
 
 
+def test_exception_of_fetch_is_the_failure_of_its_url(spark):
+    def fetch(url):
+        raise KeyError(url)
+
+    targets = spark.createDataFrame([("http://a/", "a")], "normalized_url string, hostname string")
+    assert tuple(verdict.probe(targets, fetch).first()) == ("http://a/", None, "KeyError")
+
+
 def test_doi_verdicts_and_cache(spark):
     dois = spark.createDataFrame([("d1",), ("d2",), ("d3",), ("d4",)], "doi string")
     log = spark.createDataFrame([("d1", 200), ("d2", 404), ("d3", 500)], "doi string, status int")
