@@ -92,17 +92,17 @@ def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES
     One job per level of the tree; the driver sees neither paths nor folders.
     """
     folder = folder or scratch.run_folder(spark)
-    tasks = spark.sparkContext.defaultParallelism * 4
+    most_tasks = spark.sparkContext.defaultParallelism * 4
     frontier = spark.createDataFrame([(absolute(base),)], "path string")
-    level = 0
-    while True:
-        listed = frontier.repartition(tasks, "path").mapInArrow(_list_folders, LISTING)
+    level, folders = 0, 1
+    while folders:
+        listed = frontier.repartition(min(folders, most_tasks), "path").mapInArrow(_list_folders, LISTING)
         table = scratch.stage(listed, folder, f"listing/level={level}")
         frontier = table.filter("is_dir").select("path")
-        if frontier.isEmpty():
-            break
+        folders = frontier.count()
         level += 1
-    every_level = spark.read.schema(LISTING).parquet(f"{folder}/listing")
+    # A folder used before may hold deeper levels of an older tree.
+    every_level = spark.read.schema(f"{LISTING}, level int").parquet(f"{folder}/listing").filter(F.col("level") < level)
     return every_level.filter(~F.col("is_dir") & urls.is_supported(F.col("path"), suffixes)).select("path", "size")
 
 
@@ -169,9 +169,9 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_files(listing: DataFrame) -> DataFrame:
     """``documents(path, content, problem)``; tasks get about the same number of bytes."""
     spark = listing.sparkSession
-    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found, total = listing.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
-    return listing.select("path").repartition(int(tasks), "path").mapInArrow(_read_files, READ)
+    return listing.select("path").repartition(max(1, min(found, tasks)), "path").mapInArrow(_read_files, READ)
 
 
 def read_visible_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFrame:
