@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -485,9 +486,23 @@ def queries() -> dict[str, Query]:
         found[f"{outcome}_report"] = _report(outcome)
     found["report_lines"] = _lines(markdown=True)
     found["report_lines_plain"] = _lines(markdown=False)
+    found |= _llm("QUERIES")
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
     return {name: _with_package(query) for name, query in found.items()}
 
 
+def _llm(what: str) -> dict:
+    """What the subpackage llm registers, if it is there."""
+    if not importlib.util.find_spec("hrefwarden.llm"):
+        return {}
+    from hrefwarden.llm import registered
+
+    return dict(getattr(registered, what))
+
+
 def _with_package(query: Query) -> Query:
     """Python workers import the package; make sure they have it."""
 
@@ -502,4 +517,10 @@ def _with_package(query: Query) -> Query:
 def oracle_sql() -> dict[str, str]:
     from oracle import statements
 
-    return statements()
+    found = statements() | _llm("SQL")
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
