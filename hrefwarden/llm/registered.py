@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import fingerprints, quality_rules, secret_scan
+from hrefwarden.llm import bpe, fingerprints, minhash, quality_rules, secret_scan
 
 QUERIES = {
     query.__name__: query
@@ -10,6 +10,8 @@ QUERIES = {
         secret_scan.op1_secret_scans,
         quality_rules.op3_quality_rules,
         fingerprints.op4_fingerprints,
+        bpe.op6_bpe,
+        minhash.op8_minhash,
     )
 }
 
