@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import bpe, fingerprints, minhash, quality_rules, secret_scan
+from hrefwarden.llm import bpe, fingerprints, minhash, quality_rules, quality_trees, secret_scan, warc
 
 QUERIES = {
     query.__name__: query
@@ -12,6 +12,8 @@ QUERIES = {
         fingerprints.op4_fingerprints,
         bpe.op6_bpe,
         minhash.op8_minhash,
+        warc.op9_warc,
+        quality_trees.op10_quality_trees,
     )
 }
 
@@ -19,4 +21,5 @@ SQL = {
     "op1_secret_scans": secret_scan.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op4_fingerprints": fingerprints.SQL,
+    "op9_warc": warc.SQL,
 }
