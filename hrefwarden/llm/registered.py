@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import bpe, fingerprints, minhash, quality_rules, quality_trees, secret_scan, warc
+from hrefwarden.llm import bpe, fingerprints, minhash, mixing, quality_rules, quality_trees, secret_scan, warc
 
 QUERIES = {
     query.__name__: query
@@ -10,6 +10,7 @@ QUERIES = {
         secret_scan.op1_secret_scans,
         quality_rules.op3_quality_rules,
         fingerprints.op4_fingerprints,
+        mixing.op5_mixing,
         bpe.op6_bpe,
         minhash.op8_minhash,
         warc.op9_warc,
