@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import bpe, fingerprints, minhash, mixing, quality_rules, quality_trees, secret_scan, warc
+from hrefwarden.llm import bpe, fingerprints, minhash, mixing, pseudo_likelihood, quality_rules, quality_trees, secret_scan, warc
 
 QUERIES = {
     query.__name__: query
     for query in (
         secret_scan.op1_secret_scans,
+        pseudo_likelihood.op2_pseudo_likelihood,
         quality_rules.op3_quality_rules,
         fingerprints.op4_fingerprints,
         mixing.op5_mixing,
