@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import bpe, fingerprints, minhash, mixing, pseudo_likelihood, quality_rules, quality_trees, secret_scan, warc
+from hrefwarden.llm import bpe, fingerprints, minhash, mixing, pseudo_likelihood, quality_rules, quality_trees, secret_scan, suffix_dedup, warc
 
 QUERIES = {
     query.__name__: query
@@ -13,6 +13,7 @@ QUERIES = {
         fingerprints.op4_fingerprints,
         mixing.op5_mixing,
         bpe.op6_bpe,
+        suffix_dedup.op7_suffix_dedup,
         minhash.op8_minhash,
         warc.op9_warc,
         quality_trees.op10_quality_trees,
