@@ -36,7 +36,7 @@ LINK_PERCENT = 75
 PLACES, BAND_ROWS = 97, 3
 BANDS = PLACES // BAND_ROWS
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>"
+_SIGNED = "doc_id long, version long, n_shingles long, set_a long, set_b long, buckets array<long>"
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -85,12 +85,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(arrow_text.mixed(sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id").cast(pa.int64()),
+                    part.column("doc_id"),
+                    part.column("version"),
                     pa.array(sizes),
                     *[pa.array(d) for d in digests],
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "buckets"],
+                names=["doc_id", "version", "n_shingles", "set_a", "set_b", "buckets"],
             )
 
 
@@ -100,7 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = arrow_text.text_bytes(part.column("text"))
             hashes, bounds = arrow_text.shingle_hashes(*arrow_text.word_hashes(data, offsets), SHINGLE_WORDS)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
@@ -116,14 +117,27 @@ def _linked(percent: int) -> Column:
     return F.col("shared") * 100 >= F.col("total") * percent
 
 
+def version_of(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def kept(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with the columns they came with; equal rows become one."""
+    names = docs.columns
+    gone = near_duplicates(docs, folder, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"))
+    rows = docs.withColumn("__version", version_of(F.col("text")))
+    left = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("__version") == F.col("gone_version")), "left_anti")
+    return left.dropDuplicates(["doc_id", "__version"]).select(*names)
+
+
 def near_duplicates(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
+    """(doc_id, version, n_shingles, component_id, kept) of every row of docs(doc_id, text); version is the text's hash.
 
     Texts without words (null, empty, blanks only) have no shingles and are linked
     with nothing; nor are rows without doc_id, whose component is null and which
     stay. Rows that repeat a doc_id are judged by their own texts.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
     signed = scratch.stage(docs.mapInArrow(_signed, _SIGNED), folder, "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     firsts = scratch.stage(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first")), folder, "firsts")
@@ -134,7 +148,7 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -
     crowded = scratch.stage(bucketed.join(shared.select("bucket", "hub"), "bucket").distinct(), folder, "crowded")
     stars = crowded.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = crowded.select("doc_id").distinct()
-    sets = scratch.stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), folder, "sets")
+    sets = scratch.stage(docs.drop("version").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), folder, "sets")
 
     by_hub = _compared(stars, sets, folder, "by_hub")
     links = by_hub.where(_linked(percent)).select("a", "b")
@@ -146,9 +160,9 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -
 
     of_set = firsts.join(merged, F.col("first") == F.col("node"), "left")
     of_set = of_set.select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("of_set"))
-    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
+    rows = signed.select("doc_id", "version", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("of_set")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    rows = rows.select("doc_id", "version", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -177,4 +191,5 @@ def _open_pairs(crowded: DataFrame, by_hub: DataFrame, found: DataFrame, percent
 
 
 def op8_minhash(spark, sf_dir) -> DataFrame:
-    return near_duplicates(W.table(spark, sf_dir, "documents"), W.workspace(spark))
+    """The near-duplicate class of every document."""
+    return near_duplicates(W.table(spark, sf_dir, "documents"), W.workspace(spark)).drop("version")

@@ -10,7 +10,7 @@ and nothing else. Everything runs as DataFrame expressions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,9 @@ TEMPERATURE = 1.5
 #: Steps at most, the miss (in shares of all tokens) that ends them, and steps between written tables.
 STEPS, CLOSE, WRITE_EVERY = 40, 1e-9, 8
 
+#: The domains' log priors, and what the presence of a word or mark adds to each.
+Model = tuple[dict[str, float], dict[str, list[float]]]
+
 DOMAINS = ("clean", "poor", "toxic")
 #: Target weights of the tokens by domain.
 WEIGHTS = {"clean": 0.94, "poor": 0.03, "toxic": 0.03}
@@ -64,7 +67,7 @@ def _labelled(labels: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, folder: str, most: int = LABELLED_ROWS) -> tuple[dict[str, float], dict[str, list[float]]]:
+def learnt(docs: DataFrame, labels: DataFrame, folder: str, most: int = LABELLED_ROWS) -> Model:
     """Naive Bayes over the words and marks a text has: the log prior of each domain and what a word's presence adds.
 
     What is absent counts too. The vocabulary holds what tells most about the domain among
@@ -95,8 +98,8 @@ def learnt(docs: DataFrame, labels: DataFrame, folder: str, most: int = LABELLED
     return priors, adds
 
 
-def posteriors(marks: Column, model: tuple[dict[str, float], dict[str, list[float]]]) -> list[Column]:
-    """The probability of each domain given the array of a document's marks."""
+def posteriors(marks: Column, model: Model) -> Column:
+    """The probabilities of the domains, an array in their order, given the array of a document's marks."""
     priors, adds = model
     if adds:
         known = F.array(*[F.lit(mark) for mark in adds])
@@ -112,19 +115,26 @@ def posteriors(marks: Column, model: tuple[dict[str, float], dict[str, list[floa
         sums = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
         return F.transform(F.array(odds), lambda o: F.transform(o, lambda x: x / sums))[0]
 
-    shares = F.transform(F.array(logs), softened)[0]
-    return [shares[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return F.transform(F.array(logs), softened)[0]
 
 
-def memberships(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+def memberships(docs: DataFrame, model: Model, folder: str) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>...) of every row, as a written table."""
-    model = learnt(docs, labels, folder)
     rows = marked(docs)
-    rows = rows.select("doc_id", "n_tokens", F.array(*posteriors(F.col("marks"), model)).alias("p"))
+    rows = rows.select("doc_id", "n_tokens", posteriors(F.col("marks"), model).alias("p"))
     rows = rows.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
     return scratch.stage(rows, folder, "members")
 
 
+def moved(rate: Column, shares: Sequence[Column], moves: Sequence[Sequence[float]]) -> Column:
+    """A document's rate after steps along its domain shares, lifted to zero after each."""
+    if not moves:
+        return rate
+    steps = F.array(*[F.array(*[F.lit(float(m)) for m in move]) for move in moves])
+    along = lambda move: sum(p * move[k] for k, p in enumerate(shares))
+    return F.aggregate(steps, rate, lambda r, move: F.greatest(F.lit(0.0), r - along(move)))
+
+
 def _sums(rows: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of each domain, and the Gram matrix of the documents whose rate is above zero."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -139,36 +149,36 @@ def _sums(rows: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
     return np.array(values[:k]), matrix + np.triu(matrix, 1).T
 
 
-def rated(members: DataFrame, folder: str, weights: Mapping[str, float] = WEIGHTS, total: float | None = None) -> DataFrame:
-    """``members`` with ``rate``, how often a document is to be taken on average.
+def fitted_moves(members: DataFrame, folder: str, weights: Mapping[str, float] = WEIGHTS, total: float | None = None) -> list[list[float]]:
+    """The steps that lead from rates of one to the targets; apply them with ``moved``.
 
     ``total`` is the number of tokens to reach; by default, as many as leave the first
     domain with what it has. A domain without any tokens cannot be reached and is left
     out. Each step moves every rate against the gradient of the squared misses,
     measured in the Gram matrix of the domains, and lifts negative rates to zero.
     """
-    rate: Column = F.lit(1.0)
-    expected, gram = _sums(members, rate)
+    shares = [F.col(f"p_{d}") for d in DOMAINS]
+    rows, moves, written = members.withColumn("rate", F.lit(1.0)), [], 0
+    expected, gram = _sums(rows, F.col("rate"))
     wanted = np.array([weights.get(d, 0.0) for d in DOMAINS]) * (expected > 0)
     if not expected.sum() or not wanted.sum():
-        return members.withColumn("rate", F.lit(1.0))
+        return []
     wanted = wanted / wanted.sum()
     if total is None:
         total = expected[0] / wanted[0] if wanted[0] else expected.sum()
-    target, rows = wanted * total, members
-    for step in range(1, STEPS + 1):
+    target = wanted * total
+    while len(moves) < STEPS:
         miss = expected - target
         if np.abs(miss).max() <= CLOSE * total:
             break
         ridge = 1e-9 * max(np.trace(gram), 1.0)
-        move = np.linalg.solve(gram + ridge * np.eye(len(DOMAINS)), miss)
-        along = sum(F.col(f"p_{d}") * F.lit(float(m)) for d, m in zip(DOMAINS, move))
-        rate = F.greatest(F.lit(0.0), rate - along)
-        if step % WRITE_EVERY == 0:
-            rows = scratch.stage(rows.withColumn("at", rate).drop("rate").withColumnRenamed("at", "rate"), folder, f"rates_{step}")
-            rate = F.col("rate")
+        moves.append([float(m) for m in np.linalg.solve(gram + ridge * np.eye(len(DOMAINS)), miss)])
+        rate = moved(F.col("rate"), shares, moves[written:])
+        if len(moves) % WRITE_EVERY == 0:
+            rows = scratch.stage(rows.withColumn("rate", rate), folder, f"rates_{len(moves)}")
+            rate, written = F.col("rate"), len(moves)
         expected, gram = _sums(rows, rate)
-    return rows.withColumn("rate", rate)
+    return moves
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -177,12 +187,33 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+def mixed(docs: DataFrame, labels: DataFrame, folder: str, weights: Mapping[str, float] = WEIGHTS, keep: str | None = "clean") -> DataFrame:
+    """``docs`` as often as their rates say, columns as they are; rows most likely of domain ``keep`` at least once."""
+    model = learnt(docs, labels, folder)
+    moves = fitted_moves(memberships(docs, model, folder), folder, weights)
+    text = W.whole(F.col("text"))
+
+    def shares(found: Column) -> Column:
+        return posteriors(_marks(text, found), model)
+
+    rows = docs.withColumn("__shares", F.transform(F.array(W.words(F.lower(text))), shares)[0])
+    p = [F.col("__shares")[k] for k in range(len(DOMAINS))]
+    n = copies(moved(F.lit(1.0), p, moves), F.xxhash64("doc_id", text))
+    if keep is not None:
+        likeliest = F.array_position("__shares", F.array_max("__shares")) == DOMAINS.index(keep) + 1
+        n = F.when(likeliest, F.greatest(n, F.lit(1))).otherwise(n)
+    rows = rows.withColumn("__copies", n).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir) -> DataFrame:
     """Tokens, domain probabilities, rate and drawn number of copies of every document.
 
     Null and empty texts have no tokens; their rate follows from their probabilities.
     """
     folder = W.workspace(spark)
-    members = memberships(W.table(spark, sf_dir, "documents"), W.table(spark, sf_dir, "labels"), folder)
-    rows = rated(members, folder)
-    return rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies(F.col("rate"), F.col("doc_id")).alias("n_copies"))
+    docs = W.table(spark, sf_dir, "documents")
+    members = memberships(docs, learnt(docs, W.table(spark, sf_dir, "labels"), folder), folder)
+    rate = moved(F.lit(1.0), [F.col(f"p_{d}") for d in DOMAINS], fitted_moves(members, folder))
+    rows = members.withColumn("rate", rate)
+    return rows.withColumn("n_copies", copies(F.col("rate"), F.xxhash64("doc_id")))

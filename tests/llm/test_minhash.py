@@ -74,7 +74,7 @@ def test_chains_strays_and_groups_of_copies(spark):
 def test_edge_rows(spark):
     rows = [(None, "one two three four five six"), (1, "one two three four five six"), (1, "one two three four five six"), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as bucket", "2 as hub", "'x' as shingles")
-    found = sorted(map(str, minhash.near_duplicates(docs, scratch.run_folder(spark)).collect()))
+    found = sorted(map(str, minhash.near_duplicates(docs, scratch.run_folder(spark)).drop("version").collect()))
     assert found == [
         "Row(doc_id=1, n_shingles=2, component_id=1, kept=True)",
         "Row(doc_id=1, n_shingles=2, component_id=1, kept=True)",
@@ -109,3 +109,12 @@ def test_byte_helpers():
     assert list(np.diff(counts)) == [0, 1, 2, 3, 6, 2]
     assert hashes[0] == hashes[1]
     assert list(np.diff(arrow_text.shingle_hashes(hashes, counts, 5)[1])) == [0, 1, 1, 1, 2, 1]
+
+
+def test_kept_rows(spark):
+    text = "one two three four five six"
+    rows = [(3, text, 1), (3, text, 1), (5, text.upper(), 2), (6, "another one", 3), (None, text, 4), (7, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version int")
+    found = minhash.kept(docs, scratch.run_folder(spark))
+    assert found.columns == docs.columns
+    assert sorted(r.version for r in found.collect()) == [1, 3, 4, 5]
