@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 TTL_HOURS = 24
+EVERY_KEY = 1_000_000
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -68,7 +69,9 @@ class _Judged:
         self.verdicts = scratch.stage(_verdicts(spark, sf, targets), folder, "verdicts")
 
     def hot(self, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
-        return spread.hot_keys(self.verdicts, "normalized_url", "n_links", min_rows)
+        # A lowered bound is to make keys hot that are not so for their share of a partition.
+        keys = spread.KEYS_PER_PARTITION if min_rows == spread.MIN_HOT_ROWS else EVERY_KEY
+        return spread.hot_keys(self.verdicts, "normalized_url", "n_links", min_rows, keys=keys)
 
     def defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> DataFrame:
         return report.defects(self.queue, self.verdicts, self.hot(min_rows))
@@ -130,6 +133,16 @@ def html_anchors_parser(spark, sf):
     return extract.html_links(corpora.html_corpus(spark, sf))
 
 
+def html_malformed(spark, sf):
+    """Anchors of pages that end in broken markup."""
+    return extract.html_links(corpora.malformed_corpus(spark, sf))
+
+
+def unsupported_documents(spark, sf):
+    """Documents no extractor knows are reported, not left out."""
+    return extract.problems_of(extract.findings(corpora.mixed_corpus(spark, sf)))
+
+
 def md_inline_links(spark, sf):
     return extract.md_inline_links(corpora.markdown_corpus(spark, sf))
 
@@ -191,6 +204,8 @@ def _spellings(spark, sf) -> DataFrame:
         F.concat(url, more, F.lit("b=2&a=1&&")),
         F.concat(url, more, F.lit("a=1&a=1")),
         F.replace(url, F.lit("."), F.lit("_")),
+        F.concat(url, F.lit(" #x")),
+        F.concat(F.substring_index(url, "?", 1), F.lit(" ?b=2 &a=1 #f")),
     )
     return corpora.pages(spark, sf).select("page_id", F.posexplode(spelled).alias("spelling", "url"))
 
@@ -258,8 +273,10 @@ def distinct_dois(spark, sf):
 
 
 def prune_cached_links(spark, sf):
-    links = scratch.stage(_markdown_queue(spark, sf), scratch.run_folder(spark), "links")
-    hot = spread.hot_keys(queue.url_targets(links), "normalized_url", "n_links")
+    folder = scratch.run_folder(spark)
+    links = scratch.stage(_markdown_queue(spark, sf), folder, "links")
+    targets = scratch.stage(queue.url_targets(links), folder, "targets")
+    hot = spread.hot_keys(targets, "normalized_url", "n_links")
     return queue.without_cached(links, _fresh(spark, sf), "normalized_url", hot)
 
 
@@ -389,7 +406,7 @@ def errors_by_file_hot_urls(spark, sf):
 def error_report_hot_files(spark, sf):
     """The error report with every file of three or more errors treated as a hot one."""
     rows, counts = _Judged(spark, sf).staged_defects(min_rows=2)
-    hot = report.hot_files(counts, min_rows=3)
+    hot = report.hot_files(counts, min_rows=3, keys=EVERY_KEY)
     return report.sorted_listing(report.listing(rows, verdict.ERROR, counts, hot))
 
 
@@ -467,10 +484,11 @@ def stream_link_audit(spark, sf):
 IGNORED = "http://blog.ththan.example.net/en/960, https://thther.example.org/en/685,https://m.therou.example.com/en/474.html"
 
 
-def queries() -> dict[str, Query]:
+def audit_queries() -> dict[str, Query]:
+    """The queries of the link audit."""
     named = [
         supported_format, doc_format_filter, decode_problems, access_errors, cache_fresh_urls, cache_dois,
-        html_anchors, html_anchors_parser, md_inline_links, md_pointy_links, tex_href_links, tex_url_links,
+        html_anchors, html_anchors_parser, html_malformed, unsupported_documents, md_inline_links, md_pointy_links, tex_href_links, tex_url_links,
         bib_urls, bib_dois, links_all_formats, prose_scan,
         scheme_router, scheme_counts, hostname, normalize_url, normalize_query_conflict, link_queue, doi_queue,
         ignore_urls, rewrite_path,
@@ -486,12 +504,16 @@ def queries() -> dict[str, Query]:
         found[f"{outcome}_report"] = _report(outcome)
     found["report_lines"] = _lines(markdown=True)
     found["report_lines_plain"] = _lines(markdown=False)
-    found |= _llm("QUERIES")
+    return {name: _with_package(query) for name, query in found.items()}
+
+
+def queries() -> dict[str, Query]:
+    found = _llm("QUERIES")
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
-    return {name: _with_package(query) for name, query in found.items()}
+    return audit_queries() | {name: _with_package(query) for name, query in found.items()}
 
 
 def _llm(what: str) -> dict:

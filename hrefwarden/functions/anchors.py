@@ -1,8 +1,10 @@
 """Anchors of one HTML document; a helper that runs inside Arrow batches.
 
 The text of an anchor is the text of everything inside the element. An element
-ends with its own end tag or with that of an element around it, and an anchor
-left open runs to the end of the document.
+ends with its own end tag or with that of an element around it, an anchor also
+where the next one begins, and one left open runs to the end of the document. A
+piece of text thus belongs to one anchor at most. Markup that the document ends
+within is dropped, as browsers do; the time is linear in the text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,13 @@ TEXTLESS = frozenset("rp rt script style template".split())
 VERBATIM = frozenset("pre textarea".split())
 
 
+# --- fixed values: what may stand in '<![', and how it ends
+_SECTION = re.compile(r"<!\[\s*(temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE)
+_CONDITIONS = frozenset(("if", "else", "endif"))
+_SECTION_ENDS = (re.compile(r"]\s*]\s*>"), re.compile(r"]\s*>"))
+_TAG_END = re.compile(">")
+
+
 class AnchorCollector(HTMLParser):
     """Collects [href, first text piece, end of text pieces] in document order."""
 
@@ -32,6 +41,7 @@ class AnchorCollector(HTMLParser):
         self._pending: list[str] = []
         self._stack: list[tuple[str, int]] = []
         self._open: Counter = Counter()
+        self._ending = False
 
     def anchors(self) -> list[tuple[str | None, str]]:
         self.close()
@@ -58,6 +68,8 @@ class AnchorCollector(HTMLParser):
 
     def _start(self, tag, attrs):
         self._flush()
+        if tag == "a" and self._open["a"]:
+            self.handle_endtag("a")
         anchor = -1
         if tag == "a":
             anchor = len(self.found)
@@ -89,6 +101,39 @@ class AnchorCollector(HTMLParser):
             if name == tag:
                 return
 
+    def close(self):
+        self._ending = True
+        super().close()
+
+    def _dropped(self, end):
+        """At the end of the document, nothing that is incomplete is tried again from its next '<'."""
+        return len(self.rawdata) if end is not None and end < 0 and self._ending else end
+
+    def parse_starttag(self, i):
+        return self._dropped(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._dropped(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=1):
+        return self._dropped(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._dropped(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        return self._dropped(super().parse_html_declaration(i))
+
+    def parse_marked_section(self, i, report=1):
+        """CDATA and the like to their own ends, anything else in '<![' to the next '>'."""
+        known = _SECTION.match(self.rawdata, i)
+        close = _SECTION_ENDS[known.group(1).lower() in _CONDITIONS] if known else _TAG_END
+        end = close.search(self.rawdata, i + 3)
+        if not end:
+            return self._dropped(-1)
+        self.unknown_decl(self.rawdata[i + 3 : end.start()])
+        return end.end()
+
     def updatepos(self, i, j):
         """Line numbers are not needed; counting them takes a tenth of the time."""
         return j
@@ -163,7 +208,8 @@ def _regular_anchors(text: str) -> list[tuple[str | None, str]] | None:
                 content = _RAW[name].match(text, at)
                 if not content or (collector.is_open("a") and "&" in content.group()):
                     return None
-                collector.handle_data(content.group()[: -len(f"</{name}>")])
+                if len(content.group()) > len(f"</{name}>"):
+                    collector.handle_data(content.group()[: -len(f"</{name}>")])
                 collector.handle_endtag(name)
                 at = content.end()
     return collector.anchors()

@@ -34,6 +34,7 @@ class _Scanner:
     def __init__(self, text: str):
         self.text = text
         self.at = 0
+        self._partners: dict[int, int] | None = None
         self.macros = dict(MONTHS)
 
     def blanks(self):
@@ -58,25 +59,34 @@ class _Scanner:
 
     def braced(self) -> str:
         """Text up to the brace that closes the one at the current place."""
-        start, depth = self.at + 1, 0
-        for match in _BRACE.finditer(self.text, self.at):
-            depth += 1 if match.group() == "{" else -1
-            if depth == 0:
-                self.at = match.end()
-                return self.text[start : match.start()]
-        raise BadBibtex(f"brace opened at character {self.at} is never closed")
+        end = self.partners().get(self.at)
+        if end is None:
+            raise BadBibtex(f"brace opened at character {self.at} is never closed")
+        start, self.at = self.at + 1, end + 1
+        return self.text[start:end]
+
+    def partners(self) -> dict[int, int]:
+        """Where each brace that is closed is closed; all braces are matched once."""
+        if self._partners is None:
+            self._partners, waiting = {}, []
+            for match in _BRACE.finditer(self.text):
+                if match.group() == "{":
+                    waiting.append(match.start())
+                elif waiting:
+                    self._partners[waiting.pop()] = match.start()
+        return self._partners
 
     def quoted(self) -> str:
-        start, depth = self.at + 1, 0
-        for match in _QUOTED_STOP.finditer(self.text, start):
-            if match.group() == '"':
-                if depth == 0:
-                    self.at = match.end()
-                    return self.text[start : match.start()]
-            else:
-                depth += 1 if match.group() == "{" else -1
-                if depth < 0:
-                    break
+        """Text up to the next quote outside braces; braces are stepped over as a whole."""
+        start = at = self.at + 1
+        while stop := _QUOTED_STOP.search(self.text, at):
+            if stop.group() == '"':
+                self.at = stop.end()
+                return self.text[start : stop.start()]
+            end = self.partners().get(stop.start()) if stop.group() == "{" else None
+            if end is None:
+                break
+            at = end + 1
         raise BadBibtex(f"quote opened at character {self.at} is never closed")
 
     def value(self) -> str:

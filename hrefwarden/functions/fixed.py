@@ -49,6 +49,9 @@ READ_TIMEOUT = "system timeout"
 BLOCKING_IO = "blocking IO"
 NOT_UTF8 = "not valid UTF-8"
 
+# Problems of our own.
+NO_EXTRACTOR = "no extractor for this format"
+
 # --- fixed values: texts of the report ------------------------------------
 STATUS_MEANING = {403: "Forbidden", 404: "Not Found", 410: "Gone"}
 SECTION_TITLES = {

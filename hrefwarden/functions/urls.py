@@ -75,7 +75,8 @@ def with_normalized_url(rows: DataFrame, url: str = "url", to: str = "normalized
 
     Lower-case scheme and host, no fragment, no default port, '/' for an empty
     path, no repeated slashes in the path, query parts in order. Text without a
-    scheme or host comes back trimmed. ``keep_query`` leaves the query as found.
+    scheme or host comes back trimmed, and so is what is left where fragment and
+    query are cut off. ``keep_query`` leaves the query as found.
 
     The parts are columns of intermediate projections, not one nested
     expression: each is computed once and the plan stays small.
@@ -84,11 +85,13 @@ def with_normalized_url(rows: DataFrame, url: str = "url", to: str = "normalized
         F.col(f"_{name}") for name in ("text", "page", "base", "query", "scheme", "rest", "place", "host", "path")
     )
     columns = [column for column in rows.columns if column != to]
+    blanks = F.lit(" \t\r\n")
     rows = (
-        rows.withColumn("_text", F.btrim(F.col(url), F.lit(" \t\r\n")))
-        .withColumn("_page", F.substring_index(text, "#", 1))
+        rows.withColumn("_text", F.btrim(F.col(url), blanks))
+        .withColumn("_page", F.rtrim(F.substring_index(text, "#", 1), blanks))
         .withColumn("_base", F.substring_index(page, "?", 1))
-        .withColumns({"_query": F.substring(page, F.length(base) + 2, F.length(page)), "_scheme": F.substring_index(base, "://", 1)})
+        .withColumns({"_query": F.substring(page, F.length(base) + 2, F.length(page)), "_base": F.rtrim(base, blanks)})
+        .withColumn("_scheme", F.substring_index(base, "://", 1))
         .withColumns({"_rest": F.substring(base, F.length(scheme) + 4, F.length(base)), "_scheme": F.lower(scheme)})
         .withColumn("_place", F.substring_index(rest, "/", 1))
         .withColumns({"_host": F.lower(F.substring_index(place, "@", -1)), "_path": _after(rest, place)})
@@ -104,7 +107,7 @@ def with_normalized_url(rows: DataFrame, url: str = "url", to: str = "normalized
         .when(F.contains(path, F.lit("//")), F.regexp_replace(path, "/{2,}", "/"))
         .otherwise(path)
     )
-    rows = rows.withColumn("_query", query if keep_query else _sorted_query(query))
+    rows = rows.withColumn("_query", F.rtrim(query if keep_query else _sorted_query(query), blanks))
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
     normalized = F.when(
         text.rlike(_HAS_AUTHORITY), F.concat(scheme, F.lit("://"), user, bare_host, clean_path, tail)

@@ -48,7 +48,10 @@ def _batch(texts: pa.Array, parse) -> pa.Array:
     offsets, rows = [0], []
     for text in texts:
         if text.is_valid:
-            rows.extend(parse(text.as_py()))
+            try:
+                rows.extend(parse(text.as_py()))
+            except Exception as error:  # one odd document is a row of the report, not the end of the job
+                rows.append((PROBLEM, None, f"cannot be parsed ({type(error).__name__})"))
         offsets.append(len(rows))
     kinds, values, labels = zip(*rows) if rows else ((), (), ())
     flat = pa.StructArray.from_arrays(
@@ -163,7 +166,8 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     """Links, DOIs and problems of documents of every format in ``suffixes``.
 
     One scan: the format decides per row which expression is evaluated, so the
-    corpus is not read once per format. Documents of other formats are left out.
+    corpus is not read once per format. Documents of the other supported formats are
+    left out; those no extractor knows are problems, whatever they hold.
     """
     unknown = set(suffixes) - set(fixed.SUPPORTED_SUFFIXES)
     if unknown:
@@ -172,9 +176,11 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     native = suffix.isin(*fixed.MARKDOWN_SUFFIXES, *fixed.TEX_SUFFIXES)
     content = F.when(native, _content()).otherwise(F.col("content"))
     problem = F.col("problem") if "problem" in documents.columns else F.lit(None).cast("string")
-    chosen = documents.select("path", content.alias("content"), suffix.alias("suffix"), problem.alias("problem")).filter(
-        F.col("suffix").isin(*suffixes) & ((F.col("content") != "") | F.col("problem").isNotNull())
-    )
+    known = F.coalesce(suffix.isin(*fixed.SUPPORTED_SUFFIXES), F.lit(False))
+    problem = F.coalesce(problem, F.when(~known, F.lit(fixed.NO_EXTRACTOR)))
+    # The raw column is tested, not the one with its line ends replaced.
+    wanted = problem.isNotNull() | (suffix.isin(*suffixes) & (F.col("content") != ""))
+    chosen = documents.filter(wanted).select("path", content.alias("content"), suffix.alias("suffix"), problem.alias("problem"))
     unreadable = F.array(F.struct(F.lit(PROBLEM).alias("kind"), F.lit(None).alias("value"), F.col("problem").alias("text")))
 
     content = F.col("content")
@@ -187,23 +193,21 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
         .when(of(fixed.MARKDOWN_SUFFIXES), _tagged(markup.markdown_links(content)))
         .when(of(fixed.TEX_SUFFIXES), _tagged(markup.tex_links(content)))
     )
-    # A worker sees NULL for the documents that are not its business.
+    # Texts are read in the JVM before the Python node, and only those a worker parses pass it.
+    # What was found is used twice below, which keeps the two projections apart.
+    is_html, is_bib = of(fixed.HTML_SUFFIXES), of(fixed.BIBTEX_SUFFIXES)
+    rows = chosen.select(
+        "path",
+        found.alias("found"),
+        F.when(F.col("problem").isNull() & is_html & _has_anchor(content), content).alias("html"),
+        F.when(F.col("problem").isNull() & is_bib, content).alias("bibtex"),
+    )
+    found = F.when(F.col("found").isNotNull(), F.col("found"))
     if set(fixed.HTML_SUFFIXES) & set(suffixes):
-        is_html = of(fixed.HTML_SUFFIXES)
-        found = found.when(is_html, parse_html(F.when(is_html & _has_anchor(content), content)))
+        found = found.when(F.col("html").isNotNull(), parse_html(F.col("html")))
     if set(fixed.BIBTEX_SUFFIXES) & set(suffixes):
-        is_bib = of(fixed.BIBTEX_SUFFIXES)
-        found = found.when(is_bib, parse_bibtex(F.when(is_bib, content)))
-    return _finding_rows(chosen, found)
-
-
-def require_supported(documents: DataFrame) -> DataFrame:
-    """Fail the job on a document whose format has no extractor."""
-    return documents.filter(
-        F.when(urls.is_supported(F.col("path")), True).otherwise(
-            F.raise_error(F.concat(F.lit("no extractor for "), F.col("path"))).cast("boolean")
-        )
-    )
+        found = found.when(F.col("bibtex").isNotNull(), parse_bibtex(F.col("bibtex")))
+    return _finding_rows(rows, found)
 
 
 def links_of(findings_table: DataFrame) -> DataFrame:

@@ -58,13 +58,19 @@ def without_ignored(targets: DataFrame, ignore: Iterable[str]) -> DataFrame:
     return targets.join(_ignored(targets.sparkSession, ignore, "normalized_url"), "normalized_url", "left_anti")
 
 
+def known_keys(cached: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Keys of ``wanted`` that the cache holds, each once; of the cache nothing else is shuffled."""
+    return cached.select(key).join(wanted.select(key), key, "left_semi").distinct()
+
+
 def mark_skipped(targets: DataFrame, cached: DataFrame, key: str, ignore: Iterable[str] = ()) -> DataFrame:
     """Add ``skipped``: 'ignored', 'cached', or NULL for what has to be asked.
 
     Skipped keys stay in the table for their counts: a hot one among them must
-    be known as hot when link rows are joined later.
+    be known as hot when link rows are joined later. Give ``targets`` as a written
+    table: its size is then known, and a small one is broadcast to a scan of the cache.
     """
-    known = cached.select(key).distinct().withColumn("_cached", F.lit(True))
+    known = known_keys(cached, targets, key).withColumn("_cached", F.lit(True))
     marked = targets.join(known, key, "left")
     reason = F.when(F.col("_cached"), "cached")
     if ignore:
@@ -96,7 +102,7 @@ def prune_counts(rows: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     weighs no more than any other.
     """
     per_key = rows.groupBy(key).agg(F.count("*").alias("n"))
-    known = cached.select(key).distinct().withColumn("hit", F.lit(True))
+    known = known_keys(cached, per_key, key).withColumn("hit", F.lit(True))
     n, hit = F.col("n"), F.col("hit").isNotNull()
     total = F.coalesce(F.sum(n), F.lit(0))
     skipped = F.coalesce(F.sum(F.when(hit, n).otherwise(0)), F.lit(0))

@@ -50,9 +50,9 @@ def count_by_file(queue: DataFrame, verdicts: DataFrame, outcome: str, hot=None)
 FILE_KEY = ("outcome", "path")
 
 
-def hot_files(counts: DataFrame, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
+def hot_files(counts: DataFrame, min_rows: int = spread.MIN_HOT_ROWS, keys: int = spread.KEYS_PER_PARTITION) -> spread.HotKeys | None:
     """Files with too many defects of one outcome for one task."""
-    return spread.hot_keys(counts, FILE_KEY, "n", min_rows)
+    return spread.hot_keys(counts, FILE_KEY, "n", min_rows, keys=keys)
 
 
 def shown_path(folder: str | None, base_url: str | None) -> Column:
@@ -211,6 +211,7 @@ def _defect_lines(rows: DataFrame, markdown: bool) -> DataFrame:
 def _opening(timed_stats: DataFrame, markdown: bool) -> DataFrame:
     kind = "links" if markdown else "hyperlinks"
     title = ["---", "title: Results of Linkcheck", "---"] if markdown else ["#" * 39, " RESULTS ".center(39, "#"), "#" * 39]
+    # --- fixed values: sentences of the report
     lines = [
         *[F.lit(text) for text in title],
         F.lit(""),

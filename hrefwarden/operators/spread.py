@@ -5,10 +5,11 @@ one task, so hot keys are joined by broadcast, where the rows stay where they
 are, and all other keys by an ordinary join, which Spark broadcasts or shuffles
 by the size of the table. Every row takes exactly one of the two ways.
 
-The hot side is small by construction: a key is hot if it holds at least
-1/MAX_HOT_KEYS of the rows, so there are at most MAX_HOT_KEYS of them, and their
-bytes are added up before they are used. If they are too many bytes, the
-ordinary join with Spark's own skew handling takes all rows.
+A key is hot if it holds a quarter of the rows a shuffle partition has on average, so
+there are at most four hot keys a partition. Their bytes are added up before
+they are used; if they are too many to broadcast, every row takes a salted join:
+the unique-key table is repeated ``SALTS`` times, and a key's rows meet in as many
+tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
+SALTS = 32
+KEYS_PER_PARTITION = 4
 MIN_HOT_ROWS = 1_000_000
 MAX_HOT_BYTES = 64 * 1024 * 1024
 
@@ -34,11 +36,13 @@ def _names(key: Key) -> list[str]:
 class HotKeys:
     keys: DataFrame
     count: int
+    #: Tasks among which a key's rows are dealt; 1 where hot keys are broadcast.
+    salts: int = 1
 
 
-def hot_floor(total: int, min_rows: int = MIN_HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> int:
-    """Rows from which a key is hot; at most ``max_keys`` keys can reach it."""
-    return max(min_rows, -(-total // max_keys))
+def hot_floor(total: int, partitions: int, min_rows: int = MIN_HOT_ROWS, keys: int = KEYS_PER_PARTITION) -> int:
+    """Rows from which a key is hot; at most ``keys`` keys a shuffle partition can have as many, and none under ``min_rows``."""
+    return max(min_rows, -(-total // max(1, keys * partitions)))
 
 
 def hot_keys(
@@ -46,8 +50,8 @@ def hot_keys(
     key: Key,
     n: str,
     min_rows: int = MIN_HOT_ROWS,
-    max_keys: int = MAX_HOT_KEYS,
     max_bytes: int = MAX_HOT_BYTES,
+    keys: int = KEYS_PER_PARTITION,
 ) -> HotKeys | None:
     """The keys of ``counts(key, n)`` that hold too many rows for one task.
 
@@ -56,15 +60,20 @@ def hot_keys(
     """
     names = _names(key)
     total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    floor = hot_floor(total, min_rows, max_keys)
+    floor = hot_floor(total, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min_rows, keys)
     if largest < floor:
         return None
     hot = counts.filter(F.col(n) >= floor).select(*names)
     size = sum((F.octet_length(name) for name in names), F.lit(0))
     found, total_size = hot.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    if total_size > max_bytes:
-        return None
-    return HotKeys(hot, found)
+    return HotKeys(hot, found, SALTS if total_size > max_bytes else 1)
+
+
+def _salted(rows: DataFrame, facts: DataFrame, names: list[str], how: str, salts: int) -> DataFrame:
+    """The join with every key's rows dealt to so many tasks; ``facts`` is repeated for each."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*names, "_salt"], how).drop("_salt")
 
 
 def lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = None, how: str = "inner") -> DataFrame:
@@ -72,6 +81,8 @@ def lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = No
     names = _names(key)
     if hot is None:
         return rows.join(facts, names, how)
+    if hot.salts > 1:
+        return _salted(rows, facts, names, how, hot.salts)
     keys = F.broadcast(hot.keys)
     hot_facts = F.broadcast(facts.join(keys, names, "left_semi"))
     cold = rows.join(keys, names, "left_anti").join(facts, names, how)
@@ -87,6 +98,8 @@ def anti_lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None
     names = _names(key)
     if hot is None:
         return rows.join(facts, names, "left_anti")
+    if hot.salts > 1:
+        return _salted(rows, facts.select(*names).distinct(), names, "left_anti", hot.salts)
     keys = F.broadcast(hot.keys)
     hot_facts = F.broadcast(facts.join(keys, names, "left_semi").distinct())
     cold = rows.join(keys, names, "left_anti").join(facts, names, "left_anti")

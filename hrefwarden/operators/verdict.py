@@ -16,6 +16,20 @@ FINE, REDIRECT, ERROR, EXCEPTION = "fine", "redirect", "error", "exception"
 _FAILURES = (*fixed.KNOWN_FAILURES, fixed.UNCLASSIFIED)
 VALID, INVALID, UNEXPECTED = "valid", "invalid", "unexpected"
 
+# --- fixed values: errors by the name of their class, and the failures they stand for
+_FAILURE_OF = {
+    "TimeoutError": "Timeout",
+    "ServerDisconnectedError": "Server disconnected",
+    "RemoteDisconnected": "Server disconnected",
+    "ClientConnectorError": "ClientConnectorError",
+    "ClientResponseError": "ClientResponseError",
+    "ClientOSError": "ClientOSError",
+    "ConnectionRefusedError": "ClientConnectorError",
+    "gaierror": "ClientConnectorError",
+    "HTTPException": "ClientResponseError",
+    "OSError": "ClientOSError",
+}
+
 Fetch = Callable[[str], tuple[int | None, str | None]]
 
 
@@ -46,6 +60,12 @@ def doi_outcome_of(status: Column) -> Column:
     return F.when(status == 200, VALID).when(status == 404, INVALID).otherwise(UNEXPECTED)
 
 
+def failure_of(error: BaseException) -> str:
+    """The failure a raised error stands for, by its class or the nearest one above that is known."""
+    known = (_FAILURE_OF[kind.__name__] for kind in type(error).__mro__ if kind.__name__ in _FAILURE_OF)
+    return next(known, type(error).__name__)
+
+
 def probe(
     targets: DataFrame,
     fetch: Fetch,
@@ -71,9 +91,10 @@ def probe(
 
     def answer(url: str) -> tuple[int | None, str | None]:
         try:
-            return fetch(url)
+            status, failure = fetch(url)
+            return (None if status is None else int(status)), (None if failure is None else str(failure))
         except Exception as error:
-            return None, type(error).__name__
+            return None, failure_of(error)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers=max(1, threads_per_task)) as pool:
@@ -92,10 +113,15 @@ def probe(
     return spread.mapInArrow(ask, f"{key} string, status int, failure string")
 
 
+#: Less than any status.
+_BELOW = -(1 << 33)
+
+
 def _packed(status: Column, failure: Column) -> Column:
-    """An answer as one number: the status, or minus the place of the failure in its list."""
-    place = F.array_position(F.array(*[F.lit(name) for name in _FAILURES]), failure).cast("int")
-    return F.when(failure.isNull(), status.cast("int")).when(place > 0, -place).otherwise(-len(_FAILURES))
+    """An answer as one number: the status, or a number below all of them less the place of the failure in its list."""
+    place = F.array_position(F.array(*[F.lit(name) for name in _FAILURES]), failure).cast("long")
+    place = F.when(place > 0, place).otherwise(len(_FAILURES))
+    return F.when(failure.isNull(), status.cast("int").cast("long")).otherwise(F.lit(_BELOW) - place)
 
 
 def latest_answers(log: DataFrame, key: str, at: str | None = None) -> DataFrame:
@@ -114,8 +140,8 @@ def latest_answers(log: DataFrame, key: str, at: str | None = None) -> DataFrame
         .agg(chosen.alias("_answer"))
         .select(
             key,
-            F.when(answer >= 0, answer).alias("status"),
-            F.when(answer < 0, F.element_at(names, -answer)).alias("failure"),
+            F.when(answer > _BELOW, answer).cast("int").alias("status"),
+            F.when(answer < _BELOW, F.get(names, (F.lit(_BELOW) - answer - 1).cast("int"))).alias("failure"),
         )
     )
 
@@ -163,13 +189,15 @@ def newly_valid(verdicts: DataFrame) -> DataFrame:
     return verdicts.filter(F.col("outcome") == VALID).select("doi", F.col("checked_at").alias("last_seen"))
 
 
-def refreshed_urls(fresh: DataFrame, verdicts: DataFrame) -> DataFrame:
+def refreshed_urls(fresh: DataFrame, verdicts: DataFrame, one_each: bool = False) -> DataFrame:
     """URL cache after a run: what is still fresh and what is newly fine; stale rows fall out.
 
-    Fresh URLs were not asked, so the two parts have no key in common and need
-    no shuffle to be put together.
+    Fresh URLs were not asked, so as a rule the parts have no key in common and need no
+    shuffle to be put together. A slot that was added to may hold a URL twice;
+    ``one_each`` then keeps the newest.
     """
-    return fresh.unionByName(newly_fine(verdicts))
+    rows = fresh.unionByName(newly_fine(verdicts))
+    return rows.groupBy("normalized_url").agg(F.max("last_valid").alias("last_valid")) if one_each else rows
 
 
 def refreshed_dois(known: DataFrame, verdicts: DataFrame) -> DataFrame:

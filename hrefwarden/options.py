@@ -40,6 +40,8 @@ class AuditOptions:
     probe_partitions: int | None = None
     lanes_per_host: int = 32
     threads_per_task: int = 1
+    #: parts the targets are asked in; a run that is started again asks one of them twice at most
+    probe_slices: int = 4
     #: directory of the two cache tables; None keeps no cache
     cache_path: str | None = None
 

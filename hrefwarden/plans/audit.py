@@ -10,6 +10,7 @@ verdict, and links without a verdict are in no report.
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 from functools import cached_property
@@ -25,6 +26,9 @@ from hrefwarden.sources import cache, files
 
 FINDINGS, TARGETS, ANSWERS, VERDICTS, DEFECTS, COUNTS = "findings", "targets", "answers", "verdicts", "defects", "counts"
 DOI_TARGETS, DOI_ANSWERS, DOI_VERDICTS = "doi_targets", "doi_answers", "doi_verdicts"
+#: Tables of a run that only it needs, and all of them.
+PASSING = (FINDINGS, TARGETS, ANSWERS, DOI_TARGETS, DOI_ANSWERS)
+TABLES = (*PASSING, VERDICTS, DEFECTS, COUNTS, DOI_VERDICTS)
 
 
 @dataclass
@@ -38,6 +42,7 @@ class Audit:
     dois: DataFrame
     verdicts: DataFrame
     doi_verdicts: DataFrame
+    judged: DataFrame
     judged_dois: DataFrame
     defects: DataFrame
     access_errors: DataFrame
@@ -60,6 +65,21 @@ class Audit:
         hot = spread.hot_keys(self.judged_dois, "doi", "n_links")
         return verdict.invalid_dois_by_file(self.dois, self.doi_verdicts, hot)
 
+    @property
+    def saved_by_cache(self) -> DataFrame:
+        """(kind, keys, links): URLs and DOIs that were not asked as the cache knows them, and the links to them."""
+        parts = []
+        for kind, judged in (("url", self.judged), ("doi", self.judged_dois)):
+            cached = judged.filter(F.col("skipped") == "cached")
+            parts.append(cached.agg(F.lit(kind).alias("kind"), F.count("*").alias("keys"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("links")))
+        return parts[0].unionByName(parts[1])
+
+    def release(self) -> None:
+        """Remove the tables this audit wrote; nothing can be read from it afterwards."""
+        spark = self.links.sparkSession
+        for name in TABLES if self.batch else ("",):
+            scratch.release(spark, f"{self.folder}/{name}{self.batch}" if name else self.folder)
+
     def listing(self, outcome: str) -> DataFrame:
         """Flat defects of one outcome: path, n, pos, url, linktext, code."""
         shown = report.shown_path(self.options.base_folder, self.options.base_url)
@@ -103,21 +123,35 @@ def queued_links(findings: DataFrame) -> DataFrame:
     )
 
 
-def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options: AuditOptions, keep) -> DataFrame:
+def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options: AuditOptions, keep, name: str) -> DataFrame:
+    """Recorded answers to the targets, or those asked for.
+
+    A log is cut down to the targets before anything of it is shuffled. Targets are
+    asked slice by slice, each stored when it is complete; ``keep`` takes up the slices
+    an earlier try has stored.
+    """
     if fetch is None:
         if log is None:
             return targets.sparkSession.createDataFrame([], f"{key} string, status int, failure string")
+        log = log.join(targets.select(key), key, "left_semi")
         return verdict.latest_answers(log, key, "at" if "at" in log.columns else None)
-    asked = verdict.probe(
-        targets,
-        fetch,
-        key,
-        host="hostname" if "hostname" in targets.columns else None,
-        partitions=options.probe_partitions,
-        lanes_per_host=options.lanes_per_host,
-        threads_per_task=options.threads_per_task,
-    )
-    return keep(asked)
+
+    def ask(part: DataFrame) -> DataFrame:
+        return verdict.probe(
+            part,
+            fetch,
+            key,
+            host="hostname" if "hostname" in part.columns else None,
+            partitions=options.probe_partitions,
+            lanes_per_host=options.lanes_per_host,
+            threads_per_task=options.threads_per_task,
+        )
+
+    if options.probe_slices <= 1:
+        return keep(ask(targets), name)
+    slice_of = F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(options.probe_slices))
+    stored = [keep(ask(targets.filter(slice_of == k)), f"{name}/slice-{k}") for k in range(options.probe_slices)]
+    return functools.reduce(DataFrame.unionByName, stored)
 
 
 def run_audit(
@@ -140,6 +174,10 @@ def run_audit(
     whose ``run_key`` is the one that last wrote the cache is complete: None. A
     run with a key that broke takes up the answers stored in its ``folder``.
     """
+    if (options.fetch is None) == (probe_log is None):
+        raise ValueError("give either options.fetch or a probe_log: URLs are asked or looked up")
+    if options.fetch_doi is not None and doi_log is not None:
+        raise ValueError("give either options.fetch_doi or a doi_log")
     started = time.monotonic()
     options = options.for_run()
     folder = folder or scratch.run_folder(spark)
@@ -155,16 +193,17 @@ def run_audit(
 
     def stage_asked(df, name):
         # Answers are not repeatable: a named run started again takes up those it has.
-        return scratch.stage_once(df, folder, name + batch) if run_key else stage(df, name)
+        return scratch.stage_once(df, folder, name) if run_key else scratch.stage(df, folder, name)
 
     findings = stage(read_findings(documents, options), FINDINGS, by="kind")
     links = queued_links(findings)
 
-    targets = queue.mark_skipped(queue.url_targets(links), fresh, "normalized_url", options.ignore_urls)
-    if options.fetch:
-        targets = stage_asked(targets, TARGETS)
+    # Written before they are joined, so that their size is known.
+    counted = stage_asked(queue.url_targets(links), f"{TARGETS}{batch}/counted")
+    targets = queue.mark_skipped(counted, fresh, "normalized_url", options.ignore_urls)
+    targets = stage_asked(targets, f"{TARGETS}{batch}/marked")
     asked = queue.to_ask(targets)
-    answers = _answers(asked, "normalized_url", probe_log, options.fetch, options, lambda df: stage_asked(df, ANSWERS))
+    answers = _answers(asked, "normalized_url", probe_log, options.fetch, options, stage_asked, ANSWERS + batch)
     judged = stage(verdict.url_verdicts(targets, answers, options.as_of), VERDICTS)
     verdicts = queue.to_ask(judged)
 
@@ -174,11 +213,9 @@ def run_audit(
     defects = stage(report.defects(links, verdicts, hot_urls), DEFECTS)
 
     dois = extract.dois_of(findings)
-    doi_targets = dois.groupBy("doi").agg(F.count("*").alias("n_links"))
-    doi_targets = stage_asked(queue.mark_skipped(doi_targets, state.dois, "doi"), DOI_TARGETS)
-    doi_answers = _answers(
-        queue.to_ask(doi_targets), "doi", doi_log, options.fetch_doi, options, lambda df: stage_asked(df, DOI_ANSWERS)
-    )
+    doi_targets = stage_asked(dois.groupBy("doi").agg(F.count("*").alias("n_links")), f"{DOI_TARGETS}{batch}/counted")
+    doi_targets = stage_asked(queue.mark_skipped(doi_targets, state.dois, "doi"), f"{DOI_TARGETS}{batch}/marked")
+    doi_answers = _answers(queue.to_ask(doi_targets), "doi", doi_log, options.fetch_doi, options, stage_asked, DOI_ANSWERS + batch)
     judged_dois = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
     doi_verdicts = queue.to_ask(judged_dois)
     audit = Audit(
@@ -189,6 +226,7 @@ def run_audit(
         dois=dois,
         verdicts=verdicts,
         doi_verdicts=doi_verdicts,
+        judged=judged,
         judged_dois=judged_dois,
         defects=defects,
         access_errors=extract.problems_of(findings),
@@ -202,7 +240,7 @@ def run_audit(
             cache.replace(
                 options.cache_path,
                 state,
-                verdict.refreshed_urls(fresh, verdicts),
+                verdict.refreshed_urls(fresh, verdicts, one_each=state.depth > 1),
                 verdict.refreshed_dois(state.dois, doi_verdicts),
                 key,
             )
@@ -212,7 +250,7 @@ def run_audit(
 def gate(audit: Audit) -> None:
     """Raise for dead links if the options say so; the cache is already written."""
     if audit.options.raise_for_dead_links and verdict.has_errors(audit.verdicts):
-        raise DeadLinks("found dead URLs")
+        raise DeadLinks("some links lead nowhere")
 
 
 def check(
@@ -223,8 +261,12 @@ def check(
     doi_log: DataFrame | None = None,
     write_to: str | None = None,
     markdown: bool = False,
+    release: bool = False,
 ) -> Audit | None:
-    """Audit a file or folder, report, keep the cache, raise if asked to."""
+    """Audit a file or folder, report, keep the cache, raise if asked to.
+
+    ``release`` removes the tables of the run once the report is written.
+    """
     shipping.ship(spark)
     folder = scratch.run_folder(spark)
     documents = files.open_path(spark, searchpath, options.suffixes, folder)
@@ -236,5 +278,9 @@ def check(
         audit.write_report(write_to, markdown)
     else:
         audit.show_report(markdown)
-    gate(audit)
+    try:
+        gate(audit)
+    finally:
+        if release:
+            audit.release()
     return audit

@@ -82,6 +82,31 @@ def html_corpus(spark, sf_dir) -> DataFrame:
     return pages(spark, sf_dir).select(_text("/corpus/", _id(), ".html").alias("path"), F.col("html").alias("content"))
 
 
+#: Ends of pages that are no HTML, and the anchors (href, text) they hold.
+MALFORMED = (
+    ("<![foo[bar]]>", ()),
+    ("<![ foo", ()),
+    ("<a href='x", ()),
+    ('<a href="u"><title></title></a>', (("u", ""),)),
+    ('<a href="v">one<a href="w">two', (("v", "one"), ("w", "two"))),
+    ('<a href="y">open</p><!-- never closed <a href="z">', (("y", "open"),)),
+    ("</a <a href='q'", ()),
+)
+
+
+def malformed_corpus(spark, sf_dir) -> DataFrame:
+    """The pages with broken markup behind them, of every kind in turn."""
+    tail = F.element_at(F.array(*[F.lit(text) for text, _ in MALFORMED]), (F.col("page_id") % len(MALFORMED) + 1).cast("int"))
+    return pages(spark, sf_dir).select(_text("/corpus/", _id(), ".html").alias("path"), F.concat("html", tail).alias("content"))
+
+
+def mixed_corpus(spark, sf_dir) -> DataFrame:
+    """The texts of ``documents`` under names of known and of unknown formats."""
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".md", ".txt", "", ".HTML", ".tex")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), suffix)
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content"))
+
+
 def prose_corpus(spark, sf_dir) -> DataFrame:
     """The texts of ``documents`` as files of all formats; those with a page of the same id link to it."""
     url = F.col("url")

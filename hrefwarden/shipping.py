@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import shutil
 import tempfile
@@ -20,8 +21,9 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as folder:
         copy = pathlib.Path(folder) / "source"
         shutil.copytree(package, copy / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        # Spark copies the archive to its own folder when it is added.
+        # The driver serves the archive from where it lies as long as it runs.
         keep = tempfile.mkdtemp(prefix="hrefwarden-code-")
+        atexit.register(shutil.rmtree, keep, ignore_errors=True)
         archive = shutil.make_archive(f"{keep}/{package.name}", "zip", copy)
     context.addPyFile(archive)
     _shipped.add(context.applicationId)

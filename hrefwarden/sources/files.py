@@ -8,6 +8,7 @@ before, and what goes wrong with a file becomes a row.
 
 from __future__ import annotations
 
+import functools
 import logging
 import os
 import pathlib
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from hrefwarden import scratch
 from hrefwarden.functions import fixed, urls
-from hrefwarden.sources import documents
 
-LISTING = "path string, is_dir boolean, size long"
+LISTING = "path string, is_dir boolean, size long, problem string"
 READ = "path string, content string, problem string"
 NAMES_PER_BATCH = 10_000
 BYTES_PER_BATCH = 32 * 1024 * 1024
@@ -32,8 +32,32 @@ MAX_CELL_BYTES = 2**31 - 1
 log = logging.getLogger(__name__)
 
 
+# --- fixed values: other names of the same store
+_SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(.*)", re.DOTALL)
+
+
 def _is_local(path: str) -> bool:
-    return "://" not in path
+    return not _URI.fullmatch(path)
+
+
+@functools.lru_cache(maxsize=64)
+def _store(scheme: str, authority: str):
+    """The file system of a scheme and authority and its root there; one client of each in a process."""
+    from pyarrow import fs
+
+    scheme = _SAME_STORE.get(scheme.lower(), scheme.lower())
+    try:
+        return fs.FileSystem.from_uri(f"{scheme}://{authority}/" if scheme == "file" else f"{scheme}://{authority}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+        raise ValueError(f"no file system for {scheme}: here ({error})") from error
+
+
+def open_store(path: str):
+    """(file system, path on it); names are taken as they are and never read as parts of a URI."""
+    scheme, authority, rest = _URI.fullmatch(path).groups()
+    store, root = _store(scheme, authority or "")
+    return store, (root.rstrip("/") + "/" + rest.lstrip("/")).rstrip("/") or "/"
 
 
 def absolute(path: str) -> str:
@@ -43,6 +67,7 @@ def absolute(path: str) -> str:
 
 
 def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(path, whether a folder, size) of what a folder holds."""
     if _is_local(folder):
         with os.scandir(folder) as entries:
             for entry in entries:
@@ -56,7 +81,7 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
         return
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(folder)
+    store, inner = open_store(folder)
     for info in store.get_file_info(fs.FileSelector(inner, recursive=False)):
         is_dir = info.type == fs.FileType.Directory
         yield f"{folder.rstrip('/')}/{info.base_name}", is_dir, info.size or 0
@@ -68,7 +93,7 @@ def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
 
 
 def _listed(rows: list[tuple]) -> pa.RecordBatch:
-    return _batch(rows, path=pa.string(), is_dir=pa.bool_(), size=pa.int64())
+    return _batch(rows, path=pa.string(), is_dir=pa.bool_(), size=pa.int64(), problem=pa.string())
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,23 +102,28 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for folder in batch.column("path").to_pylist():
             try:
                 for child in _children(folder):
-                    rows.append(child)
+                    rows.append((*child, None))
                     if len(rows) >= NAMES_PER_BATCH:
                         yield _listed(rows)
                         rows = []
-            except OSError as error:
+            except (OSError, pa.ArrowException) as error:
                 log.warning("cannot list %s: %s", folder, error)
+                rows.append((folder, False, 0, f"cannot be listed ({error})"))
         yield _listed(rows)
 
 
 def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame:
-    """``(path, size)`` of every file below ``base`` with one of the suffixes, hidden ones too.
+    """``(path, size, problem)`` of every file below ``base`` with one of the suffixes, hidden ones too.
 
-    One job per level of the tree; the driver sees neither paths nor folders.
+    One job per level of the tree; the driver sees neither paths nor folders. A folder
+    that cannot be listed is a row with a problem.
     """
+    base = absolute(base)
+    if not _is_local(base):
+        open_store(base)  # fails here and now if nothing can open it
     folder = folder or scratch.run_folder(spark)
     most_tasks = spark.sparkContext.defaultParallelism * 4
-    frontier = spark.createDataFrame([(absolute(base),)], "path string")
+    frontier = spark.createDataFrame([(base,)], "path string")
     level, folders = 0, 1
     while folders:
         listed = frontier.repartition(min(folders, most_tasks), "path").mapInArrow(_list_folders, LISTING)
@@ -103,7 +133,8 @@ def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES
         level += 1
     # A folder used before may hold deeper levels of an older tree.
     every_level = spark.read.schema(f"{LISTING}, level int").parquet(f"{folder}/listing").filter(F.col("level") < level)
-    return every_level.filter(~F.col("is_dir") & urls.is_supported(F.col("path"), suffixes)).select("path", "size")
+    wanted = F.col("problem").isNotNull() | (~F.col("is_dir") & urls.is_supported(F.col("path"), suffixes))
+    return every_level.filter(wanted).select("path", "size", "problem")
 
 
 def find_html_files(spark: SparkSession, base: str) -> DataFrame:
@@ -122,19 +153,25 @@ def _read_bytes(path: str) -> bytes:
     if _is_local(path):
         with open(path, "rb") as file:
             return file.read()
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = open_store(path)
     with store.open_input_stream(inner) as file:
         return file.read()
 
 
-def read_one(path: str) -> tuple[str | None, str | None]:
-    """(content, problem) of one file; exactly one of them is None."""
+def _size_of(path: str) -> int:
+    if _is_local(path):
+        return os.path.getsize(path)
+    store, inner = open_store(path)
+    return store.get_file_info(inner).size or 0
+
+
+def read_one(path: str, size: int = 0) -> tuple[str | None, str | None]:
+    """(content, problem) of one file; exactly one of them is None. A file that cannot be one text is not opened."""
     try:
+        size = size or _size_of(path)
+        if size > MAX_CELL_BYTES:
+            return None, f"{size} bytes do not fit into one text"
         data = _read_bytes(path)
-        if len(data) > MAX_CELL_BYTES:
-            return None, f"{len(data)} bytes do not fit into one text"
         return data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
     except FileNotFoundError:
         return None, fixed.NOT_FOUND
@@ -155,8 +192,8 @@ def _read(rows: list[tuple]) -> pa.RecordBatch:
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0
-        for path in batch.column("path").to_pylist():
-            content, problem = read_one(path)
+        for path, listed, problem in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "problem")]):
+            content, problem = (None, problem) if problem else read_one(path, listed or 0)
             length = len(content or "")
             if rows and size + length > BYTES_PER_BATCH:
                 yield _read(rows)
@@ -171,24 +208,9 @@ def read_files(listing: DataFrame) -> DataFrame:
     spark = listing.sparkSession
     found, total = listing.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
-    return listing.select("path").repartition(max(1, min(found, tasks)), "path").mapInArrow(_read_files, READ)
-
-
-def read_visible_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFrame:
-    """Documents by Spark's own source, in the JVM.
-
-    Faster, for trees whose files are all readable; names that begin with '.'
-    or '_' are left out.
-    """
-    glob = "*.{" + ",".join(suffix.lstrip(".") for suffix in suffixes) + "}"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(absolute(base))
-        .select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("content").alias("data"))
-    )
-    return documents.decoded(raw)
+    if "problem" not in listing.columns:
+        listing = listing.withColumn("problem", F.lit(None).cast("string"))
+    return listing.select("path", "size", "problem").repartition(max(1, min(found, tasks)), "path").mapInArrow(_read_files, READ)
 
 
 def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame | None:
@@ -196,13 +218,13 @@ def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES,
     path = absolute(path)
     kind = scratch.path_kind(spark, path)
     if kind is None:
-        raise FileNotFoundError(f"file or folder to check ({path}) does not exist")
+        raise FileNotFoundError(f"nothing to audit at {path}")
     if kind == "file":
         if not path.endswith(tuple(suffixes)):
-            raise ValueError(f"file format of {path} not supported")
+            raise ValueError(f"{path} is of a format that no extractor reads")
         return read_files(spark.createDataFrame([(path, 0)], "path string, size long"))
     listing = list_files(spark, path, suffixes, folder)
     if listing.isEmpty():
-        log.warning("no supported files in %s or its subfolders", path)
+        log.warning("%s holds no file to audit, at any depth", path)
         return None
     return read_files(listing)

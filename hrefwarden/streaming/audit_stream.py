@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from hrefwarden import scratch
 from hrefwarden.options import AuditOptions
 from hrefwarden.plans import audit
 
@@ -36,7 +37,7 @@ def audit_stream(
         raise ValueError("a stream needs a cache_path: the cache is its state")
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        audit.run_audit(
+        done = audit.run_audit(
             batch.sparkSession,
             batch,
             options,
@@ -47,6 +48,9 @@ def audit_stream(
             batch=f"/batch={batch_id}",
             add_to_cache=replace_every,
         )
+        if done is not None:  # what only the batch itself needed
+            for table in audit.PASSING:
+                scratch.release(batch.sparkSession, f"{out}/{table}/batch={batch_id}")
 
     return (
         documents.writeStream.foreachBatch(run_batch)

@@ -6,6 +6,7 @@ expressions that are put in front of those that use them.
 
 from __future__ import annotations
 
+# --- fixed values: link patterns and the reading of host names
 BASE_TIME = "TIMESTAMP '2024-01-02 00:00:00'"
 HOST_RX = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
 MD_INLINE = r"(?i)\[([^\[]*)\]\(([^\)]*?)[\s\)]+"
@@ -21,20 +22,23 @@ def host(u: str) -> str:
 
 
 def norm(u: str, keep_query: bool = False) -> str:
-    t = rf"trim({u}, E' \t\r\n')"
-    scheme = f"lower(regexp_extract({t}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
-    user = f"regexp_extract({t}, '^[^:]+://([^/?#]*@)', 1)"
-    place = f"lower(regexp_extract({t}, '^[^:]+://(?:[^/?#]*@)?([^/?#]*)', 1))"
+    blanks = r"E' \t\r\n'"
+    t = f"trim({u}, {blanks})"
+    page = f"rtrim(string_split({t}, '#')[1], {blanks})"
+    base = f"rtrim(string_split({page}, '?')[1], {blanks})"
+    scheme = f"lower(regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+    user = f"regexp_extract({base}, '^[^:]+://([^/]*@)', 1)"
+    place = f"lower(regexp_extract({base}, '^[^:]+://(?:[^/]*@)?([^/]*)', 1))"
     port = f"CASE {scheme} WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END"
-    path = f"regexp_replace(regexp_extract({t}, '^[^:]+://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g')"
-    query = f"regexp_extract({t}, '^[^?#]*[?]([^#]*)', 1)"
+    path = f"regexp_replace(regexp_extract({base}, '(?s)^[^:]+://[^/]*(.*)', 1), '/{{2,}}', '/', 'g')"
+    query = f"regexp_extract({page}, '(?s)^[^?]*[?](.*)', 1)"
     parts = f"[x FOR x IN string_split({query}, '&') IF x <> '']"
     keys = f"[regexp_extract(y, '^([^=]*)', 1) FOR y IN {parts}]"
     ordered = (
         f"CASE WHEN NOT contains({query}, '&') OR len({keys}) > len(list_distinct({keys})) "
         f"THEN {query} ELSE array_to_string(list_sort({parts}), '&') END"
     )
-    shown = query if keep_query else ordered
+    shown = f"rtrim({query if keep_query else ordered}, {blanks})"
     return (
         f"CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') THEN "
         f"{scheme} || '://' || {user} || regexp_replace({place}, {port}, '') || "
@@ -97,12 +101,13 @@ CTES = {
  FROM pages) l ON d.doi = l.doi""",
     "raw": """SELECT '/corpus/' || page_id || '.html' AS path, CASE WHEN NOT ends_with(url, '/') THEN length(html) END AS chars,
  CASE WHEN ends_with(url, '/') THEN 'not valid UTF-8' END AS problem FROM pages""",
-    "spellings": r"""SELECT page_id, CAST(unnest(range(9)) AS INTEGER) AS spelling, unnest([url,
+    "spellings": r"""SELECT page_id, CAST(unnest(range(11)) AS INTEGER) AS spelling, unnest([url,
  ' ' || upper(substring(url, 1, 12)) || substring(url, 13) || ' ',
  regexp_replace(url, '^(https?://[^/]+)', '\1:443'), regexp_replace(url, '^(https?://[^/]+)', '\1:80'),
  regexp_replace(url, '([a-z0-9])/', '\1//', 'g'), regexp_replace(url, '^(https?)://', '\1://Us:Pw@'),
  url || (CASE WHEN contains(url, '?') THEN '&' ELSE '?' END) || 'b=2&a=1&&',
- url || (CASE WHEN contains(url, '?') THEN '&' ELSE '?' END) || 'a=1&a=1', replace(url, '.', '_')]) AS url FROM pages""",
+ url || (CASE WHEN contains(url, '?') THEN '&' ELSE '?' END) || 'a=1&a=1', replace(url, '.', '_'),
+ url || ' #x', string_split(url, '?')[1] || ' ?b=2 &a=1 #f']) AS url FROM pages""",
     "prose": "SELECT d.doc_id, d.text, d.source, p.url FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id",
     "prose_paths": """SELECT '/corpus/' || source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.tex' WHEN 2 THEN '.html' ELSE '.bib' END AS path,
  doc_id, text, url FROM prose""",
@@ -206,6 +211,15 @@ def statements() -> dict[str, str]:
         "cache_fresh_urls": with_ctes("SELECT normalized_url, CAST(epoch(last_valid) AS BIGINT) AS last_valid FROM fresh", "by_target", "fresh"),
         "cache_dois": with_ctes("SELECT doi, CAST(epoch(last_seen) AS BIGINT) AS last_seen FROM doi_cache", "doi_cache"),
         "html_anchors": with_ctes(pairs("html", HTML_A, 1, 2), "html"),
+        "html_malformed": with_ctes(
+            pairs("html", HTML_A, 1, 2)
+            + """ UNION ALL SELECT '/corpus/' || p.page_id || '.html', CAST(len(regexp_extract_all(p.html, '(?is)<a\\s')) + t.nth AS INTEGER), t.url, t.linktext
+ FROM pages p JOIN (VALUES (3, 0, 'u', ''), (4, 0, 'v', 'one'), (4, 1, 'w', 'two'), (5, 0, 'y', 'open')) t(kind, nth, url, linktext)
+ ON p.page_id % 7 = t.kind""",
+            "html",
+        ),
+        "unsupported_documents": """SELECT '/corpus/' || doc_id || CASE doc_id % 5 WHEN 1 THEN '.txt' WHEN 2 THEN '' ELSE '.HTML' END AS path,
+ 'no extractor for this format' AS problem FROM documents WHERE doc_id % 5 IN (1, 2, 3)""",
         "html_anchors_parser": with_ctes(pairs("html", HTML_A, 1, 2), "html"),
         "md_inline_links": with_ctes("SELECT * FROM md_inline", "md", "md_inline"),
         "md_pointy_links": with_ctes("SELECT * FROM md_pointy", "md", "md_pointy"),

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,37 @@ def test_tables_of_a_run_lie_in_the_shared_folder(spark, docs, logs):
     assert done.folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     scratch.release(spark, done.folder)
     assert scratch.path_kind(spark, done.folder) is None
+
+
+def test_a_run_that_broke_asks_at_most_a_slice_again(spark, tmp_path, monkeypatch):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(url):
+        (asked / uuid.uuid4().hex).write_text(url)
+        return 200, None
+
+    docs = spark.createDataFrame([(f"{k}.md", f"[t](http://h{k % 7}.example.com/{k})") for k in range(60)], "path string, content string")
+    options = AuditOptions(fetch=fetch, probe_slices=4)
+    folder, real = str(tmp_path / "run"), scratch.stage_once
+
+    def breaking(df, where, name):
+        if name.endswith("slice-2"):
+            raise RuntimeError("lost")
+        return real(df, where, name)
+
+    monkeypatch.setattr(scratch, "stage_once", breaking)
+    with pytest.raises(RuntimeError):
+        audit.run_audit(spark, docs, options, folder=folder, run_key="night")
+    monkeypatch.setattr(scratch, "stage_once", real)
+    done = audit.run_audit(spark, docs, options, folder=folder, run_key="night")
+    urls = sorted(path.read_text() for path in asked.iterdir())
+    assert len(urls) == len(set(urls)) == 60 and done.verdicts.count() == 60
+    done.release()
+    assert scratch.path_kind(spark, folder) is None
+
+
+def test_urls_are_asked_or_looked_up(spark):
+    docs = spark.createDataFrame([("a.md", "")], "path string, content string")
+    with pytest.raises(ValueError, match="asked or looked up"):
+        audit.run_audit(spark, docs, AuditOptions())

@@ -1,3 +1,6 @@
+import time
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,7 +131,7 @@ def test_tex_forms(docs, text, expected):
         ("<a href='u'/>after", [("u", "")]),
         ("<p><a href='u'>open</p>after", [("u", "open")]),
         ("<a href='u'>runs</p> to the end", [("u", "runs to the end")]),
-        ("<a href='1'>x<a href='2'>y</a>z</a>", [("1", "xyz"), ("2", "y")]),
+        ("<a href='1'>x<a href='2'>y</a>z</a>", [("1", "x"), ("2", "y")]),
         ("<abbr>x</abbr><article>y</article>", []),
         ("", []),
     ],
@@ -142,7 +145,7 @@ PIECES = st.sampled_from(
      "<b class=\"k\">", "</b>", "<br>", "<br/>", "<img src='s' alt=\"t\">", "<pre>", "</pre>", "text", " ", "\n", "&amp;", "&lt;", "&copy", "a&b",
      "<!-- note -->", "<!-- <a href=\"c\"> -->", "<!-- a--b -->", "<!-->", "<!doctype html>", "<!DOCTYPE html>", "<script>", "</script>",
      "<script>if (a < b) x();</script>", "<script><!-- y --></script>", "<style>p{}</style>", "<title>t &amp; u</title>", "<textarea> x </textarea>",
-     "<title>", "</title>", "<", ">", "\"", "<?pi?>", "<![CDATA[x]]>", "<a b=\"<\">", "<rt>r</rt>", "<template>t</template>", "<plaintext>", "\0", "é"]
+     "<title>", "</title>", "<title></title>", "<noscript></noscript>", "<![foo[", "<![ foo", "<a href='x", "<", ">", "\"", "<?pi?>", "<![CDATA[x]]>", "<a b=\"<\">", "<rt>r</rt>", "<template>t</template>", "<plaintext>", "\0", "é"]
 )
 
 
@@ -197,8 +200,9 @@ def test_findings_of_all_formats_in_one_pass(docs, spark):
     assert counts == {
         ("a.html", "link"): 2, ("b.htm", "link"): 2, ("c.md", "link"): 3, ("d.tex", "link"): 4,
         ("e.bib", "link"): 1, ("e.bib", "doi"): 1, ("h.bib", "problem"): 1,
+        ("f.txt", "problem"): 1,
     }
-    assert extract.findings(documents, (".md",)).select("path").distinct().count() == 1
+    assert extract.links_of(extract.findings(documents, (".md",))).select("path").distinct().count() == 1
     with pytest.raises(ValueError):
         extract.findings(documents, (".txt",))
 
@@ -215,6 +219,37 @@ def test_long_texts_are_read_whole_and_in_time(docs):
     assert {r["path"]: r["count"] for r in found.collect()} == {"a.md": 2, "b.tex": 1, "c.html": 1}
 
 
-def test_unknown_format_raises_on_request(docs):
-    with pytest.raises(Exception, match="no extractor for"):
-        extract.require_supported(docs({"a.txt": "x"})).collect()
+@pytest.mark.parametrize(
+    "text",
+    ["<a href=x>t</a><![foo[", "<![ foo", "<a href='x'>y" * 80_000, "<a href='x" * 100_000, "<a b=\"'>" * 100_000,
+     "<a href='u'><title></title>" * 40_000, "<!-- x <a " * 100_000, "<![foo " * 150_000, "<?x " * 200_000, "<" * 500_000],
+)
+def test_malformed_html_takes_linear_time(text):
+    started = time.monotonic()
+    found = html_anchors(text)
+    assert time.monotonic() - started < 5
+    assert sum(len(label) for _, label in found) <= len(text)
+
+
+@pytest.mark.parametrize("entry", ["@misc{k, url={x\n", "@misc{k, url={x", '@misc{k, url="x\n', '@misc{k, url="{x}\n'])
+def test_unclosed_entries_take_linear_time(entry):
+    started = time.monotonic()
+    list(bibtex_entries(entry * (1_000_000 // len(entry))))
+    assert time.monotonic() - started < 5
+
+
+def test_a_document_that_breaks_the_parser_is_a_problem(docs, monkeypatch):
+    def broken(text):
+        raise AssertionError(text)
+
+    found = extract._batch(pa.array(["x", None, "<a>"]), broken).to_pylist()
+    assert [[row["kind"] for row in rows] for rows in found] == [["problem"], [], ["problem"]]
+    texts = {"a.html": "<a href='u'>t</a><![foo[bar]]>", "b.html": "<a href='v'><![ foo"}
+    assert sorted(rows(extract.html_links(docs(texts)), "url")) == [("u",), ("v",)]
+
+
+def test_formats_without_extractor_are_reported(docs):
+    texts = {"http://site/a": "[t](http://u)", "b.HTML": "", "c.txt": "x", "d.md": "[t](http://u)"}
+    found = extract.findings(docs(texts))
+    assert sorted(rows(extract.problems_of(found), "path")) == [("b.HTML",), ("c.txt",), ("http://site/a",)]
+    assert extract.links_of(found).count() == 1

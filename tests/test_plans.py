@@ -12,13 +12,13 @@ from hrefwarden.options import AuditOptions
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "BatchEvalPython", "FlatMapGroups")
 WITH_PYTHON = {"html_anchors_parser", "bib_urls", "bib_dois", "links_all_formats", "doi_queue", "distinct_dois", "prune_cached_dois",
-               "classify_doi", "upsert_valid_dois"}
+               "classify_doi", "upsert_valid_dois", "html_malformed", "unsupported_documents"}
 EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "report_lines_plain", "errors_by_file_hot_urls", "error_report_hot_files", "nested_error_report", "invalid_dois_by_file",
          "run_statistics", "prune_cached_links"}
 
 
 def lazy_names():
-    return [n for n in registered.queries() if n not in EAGER and not n.endswith(("_by_file", "_report"))]
+    return [n for n in registered.audit_queries() if n not in EAGER and not n.endswith(("_by_file", "_report"))]
 
 
 @pytest.mark.parametrize("name", lazy_names())
@@ -76,3 +76,26 @@ def test_distinct_urls_aggregate_before_the_shuffle(spark):
 def test_hot_queries_take_both_ways(spark, name):
     frame = registered.queries()[name](spark, SF)
     assert "Union" in plan_of(frame) and frame.count() > 0
+
+
+def test_native_formats_do_not_pass_the_python_node(spark):
+    """What the worker's node is given are paths, what was found already, and texts of its own formats."""
+    docs = spark.createDataFrame([("a.md", "[t](http://u)")], "path string, content string")
+    plan = plan_of(extract.findings(docs))
+    node = plan.split("ArrowEvalPython\nInput [")[1].split("\n")[0]
+    assert "content#" not in node and "html#" in node and "bibtex#" in node and "found#" in node
+
+
+def test_few_targets_leave_a_large_cache_where_it_is(spark):
+    from hrefwarden import scratch
+
+    folder = scratch.run_folder(spark)
+    cached = scratch.stage(spark.range(400_000).selectExpr("concat('http://e.example.com/a/path/', id, '/', sha2(string(id), 256)) normalized_url"), folder, "cache")
+    targets = scratch.stage(spark.createDataFrame([("http://e.example.com/a/path/1", 1)], "normalized_url string, n_links long"), folder, "targets")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        plan = plan_of(queue.known_keys(cached, targets, "normalized_url"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

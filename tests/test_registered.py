@@ -18,10 +18,10 @@ def con():
 
 
 def test_each_query_has_a_statement():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered.audit_queries()) <= set(registered.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(registered.audit_queries()))
 def test_same_rows_as_duckdb(spark, con, name):
     assert check_oracle.differences(spark, con, SF, name) is None
 

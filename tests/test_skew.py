@@ -38,9 +38,19 @@ def as_set(df):
 def test_hot_keys_are_few_by_construction(judged):
     hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100)
     assert hot.count == 1 and [r[0] for r in hot.keys.collect()] == ["http://hot/"]
-    assert spread.hot_floor(10**12) == 10**8  # at most 10,000 keys hold 1e8 of 1e12 rows
+    assert spread.hot_floor(10**12, 50_000) == 5 * 10**6  # at most 200,000 keys hold as many of 1e12 rows
     assert spread.hot_keys(judged, "normalized_url", "n_links") is None
-    assert spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3) is None
+    assert spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3).salts == spread.SALTS
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left", "left_anti"])
+def test_hot_keys_too_large_to_broadcast_are_salted(skewed, judged, how):
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3)
+    facts = judged.filter("outcome = 'error'").select("normalized_url", *(["outcome"] if how in ("inner", "left") else []))
+    rows = skewed.unionByName(skewed.limit(1).withColumn("normalized_url", F.lit(None).cast("string")))
+    dealt = spread.anti_lookup(rows, facts, "normalized_url", hot) if how == "left_anti" else spread.lookup(rows, facts, "normalized_url", hot, how)
+    assert as_set(dealt) == as_set(rows.join(facts, "normalized_url", how))
+    assert "_salt" in plan_of(dealt)
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left"])

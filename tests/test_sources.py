@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pyarrow as pa
 import pytest
 from conftest import plan_of
 
@@ -48,12 +49,6 @@ def test_folders_named_by_uri(spark, tree):
     assert files.absolute("hdfs://host:8020/a/") == "hdfs://host:8020/a"
 
 
-def test_native_source_leaves_hidden_files_out(spark, tree):
-    found = files.read_visible_files(spark, str(tree))
-    assert names(found, tree) == ["a.tex", "b.md", "c.html", "d.htm", "sub/e.tex", "sub/f.md", "sub/sub/h.bib", "with space/ü.md"]
-    assert {r["content"] for r in found.collect()} >= {"<http://example.com/b.md>"}
-
-
 def test_what_goes_wrong_with_a_file_is_a_row(spark, tmp_path):
     (tmp_path / "good.md").write_bytes("één\r\ntwo\rthree\n".encode())
     (tmp_path / "bad.md").write_bytes(b"ab\xff")
@@ -83,7 +78,7 @@ def test_names_of_read_problems(monkeypatch, error, problem):
         raise error
 
     monkeypatch.setattr(files, "_read_bytes", fail)
-    assert files.read_one("x.md") == (None, problem)
+    assert files.read_one("x.md", 1) == (None, problem)
 
 
 def test_paths_that_cannot_be_checked(spark, tmp_path, caplog):
@@ -93,7 +88,7 @@ def test_paths_that_cannot_be_checked(spark, tmp_path, caplog):
     with pytest.raises(ValueError):
         files.open_path(spark, str(tmp_path / "a.txt"))
     assert files.open_path(spark, str(tmp_path)) is None
-    assert "no supported files" in caplog.text
+    assert "holds no file to audit" in caplog.text
     (tmp_path / "b.md").write_text("x")
     assert files.open_path(spark, str(tmp_path / "b.md")).first()["content"] == "x"
 
@@ -180,3 +175,40 @@ def test_cache_path_is_checked_before_the_run(spark, tmp_path):
     cache.check_path(spark, str(tmp_path / "cache"))
     cache.check_path(spark, str(tmp_path))
     assert cache.load(spark, None).version == 0
+
+
+def test_a_folder_that_cannot_be_listed_is_a_row(spark, tmp_path, monkeypatch):
+    def fail(folder):
+        raise PermissionError(13, "no")
+        yield
+
+    monkeypatch.setattr(files, "_children", fail)
+    batch = pa.RecordBatch.from_pydict({"path": ["/a/b"]})
+    [listed] = files._list_folders([batch])
+    assert listed.to_pylist()[0]["path"] == "/a/b" and "cannot be listed" in listed.to_pylist()[0]["problem"]
+    read = next(files._read_files([pa.RecordBatch.from_pydict({"path": ["/a/b"], "size": [0], "problem": ["p"]})]))
+    assert read.to_pylist() == [{"path": "/a/b", "content": None, "problem": "p"}]
+
+
+def test_a_file_too_large_for_a_text_is_not_opened(monkeypatch):
+    monkeypatch.setattr(files, "_read_bytes", lambda path: 1 / 0)
+    content, problem = files.read_one("x.md", files.MAX_CELL_BYTES + 1)
+    assert content is None and "do not fit" in problem
+
+
+def test_uris_take_names_as_they_are_and_open_one_client(tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    odd = ["h#1.md", "q?1.md", "p%41.md", "ü.md"]
+    for name in odd:
+        (folder / name).write_text(name)
+    files._store.cache_clear()
+    found = sorted(path for path, is_dir, _ in files._children(f"file://{folder}") if not is_dir)
+    assert found == sorted(f"file://{folder}/{name}" for name in odd)
+    assert [files.read_one(path) for path in found] == [(path.rpartition("/")[2], None) for path in found]
+    assert files._store.cache_info().misses == 1
+
+
+def test_a_scheme_nothing_opens_fails_before_any_job(spark):
+    with pytest.raises(ValueError, match="no file system"):
+        files.list_files(spark, "nosuch://host/tree")

@@ -136,3 +136,25 @@ def test_status_of_the_first_answer(monkeypatch):
 
     monkeypatch.setattr(urllib.request.OpenerDirector, "open", answer)
     assert http_fetch.http_fetch(timeout=7, user_agent="me")("http://e.com/ü") == (301, None)
+
+
+def test_raised_errors_keep_their_reason():
+    class ServerDisconnectedError(Exception):
+        pass
+
+    class SlowConnect(TimeoutError):
+        pass
+
+    found = [verdict.failure_of(e) for e in (SlowConnect(), ServerDisconnectedError(), ConnectionRefusedError(), KeyError())]
+    assert found == ["Timeout", "Server disconnected", "ClientConnectorError", "KeyError"]
+
+
+def test_fetch_without_a_pair_and_negative_statuses(spark):
+    targets = spark.createDataFrame([("http://a/",), ("http://b/",)], "normalized_url string")
+    answers = verdict.probe(targets, lambda url: None if url == "http://a/" else (200, None), host=None, partitions=1).collect()
+    assert sorted((r["normalized_url"], r["status"], r["failure"]) for r in answers) == [("http://a/", None, "TypeError"), ("http://b/", 200, None)]
+    log = [("u", -1, None), ("v", -99, None), ("w", None, "Timeout"), ("x", None, "Odd"), ("y", 404, None), ("y", 200, None)]
+    rows = verdict.latest_answers(spark.createDataFrame(log, "normalized_url string, status int, failure string"), "normalized_url").collect()
+    assert sorted((r["normalized_url"], r["status"], r["failure"]) for r in rows) == [
+        ("u", -1, None), ("v", -99, None), ("w", None, "Timeout"), ("x", None, "Unclassified"), ("y", 200, None),
+    ]
