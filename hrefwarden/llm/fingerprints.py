@@ -73,9 +73,9 @@ def merged_containment(left: DataFrame, right: DataFrame, a: str, b: str) -> Dat
 
 
 def _neighbours(ids: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, prev_id, reach, least): which id comes before each, the first before... the last.
+    """(doc_id, prev_id, reach): which id comes before each, and its reach; before the first comes the last.
 
-    ``ids``: distinct doc_id with reach and least. Ids are dealt by ranges; within a
+    ``ids``: distinct doc_id with reach. Ids are dealt by ranges; within a
     range a window knows the one before, and the first of a range takes the last of
     the nearest range before that has any: one row for each range.
     """
@@ -96,7 +96,7 @@ def _neighbours(ids: DataFrame, folder: str) -> DataFrame:
     )
     rows = rows.join(edge, F.col("part") == F.col("edge_part"), "left")
     before = F.when(F.col("first"), F.col("edge")).otherwise(F.col("prev"))
-    return rows.select("doc_id", "least", before["doc_id"].alias("prev_id"), before["reach"].alias("reach"))
+    return rows.select("doc_id", before["doc_id"].alias("prev_id"), before["reach"].alias("reach"))
 
 
 def with_next(docs: DataFrame, folder: str) -> DataFrame:
@@ -105,19 +105,20 @@ def with_next(docs: DataFrame, folder: str) -> DataFrame:
     The next document is the one of the next greater doc_id, after the last the
     first; null ids come first and are one document. Where rows repeat a doc_id, its
     text as a neighbour is that of the least SHA-256, and each row has its own result.
-    Only a quarter's length of the neighbour's text travels.
+    Only a quarter's length of the neighbour's text travels. Texts are shuffled once: both
+    joins are left joins of the same rows on the same key, so they share the exchange.
     """
     rows = docs.select("doc_id", W.whole(F.col("text")).alias("text"))
     rows = sketched(rows, "text", "sketch").withColumn("sketch", F.unhex(F.array_join("sketch", "")))
-    light = docs.select("doc_id", W.whole(F.col("text")).alias("text"))
-    light = light.select("doc_id", F.floor(F.length("text") / 4).cast("long").alias("reach"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    ids = light.groupBy("doc_id").agg(F.max("reach").alias("reach"), F.min("sha").alias("least"))
-    near = _neighbours(ids, folder).withColumnRenamed("doc_id", "near_id")
-    own = rows.join(near, rows.doc_id.eqNullSafe(near.near_id))
-    own = own.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("least"))
-    pieces = own.select("prev_id", F.substring(F.col("text"), F.lit(1), F.col("reach").cast("int")).alias("piece"), F.col("sketch").alias("piece_sketch"))
-    pieces = pieces.groupBy("prev_id").agg(F.first("piece").alias("next_piece"), F.first("piece_sketch").alias("next_sketch"))
-    return rows.join(pieces, rows.doc_id.eqNullSafe(pieces.prev_id), "left").drop("prev_id")
+    reach = F.floor(F.length(W.whole(F.col("text"))) / 4).cast("long")
+    ids = docs.select("doc_id", reach.alias("reach")).groupBy("doc_id").agg(F.max("reach").alias("reach"))
+    near = scratch.stage(_neighbours(ids, folder).withColumnRenamed("doc_id", "near_id"), folder, "near")
+    own = rows.join(near, rows.doc_id.eqNullSafe(near.near_id), "left")
+    piece = F.substring(F.col("text"), F.lit(1), F.col("reach").cast("int"))
+    pieces = own.select("prev_id", F.struct(piece.alias("text"), "sketch").alias("piece"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    pieces = pieces.groupBy("prev_id").agg(F.min_by("piece", "sha").alias("piece"))
+    found = rows.join(pieces, rows.doc_id.eqNullSafe(pieces.prev_id), "left")
+    return found.select("doc_id", "text", "sketch", F.col("piece.text").alias("next_piece"), F.col("piece.sketch").alias("next_sketch"))
 
 
 def _hashes_of(packed: Column) -> Column:
