@@ -5,12 +5,16 @@
   over the places, which lowers the variance, and once every place holds less than
   j, no later offer can win and the document is done.
 * Texts of equal sets are one node from the start, so copies cost nothing later.
-* Bands of the signature give buckets. In each bucket the node of the least doc_id
-  is compared with every other; that is one comparison a member, not one a pair.
-* What that leaves open are pairs of one bucket that are in different components
-  and whose measured distances to the bucket's first node differ by no more than a
-  link allows (Jaccard distance is a metric: pairs that differ by more cannot be
-  linked). Those are compared too, so that no link of a bucket is lost.
+* Bands of the signature give buckets. Of each document in a bucket with others it is
+  counted how many of its shingles no other such document has. They bound its likeness
+  to any other from above; where the bound is below a link, nothing is compared.
+* In each bucket the document with the fewest such shingles, the likeliest original, is
+  compared with the others: one comparison a member, not one a pair.
+* What that leaves open are pairs of one bucket in different components that could still
+  be linked: they share at most the smaller of what they share with the bucket's first
+  document, and of the rest at most the smaller part that is not theirs alone; and
+  their distances to it differ by no more than a link allows (Jaccard distance is a
+  metric). Those are compared too, so that no link of a bucket is lost.
 * All comparisons are of whole sets.
 """
 
@@ -105,7 +109,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
-    """(a, b, shared, total): the sizes of both sets' intersection and union for every pair a < b."""
+    """(a, b, shared, total): the sizes of both sets' intersection and union for every pair."""
     of_b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     rows = pairs.join(of_b, "b").join(of_a, "a")
@@ -144,16 +148,23 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -
     members = full.join(firsts.withColumnRenamed("first", "doc_id"), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
     bucketed = members.select("doc_id", F.explode("buckets").alias("bucket"))
 
-    shared = bucketed.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    crowded = scratch.stage(bucketed.join(shared.select("bucket", "hub"), "bucket").distinct(), folder, "crowded")
-    stars = crowded.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = bucketed.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    crowded = scratch.stage(bucketed.join(shared.select("bucket"), "bucket", "left_semi").distinct(), folder, "crowded")
     wanted = crowded.select("doc_id").distinct()
     sets = scratch.stage(docs.drop("version").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), folder, "sets")
+    able = scratch.stage(_able(sets, percent), folder, "able")
+    placed = crowded.join(able, "doc_id")
+    hub = F.min(F.struct("lone", "doc_id", "n")).alias("hub")
+    hubs = placed.groupBy("bucket").agg(hub, F.count("*").alias("members")).where("members > 1")
+    placed = placed.join(hubs.select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc_id", "lone", "n")]), "bucket")
+    placed = scratch.stage(placed, folder, "placed")
+    stars = placed.where((F.col("doc_id") != F.col("hub_doc_id")) & _may_link("hub_", "", percent))
+    stars = stars.select(F.col("hub_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     by_hub = _compared(stars, sets, folder, "by_hub")
     links = by_hub.where(_linked(percent)).select("a", "b")
     found = components(links, f"{folder}/stars")
-    rest = scratch.stage(_open_pairs(crowded, by_hub, found, percent), folder, "open_pairs")
+    rest = scratch.stage(_open_pairs(placed, by_hub, found, percent), folder, "open_pairs")
     by_pair = _compared(rest, sets, folder, "by_pair")
     more = by_pair.where(_linked(percent)).select("a", "b")
     merged = components(links.union(more), f"{folder}/all")
@@ -166,28 +177,55 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = LINK_PERCENT) -
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(crowded: DataFrame, by_hub: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, lone) of the documents that can be linked: size of the set, and how many shingles it alone has.
+
+    A doc_id that stands for several sets has no bound: n is null.
+    """
+    shingles = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1")
+    lone = alone.groupBy("doc_id").agg(F.count("*").alias("lone"))
+    sizes = sets.groupBy("doc_id").agg(F.count("*").alias("sets"), F.max(F.size("shingles")).cast("long").alias("n"))
+    rows = sizes.join(lone, "doc_id", "left").select(
+        "doc_id", F.when(F.col("sets") == 1, F.col("n")).alias("n"), F.when(F.col("sets") == 1, F.coalesce("lone", F.lit(0))).otherwise(0).alias("lone")
+    )
+    return rows.where(F.col("n").isNull() | (F.col("lone") * 100 <= F.col("n") * (100 - percent)))
+
+
+def _may_link(one: str, other: str, percent: int) -> Column:
+    """False if two sets cannot be alike enough: they share at most the smaller of their shared parts, and their union has all the rest."""
+    (n1, l1), (n2, l2) = ((F.col(f"{p}n"), F.col(f"{p}lone")) for p in (one, other))
+    most = F.least(n1 - l1, n2 - l2)
+    union = F.greatest(n1 - l1, n2 - l2) + l1 + l2
+    return F.coalesce(most * 100 >= union * percent, F.lit(True))
+
+
+def _open_pairs(placed: DataFrame, by_hub: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket the comparisons with its hub leave open; see the module's text.
 
     One side of each pair is outside its hub's component.
     """
-    measured = by_hub.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("far"))
-    placed = crowded.where("doc_id > hub").join(measured, ["hub", "doc_id"])
+    measured = by_hub.select(F.col("a").alias("hub_doc_id"), F.col("b").alias("doc_id"), "shared", (1 - F.col("shared") / F.col("total")).alias("far"))
+    rest = placed.where("doc_id <> hub_doc_id").join(measured, ["hub_doc_id", "doc_id"], "left")
     named = found.select(F.col("node").alias("doc_id"), "component")
-    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
-    placed = placed.join(named, "doc_id", "left").join(hubs, "hub", "left")
-    placed = placed.select(
-        "bucket", "doc_id", "far", F.coalesce("component", "doc_id").alias("component"), F.coalesce("of_hub", "hub").alias("of_hub")
-    )
-    apart = placed.where("component <> of_hub").select("bucket", *[F.col(c).alias(f"{c}_1") for c in ("doc_id", "far", "component")])
-    among = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi")
+    hubs = found.select(F.col("node").alias("hub_doc_id"), F.col("component").alias("of_hub"))
+    rest = rest.join(named, "doc_id", "left").join(hubs, "hub_doc_id", "left")
+    rest = rest.select(
+        "bucket", "doc_id", "n", "lone", "far", "shared",
+        F.coalesce("component", "doc_id").alias("component"), F.coalesce("of_hub", "hub_doc_id").alias("of_hub"),
+    )
+    apart = rest.where("component <> of_hub").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n", "lone", "far", "shared", "component")])
     most = 1 - percent / 100 + 1e-9
-    pairs = among.join(apart, "bucket").where(
-        (F.col("component") != F.col("component_1"))
-        & (F.abs(F.col("far") - F.col("far_1")) <= most)
-        & ((F.col("component") == F.col("of_hub")) | (F.col("doc_id") < F.col("doc_id_1")))
+    beside = [F.col(f"{p}n") - F.col(f"{p}shared") - F.col(f"{p}lone") for p in ("", "other_")]
+    common = F.least("shared", "other_shared") + F.least(*beside)
+    fits = common * 100 >= (F.col("n") + F.col("other_n") - common) * percent
+    pairs = rest.join(apart, "bucket").where(
+        (F.col("component") != F.col("other_component"))
+        & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= most, F.lit(True))
+        & F.when(F.col("shared").isNull() | F.col("other_shared").isNull(), _may_link("", "other_", percent)).otherwise(F.coalesce(fits, F.lit(True)))
+        & ((F.col("component") == F.col("of_hub")) | (F.col("doc_id") < F.col("other_doc_id")))
     )
-    return pairs.select(F.least("doc_id", "doc_id_1").alias("a"), F.greatest("doc_id", "doc_id_1").alias("b")).distinct()
+    return pairs.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")).distinct()
 
 
 def op8_minhash(spark, sf_dir) -> DataFrame:
