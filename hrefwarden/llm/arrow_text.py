@@ -77,7 +77,7 @@ _cached: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_cached.get(name, ())) < n:
+    if name not in _cached or len(_cached[name]) < n:
         _cached[name] = _powers(base, max(n, 2 * PIECE_BYTES))
     return _cached[name][:n]
 

@@ -103,6 +103,9 @@ def test_signatures_estimate_likeness(likeness):
 def test_byte_helpers():
     import pyarrow as pa
 
+    arrow_text._cached.clear()  # as in a worker whose first texts are empty
+    assert len(arrow_text.word_hashes(*arrow_text.text_bytes(pa.array([None, ""])))[0]) == 0
+
     texts = ["", None, "a", "A b", " x\ty z\n", "one two three four five six", "é ö"]
     data, offsets = arrow_text.text_bytes(pa.array(texts).slice(1))
     hashes, counts = arrow_text.word_hashes(data, offsets)
