@@ -257,7 +257,7 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
                 text, at = padded(own.words_of(hashed), bounds)
                 scores = log_probabilities(own.weights, text, at)
                 n = np.diff(bounds)
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), scores, minlength=len(n))
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), scores, minlength=len(n)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_tokens", "log_prob"]
                 )
