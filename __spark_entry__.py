@@ -509,7 +509,7 @@ def audit_queries() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     found = _llm("QUERIES")
-    if importlib.util.find_spec("corpus_pipeline"):
+    if found and importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
@@ -518,7 +518,8 @@ def queries() -> dict[str, Query]:
 
 def _llm(what: str) -> dict:
     """What the subpackage llm registers, if it is there."""
-    if not importlib.util.find_spec("hrefwarden.llm"):
+    spec = importlib.util.find_spec("hrefwarden.llm")
+    if spec is None or not spec.origin:  # not there, or a folder without code
         return {}
     from hrefwarden.llm import registered
 
@@ -539,8 +540,9 @@ def _with_package(query: Query) -> Query:
 def oracle_sql() -> dict[str, str]:
     from oracle import statements
 
-    found = statements() | _llm("SQL")
-    if importlib.util.find_spec("corpus_pipeline"):
+    ours = _llm("SQL")
+    found = statements() | ours
+    if ours and importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
         if corpus_pipeline.ORACLE_SQL:
