@@ -34,7 +34,7 @@ log = logging.getLogger(__name__)
 
 # --- fixed values: other names of the same store
 _SAME_STORE = {"s3a": "s3", "s3n": "s3"}
-_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(.*)", re.DOTALL)
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(?=/)(?://([^/]*))?(.*)", re.DOTALL)
 
 
 def _is_local(path: str) -> bool:
