@@ -19,8 +19,8 @@ from hrefwarden.llm import words as W
 SHINGLE_WORDS = 5
 #: Hex digits of a kept hash.
 DIGITS = 16
-#: A hash stays if it sorts below this: two sixteenths of the range.
-LIMIT = "2"
+#: A hash stays if it sorts below this, and as a number below the other: two sixteenths of the range.
+LIMIT, LIMIT_NUMBER = "2", 1 << 61
 
 
 def shingle_hashes(words: str, width: int = SHINGLE_WORDS) -> Column:
@@ -34,13 +34,20 @@ def shingle_hashes(words: str, width: int = SHINGLE_WORDS) -> Column:
 
 
 def retained(hashes: Column) -> Column:
+    """The sketch of an array of hashes: what stays, ascending, as numbers."""
     low = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < LIMIT)))
     least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
-    return F.transform(F.array(low), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(least))[0]
+    kept = F.transform(F.array(low), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(least))[0]
+    return F.transform(kept, lambda h: F.conv(h, 16, -10).cast("long"))
+
+
+def written(sketch: Column) -> Column:
+    """A sketch as text: its hashes' digits, one after the other."""
+    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), DIGITS, "0"))), "")
 
 
 def sketched(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """``rows`` with the sketch of a text column, an ascending array of hashes, in ``into``."""
+    """``rows`` with the sketch of a text column, an ascending array of numbers, in ``into``."""
     found, hashes = f"__words_{into}", f"__hashes_{into}"
     lowered = F.lower(F.col(text))
     rows = rows.withColumn(found, W.words(lowered)).withColumn(hashes, shingle_hashes(found))
@@ -61,7 +68,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def merged(rows: DataFrame, by: str, sketch: str = "sketch") -> DataFrame:
     """(by, hash): the union sketch of each group, one row a hash, so that no group is gathered in one row."""
-    low = F.filter(sketch, lambda h: h < LIMIT)
+    low = F.filter(sketch, lambda h: (h >= 0) & (h < LIMIT_NUMBER))
     return rows.select(by, F.explode(low).alias("hash")).distinct()
 
 
@@ -109,7 +116,7 @@ def with_next(docs: DataFrame, folder: str) -> DataFrame:
     joins are left joins of the same rows on the same key, so they share the exchange.
     """
     rows = docs.select("doc_id", W.whole(F.col("text")).alias("text"))
-    rows = sketched(rows, "text", "sketch").withColumn("sketch", F.unhex(F.array_join("sketch", "")))
+    rows = sketched(rows, "text", "sketch")
     reach = F.floor(F.length(W.whole(F.col("text"))) / 4).cast("long")
     ids = docs.select("doc_id", reach.alias("reach")).groupBy("doc_id").agg(F.max("reach").alias("reach"))
     near = scratch.stage(_neighbours(ids, folder).withColumnRenamed("doc_id", "near_id"), folder, "near")
@@ -121,15 +128,6 @@ def with_next(docs: DataFrame, folder: str) -> DataFrame:
     return found.select("doc_id", "text", "sketch", F.col("piece.text").alias("next_piece"), F.col("piece.sketch").alias("next_sketch"))
 
 
-def _hashes_of(packed: Column) -> Column:
-    """The array a packed sketch holds."""
-    digits = F.lower(F.hex(packed))
-    n = (F.length(digits) / DIGITS).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * DIGITS + 1, F.lit(DIGITS)))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def op4_fingerprints(spark, sf_dir) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are; a null text is empty."""
     rows = with_next(W.table(spark, sf_dir, "documents"), W.workspace(spark))
@@ -137,15 +135,14 @@ def op4_fingerprints(spark, sf_dir) -> DataFrame:
     reach = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - reach), F.substring(F.col("next_piece"), F.lit(1), reach))
     rows = sketched(rows.withColumn("edited", edited), "edited", "edited_sketch")
-    rows = rows.withColumns({"own": _hashes_of(F.col("sketch")), "following": _hashes_of(F.col("next_sketch"))})
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("edited_sketch", "").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        written(F.col("sketch")).alias("fingerprint"),
+        written(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
 
 
