@@ -203,7 +203,8 @@ def _may_link(one: str, other: str, percent: int) -> Column:
 def _open_pairs(placed: DataFrame, by_hub: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket the comparisons with its hub leave open; see the module's text.
 
-    One side of each pair is outside its hub's component.
+    One side of each pair is outside its hub's component. A pair is made in the first
+    bucket it shares and in no other: a link would meet the bounds in every one.
     """
     measured = by_hub.select(F.col("a").alias("hub_doc_id"), F.col("b").alias("doc_id"), "shared", (1 - F.col("shared") / F.col("total")).alias("far"))
     rest = placed.where("doc_id <> hub_doc_id").join(measured, ["hub_doc_id", "doc_id"], "left")
@@ -214,7 +215,9 @@ def _open_pairs(placed: DataFrame, by_hub: DataFrame, found: DataFrame, percent:
         "bucket", "doc_id", "n", "lone", "far", "shared",
         F.coalesce("component", "doc_id").alias("component"), F.coalesce("of_hub", "hub_doc_id").alias("of_hub"),
     )
-    apart = rest.where("component <> of_hub").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n", "lone", "far", "shared", "component")])
+    mine = rest.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"))  # as many as there are bands
+    rest = rest.join(mine, "doc_id")
+    apart = rest.where("component <> of_hub").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n", "lone", "far", "shared", "component", "mine")])
     most = 1 - percent / 100 + 1e-9
     beside = [F.col(f"{p}n") - F.col(f"{p}shared") - F.col(f"{p}lone") for p in ("", "other_")]
     common = F.least("shared", "other_shared") + F.least(*beside)
@@ -224,6 +227,7 @@ def _open_pairs(placed: DataFrame, by_hub: DataFrame, found: DataFrame, percent:
         & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= most, F.lit(True))
         & F.when(F.col("shared").isNull() | F.col("other_shared").isNull(), _may_link("", "other_", percent)).otherwise(F.coalesce(fits, F.lit(True)))
         & ((F.col("component") == F.col("of_hub")) | (F.col("doc_id") < F.col("other_doc_id")))
+        & (F.col("bucket") == F.array_min(F.array_intersect("mine", "other_mine")))
     )
     return pairs.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")).distinct()
 
