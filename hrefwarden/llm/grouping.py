@@ -25,10 +25,23 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     end = n
     while end:
         start = group[order[end - 1]]
+        if end - start == 1:  # most groups: one suffix, which moves one at most
+            s, end = order[start], start
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            if p >= 0 and size[g := group[p]] > 1:
+                size[g] -= 1
+                last, here = g + size[g], where[p]
+                other = order[last]
+                order[last], order[here] = p, other
+                where[p], where[other] = last, here
+                group[p], size[last] = last, 1
+            continue
         members = order[start:end]
         end = start
-        if len(members) > 1:
-            members.sort()
+        members.sort()
         pointed = []
         for s in members:
             p = s - 1

@@ -9,8 +9,8 @@ in the same text or another. No text is compared with all others:
   context, some 275 bytes.
 * Only contexts whose anchor occurs again matter. Equal contexts are folded into
   one with a count: all windows of a context that occurs twice are repeated.
-* What remains to be found are windows that different contexts of one anchor share.
-  Contexts are dealt out by anchor, laid end to end, and sorted by a suffix array;
+* What remains to be found are windows that a context which occurs once shares with
+  other contexts of its anchor. Contexts are dealt out by anchor, laid end to end, and sorted by a suffix array;
   windows that begin neighbouring suffixes and agree in all bytes are repeated.
 * An anchor with more than ``MOST`` different contexts would not fit a task. Its
   windows are counted by their digests instead, which is as exact and may be split.
@@ -32,14 +32,17 @@ from hrefwarden.llm.grouping import suffix_array
 
 LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
+#: Blocks counted from the anchor, and how many of them each window holds whole at least.
+BLOCK = 25
+BLOCKS = (LENGTH - BLOCK + 1) // BLOCK
 #: Contexts of one anchor that one suffix array takes, and bytes it is made of.
 MOST, SORTED_BYTES = 2000, 1 << 18
 
-_OCCURRENCES = "doc_id long, row long, anchors array<long>, contexts array<long>, starts array<int>, windows array<int>"
+_OCCURRENCES = "doc_id long, row long, anchors array<long>, contexts array<long>, starts array<int>, windows array<int>, places array<int>"
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of all texts: their anchors' and their own hashes, first window, number of windows, text.
+def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The contexts of all texts: their anchors' and their own hashes, first window, number of windows, anchor's place in them, text.
 
     The least hash of each window is found by doubling: the minimum over 2k places is
     that of two minima over k. The lower bits hold the place, so the leftmost of equal
@@ -49,7 +52,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first_windows = offsets[:-1]
     last_windows = offsets[1:] - LENGTH + 1  # end of the places where a window of the text can begin
     if not (last_windows > first_windows).any():
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     sums = arrow_text.running_sums(data)
     grams = np.arange(len(data) - GRAM + 1)
     hashes = arrow_text.stretch_hashes(sums, grams, grams + GRAM)
@@ -76,35 +79,35 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     contexts = arrow_text.stretch_hashes(sums, begin, begin + windows + LENGTH - 1)
     # where the anchor stands in its context tells contexts apart that hold equal bytes
     contexts = arrow_text.mixed(contexts + (anchor[at] - begin).astype(np.uint64))
-    return hashes[anchor[at]], contexts, begin, windows, text[at]
+    return hashes[anchor[at]], contexts, begin, windows, anchor[at] - begin, text[at]
 
 
 def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in arrow_text.batch_pieces(batch, "text"):
             data, offsets = arrow_text.text_bytes(part.column("text"))
-            anchors, contexts, begin, windows, text = anchored(data, offsets)
+            anchors, contexts, begin, windows, places, text = anchored(data, offsets)
             ends = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
-            lists = [anchors.view(np.int64), contexts.view(np.int64), (begin - offsets[text]).astype(np.int32), windows.astype(np.int32)]
+            lists = [anchors.view(np.int64), contexts.view(np.int64), (begin - offsets[text]).astype(np.int32), windows.astype(np.int32), places.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("row"), *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists]],
-                names=["doc_id", "row", "anchors", "contexts", "starts", "windows"],
+                names=["doc_id", "row", "anchors", "contexts", "starts", "windows", "places"],
             )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, context, n, bytes) of the contexts that rows (text, wanted) ask for."""
+    """(anchor, context, n, place, bytes) of the contexts that rows (text, wanted) ask for."""
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         rows = [
-            (w["anchor"], w["context"], w["n"], text[w["start"] : w["start"] + w["windows"] + LENGTH - 1])
+            (w["anchor"], w["context"], w["n"], w["place"], text[w["start"] : w["start"] + w["windows"] + LENGTH - 1])
             for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True)
             for w in wanted
         ]
         if rows:
             columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "context", "n", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "context", "n", "place", "bytes"])
 
 
 def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
@@ -129,7 +132,7 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
 
 
 def _sorted_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, context, spans) of rows (anchor, context, n, bytes) that come anchor by anchor."""
+    """(anchor, context, spans) of rows (anchor, context, n, place, bytes) that come anchor by anchor."""
     rows: list[tuple] = []
     size = 0
     for batch in batches:
@@ -138,22 +141,48 @@ def _sorted_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield _spans(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if rows:
         yield _spans(rows)
 
 
+def _stretches(rows: list[tuple]) -> list[tuple[int, int, int]]:
+    """(row, first, last) of the windows that hold ``BLOCKS`` blocks that another context of the same anchor has there too."""
+    data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+    begins = np.cumsum([0] + [len(r[4]) for r in rows])
+    places = np.array([r[3] for r in rows])
+    sums = arrow_text.running_sums(data)
+    runs = [np.arange(place % BLOCK, len(r[4]) - BLOCK * BLOCKS + 1, BLOCK) for r, place in zip(rows, places)]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in runs])
+    at = np.concatenate(runs) if runs else np.zeros(0, dtype=np.int64)
+    hashes = arrow_text.stretch_hashes(sums, begins[owner] + at, begins[owner] + at + BLOCK * BLOCKS)
+    anchors = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)[owner]
+    keys = arrow_text.mixed(hashes * np.uint64(5) + arrow_text.mixed(anchors + (at - places[owner]).astype(np.uint64)))
+    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    found = []
+    for row, place in zip(owner[n[which] > 1], at[n[which] > 1]):
+        first, last = max(0, place - BLOCK), min(place, len(rows[row][4]) - LENGTH)
+        if first > last:
+            continue
+        if found and found[-1][0] == row and first <= found[-1][2] + 1:
+            found[-1] = (row, found[-1][1], last)
+        else:
+            found.append((row, first, last))
+    return found
+
+
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    spans = []
-    for (_, _, n, context), found in zip(rows, repeated_windows([r[3] for r in rows]), strict=True):
-        found = np.arange(len(context) - LENGTH + 1) if n > 1 else found
-        breaks = np.flatnonzero(np.diff(found) > 1)
-        firsts, lasts = found[np.concatenate(([0], breaks + 1))] if len(found) else found, found[np.concatenate((breaks, [-1]))] if len(found) else found
-        spans.append([{"first": int(a), "last": int(b)} for a, b in zip(firsts, lasts)])
+    """What contexts that occur once share with others; those that occur more often are whole already."""
+    spans: dict[int, list] = {k: [] for k, r in enumerate(rows) if r[2] == 1}
+    taken = _stretches(rows)
+    for (row, begin, _), found in zip(taken, repeated_windows([rows[r][4][a : b + LENGTH] for r, a, b in taken]) if taken else (), strict=True):
+        if row in spans and len(found):
+            breaks = np.flatnonzero(np.diff(found) > 1)
+            ends = zip(found[np.concatenate(([0], breaks + 1))], found[np.concatenate((breaks, [-1]))])
+            spans[row] += [{"first": int(begin + a), "last": int(begin + b)} for a, b in ends]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(spans, kind)], names=["anchor", "context", "spans"]
-    )
+    names = [pa.array([rows[k][i] for k in spans], pa.int64()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*names, pa.array(list(spans.values()), kind)], names=["anchor", "context", "spans"])
 
 
 _SPANS = "array<struct<first:int,last:int>>"
@@ -174,25 +203,25 @@ def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, row, spans) of docs(doc_id, row, text): the bytes to remove, each [first, last), in order and disjoint."""
     found = scratch.stage(docs.mapInArrow(_occurring, _OCCURRENCES), folder, "anchors")
     again = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    parts = F.arrays_zip("anchors", "contexts", "starts", "windows")
-    rows = found.select("doc_id", "row", F.inline(parts)).withColumnsRenamed({"anchors": "anchor", "contexts": "context", "starts": "start"})
+    parts = F.arrays_zip("anchors", "contexts", "starts", "windows", "places")
+    rows = found.select("doc_id", "row", F.inline(parts)).withColumnsRenamed({"anchors": "anchor", "contexts": "context", "starts": "start", "places": "place"})
     rows = scratch.stage(rows.join(again, "anchor"), folder, "occurrences")
     scratch.release(docs.sparkSession, f"{folder}/anchors")
 
-    first = F.min(F.struct("doc_id", "row", "start", "windows")).alias("at")
+    first = F.min(F.struct("doc_id", "row", "start", "windows", "place")).alias("at")
     folded = scratch.stage(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), first), folder, "folded")
-    kinds = folded.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    folded = scratch.stage(folded.join(kinds, "anchor"), folder, "contexts")
-    whole = folded.where("kinds = 1").select(
+    kinds = folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    kinds = scratch.stage(kinds.where("kinds > 1 and least = 1").drop("least"), folder, "kinds")
+    whole = folded.where("n > 1").select(
         "anchor", "context", F.array(F.struct(F.lit(0).alias("first"), (F.col("at.windows") - 1).alias("last"))).cast(_SPANS).alias("spans")
     )
-    wanted = folded.where("kinds > 1").select("at.doc_id", "at.row", "anchor", "context", "n", "at.start", "at.windows")
-    wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "context", "n", "start", "windows")).alias("wanted"))
+    wanted = folded.join(kinds, "anchor", "left_semi").select("at.doc_id", "at.row", "anchor", "context", "n", "at.start", "at.windows", "at.place")
+    wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "context", "n", "start", "windows", "place")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("row").alias("wanted_row"), "wanted")
     asked = docs.join(wanted, (F.col("row") == F.col("wanted_row")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    cut = asked.select("text", "wanted").mapInArrow(_cut, "anchor long, context long, n long, bytes binary")
+    cut = asked.select("text", "wanted").mapInArrow(_cut, "anchor long, context long, n long, place int, bytes binary")
     cut = scratch.stage(cut.dropDuplicates(["anchor", "context"]).join(kinds, "anchor"), folder, "cut")
-    few = cut.where(F.col("kinds") <= MOST).select("anchor", "context", "n", "bytes")
+    few = cut.where(F.col("kinds") <= MOST).select("anchor", "context", "n", "place", "bytes")
     dealt = few.repartition("anchor").sortWithinPartitions("anchor", "context")
     by_sorting = dealt.mapInArrow(_sorted_together, f"anchor long, context long, spans {_SPANS}")
     by_counting = _counted(cut.where(F.col("kinds") > MOST))
