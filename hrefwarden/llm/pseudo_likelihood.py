@@ -5,21 +5,23 @@ and gives the probability of every word of the vocabulary to stand there. A
 document's score is the sum of the log-probabilities of its own words. The network
 is trained in numpy inside tasks: each task starts from the shared weights, runs
 over all its documents and sends back what it arrived at; Spark sums the weights
-cell by cell. Vocabulary and network are thus made from every document, and what
-is gathered grows with the number of tasks.
+cell by cell. What is gathered grows with the number of tasks.
 
-The vocabulary is the most frequent words; the others share a fixed number of
-places by their hash. The output is factored: first the class of the word (words of
-like frequency), then the word within it.
+The output has three factors: the class of the word (words of like frequency), the
+place within it, and the word's share of its place. The most frequent words have places
+of their own; the others share places by their hash, and their share is their count
+over that of the place, from the counts of all words, which stay a table and are
+joined. The number of places of both kinds grows with the distinct words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,9 @@ from hrefwarden import scratch
 from hrefwarden.llm import arrow_text
 from hrefwarden.llm import words as W
 
-#: Classes, words a class, and words that have a place of their own.
-CLASSES, CLASS_WORDS, FREQUENT = 64, 64, 3072
-WORDS = CLASSES * CLASS_WORDS
-SHARED = WORDS - FREQUENT
+#: Least number of classes, which is also that of places a class; the distinct words up to which it does; all places then.
+CLASSES, FEW_WORDS = 64, 1 << 17
+WORDS = CLASSES * CLASSES
 #: Words seen on each side, and numbers an inner layer has.
 SIDE, WIDTH = 2, 24
 #: Rounds of training, the share of a document's places each trains on, places a step, and its length.
@@ -39,45 +40,77 @@ ROUNDS, PLACE_SHARE, STEP_PLACES, STEP_LENGTH = 2, 16, 4096, 0.06
 SCORED = 1 << 15
 
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
-_EDGE = WORDS  # stands before the first and after the last word of a document
+_EDGE = -1  # stands before the first and after the last word of a document; the last row of its weights
+
+
+def classes_for(distinct: int) -> int:
+    """How many classes, and places in each, a vocabulary of so many words has: places grow with the cube root."""
+    return max(CLASSES, round(CLASSES * (distinct / FEW_WORDS) ** (1 / 6)))
+
+
+def own_places(words: int) -> int:
+    """How many of all places belong to one word; the others are shared."""
+    return words * 3 // 4
 
 
 @dataclass
 class Network:
-    """Weights by name, and the vocabulary: the hashes of the frequent words, ascending, with their places."""
+    """Weights by name, the vocabulary and the counts it is made of.
+
+    The hashes of the words with places of their own, ascending, with these places; the
+    words each shared place was seen with; (word, n) of the words that share places and occur again.
+    """
 
     weights: dict[str, np.ndarray]
     hashes: np.ndarray
     places: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame | None = None
+
+    @property
+    def own(self) -> int:
+        return len(self.weights["word"]) - len(self.totals)
 
     def words_of(self, hashed: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word hash."""
-        shared = FREQUENT + (hashed % np.uint64(SHARED)).astype(np.int64)
+        shared = self.own + hashed.view(np.int64) % np.int64(len(self.totals))
         if not len(self.hashes):
             return shared
         at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashed, self.places[at], shared)
 
+    def least_shares(self, words: np.ndarray) -> np.ndarray:
+        """Log of the share of its place that a word seen once or never has; n times that for a word seen n times."""
+        return -np.log1p(self.totals[words - self.own])
+
 
-def started(counts: list[tuple[int, int]], total: int) -> Network:
-    """A network that knows how frequent words are and nothing else; counts: (hash, n) of frequent words, most frequent first."""
+def started(counts: list[tuple[int, int]], total: int, classes: int = CLASSES, totals: np.ndarray | None = None) -> Network:
+    """A network that knows how frequent words are and nothing else.
+
+    ``counts``: (hash, n) of words with places of their own, most frequent first; ``totals``: the
+    words of each shared place, all alike if not given.
+    """
     rng = np.random.default_rng(11)
-    n = np.full(WORDS, 0.5)
+    words = classes * classes
+    own = own_places(words)
+    if totals is None:
+        totals = np.full(words - own, max(0, total - sum(c for _, c in counts)) / (words - own))
+    n = np.full(words, 0.5)
     n[: len(counts)] += [c for _, c in counts]
-    n[FREQUENT:] += max(0, total - sum(c for _, c in counts)) / SHARED
-    share = n.reshape(CLASSES, CLASS_WORDS)
+    n[own:] += totals
+    share = n.reshape(classes, classes)
     weights = {
-        "seen": rng.normal(0, 0.3, (WORDS + 1, WIDTH)),
+        "seen": rng.normal(0, 0.3, (words + 1, WIDTH)),
         "offset": np.ones((len(_OFFSETS), WIDTH)) / SIDE,
         "inner": np.zeros(WIDTH),
-        "class": np.zeros((CLASSES, WIDTH)),
+        "class": np.zeros((classes, WIDTH)),
         "class_bias": np.log(share.sum(axis=1) / n.sum()),
-        "word": np.zeros((WORDS, WIDTH)),
+        "word": np.zeros((words, WIDTH)),
         "word_bias": np.log(share / share.sum(axis=1, keepdims=True)).ravel(),
     }
     hashes = np.array([h for h, _ in counts], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Network({k: v.astype(np.float32) for k, v in weights.items()}, hashes[order], order)
+    return Network({k: v.astype(np.float32) for k, v in weights.items()}, hashes[order], order, np.asarray(totals, dtype=np.float64))
 
 
 def padded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,74 +122,95 @@ def padded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
+# Of logits and what is made of them, each column is a place.
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits)
+    np.subtract(logits, logits.max(axis=0), out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= logits.sum(axis=0)
     return logits
 
 
-def _inner(w: dict, around: np.ndarray) -> np.ndarray:
-    """The inner layer at places whose neighbours are ``around`` (places x offsets)."""
-    total = np.broadcast_to(w["inner"], (len(around), WIDTH)).copy()
-    for k in range(len(_OFFSETS)):
-        total += w["seen"][around[:, k]] * w["offset"][k]
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """As ``_softmax`` overwrites its argument."""
+    top = logits.max(axis=0)
+    np.subtract(logits, top, out=logits)
+    return top + np.log(np.exp(logits, out=logits).sum(axis=0))
+
+
+def _logits(w: dict, layer: str, h: np.ndarray, own: slice = slice(None)) -> np.ndarray:
+    logits = w[layer][own] @ h.T
+    logits += w[f"{layer}_bias"][own, None]
+    return logits
+
+
+def _by_class(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, slice]]]:
+    """The order of places by the class of their words; classes and numbers within them in that order; (first, last, places) of each class."""
+    classes = len(w["class"])
+    size = len(w["word"]) // classes
+    kind, number = np.divmod(text[at], size)
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    kind, number = kind[order], number[order]
+    ends = np.searchsorted(kind, np.arange(classes + 1))
+    return order, kind, number, [(ends[k], ends[k + 1], slice(k * size, (k + 1) * size)) for k in np.flatnonzero(np.diff(ends))]
+
+
+def _around(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The neighbours of places (offsets x places), and their weights for each offset."""
+    around = np.stack([text[at + k] for k in _OFFSETS])
+    around[around < 0] = len(w["seen"]) - 1
+    return around, [np.take(w["seen"], words, axis=0) for words in around]
+
+
+def _inner(w: dict, seen: list[np.ndarray]) -> np.ndarray:
+    """The inner layer at places whose neighbours have the weights ``seen``."""
+    total = seen[0] * w["offset"][0]
+    for k in range(1, len(_OFFSETS)):
+        total += seen[k] * w["offset"][k]
+    total += w["inner"]
     return np.tanh(total, out=total)
 
 
 def log_probabilities(w: dict, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-probability of the word at each place, given its neighbours."""
+    """The log-probability of the vocabulary's number at each place, given its neighbours."""
     out = np.empty(len(at))
     for first in range(0, len(at), SCORED):
         here = at[first : first + SCORED]
-        words = text[here]
-        order = np.argsort(words // CLASS_WORDS, kind="stable")
-        words, here = words[order], here[order]
-        h = _inner(w, np.stack([text[here + k] for k in _OFFSETS], axis=1))
-        kind = words // CLASS_WORDS
-        logits = h @ w["class"].T + w["class_bias"]
-        scores = logits[np.arange(len(h)), kind] - _log_sum(logits)
-        ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            a, b, own = ends[k], ends[k + 1], slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            logits = h[a:b] @ w["word"][own].T + w["word_bias"][own]
-            scores[a:b] += logits[np.arange(b - a), words[a:b] % CLASS_WORDS] - _log_sum(logits)
+        order, kind, number, parts = _by_class(w, text, here)
+        h = _inner(w, _around(w, text, here[order])[1])
+        logits = _logits(w, "class", h)
+        scores = logits[kind, np.arange(len(h))]
+        scores -= _log_sum(logits)
+        for a, b, own in parts:
+            logits = _logits(w, "word", h[a:b], own)
+            scores[a:b] += logits[number[a:b], np.arange(b - a)]
+            scores[a:b] -= _log_sum(logits)
         out[first + order] = scores
     return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-
-
 def _gradients(w: dict, text: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    words = text[at]
-    order = np.argsort(words // CLASS_WORDS, kind="stable")
-    at, words = at[order], words[order]
-    around = np.stack([text[at + k] for k in _OFFSETS], axis=1)
-    h = _inner(w, around)
-    kind = words // CLASS_WORDS
+    order, kind, number, parts = _by_class(w, text, at)
+    around, seen = _around(w, text, at[order])
+    h = _inner(w, seen)
     g = {name: np.zeros_like(v) for name, v in w.items()}
-    off = _softmax(h @ w["class"].T + w["class_bias"])
-    off[np.arange(len(h)), kind] -= 1
-    g["class"], g["class_bias"] = off.T @ h, off.sum(axis=0)
-    back = off @ w["class"]
-    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        a, b, own = ends[k], ends[k + 1], slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-        off = _softmax(h[a:b] @ w["word"][own].T + w["word_bias"][own])
-        off[np.arange(b - a), words[a:b] % CLASS_WORDS] -= 1
-        g["word"][own], g["word_bias"][own] = off.T @ h[a:b], off.sum(axis=0)
-        back[a:b] += off @ w["word"][own]
+    off = _softmax(_logits(w, "class", h))
+    off[kind, np.arange(len(h))] -= 1
+    g["class"], g["class_bias"] = off @ h, off.sum(axis=1)
+    back = off.T @ w["class"]
+    for a, b, own in parts:
+        off = _softmax(_logits(w, "word", h[a:b], own))
+        off[number[a:b], np.arange(b - a)] -= 1
+        g["word"][own], g["word_bias"][own] = off @ h[a:b], off.sum(axis=1)
+        back[a:b] += off.T @ w["word"][own]
     back *= 1 - h * h
     g["inner"] = back.sum(axis=0)
     for k in range(len(_OFFSETS)):
-        g["offset"][k] = (back * w["seen"][around[:, k]]).sum(axis=0)
-    towards = np.concatenate([back * w["offset"][k] for k in range(len(_OFFSETS))])
-    rows = around.T.ravel()
+        g["offset"][k] = np.einsum("ij,ij->j", back, seen[k])
+    rows, towards = around.ravel(), np.ascontiguousarray(back.T)
     for d in range(WIDTH):
-        g["seen"][:, d] = np.bincount(rows, towards[:, d], minlength=WORDS + 1)
+        g["seen"][:, d] = np.bincount(rows, np.outer(w["offset"][:, d], towards[d]).ravel(), minlength=len(w["seen"]))
     return g
 
 
@@ -187,12 +241,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> Network:
-    """Word counts over all documents; the ``FREQUENT`` most frequent come to the driver."""
+    """Word counts over all documents; the most frequent words and the totals of the shared places come to the driver."""
     counts = docs.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.stage(counts, scratch.run_folder(docs.sparkSession), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return started([(r.word, r.n) for r in top], total)
+    distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
+    classes = classes_for(distinct)
+    own = own_places(classes * classes)
+    shared = classes * classes - own
+    top = counts.orderBy(F.desc("n"), "word").limit(own).collect()
+    totals = np.zeros(shared)
+    for place, n in counts.groupBy(F.pmod("word", F.lit(shared)).alias("place")).agg(F.sum("n")).collect():
+        totals[place] = n
+    for word, n in top:
+        totals[word % shared] -= n
+    network = started([(r.word, r.n) for r in top], total or 0, classes, totals)
+    least = top[-1].n if top else 0
+    return replace(network, counts=counts.where(F.col("n").between(2, least)))
 
 
 def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -209,7 +273,7 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 def trained(docs: DataFrame, network: Network, turn: int) -> Network:
     """One round: every task learns from its documents, the weights are averaged by the places learnt from."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -234,7 +298,7 @@ def trained(docs: DataFrame, network: Network, turn: int) -> Network:
     cells, values = np.asarray(found["cell"]), np.asarray(found["value"])
     flat = np.empty(len(cells))
     flat[cells] = values  # cell -1, the places, comes last
-    return Network(_shaped(flat[:-1] / flat[-1], network.weights), network.hashes, network.places)
+    return replace(network, weights=_shaped(flat[:-1] / flat[-1], network.weights))
 
 
 def fitted(docs: DataFrame) -> Network:
@@ -245,25 +309,55 @@ def fitted(docs: DataFrame) -> Network:
     return network
 
 
+def _sharing(hashed: np.ndarray, owner: np.ndarray, n_rows: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct words of each row and how often they occur in it, as lists; ``owner``: the row of each word, ascending."""
+    order = np.argsort(hashed)
+    order = order[np.argsort(owner[order].astype(np.uint16 if n_rows <= 1 << 16 else np.int64), kind="stable")]
+    hashed, owner = hashed[order], owner[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.concatenate((at, [len(order)])))
+    ends = pa.array(np.searchsorted(owner[at], np.arange(n_rows + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashed[at].view(np.int64), n.astype(np.int32)))
+
+
 def scored(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_prob) of every row; a text without words has no tokens and scores 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    """(doc_id, n_tokens, log_prob) of every row; a text without words has no tokens and scores 0.
+
+    Tasks score places and what a word seen once or never has of a shared place; the logs of
+    the counts of words seen more often come from a join with the counts, summed per row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in arrow_text.batch_pieces(batch, "text"):
                 hashed, bounds = arrow_text.word_hashes(*arrow_text.text_bytes(part.column("text")))
-                text, at = padded(own.words_of(hashed), bounds)
-                scores = log_probabilities(own.weights, text, at)
+                words = own.words_of(hashed)
+                scores = log_probabilities(own.weights, *padded(words, bounds))
+                rare = np.flatnonzero(words >= own.own)
+                scores[rare] += own.least_shares(words[rare])
                 n = np.diff(bounds)
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), scores, minlength=len(n)).astype(np.float64)
+                owner = np.repeat(np.arange(len(n)), n)
+                sums = np.bincount(owner, scores, minlength=len(n)).astype(np.float64)
+                rows = pa.array(np.arange(row, row + len(n)))
+                row += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_tokens", "log_prob"]
+                    [rows, part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums), *_sharing(hashed[rare], owner[rare], len(n))],
+                    names=["row", "doc_id", "n_tokens", "log_prob", "words", "times"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+    rows = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, words array<long>, times array<int>")
+    if network.counts is None:
+        return rows.select("doc_id", "n_tokens", "log_prob")
+    rows = scratch.stage(rows, scratch.run_folder(docs.sparkSession), "scored")
+    words = rows.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+    more = words.join(network.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    return rows.join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
 
 
 def op2_pseudo_likelihood(spark, sf_dir) -> DataFrame:
