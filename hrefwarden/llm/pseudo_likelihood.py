@@ -5,7 +5,8 @@ and gives the probability of every word of the vocabulary to stand there. A
 document's score is the sum of the log-probabilities of its own words. The network
 is trained in numpy inside tasks: each task starts from the shared weights, runs
 over all its documents and sends back what it arrived at; Spark sums the weights
-cell by cell. What is gathered grows with the number of tasks.
+cell by cell. The rounds learn from disjoint parts of the places, which together are
+all places of all documents. What is gathered grows with the number of tasks.
 
 The output has three factors: the class of the word (words of like frequency), the
 place within it, and the word's share of its place. The most frequent words have places
@@ -34,8 +35,8 @@ CLASSES, FEW_WORDS = 64, 1 << 17
 WORDS = CLASSES * CLASSES
 #: Words seen on each side, and numbers an inner layer has.
 SIDE, WIDTH = 2, 24
-#: Rounds of training, the share of a document's places each trains on, places a step, and its length.
-ROUNDS, PLACE_SHARE, STEP_PLACES, STEP_LENGTH = 2, 16, 4096, 0.06
+#: Rounds of training, places a step, and its length.
+ROUNDS, STEP_PLACES, STEP_LENGTH = 2, 16384, 0.06
 #: Places scored at once.
 SCORED = 1 << 15
 
@@ -122,6 +123,13 @@ def padded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
+def drawn(hashed: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
+    """Which places a round learns from: each place of a document belongs to one round, however texts are batched."""
+    n = np.diff(bounds)
+    within = np.arange(len(hashed)) - np.repeat(bounds[:-1], n)
+    return arrow_text.mixed(hashed + within.astype(np.uint64)) % np.uint64(ROUNDS) == np.uint64(turn)
+
+
 # Of logits and what is made of them, each column is a place.
 
 
@@ -282,8 +290,7 @@ def trained(docs: DataFrame, network: Network, turn: int) -> Network:
             for part in arrow_text.batch_pieces(batch, "text"):
                 hashed, bounds = arrow_text.word_hashes(*arrow_text.text_bytes(part.column("text")))
                 text, at = padded(own.words_of(hashed), bounds)
-                drawn = arrow_text.mixed(hashed + np.arange(len(hashed), dtype=np.uint64)) % np.uint64(PLACE_SHARE)
-                trainer.learn(text, at[drawn == np.uint64(turn)])
+                trainer.learn(text, at[drawn(hashed, bounds, turn)])
         if trainer.places:
             flat = _flat(trainer.weights).astype(np.float64) * trainer.places
             cells = np.arange(-1, len(flat))

@@ -35,3 +35,20 @@ def test_places_grow_with_the_distinct_words(spark):
     )
     assert len(few.weights["word"]) == pseudo_likelihood.WORDS < len(many.weights["word"])
     assert many.own > few.own and len(many.totals) > len(few.totals) and many.totals.sum() == 400_000 - many.own
+
+
+def test_rounds_learn_from_every_place_once():
+    hashed = arrow_text.mixed(np.arange(1, 5001, dtype=np.uint64))
+    bounds = np.array([0, 1, 1, 3, 900, 5000])
+    turns = np.stack([pseudo_likelihood.drawn(hashed, bounds, turn) for turn in range(pseudo_likelihood.ROUNDS)])
+    assert (turns.sum(axis=0) == 1).all()
+    for a, b in zip(bounds, bounds[1:]):  # however documents are batched
+        alone = [pseudo_likelihood.drawn(hashed[a:b], np.array([0, b - a]), turn) for turn in range(pseudo_likelihood.ROUNDS)]
+        assert (np.stack(alone) == turns[:, a:b]).all()
+
+
+def test_a_single_word_is_learnt_from(spark):
+    for text in ("one", "two", "three"):  # a sample of an eighth misses most
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start, done = pseudo_likelihood.vocabulary(docs), pseudo_likelihood.fitted(docs)
+        assert any((start.weights[k] != done.weights[k]).any() for k in start.weights), text
