@@ -4,7 +4,8 @@ A sketch keeps every shingle hash below a fixed fraction of the hash range. Sinc
 the limit is the same for all texts, the sketch of a union is the union of the
 sketches, and the share of one sketch's hashes found in another estimates
 containment however unequal the two texts are. Where no hash is below the limit,
-the smallest one is kept, so that only a text without words has an empty sketch.
+the smallest one is kept, so that only a text without words has an empty sketch. What
+such a text is contained in, or a group of nothing else, its sketch cannot tell: unknown.
 """
 
 from __future__ import annotations
@@ -61,22 +62,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union).cast("double")
 
 
+def _below_limit(sketch: str | Column) -> Column:
+    return F.filter(sketch, lambda h: (h >= 0) & (h < LIMIT_NUMBER))
+
+
 def containment(a: Column, b: Column) -> Column:
-    """Share of ``a`` that is in ``b``, as estimated by their sketches."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    """Share of ``a`` that is in ``b``, as estimated by their sketches; null, unknown, if no hash of ``a`` is below the limit."""
+    known = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, 1.0).when(F.size(_below_limit(a)) > 0, known).cast("double")
 
 
 def merged(rows: DataFrame, by: str, sketch: str = "sketch") -> DataFrame:
-    """(by, hash): the union sketch of each group, one row a hash, so that no group is gathered in one row."""
-    low = F.filter(sketch, lambda h: (h >= 0) & (h < LIMIT_NUMBER))
-    return rows.select(by, F.explode(low).alias("hash")).distinct()
+    """(by, hash): the union sketch of each group, one row a hash, so that no group is gathered in one row.
+
+    A group that has words but no hash below the limit has one row, its hash null.
+    """
+    low = _below_limit(sketch)
+    groups = rows.groupBy(by).agg(F.max(F.size(low)).alias("low"), F.max(F.size(sketch)).alias("all"))
+    unknown = groups.where((F.col("low") <= 0) & (F.col("all") > 0)).select(by, F.lit(None).cast("long").alias("hash"))
+    return rows.select(by, F.explode(low).alias("hash")).distinct().unionByName(unknown)
 
 
 def merged_containment(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, containment) of every group of ``left`` in every group of ``right`` that it shares a hash with."""
+    """(a, b, containment) of every group of ``left`` in every group of ``right`` that it shares a hash with.
+
+    A group of ``left`` whose hash is null has one row, its containment and ``b`` null: unknown.
+    """
     sizes = left.groupBy(a).agg(F.count("*").alias("hashes"))
     shared = left.join(right, "hash").groupBy(a, b).agg(F.count("*").alias("shared"))
-    return shared.join(sizes, a).select(a, b, (F.col("shared") / F.col("hashes")).alias("containment"))
+    found = shared.join(sizes, a).select(a, b, (F.col("shared") / F.col("hashes")).alias("containment"))
+    unknown = left.where(F.col("hash").isNull()).select(a, F.lit(None).cast(right.schema[b].dataType).alias(b), F.lit(None).cast("double").alias("containment"))
+    return found.unionByName(unknown)
 
 
 def _neighbours(ids: DataFrame, folder: str) -> DataFrame:

@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from hrefwarden.llm import arrow_text, pseudo_likelihood
+from hrefwarden.llm import arrow_text, fingerprints, pseudo_likelihood
 
 
 def test_words_of_one_place_score_by_their_own_counts(spark):
@@ -52,3 +53,23 @@ def test_a_single_word_is_learnt_from(spark):
         docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
         start, done = pseudo_likelihood.vocabulary(docs), pseudo_likelihood.fitted(docs)
         assert any((start.weights[k] != done.weights[k]).any() for k in start.weights), text
+
+
+def test_containment_of_texts_without_low_hashes_is_unknown(spark):
+    words = [f"w{k}" for k in range(3000)]
+    texts = [("long", " ".join(words)), ("empty", "")] + [(f"s{k}", " ".join(words[k : k + 6])) for k in range(0, 300, 10)]
+    docs = fingerprints.sketched(spark.createDataFrame(texts, "name string, text string"), "text", "sketch").cache()
+    low = {r.name: any(0 <= h < fingerprints.LIMIT_NUMBER for h in r.sketch) for r in docs.collect()}
+    short = [n for n in low if n.startswith("s")]
+    assert {low[n] for n in short} == {True, False} and low["long"]
+    long = docs.where("name = 'long'").select(F.col("sketch").alias("whole"))
+    both = docs.crossJoin(long).select("name", fingerprints.containment(F.col("sketch"), F.col("whole")).alias("c"))
+    # before, a short text without a low hash had containment 0 in the text that holds it whole
+    assert {r.name: r.c for r in both.collect()} == {n: 1.0 if low[n] or n == "empty" else None for n in low}
+    union = fingerprints.merged(docs, "name")
+    assert {r.name for r in union.collect()} == set(low) - {"empty"}
+    left, right = union.withColumnRenamed("name", "a"), union.where("name = 'long'").withColumnRenamed("name", "b")
+    found = [tuple(r) for r in fingerprints.merged_containment(left, right, "a", "b").collect()]
+    assert sorted(found, key=str) == sorted([(n, "long", 1.0) if low[n] else (n, None, None) for n in low if n != "empty"], key=str)
+    group = fingerprints.merged(docs.withColumn("kind", F.substring("name", 1, 1)), "kind")
+    assert group.where("hash is null").count() == 0 and {r.kind for r in group.collect()} == {"l", "s"}
