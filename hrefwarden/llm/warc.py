@@ -27,7 +27,7 @@ from hrefwarden.llm import words as W
 REVISIT_BYTES = 1000
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
-#: Most records, and most bytes of one, that the dictionary is trained on; and its size.
+#: Most records, and most of the first bytes of one, that the dictionary is trained on; and its size.
 SAMPLE_RECORDS, SAMPLE_RECORD_BYTES, DICTIONARY_BYTES = 600, 64 << 10, 48 << 10
 LEVEL = 3
 
@@ -76,13 +76,15 @@ def trained_dictionary(pages: DataFrame, plan: DataFrame) -> bytes:
     """A dictionary of the responses' records; empty where there is nothing to train on.
 
     The sample is that of the least hashes of the page_id, at most ``SAMPLE_RECORDS``
-    records of at most ``SAMPLE_RECORD_BYTES``; the driver trains on it.
+    records of any size, of whose payload it has the first ``SAMPLE_RECORD_BYTES``; the
+    driver trains on it.
     """
-    fit = plan.where((F.col("record_type") == "response") & F.col("payload_bytes").between(1, SAMPLE_RECORD_BYTES))
+    fit = plan.where((F.col("record_type") == "response") & (F.col("payload_bytes") > 0))
     chosen = fit.select("page_id", F.xxhash64("page_id", "digest").alias("h")).orderBy("h").limit(SAMPLE_RECORDS)
     ids = [row.page_id for row in chosen.collect() if row.page_id is not None]
-    rows = pages.where(F.col("page_id").isin(ids) & (F.octet_length("html") <= SAMPLE_RECORD_BYTES)).select("page_id", "url", "html")
-    samples = [_record(r.page_id, r.url, (r.html or "").encode(), None, None, 0) for r in rows.limit(SAMPLE_RECORDS).collect()]
+    piece = F.substring(W.whole(F.col("html")).cast("binary"), 1, SAMPLE_RECORD_BYTES)
+    rows = pages.where(F.col("page_id").isin(ids)).select("page_id", "url", piece.alias("piece"))
+    samples = [_record(r.page_id, r.url, bytes(r.piece), None, None, 0) for r in rows.limit(SAMPLE_RECORDS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small

@@ -5,7 +5,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from hrefwarden.llm import arrow_text, fingerprints, pseudo_likelihood
+from hrefwarden import scratch
+from hrefwarden.llm import arrow_text, fingerprints, pseudo_likelihood, warc
 
 
 def test_words_of_one_place_score_by_their_own_counts(spark):
@@ -73,3 +74,15 @@ def test_containment_of_texts_without_low_hashes_is_unknown(spark):
     assert sorted(found, key=str) == sorted([(n, "long", 1.0) if low[n] else (n, None, None) for n in low if n != "empty"], key=str)
     group = fingerprints.merged(docs.withColumn("kind", F.substring("name", 1, 1)), "kind")
     assert group.where("hash is null").count() == 0 and {r.kind for r in group.collect()} == {"l", "s"}
+
+
+def test_dictionary_is_trained_on_long_pages_too(spark):
+    body = "<p>a paragraph of words that all pages have</p>" * 2000
+    rows = [(k, f"http://l/{k}", f"<html><head><title>{k}</title></head>" + body.replace("words", f"words{k}")) for k in range(40)]
+    assert min(len(h) for *_, h in rows) > warc.SAMPLE_RECORD_BYTES
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch.run_folder(spark)
+    plan = scratch.stage(warc.planned(pages, folder), folder, "plan")
+    assert warc.trained_dictionary(pages, plan)  # before, it was empty
+    found = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, warc.archive(pages, folder), folder).collect()}
+    assert found == {k: html for k, _, html in rows}
