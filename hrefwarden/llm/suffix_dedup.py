@@ -10,8 +10,9 @@ in the same text or another. No text is compared with all others:
 * Only contexts whose anchor occurs again matter. Equal contexts are folded into
   one with a count: all windows of a context that occurs twice are repeated.
 * What remains to be found are windows that a context which occurs once shares with
-  other contexts of its anchor. Contexts are dealt out by anchor, laid end to end, and sorted by a suffix array;
-  windows that begin neighbouring suffixes and agree in all bytes are repeated.
+  other contexts of its anchor. Contexts are dealt out by anchor. Stretches whose ``BLOCKS`` blocks, by
+  their hash, another context has at the same distance from the anchor are laid end to end and sorted by a
+  suffix array; windows that begin neighbouring suffixes and agree in all bytes are repeated.
 * An anchor with more than ``MOST`` different contexts would not fit a task. Its
   windows are counted by their digests instead, which is as exact and may be split.
 """
