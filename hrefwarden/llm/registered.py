@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from hrefwarden.llm import bpe, fingerprints, minhash, mixing, pseudo_likelihood, quality_rules, quality_trees, secret_scan, suffix_dedup, warc
+from hrefwarden.llm import (
+    bpe,
+    divergence,
+    fingerprints,
+    line_dedup,
+    minhash,
+    mixing,
+    pseudo_likelihood,
+    quality_rules,
+    quality_trees,
+    secret_scan,
+    spelling,
+    suffix_dedup,
+    warc,
+)
 
 QUERIES = {
     query.__name__: query
@@ -17,6 +31,9 @@ QUERIES = {
         minhash.op8_minhash,
         warc.op9_warc,
         quality_trees.op10_quality_trees,
+        divergence.op11_source_divergence,
+        spelling.op12_spelling_variants,
+        line_dedup.op13_line_dedup,
     )
 }
 
@@ -25,4 +42,6 @@ SQL = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_fingerprints": fingerprints.SQL,
     "op9_warc": warc.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
