@@ -138,6 +138,18 @@ def html_malformed(spark, sf):
     return extract.html_links(corpora.malformed_corpus(spark, sf))
 
 
+def hostile_markup(spark, sf):
+    """Links of texts whose openings are never completed, by the pattern of each format."""
+    corpus = corpora.hostile_corpus(spark, sf)
+    links = [
+        extract.md_inline_links(documents.markdown_documents(corpus)),
+        extract.tex_href_links(documents.tex_documents(corpus)),
+        extract.html_links_simple(documents.html_documents(corpus)),
+    ]
+    found = links[0].unionByName(links[1]).unionByName(links[2])
+    return found.select("path", "pos", "url", F.length("linktext").alias("text_chars"))
+
+
 def unsupported_documents(spark, sf):
     """Documents no extractor knows are reported, not left out."""
     return extract.problems_of(extract.findings(corpora.mixed_corpus(spark, sf)))
@@ -488,7 +500,7 @@ def audit_queries() -> dict[str, Query]:
     """The queries of the link audit."""
     named = [
         supported_format, doc_format_filter, decode_problems, access_errors, cache_fresh_urls, cache_dois,
-        html_anchors, html_anchors_parser, html_malformed, unsupported_documents, md_inline_links, md_pointy_links, tex_href_links, tex_url_links,
+        html_anchors, html_anchors_parser, html_malformed, hostile_markup, unsupported_documents, md_inline_links, md_pointy_links, tex_href_links, tex_url_links,
         bib_urls, bib_dois, links_all_formats, prose_scan,
         scheme_router, scheme_counts, hostname, normalize_url, normalize_query_conflict, link_queue, doi_queue,
         ignore_urls, rewrite_path,

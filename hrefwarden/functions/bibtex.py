@@ -3,12 +3,21 @@
 Knows nested braces, quoted values, ``#`` concatenation, ``@string`` macros,
 ``@comment`` and ``@preamble``. What it cannot read becomes a problem text and
 the scan goes on with the next line that starts with ``@``.
+
+A value is kept as its parts and its length, and a macro's parts are shared by all
+that name it. Only fields that are asked for are joined, and only if their length,
+known before, is within bounds: macros that double each other cost nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+
+#: Characters of a joined value, if the document is not longer itself, and of all of a
+#: document's that name macros, in multiples of that.
+VALUE_CHARS, DOCUMENT_VALUES = 1 << 20, 16
+_ENDLESS = 1 << 62
 
 _NAME = re.compile(r"[^\s{}()\"#%',=@]+")
 _KEY = re.compile(r"[^\s,{}]+")
@@ -30,12 +39,43 @@ class BadBibtex(ValueError):
     pass
 
 
+class _Value:
+    """Text in parts, none of them empty; a part is a text or a value of several parts."""
+
+    __slots__ = ("parts", "length", "named")
+
+    def __init__(self, parts: list[str | _Value], named: bool = False):
+        self.parts = [part for part in parts if _length(part)]
+        self.length = min(_ENDLESS, sum(map(_length, self.parts)))
+        self.named = named
+
+    def shared(self) -> str | _Value:
+        """The value as a part of others; one of a single part is that part."""
+        return self.parts[0] if len(self.parts) == 1 else self
+
+    def joined(self) -> str:
+        done, waiting = [], [self]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, str):
+                done.append(part)
+            else:
+                waiting.extend(reversed(part.parts))
+        return "".join(done)
+
+
+def _length(part: str | _Value) -> int:
+    return len(part) if isinstance(part, str) else part.length
+
+
 class _Scanner:
     def __init__(self, text: str):
         self.text = text
+        self.longest = max(len(text), VALUE_CHARS)
+        self.left = DOCUMENT_VALUES * self.longest
         self.at = 0
         self._partners: dict[int, int] | None = None
-        self.macros = dict(MONTHS)
+        self.macros: dict[str, str | _Value] = dict(MONTHS)
 
     def blanks(self):
         self.at = _SPACE.match(self.text, self.at).end()
@@ -89,8 +129,9 @@ class _Scanner:
             at = end + 1
         raise BadBibtex(f"quote opened at character {self.at} is never closed")
 
-    def value(self) -> str:
-        parts = []
+    def value(self) -> _Value:
+        parts: list[str | _Value] = []
+        named = False
         while True:
             char = self.peek()
             if char == "{":
@@ -102,12 +143,23 @@ class _Scanner:
                 if not name.isdigit() and name.lower() not in self.macros:
                     raise BadBibtex(f"undefined macro '{name}'")
                 parts.append(name if name.isdigit() else self.macros[name.lower()])
+                named = True
             if self.peek() != "#":
-                return "".join(parts)
+                return _Value(parts, named)
             self.at += 1
 
-    def fields(self, closing: str) -> dict[str, str]:
-        found: dict[str, str] = {}
+    def text_of(self, value: _Value) -> str:
+        """The joined value; what macros make longer is counted before it is made."""
+        if value.length > self.longest:
+            raise BadBibtex(f"value of more than {self.longest} characters")
+        if value.named:
+            if value.length > self.left:
+                raise BadBibtex("macros make the values of this document too long")
+            self.left -= value.length
+        return value.joined()
+
+    def fields(self, closing: str) -> dict[str, _Value]:
+        found: dict[str, _Value] = {}
         while self.peek() == ",":
             self.at += 1
             if self.peek() in (closing, ","):
@@ -118,7 +170,7 @@ class _Scanner:
         self.expect(closing)
         return found
 
-    def command(self) -> tuple[str, dict[str, str]] | None:
+    def command(self) -> tuple[str, dict[str, _Value]] | None:
         kind = self.take(_NAME, "entry type").lower()
         if kind == "comment":
             return None
@@ -134,7 +186,7 @@ class _Scanner:
         if kind == "string":
             name = self.take(_NAME, "macro name").lower()
             self.expect("=")
-            self.macros[name] = self.value()
+            self.macros[name] = self.value().shared()
             self.expect(closing)
             return None
         key = self.take(_KEY, "entry key")
@@ -146,8 +198,12 @@ def one_line(value: str) -> str:
     return _BLANKS.sub(" ", value)
 
 
-def bibtex_entries(text: str) -> Iterator[tuple[str | None, dict[str, str] | str]]:
-    """(key, fields) per entry, or (None, problem) for a stretch that cannot be read."""
+def bibtex_entries(text: str, wanted: Collection[str] | None = None) -> Iterator[tuple[str | None, dict[str, str] | str]]:
+    """(key, fields) per entry, or (None, problem) for a stretch that cannot be read.
+
+    Of the fields all are told, or those that are ``wanted``; one that macros make too long
+    is a problem of its own, before its entry.
+    """
     scanner = _Scanner(text)
     while (at := text.find("@", scanner.at)) >= 0:
         scanner.at = at + 1
@@ -161,4 +217,12 @@ def bibtex_entries(text: str) -> Iterator[tuple[str | None, dict[str, str] | str
             scanner.at = resume.end() - 1
             continue
         if entry:
-            yield entry
+            key, values = entry
+            fields = {}
+            for name, value in values.items():
+                if wanted is None or name in wanted:
+                    try:
+                        fields[name] = scanner.text_of(value)
+                    except BadBibtex as problem:
+                        yield None, f"{problem}, field '{name}' of '{key}'"
+            yield key, fields

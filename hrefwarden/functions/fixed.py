@@ -22,10 +22,14 @@ FILE_TYPES = {
 # (?U) and the class \x1c-\x1f give \s its Unicode meaning;
 # (?d) lets '.' stop at \n only.
 MD_INLINE = r"(?iU)\[([^\[]*)\]\(([^\)]*?)[\s\x1c-\x1f\)]+"  # text 1, url 2
+MD_NO_END = r"(?U)^[^\s\x1c-\x1f\)]*"  # of the reversed text: what ends no link
 MD_POINTY = r"(?i)<([^>]*?)>"  # url = text = 1
 TEX_HREF = r"(?id)\\href(?:\[.*\])?\{([^}]*)\}\{([^}]*?)\}"  # url 1, text 2
 TEX_URL = r"(?i)\\url\{([^{]*?)\}"  # url = text = 1
 HTML_SIMPLE_A = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'  # url 1, text 2
+HTML_SIMPLE_HREF = r'(?is)^<a\s[^>]*href="[^"]*"'
+HTML_SIMPLE_ENDED = r'(?is)^(?><a\s[^>]*href="[^"]*"[^>]*>).*?</a>'
+HTML_SIMPLE_TAGS = r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?(?:</a>|\z)|<a\s[^>]*+>'
 
 # --- fixed values: verdict of an HTTP status or a failure -----------------
 FINE_STATUS = (200, 302, 303, 307)

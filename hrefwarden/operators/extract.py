@@ -32,7 +32,7 @@ def _bibtex_findings(text: str) -> list[tuple]:
     from hrefwarden.functions.bibtex import bibtex_entries, one_line
 
     links, dois, problems = [], [], []
-    for key, fields in bibtex_entries(text):
+    for key, fields in bibtex_entries(text, ("url", "doi")):
         if key is None:
             problems.append((PROBLEM, None, fields))
             continue

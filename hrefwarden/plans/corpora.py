@@ -100,6 +100,28 @@ def malformed_corpus(spark, sf_dir) -> DataFrame:
     return pages(spark, sf_dir).select(_text("/corpus/", _id(), ".html").alias("path"), F.concat("html", tail).alias("content"))
 
 
+#: Openings that are never completed around a link, of each format that patterns read: (suffix, before, link, behind).
+HOSTILE = (
+    (".md", "[a](" * 400, " [t](http://m.example.com/{} ", "[b](" * 400),
+    (".tex", "\\href{" * 400 + "}\n", "\\href[o]{http://t.example.com/{}}{t}", "\\href[" * 400 + "\n" + "\\href[]{u" * 400),
+    (".html", '<a href="x"' * 400 + "</a>", '<a href="http://h.example.com/{}">t</a>', '<a href="y">' * 400),
+)
+
+
+def hostile_corpus(spark, sf_dir) -> DataFrame:
+    """The texts of ``documents`` with openings behind them that are never completed, and one link among them."""
+    name = F.col("doc_id").cast("string")
+    made = [
+        (suffix, _text(F.col("text"), "\n" + before, _text(link.partition("{}")[0], name, link.partition("{}")[2]), behind))
+        for suffix, before, link, behind in HOSTILE
+    ]
+    kind = F.col("doc_id") % len(HOSTILE)
+    suffix, content = F.lit(HOSTILE[0][0]), made[0][1]
+    for k in range(1, len(made)):
+        suffix, content = F.when(kind == k, made[k][0]).otherwise(suffix), F.when(kind == k, made[k][1]).otherwise(content)
+    return table(spark, sf_dir, "documents").select(_text("/corpus/", name, suffix).alias("path"), content.alias("content"))
+
+
 def mixed_corpus(spark, sf_dir) -> DataFrame:
     """The texts of ``documents`` under names of known and of unknown formats."""
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".md", ".txt", "", ".HTML", ".tex")]), (F.col("doc_id") % 5 + 1).cast("int"))

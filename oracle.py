@@ -70,6 +70,15 @@ CTES = {
     "tex": """SELECT '/corpus/' || page_id || '.tex' AS path,
  CASE WHEN page_id % 2 = 0 THEN '\\href[x]{' || url || '}{page ' || page_id || '}' ELSE '\\url{' || url || '}' END AS content FROM pages""",
     "html": "SELECT '/corpus/' || page_id || '.html' AS path, html AS content FROM pages",
+    "hostile": r"""SELECT '/corpus/' || doc_id || suffix AS path, suffix, text || chr(10) || repeat(b1, 400) || b2 || replace(link, '@', doc_id::VARCHAR) || repeat(c1, 400) || c2 || repeat(c3, 400) AS content
+ FROM documents JOIN (VALUES
+ (0, '.md', '[a](', '', ' [t](http://m.example.com/@ ', '[b](', '', ''),
+ (1, '.tex', '\href{', '}' || chr(10), '\href[o]{http://t.example.com/@}{t}', '\href[', chr(10), '\href[]{u'),
+ (2, '.html', '<a href="x"', '</a>', '<a href="http://h.example.com/@">t</a>', '<a href="y">', '', '')
+ ) t(kind, suffix, b1, b2, link, c1, c2, c3) ON doc_id % 3 = kind""",
+    "hostile_md": "SELECT path, content FROM hostile WHERE suffix = '.md'",
+    "hostile_tex": "SELECT path, content FROM hostile WHERE suffix = '.tex'",
+    "hostile_html": "SELECT path, content FROM hostile WHERE suffix = '.html'",
     "md_inline": pairs("md", MD_INLINE, 2, 1),
     "md_pointy": pairs("md", MD_POINTY, 1, 1),
     "md_links": """SELECT path, pos, url, linktext FROM md_inline UNION ALL
@@ -218,6 +227,13 @@ def statements() -> dict[str, str]:
  ON p.page_id % 7 = t.kind""",
             "html",
         ),
+        "hostile_markup": with_ctes(
+            " UNION ALL ".join(
+                f"SELECT path, pos, url, CAST(length(linktext) AS INTEGER) AS text_chars FROM ({pairs(*of)})"
+                for of in (("hostile_md", MD_INLINE, 2, 1), ("hostile_tex", TEX_HREF, 1, 2), ("hostile_html", HTML_A, 1, 2))
+            ),
+            "hostile", "hostile_md", "hostile_tex", "hostile_html",
+        ),
         "unsupported_documents": """SELECT '/corpus/' || doc_id || CASE doc_id % 5 WHEN 1 THEN '.txt' WHEN 2 THEN '' ELSE '.HTML' END AS path,
  'no extractor for this format' AS problem FROM documents WHERE doc_id % 5 IN (1, 2, 3)""",
         "html_anchors_parser": with_ctes(pairs("html", HTML_A, 1, 2), "html"),

@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -185,6 +186,41 @@ def test_bibtex_forms():
     assert len(problems) == 2 and "never closed" in problems[0] and "nosuchmacro" in problems[1]
 
 
+def doubling(first, lines):
+    return f"@string{{a0 = {first}}}\n" + "".join(f"@string{{a{k} = a{k - 1} # a{k - 1}}}\n" for k in range(1, lines + 1))
+
+
+@pytest.mark.parametrize("first", ["{x}", "{}", '"ab"'])
+def test_macros_that_double_each_other_cost_nothing(first):
+    for lines in (20, 60, 30_000):
+        text = doubling(first, lines) + f"@misc{{k, note = a{lines}, url = a{lines} # {{/p}}, doi = {{10.1/x}}}}\n@misc{{l, url = a3}}"
+        tracemalloc.start()
+        started = time.monotonic()
+        found = list(bibtex_entries(text, ("url", "doi")))
+        assert time.monotonic() - started < 5 and tracemalloc.get_traced_memory()[1] < 100 * len(text) + (64 << 20)
+        tracemalloc.stop()
+        problems, entries = [text for key, text in found if key is None], {key: fields for key, fields in found if key}
+        small = first == "{}"
+        assert entries["k"]["doi"] == "10.1/x" and entries["l"]["url"] == first[1:-1] * 8
+        assert entries["k"].get("url") == ("/p" if small else None)
+        assert len(problems) == (0 if small else 1) and all("characters, field 'url' of 'k'" in p for p in problems)
+
+
+def test_many_long_values_are_a_problem_in_all():
+    text = doubling("{x}", 18) + "".join(f"@misc{{k{k}, url = a18}}\n" for k in range(200)) + "@misc{plain, url = {http://u}}"
+    found = list(bibtex_entries(text))
+    lengths = [len(fields["url"]) for key, fields in found if key and "url" in fields]
+    assert lengths == [1 << 18] * 64 + [8] and sum(key is None for key, _ in found) == 136
+
+
+def test_a_bomb_is_a_row(docs):
+    text = doubling("{x}", 60) + "@misc{k, url = a60, doi = {10.1/x}}"
+    found = extract.findings(docs({"a.bib": text, "b.bib": "@misc{k, url = {http://u}}"}))
+    assert sorted(rows(found, "path", "kind", "value"), key=str) == [
+        ("a.bib", "doi", "10.1/x"), ("a.bib", "problem", None), ("b.bib", "link", "http://u")
+    ]
+
+
 @pytest.mark.parametrize("n", [1, 49, 50, 51, 100])
 def test_no_doi_of_a_long_bibliography_is_lost(docs, n):
     text = "\n".join(f"@misc{{k{i}, doi = {{10.1/{i}}}}}" for i in range(n))
