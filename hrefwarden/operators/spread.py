@@ -7,19 +7,19 @@ by the size of the table. Every row takes exactly one of the two ways.
 
 A key is hot if it holds a quarter of the rows a shuffle partition has on average, so
 there are at most four hot keys a partition. Their bytes are added up before
-they are used; if they are too many to broadcast, every row takes a salted join:
-the unique-key table is repeated ``SALTS`` times, and a key's rows meet in as many
-tasks.
+they are used. If they are too many to broadcast, hot rows are shuffled too, but each hot
+key is dealt to as many tasks as it has partitions' worth of rows, and its row of the
+unique-key table is repeated for these. Which keys those are is broadcast as hashes: 16
+bytes a hot key, whatever the keys' own length. All other rows and keys go once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 KEYS_PER_PARTITION = 4
 MIN_HOT_ROWS = 1_000_000
 MAX_HOT_BYTES = 64 * 1024 * 1024
@@ -36,8 +36,8 @@ def _names(key: Key) -> list[str]:
 class HotKeys:
     keys: DataFrame
     count: int
-    #: Tasks among which a key's rows are dealt; 1 where hot keys are broadcast.
-    salts: int = 1
+    #: (_hash, _fan): tasks among which the rows of a hot key are dealt; None where hot keys are broadcast.
+    fans: DataFrame | None = None
 
 
 def hot_floor(total: int, partitions: int, min_rows: int = MIN_HOT_ROWS, keys: int = KEYS_PER_PARTITION) -> int:
@@ -45,6 +45,15 @@ def hot_floor(total: int, partitions: int, min_rows: int = MIN_HOT_ROWS, keys: i
     return max(min_rows, -(-total // max(1, keys * partitions)))
 
 
+def fan_of(n: Column, total: int, partitions: int) -> Column:
+    """Tasks for a key's rows: so many that each has the rows of an average partition at most.
+
+    All hot keys together have five times as many as there are partitions at most: their
+    shares add up to one time, and each of the four a partition is rounded up.
+    """
+    return F.ceil(n * F.lit(partitions) / F.lit(max(1, total))).cast("int")
+
+
 def hot_keys(
     counts: DataFrame,
     key: Key,
@@ -60,20 +69,35 @@ def hot_keys(
     """
     names = _names(key)
     total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    floor = hot_floor(total, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min_rows, keys)
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    floor = hot_floor(total, partitions, min_rows, keys)
     if largest < floor:
         return None
-    hot = counts.filter(F.col(n) >= floor).select(*names)
+    hot = counts.filter(F.col(n) >= floor)
     size = sum((F.octet_length(name) for name in names), F.lit(0))
     found, total_size = hot.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return HotKeys(hot, found, SALTS if total_size > max_bytes else 1)
+    if total_size <= max_bytes:
+        return HotKeys(hot.select(*names), found)
+    fans = hot.groupBy(F.xxhash64(*names).alias("_hash")).agg(F.max(fan_of(F.col(n), total, partitions)).alias("_fan"))
+    return HotKeys(hot.select(*names), found, fans)
+
+
+def _with_fan(rows: DataFrame, names: list[str], fans: DataFrame) -> DataFrame:
+    marked = rows.withColumn("_hash", F.xxhash64(*names)).join(F.broadcast(fans), "_hash", "left")
+    return marked.withColumn("_fan", F.coalesce("_fan", F.lit(1))).drop("_hash")
+
+
+def repeated(facts: DataFrame, names: list[str], fans: DataFrame) -> DataFrame:
+    """``facts`` with ``_part``: a hot key's row once for each of its tasks, any other once."""
+    parts = F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))
+    return _with_fan(facts, names, fans).withColumn("_part", parts).drop("_fan")
 
 
-def _salted(rows: DataFrame, facts: DataFrame, names: list[str], how: str, salts: int) -> DataFrame:
-    """The join with every key's rows dealt to so many tasks; ``facts`` is repeated for each."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*names, "_salt"], how).drop("_salt")
+def _dealt(rows: DataFrame, facts: DataFrame, names: list[str], how: str, fans: DataFrame) -> DataFrame:
+    """The join with the rows of hot keys dealt to several tasks each, by what else is in a row."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.col("_fan")).cast("int")
+    dealt = _with_fan(rows, names, fans).withColumn("_part", part).drop("_fan")
+    return dealt.join(repeated(facts, names, fans), [*names, "_part"], how).drop("_part")
 
 
 def lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = None, how: str = "inner") -> DataFrame:
@@ -81,8 +105,8 @@ def lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None = No
     names = _names(key)
     if hot is None:
         return rows.join(facts, names, how)
-    if hot.salts > 1:
-        return _salted(rows, facts, names, how, hot.salts)
+    if hot.fans is not None:
+        return _dealt(rows, facts, names, how, hot.fans)
     keys = F.broadcast(hot.keys)
     hot_facts = F.broadcast(facts.join(keys, names, "left_semi"))
     cold = rows.join(keys, names, "left_anti").join(facts, names, how)
@@ -98,8 +122,8 @@ def anti_lookup(rows: DataFrame, facts: DataFrame, key: Key, hot: HotKeys | None
     names = _names(key)
     if hot is None:
         return rows.join(facts, names, "left_anti")
-    if hot.salts > 1:
-        return _salted(rows, facts.select(*names).distinct(), names, "left_anti", hot.salts)
+    if hot.fans is not None:
+        return _dealt(rows, facts.select(*names).distinct(), names, "left_anti", hot.fans)
     keys = F.broadcast(hot.keys)
     hot_facts = F.broadcast(facts.join(keys, names, "left_semi").distinct())
     cold = rows.join(keys, names, "left_anti").join(facts, names, "left_anti")

@@ -40,17 +40,47 @@ def test_hot_keys_are_few_by_construction(judged):
     assert hot.count == 1 and [r[0] for r in hot.keys.collect()] == ["http://hot/"]
     assert spread.hot_floor(10**12, 50_000) == 5 * 10**6  # at most 200,000 keys hold as many of 1e12 rows
     assert spread.hot_keys(judged, "normalized_url", "n_links") is None
-    assert spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3).salts == spread.SALTS
+    assert hot.fans is None
+    large = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3)
+    assert [r["_fan"] for r in large.fans.collect()] == [2]  # a third of the rows on 4 partitions
+
+
+def test_fans_follow_the_share_of_a_key(spark):
+    links, partitions = 10**12, 50_000
+    keys = [("third", links // 3), ("tenth", links // 10), ("just hot", spread.hot_floor(links, partitions))]
+    fans = spark.createDataFrame(keys, "key string, n long").select("key", spread.fan_of(F.col("n"), links, partitions).alias("fan"))
+    fans = {r["key"]: r["fan"] for r in fans.collect()}
+    assert fans == {"third": 16_667, "tenth": 5_000, "just hot": 1}
+    # a task has the rows of an average partition at most, and all fans together are few
+    assert all(-(-n // fans[key]) <= links // partitions for key, n in keys)
+    most = [spread.hot_floor(links, partitions)] * (spread.KEYS_PER_PARTITION * partitions)
+    assert sum(most) <= links and sum(-(-n * partitions // links) for n in most) <= 5 * partitions
+
+
+def test_only_hot_keys_are_repeated(spark, skewed, judged):
+    hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3)
+    facts = judged.select("normalized_url", "outcome")
+    again = spread.repeated(facts, ["normalized_url"], hot.fans)
+    parts = {(r["normalized_url"], r["_part"]) for r in again.collect()}
+    assert len(parts) == facts.count() + 1 and {p for key, p in parts if key == "http://hot/"} == {0, 1}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(spread.lookup(skewed, facts, "normalized_url", hot))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one join of everything, and only the hashes of the hot keys are broadcast
+    assert plan.count("SortMergeJoin Inner") <= 2 and plan.count("BroadcastHashJoin LeftOuter") >= 2
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left", "left_anti"])
-def test_hot_keys_too_large_to_broadcast_are_salted(skewed, judged, how):
+def test_hot_keys_too_large_to_broadcast_are_dealt(skewed, judged, how):
     hot = spread.hot_keys(judged, "normalized_url", "n_links", min_rows=100, max_bytes=3)
     facts = judged.filter("outcome = 'error'").select("normalized_url", *(["outcome"] if how in ("inner", "left") else []))
     rows = skewed.unionByName(skewed.limit(1).withColumn("normalized_url", F.lit(None).cast("string")))
     dealt = spread.anti_lookup(rows, facts, "normalized_url", hot) if how == "left_anti" else spread.lookup(rows, facts, "normalized_url", hot, how)
     assert as_set(dealt) == as_set(rows.join(facts, "normalized_url", how))
-    assert "_salt" in plan_of(dealt)
+    assert "_part" in plan_of(dealt)
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
