@@ -9,7 +9,7 @@ that can hold a link at all, are handed to a Python worker.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,8 +115,10 @@ def html_links_simple(documents: DataFrame) -> DataFrame:
 
 
 def _finding_rows(documents: DataFrame, findings: Column) -> DataFrame:
-    return documents.select("path", F.posexplode(findings).alias("pos", "found")).select(
+    part = [name for name in ("part",) if name in documents.columns]
+    return documents.select("path", *part, F.posexplode(findings).alias("pos", "found")).select(
         "path",
+        *part,
         F.col("found.kind").alias("kind"),
         "pos",
         F.col("found.value").alias("value"),
@@ -180,7 +182,8 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     problem = F.coalesce(problem, F.when(~known, F.lit(fixed.NO_EXTRACTOR)))
     # The raw column is tested, not the one with its line ends replaced.
     wanted = problem.isNotNull() | (suffix.isin(*suffixes) & (F.col("content") != ""))
-    chosen = documents.filter(wanted).select("path", content.alias("content"), suffix.alias("suffix"), problem.alias("problem"))
+    part = [name for name in ("part",) if name in documents.columns]
+    chosen = documents.filter(wanted).select("path", *part, content.alias("content"), suffix.alias("suffix"), problem.alias("problem"))
     unreadable = F.array(F.struct(F.lit(PROBLEM).alias("kind"), F.lit(None).alias("value"), F.col("problem").alias("text")))
 
     content = F.col("content")
@@ -198,6 +201,7 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     is_html, is_bib = of(fixed.HTML_SUFFIXES), of(fixed.BIBTEX_SUFFIXES)
     rows = chosen.select(
         "path",
+        *part,
         found.alias("found"),
         F.when(F.col("problem").isNull() & is_html & _has_anchor(content), content).alias("html"),
         F.when(F.col("problem").isNull() & is_bib, content).alias("bibtex"),
@@ -210,6 +214,25 @@ def findings(documents: DataFrame, suffixes=fixed.SUPPORTED_SUFFIXES) -> DataFra
     return _finding_rows(rows, found)
 
 
+def numbered(findings_table: DataFrame) -> DataFrame:
+    """Findings of a written table with positions that go on from part to part of a large file.
+
+    What each part holds is counted first; only large files have parts, so the counts are
+    few. Within a part positions are in the order of its format.
+    """
+    if "part" not in findings_table.columns:
+        return findings_table
+    parted = findings_table.filter(F.col("part").isNotNull())
+    if parted.isEmpty():
+        return findings_table.drop("part")
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("path", "part").agg(F.count("*").alias("n"))
+    first = counts.select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("_first"))
+    rows = findings_table.join(first, ["path", "part"], "left")
+    columns = [name for name in findings_table.columns if name != "part"]
+    return rows.withColumn("pos", F.col("pos") + F.coalesce("_first", F.lit(0))).select(*columns)
+
+
 def links_of(findings_table: DataFrame) -> DataFrame:
     return _as_links(findings_table)
 

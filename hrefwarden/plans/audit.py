@@ -114,7 +114,8 @@ def read_findings(documents: DataFrame, options: AuditOptions) -> DataFrame:
     found = extract.findings(documents, options.suffixes)
     is_link = F.col("kind") == extract.LINK
     kept = found.filter(~is_link | F.col("value").startswith("http"))
-    return urls.with_normalized_url(kept, "value").select("path", "pos", "value", "text", "normalized_url", "kind")
+    part = [name for name in ("part",) if name in found.columns]
+    return urls.with_normalized_url(kept, "value").select("path", *part, "pos", "value", "text", "normalized_url", "kind")
 
 
 def queued_links(findings: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def run_audit(
         # Answers are not repeatable: a named run started again takes up those it has.
         return scratch.stage_once(df, folder, name) if run_key else scratch.stage(df, folder, name)
 
-    findings = stage(read_findings(documents, options), FINDINGS, by="kind")
+    findings = extract.numbered(stage(read_findings(documents, options), FINDINGS, by="kind"))
     links = queued_links(findings)
 
     # Written before they are joined, so that their size is known.

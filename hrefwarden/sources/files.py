@@ -8,7 +8,9 @@ before, and what goes wrong with a file becomes a row.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import io
 import logging
 import os
 import pathlib
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 
 from hrefwarden import scratch
 from hrefwarden.functions import fixed, urls
+from hrefwarden.sources import parts
 
 LISTING = "path string, is_dir boolean, size long, problem string"
-READ = "path string, content string, problem string"
-NAMES_PER_BATCH = 10_000
+READ = "path string, content string, problem string, part int"
+NAMES_PER_BATCH, NAMES_PER_TASK = 10_000, 10_000
 BYTES_PER_BATCH = 32 * 1024 * 1024
 BYTES_PER_TASK = 128 * 1024 * 1024
-MAX_CELL_BYTES = 2**31 - 1
+#: Files from this size on are read in parts.
+PART_BYTES = 256 * 1024 * 1024
 
 log = logging.getLogger(__name__)
 
@@ -66,18 +70,14 @@ def absolute(path: str) -> str:
     return str(pathlib.Path(path).resolve()) if _is_local(path) else path.rstrip("/")
 
 
-def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
-    """(path, whether a folder, size) of what a folder holds."""
+def _children(folder: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(path, whether a folder, size) of what a folder holds; a local file is not asked for its size here."""
     if _is_local(folder):
         with os.scandir(folder) as entries:
             for entry in entries:
                 is_dir = entry.is_dir(follow_symlinks=False)
-                try:
-                    size = 0 if is_dir else entry.stat().st_size
-                except OSError:
-                    size = 0
                 if is_dir or not entry.is_dir():
-                    yield entry.path, is_dir, size
+                    yield entry.path, is_dir, 0 if is_dir else None
         return
     from pyarrow import fs
 
@@ -112,11 +112,37 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _listed(rows)
 
 
+def _ask_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = []
+        for path in batch.column("path").to_pylist():
+            try:
+                sizes.append(_size_of(path))
+            except OSError:
+                sizes.append(0)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), batch.column("problem")], names=["path", "size", "problem"])
+
+
+def with_sizes(listing: DataFrame, names_per_task: int = NAMES_PER_TASK) -> DataFrame:
+    """``listing(path, size, problem)`` with the sizes that are missing, asked by tasks of neighbouring names.
+
+    However many files one folder holds, each task asks for about as many.
+    """
+    unsized = listing.filter(F.col("size").isNull())
+    names = unsized.count()
+    if not names:
+        return listing
+    asked = unsized.repartitionByRange(-(-names // names_per_task), "path").mapInArrow(_ask_sizes, "path string, size long, problem string")
+    return listing.filter(F.col("size").isNotNull()).unionByName(asked)
+
+
 def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame:
     """``(path, size, problem)`` of every file below ``base`` with one of the suffixes, hidden ones too.
 
-    One job per level of the tree; the driver sees neither paths nor folders. A folder
-    that cannot be listed is a row with a problem.
+    One job per level of the tree reads names alone; sizes are asked for the files that are
+    wanted, by tasks that share them out by name, so that a flat folder is not one task's
+    work. The driver sees neither paths nor folders. A folder that cannot be listed is a
+    row with a problem.
     """
     base = absolute(base)
     if not _is_local(base):
@@ -134,7 +160,7 @@ def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES
     # A folder used before may hold deeper levels of an older tree.
     every_level = spark.read.schema(f"{LISTING}, level int").parquet(f"{folder}/listing").filter(F.col("level") < level)
     wanted = F.col("problem").isNotNull() | (~F.col("is_dir") & urls.is_supported(F.col("path"), suffixes))
-    return every_level.filter(wanted).select("path", "size", "problem")
+    return scratch.stage(with_sizes(every_level.filter(wanted).select("path", "size", "problem")), folder, "files")
 
 
 def find_html_files(spark: SparkSession, base: str) -> DataFrame:
@@ -149,13 +175,22 @@ def find_tex_files(spark: SparkSession, base: str) -> DataFrame:
     return list_files(spark, base, fixed.TEX_SUFFIXES)
 
 
-def _read_bytes(path: str) -> bytes:
+@contextlib.contextmanager
+def _opened(path: str):
     if _is_local(path):
         with open(path, "rb") as file:
-            return file.read()
-    store, inner = open_store(path)
-    with store.open_input_stream(inner) as file:
-        return file.read()
+            yield file
+    else:
+        store, inner = open_store(path)
+        with store.open_input_stream(inner) as file:
+            yield file
+
+
+def _pieces(path: str, chars: int) -> Iterator[str]:
+    """A file's text as a stream, line ends made one; an error of coding where it comes up."""
+    with _opened(path) as file, io.TextIOWrapper(file, encoding="utf-8", newline=None) as text:
+        while piece := text.read(chars):
+            yield piece
 
 
 def _size_of(path: str) -> int:
@@ -165,52 +200,85 @@ def _size_of(path: str) -> int:
     return store.get_file_info(inner).size or 0
 
 
-def read_one(path: str, size: int = 0) -> tuple[str | None, str | None]:
-    """(content, problem) of one file; exactly one of them is None. A file that cannot be one text is not opened."""
+def _problem(error: Exception) -> str:
+    """What the report says of a file that cannot be read."""
+    if isinstance(error, FileNotFoundError):
+        return fixed.NOT_FOUND
+    if isinstance(error, PermissionError):
+        return fixed.NO_PERMISSION
+    if isinstance(error, TimeoutError):
+        return fixed.READ_TIMEOUT
+    if isinstance(error, BlockingIOError):
+        return fixed.BLOCKING_IO
+    return str(error)
+
+
+def read_one(path: str) -> tuple[str | None, str | None]:
+    """(content, problem) of one file; exactly one of them is None."""
     try:
-        size = size or _size_of(path)
-        if size > MAX_CELL_BYTES:
-            return None, f"{size} bytes do not fit into one text"
-        data = _read_bytes(path)
+        with _opened(path) as file:
+            data = file.read()
         return data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
-    except FileNotFoundError:
-        return None, fixed.NOT_FOUND
-    except PermissionError:
-        return None, fixed.NO_PERMISSION
-    except TimeoutError:
-        return None, fixed.READ_TIMEOUT
-    except BlockingIOError:
-        return None, fixed.BLOCKING_IO
     except Exception as error:  # whatever it is, it belongs in the report
-        return None, str(error)
+        return None, _problem(error)
+
+
+def read_parts(path: str, part_chars: int = parts.PART_CHARS) -> Iterator[tuple[str | None, str | None]]:
+    """(content, problem) of each part of a large file, or one problem.
+
+    The text is decoded once before any of it is given out, so that a file with bad bytes
+    has no parts, as a small one has no content. Behind a stretch that cannot be cut
+    the file is given up: its problem comes after the parts before.
+    """
+    pieces = max(1, part_chars // 8)
+    try:
+        for _ in _pieces(path, pieces):
+            pass
+        for part in parts.parts_of(_pieces(path, pieces), path, part_chars):
+            yield part, None
+    except Exception as error:
+        yield None, _problem(error)
 
 
 def _read(rows: list[tuple]) -> pa.RecordBatch:
-    return _batch(rows, path=pa.string(), content=pa.string(), problem=pa.string())
+    return _batch(rows, path=pa.string(), content=pa.string(), problem=pa.string(), part=pa.int32())
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, size = [], 0
-        for path, listed, problem in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "problem")]):
-            content, problem = (None, problem) if problem else read_one(path, listed or 0)
-            length = len(content or "")
-            if rows and size + length > BYTES_PER_BATCH:
-                yield _read(rows)
-                rows, size = [], 0
-            rows.append((path, content, problem))
-            size += length
-        yield _read(rows)
-
-
-def read_files(listing: DataFrame) -> DataFrame:
-    """``documents(path, content, problem)``; tasks get about the same number of bytes."""
+def _contents(path: str, size: int, part_bytes: int, part_chars: int) -> Iterator[tuple]:
+    """(path, content, problem, part) of one file; ``part`` is null for a file that is read whole."""
+    if size >= part_bytes:
+        for number, (content, problem) in enumerate(read_parts(path, part_chars)):
+            yield path, content, problem, number
+    else:
+        yield path, *read_one(path), None
+
+
+def read_files(listing: DataFrame, part_bytes: int = PART_BYTES, part_chars: int = parts.PART_CHARS) -> DataFrame:
+    """``documents(path, content, problem, part)``; tasks get about the same number of bytes.
+
+    A file of ``part_bytes`` or more is one row a part, read by one task as a stream.
+    """
     spark = listing.sparkSession
     found, total = listing.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
     if "problem" not in listing.columns:
         listing = listing.withColumn("problem", F.lit(None).cast("string"))
-    return listing.select("path", "size", "problem").repartition(max(1, min(found, tasks)), "path").mapInArrow(_read_files, READ)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for path, size, problem in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "problem")]):
+                found = ((path, None, problem, None),) if problem else _contents(path, size or 0, part_bytes, part_chars)
+                for row in found:
+                    length = len(row[1] or "")
+                    if rows and held + length > BYTES_PER_BATCH:
+                        yield _read(rows)
+                        rows, held = [], 0
+                    rows.append(row)
+                    held += length
+            yield _read(rows)
+
+    return listing.select("path", "size", "problem").repartition(max(1, min(found, tasks)), "path").mapInArrow(read, READ)
 
 
 def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame | None:
@@ -222,7 +290,7 @@ def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES,
     if kind == "file":
         if not path.endswith(tuple(suffixes)):
             raise ValueError(f"{path} is of a format that no extractor reads")
-        return read_files(spark.createDataFrame([(path, 0)], "path string, size long"))
+        return read_files(spark.createDataFrame([(path, _size_of(path))], "path string, size long"))
     listing = list_files(spark, path, suffixes, folder)
     if listing.isEmpty():
         log.warning("%s holds no file to audit, at any depth", path)

@@ -3,6 +3,7 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from conftest import plan_of
 
 from hrefwarden.functions import fixed
@@ -77,8 +78,8 @@ def test_names_of_read_problems(monkeypatch, error, problem):
     def fail(path):
         raise error
 
-    monkeypatch.setattr(files, "_read_bytes", fail)
-    assert files.read_one("x.md", 1) == (None, problem)
+    monkeypatch.setattr(files, "_opened", fail)
+    assert files.read_one("x.md") == (None, problem)
 
 
 def test_paths_that_cannot_be_checked(spark, tmp_path, caplog):
@@ -186,14 +187,24 @@ def test_a_folder_that_cannot_be_listed_is_a_row(spark, tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"path": ["/a/b"]})
     [listed] = files._list_folders([batch])
     assert listed.to_pylist()[0]["path"] == "/a/b" and "cannot be listed" in listed.to_pylist()[0]["problem"]
-    read = next(files._read_files([pa.RecordBatch.from_pydict({"path": ["/a/b"], "size": [0], "problem": ["p"]})]))
-    assert read.to_pylist() == [{"path": "/a/b", "content": None, "problem": "p"}]
-
-
-def test_a_file_too_large_for_a_text_is_not_opened(monkeypatch):
-    monkeypatch.setattr(files, "_read_bytes", lambda path: 1 / 0)
-    content, problem = files.read_one("x.md", files.MAX_CELL_BYTES + 1)
-    assert content is None and "do not fit" in problem
+    read = files.read_files(spark.createDataFrame([("/a/b", 0, "p")], "path string, size long, problem string"))
+    assert [tuple(r) for r in read.collect()] == [("/a/b", None, "p", None)]
+
+
+def test_a_flat_folder_is_shared_out_by_name(spark, tmp_path, monkeypatch):
+    names = [f"{k:05}.md" for k in range(3000)]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(b"x" * (k % 7))
+    (tmp_path / "dangling.md").symlink_to(tmp_path / "none")
+    listing = files.list_files(spark, str(tmp_path))
+    expected = {(f"{tmp_path}/{name}", k % 7) for k, name in enumerate(names)} | {(f"{tmp_path}/dangling.md", 0)}
+    assert {(r["path"], r["size"]) for r in listing.collect()} == expected
+    unsized = listing.withColumn("size", F.lit(None).cast("long"))
+    shared = files.with_sizes(unsized, names_per_task=500)
+    by_task = shared.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b"))
+    ranges = sorted((r["a"], r["b"], r["n"]) for r in by_task.collect() if r["n"])
+    assert len(ranges) == 7 and all(n < 900 for *_, n in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
+    assert {(r["path"], r["size"]) for r in shared.collect()} == expected
 
 
 def test_uris_take_names_as_they_are_and_open_one_client(tmp_path):
