@@ -44,6 +44,8 @@ class AuditOptions:
     probe_slices: int = 4
     #: directory of the two cache tables; None keeps no cache
     cache_path: str | None = None
+    #: directory of what was read of a tree; files unchanged since are not read again. None reads all
+    snapshot_path: str | None = None
 
     def __post_init__(self):
         if self.file_types not in fixed.FILE_TYPES:

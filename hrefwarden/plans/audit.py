@@ -22,7 +22,7 @@ from hrefwarden import scratch, shipping
 from hrefwarden.functions import urls
 from hrefwarden.operators import extract, queue, report, spread, verdict
 from hrefwarden.options import AuditOptions, DeadLinks
-from hrefwarden.sources import cache, files
+from hrefwarden.sources import cache, files, snapshot
 
 FINDINGS, TARGETS, ANSWERS, VERDICTS, DEFECTS, COUNTS = "findings", "targets", "answers", "verdicts", "defects", "counts"
 DOI_TARGETS, DOI_ANSWERS, DOI_VERDICTS = "doi_targets", "doi_answers", "doi_verdicts"
@@ -157,7 +157,7 @@ def _answers(targets: DataFrame, key: str, log: DataFrame | None, fetch, options
 
 def run_audit(
     spark: SparkSession,
-    documents: DataFrame,
+    documents: DataFrame | None,
     options: AuditOptions,
     probe_log: DataFrame | None = None,
     doi_log: DataFrame | None = None,
@@ -165,8 +165,9 @@ def run_audit(
     run_key: str | None = None,
     batch: str = "",
     add_to_cache: int = 0,
+    findings: DataFrame | None = None,
 ) -> Audit | None:
-    """Audit ``documents(path, content[, problem])``.
+    """Audit ``documents(path, content[, problem][, part])``, or the ``findings`` of ``read_findings`` as a written table.
 
     The cache is replaced at the end, or only added to as long as fewer than
     ``add_to_cache`` runs have done so since it was last replaced.
@@ -196,12 +197,14 @@ def run_audit(
         # Answers are not repeatable: a named run started again takes up those it has.
         return scratch.stage_once(df, folder, name) if run_key else scratch.stage(df, folder, name)
 
-    findings = extract.numbered(stage(read_findings(documents, options), FINDINGS, by="kind"))
+    if findings is None:
+        findings = extract.numbered(stage(read_findings(documents, options), FINDINGS, by="kind"))
     links = queued_links(findings)
 
     # Written before they are joined, so that their size is known.
     counted = stage_asked(queue.url_targets(links), f"{TARGETS}{batch}/counted")
-    targets = queue.mark_skipped(counted, fresh, "normalized_url", options.ignore_urls)
+    known = cache.fresh_urls(cache.holding(state, "urls", counted), options.ttl_hours, options.as_of)
+    targets = queue.mark_skipped(counted, known, "normalized_url", options.ignore_urls)
     targets = stage_asked(targets, f"{TARGETS}{batch}/marked")
     asked = queue.to_ask(targets)
     answers = _answers(asked, "normalized_url", probe_log, options.fetch, options, stage_asked, ANSWERS + batch)
@@ -215,7 +218,7 @@ def run_audit(
 
     dois = extract.dois_of(findings)
     doi_targets = stage_asked(dois.groupBy("doi").agg(F.count("*").alias("n_links")), f"{DOI_TARGETS}{batch}/counted")
-    doi_targets = stage_asked(queue.mark_skipped(doi_targets, state.dois, "doi"), f"{DOI_TARGETS}{batch}/marked")
+    doi_targets = stage_asked(queue.mark_skipped(doi_targets, cache.holding(state, "dois", doi_targets), "doi"), f"{DOI_TARGETS}{batch}/marked")
     doi_answers = _answers(queue.to_ask(doi_targets), "doi", doi_log, options.fetch_doi, options, stage_asked, DOI_ANSWERS + batch)
     judged_dois = stage(verdict.doi_verdicts(doi_targets, doi_answers, options.as_of), DOI_VERDICTS)
     doi_verdicts = queue.to_ask(judged_dois)
@@ -270,11 +273,19 @@ def check(
     """
     shipping.ship(spark)
     folder = scratch.run_folder(spark)
-    documents = files.open_path(spark, searchpath, options.suffixes, folder)
-    if documents is None:
+    listing = files.list_path(spark, searchpath, options.suffixes, folder)
+    if listing is None:
         return None
     options = options.for_run(base_folder=options.base_folder or files.absolute(searchpath))
-    audit = run_audit(spark, documents, options, probe_log, doi_log, folder)
+    if options.snapshot_path:
+
+        def read(changed: DataFrame) -> DataFrame:
+            return read_findings(files.read_files(changed), options)
+
+        found = snapshot.refreshed(spark, options.snapshot_path, listing, options.suffixes, folder, read)
+        audit = run_audit(spark, None, options, probe_log, doi_log, folder, findings=found)
+    else:
+        audit = run_audit(spark, files.read_files(listing), options, probe_log, doi_log, folder)
     if write_to:
         audit.write_report(write_to, markdown)
     else:

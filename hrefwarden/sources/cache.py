@@ -6,25 +6,32 @@ adds its finds to the slot in force instead, one version per batch, so a batch
 writes what is new and not the whole cache. The marker of a version is written
 after its tables; tables without a marker, left by a broken run, do not count
 and are overwritten by the next.
+
+Within a version rows are dealt to buckets by the hash of their key, the more the larger
+the slot before was. A run reads only the buckets its keys fall into, and they are
+sorted by key, so that a small batch reads a small part of a large cache.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefwarden import scratch
 
 URL_SCHEMA = "normalized_url string, last_valid timestamp"
 DOI_SCHEMA = "doi string, last_seen timestamp"
-MARKER_SCHEMA = "version long, run_key string"
-VERSION = "v"
+MARKER_SCHEMA = "version long, run_key string, buckets int, n_rows long"
+VERSION, BUCKET = "v", "b"
 SLOTS = ("a", "b")
+KEYS = {"urls": "normalized_url", "dois": "doi"}
+#: Rows of a bucket, about, and most buckets; their numbers come to the driver.
+BUCKET_ROWS, MAX_BUCKETS = 1_000_000, 4096
 
 
 @dataclass
@@ -34,8 +41,33 @@ class CacheState:
     version: int = 0
     slot: str | None = None
     run_key: str | None = None
-    #: versions in the slot since it was last replaced
+    #: versions in the slot since it was last replaced, their rows, and the buckets they are dealt to
     depth: int = 0
+    n_rows: int = 0
+    buckets: int = 1
+    in_buckets: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def buckets_for(n_rows: int) -> int:
+    return max(1, min(MAX_BUCKETS, n_rows // BUCKET_ROWS))
+
+
+def holding(state: CacheState, name: str, keys: DataFrame) -> DataFrame:
+    """The rows of the table ``name``, 'urls' or 'dois', in the buckets that ``keys`` fall into.
+
+    The numbers of these, at most ``MAX_BUCKETS``, are made part of the filter, so that
+    the other buckets are not read. ``keys`` should be a written table.
+    """
+    if state.buckets <= 1:
+        return getattr(state, name)
+    key = KEYS[name]
+    wanted = [row[0] for row in keys.select(bucket_of(key, state.buckets).alias(BUCKET)).distinct().collect()]
+    rows = state.in_buckets[name]
+    return rows.filter(F.col(BUCKET).isin(wanted) if wanted else F.lit(False)).drop(BUCKET)
 
 
 def check_path(spark: SparkSession, path: str) -> None:
@@ -75,32 +107,54 @@ def load(spark: SparkSession, path: str | None) -> CacheState:
     newest = max(found[slot], key=lambda marker: marker["version"])
 
     def table(name: str, schema: str) -> DataFrame:
-        rows = spark.read.schema(f"{schema}, {VERSION} long").parquet(f"{path}/{slot}/{name}")
+        rows = spark.read.schema(f"{schema}, {VERSION} long, {BUCKET} int").parquet(f"{path}/{slot}/{name}")
         return rows.filter(F.col(VERSION) <= newest["version"]).drop(VERSION)
 
+    tables = {"urls": table("urls", URL_SCHEMA), "dois": table("dois", DOI_SCHEMA)}
+    plain = {name: rows.drop(BUCKET) for name, rows in tables.items()}
     return CacheState(
-        table("urls", URL_SCHEMA), table("dois", DOI_SCHEMA), newest["version"], slot, newest["run_key"], len(found[slot])
+        **plain,
+        version=newest["version"],
+        slot=slot,
+        run_key=newest["run_key"],
+        depth=len(found[slot]),
+        n_rows=sum(marker["n_rows"] for marker in found[slot]),
+        buckets=newest["buckets"],
+        in_buckets=tables,
     )
 
 
-def _write(path: str, slot: str, version: int, urls: DataFrame, dois: DataFrame, run_key: str, whole: bool) -> None:
-    spark = urls.sparkSession
-    marker = spark.createDataFrame([(version, run_key)], MARKER_SCHEMA).coalesce(1)
-    for name, rows in (("urls", urls), ("dois", dois), ("marker", marker)):
+def _write(path: str, slot: str, version: int, tables: dict[str, DataFrame], run_key: str, buckets: int, whole: bool) -> None:
+    spark = tables["urls"].sparkSession
+    for name, rows in tables.items():
+        key = KEYS[name]
+        dealt = rows.withColumn(BUCKET, bucket_of(key, buckets))
+        if buckets > 1:  # a bucket in few files, however many tasks hold rows of it
+            dealt = dealt.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, key)
         if whole:
-            rows.withColumn(VERSION, F.lit(version)).write.mode("overwrite").option(
+            dealt.withColumn(VERSION, F.lit(version)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "static"
-            ).partitionBy(VERSION).parquet(f"{path}/{slot}/{name}")
+            ).partitionBy(VERSION, BUCKET).parquet(f"{path}/{slot}/{name}")
         else:
-            rows.write.mode("overwrite").parquet(f"{path}/{slot}/{name}/{VERSION}={version}")
+            dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{slot}/{name}/{VERSION}={version}")
+    # Counted by the footers of the files.
+    written = spark.read.schema(f"{URL_SCHEMA}, {VERSION} long, {BUCKET} int").parquet(f"{path}/{slot}/urls")
+    n_rows = written.filter(F.col(VERSION) == version).count()
+    marker = spark.createDataFrame([(version, run_key, buckets, n_rows)], MARKER_SCHEMA).coalesce(1)
+    if whole:
+        marker.withColumn(VERSION, F.lit(version)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).partitionBy(VERSION).parquet(f"{path}/{slot}/marker")
+    else:
+        marker.write.mode("overwrite").parquet(f"{path}/{slot}/marker/{VERSION}={version}")
 
 
 def replace(path: str, state: CacheState, urls: DataFrame, dois: DataFrame, run_key: str) -> None:
     """Put new tables in force; ``state`` is what the run had loaded."""
     slot = SLOTS[1] if state.slot == SLOTS[0] else SLOTS[0]
-    _write(path, slot, state.version + 1, urls, dois, run_key, whole=True)
+    _write(path, slot, state.version + 1, {"urls": urls, "dois": dois}, run_key, buckets_for(state.n_rows), whole=True)
 
 
 def add(path: str, state: CacheState, new_urls: DataFrame, new_dois: DataFrame, run_key: str) -> None:
     """Put new rows in force beside those of the slot that ``state`` was loaded from."""
-    _write(path, state.slot or SLOTS[0], state.version + 1, new_urls, new_dois, run_key, whole=False)
+    _write(path, state.slot or SLOTS[0], state.version + 1, {"urls": new_urls, "dois": new_dois}, run_key, state.buckets, whole=False)

@@ -25,7 +25,8 @@ from hrefwarden import scratch
 from hrefwarden.functions import fixed, urls
 from hrefwarden.sources import parts
 
-LISTING = "path string, is_dir boolean, size long, problem string"
+LISTING = "path string, is_dir boolean, size long, modified long, problem string"
+SIZED = "path string, size long, modified long, problem string"
 READ = "path string, content string, problem string, part int"
 NAMES_PER_BATCH, NAMES_PER_TASK = 10_000, 10_000
 BYTES_PER_BATCH = 32 * 1024 * 1024
@@ -70,21 +71,21 @@ def absolute(path: str) -> str:
     return str(pathlib.Path(path).resolve()) if _is_local(path) else path.rstrip("/")
 
 
-def _children(folder: str) -> Iterator[tuple[str, bool, int | None]]:
-    """(path, whether a folder, size) of what a folder holds; a local file is not asked for its size here."""
+def _children(folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """(path, whether a folder, size, time of change) of what a folder holds; of a local file size and time are not asked here."""
     if _is_local(folder):
         with os.scandir(folder) as entries:
             for entry in entries:
                 is_dir = entry.is_dir(follow_symlinks=False)
                 if is_dir or not entry.is_dir():
-                    yield entry.path, is_dir, 0 if is_dir else None
+                    yield entry.path, is_dir, 0 if is_dir else None, None
         return
     from pyarrow import fs
 
     store, inner = open_store(folder)
     for info in store.get_file_info(fs.FileSelector(inner, recursive=False)):
         is_dir = info.type == fs.FileType.Directory
-        yield f"{folder.rstrip('/')}/{info.base_name}", is_dir, info.size or 0
+        yield f"{folder.rstrip('/')}/{info.base_name}", is_dir, info.size or 0, info.mtime_ns
 
 
 def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
@@ -93,7 +94,7 @@ def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
 
 
 def _listed(rows: list[tuple]) -> pa.RecordBatch:
-    return _batch(rows, path=pa.string(), is_dir=pa.bool_(), size=pa.int64(), problem=pa.string())
+    return _batch(rows, path=pa.string(), is_dir=pa.bool_(), size=pa.int64(), modified=pa.int64(), problem=pa.string())
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,23 +109,23 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         rows = []
             except (OSError, pa.ArrowException) as error:
                 log.warning("cannot list %s: %s", folder, error)
-                rows.append((folder, False, 0, f"cannot be listed ({error})"))
+                rows.append((folder, False, 0, None, f"cannot be listed ({error})"))
         yield _listed(rows)
 
 
 def _ask_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = []
-        for path in batch.column("path").to_pylist():
+        rows = []
+        for path, problem in zip(batch.column("path").to_pylist(), batch.column("problem").to_pylist()):
             try:
-                sizes.append(_size_of(path))
+                rows.append((path, *_size_of(path), problem))
             except OSError:
-                sizes.append(0)
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), batch.column("problem")], names=["path", "size", "problem"])
+                rows.append((path, 0, None, problem))
+        yield _batch(rows, path=pa.string(), size=pa.int64(), modified=pa.int64(), problem=pa.string())
 
 
 def with_sizes(listing: DataFrame, names_per_task: int = NAMES_PER_TASK) -> DataFrame:
-    """``listing(path, size, problem)`` with the sizes that are missing, asked by tasks of neighbouring names.
+    """``listing(path, size, modified, problem)`` with what is missing, asked by tasks of neighbouring names.
 
     However many files one folder holds, each task asks for about as many.
     """
@@ -132,12 +133,12 @@ def with_sizes(listing: DataFrame, names_per_task: int = NAMES_PER_TASK) -> Data
     names = unsized.count()
     if not names:
         return listing
-    asked = unsized.repartitionByRange(-(-names // names_per_task), "path").mapInArrow(_ask_sizes, "path string, size long, problem string")
+    asked = unsized.repartitionByRange(-(-names // names_per_task), "path").mapInArrow(_ask_sizes, SIZED)
     return listing.filter(F.col("size").isNotNull()).unionByName(asked)
 
 
 def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame:
-    """``(path, size, problem)`` of every file below ``base`` with one of the suffixes, hidden ones too.
+    """``(path, size, modified, problem)`` of every file below ``base`` with one of the suffixes, hidden ones too.
 
     One job per level of the tree reads names alone; sizes are asked for the files that are
     wanted, by tasks that share them out by name, so that a flat folder is not one task's
@@ -160,7 +161,7 @@ def list_files(spark: SparkSession, base: str, suffixes=fixed.SUPPORTED_SUFFIXES
     # A folder used before may hold deeper levels of an older tree.
     every_level = spark.read.schema(f"{LISTING}, level int").parquet(f"{folder}/listing").filter(F.col("level") < level)
     wanted = F.col("problem").isNotNull() | (~F.col("is_dir") & urls.is_supported(F.col("path"), suffixes))
-    return scratch.stage(with_sizes(every_level.filter(wanted).select("path", "size", "problem")), folder, "files")
+    return scratch.stage(with_sizes(every_level.filter(wanted).select("path", "size", "modified", "problem")), folder, "files")
 
 
 def find_html_files(spark: SparkSession, base: str) -> DataFrame:
@@ -193,11 +194,14 @@ def _pieces(path: str, chars: int) -> Iterator[str]:
             yield piece
 
 
-def _size_of(path: str) -> int:
+def _size_of(path: str) -> tuple[int, int | None]:
+    """Size and time of change, in nanoseconds."""
     if _is_local(path):
-        return os.path.getsize(path)
+        found = os.stat(path)
+        return found.st_size, found.st_mtime_ns
     store, inner = open_store(path)
-    return store.get_file_info(inner).size or 0
+    info = store.get_file_info(inner)
+    return info.size or 0, info.mtime_ns
 
 
 def _problem(error: Exception) -> str:
@@ -281,8 +285,8 @@ def read_files(listing: DataFrame, part_bytes: int = PART_BYTES, part_chars: int
     return listing.select("path", "size", "problem").repartition(max(1, min(found, tasks)), "path").mapInArrow(read, READ)
 
 
-def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame | None:
-    """Documents of a file or of a folder tree; None if the folder holds none."""
+def list_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame | None:
+    """The listing of a file or of a folder tree; None if the folder holds no document."""
     path = absolute(path)
     kind = scratch.path_kind(spark, path)
     if kind is None:
@@ -290,9 +294,15 @@ def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES,
     if kind == "file":
         if not path.endswith(tuple(suffixes)):
             raise ValueError(f"{path} is of a format that no extractor reads")
-        return read_files(spark.createDataFrame([(path, _size_of(path))], "path string, size long"))
+        return spark.createDataFrame([(path, *_size_of(path), None)], SIZED)
     listing = list_files(spark, path, suffixes, folder)
     if listing.isEmpty():
         log.warning("%s holds no file to audit, at any depth", path)
         return None
-    return read_files(listing)
+    return listing
+
+
+def open_path(spark: SparkSession, path: str, suffixes=fixed.SUPPORTED_SUFFIXES, folder: str | None = None) -> DataFrame | None:
+    """Documents of a file or of a folder tree; None if the folder holds none."""
+    listing = list_path(spark, path, suffixes, folder)
+    return None if listing is None else read_files(listing)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 
 from hrefwarden.functions import fixed
+from hrefwarden.operators import queue
 from hrefwarden.sources import cache, documents, files
 
 NOW = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
@@ -42,7 +43,7 @@ def test_discovery_takes_hidden_files_and_no_folders(spark, tree):
 
 def test_folders_named_by_uri(spark, tree):
     """The way of remote file systems, tried on a local one."""
-    found = {path: is_dir for path, is_dir, _ in files._children(f"file://{tree}/sub")}
+    found = {path: is_dir for path, is_dir, *_ in files._children(f"file://{tree}/sub")}
     assert found[f"file://{tree}/sub/f.md"] is False and found[f"file://{tree}/sub/sub"] is True
     assert files.read_one(f"file://{tree}/b.md") == ("<http://example.com/b.md>", None)
     assert files.read_one(f"file://{tree}/none.md") == (None, fixed.NOT_FOUND)
@@ -144,7 +145,7 @@ def test_added_versions_count_once_marked(spark, tmp_path):
     assert (state.slot, state.version, state.depth, state.run_key) == ("a", 3, 3, "batch2")
     assert sorted(r[0] for r in state.urls.collect()) == ["u0", "u1", "u2"]
     # A batch that broke before its marker does not count; run again, it overwrites what it left.
-    url("junk").write.parquet(f"{path}/a/urls/v=4")
+    url("junk").write.parquet(f"{path}/a/urls/v=4/b=0")
     assert cache.load(spark, path).urls.count() == 3
     cache.add(path, cache.load(spark, path), url("u3"), none, "batch3")
     assert sorted(r[0] for r in cache.load(spark, path).urls.collect()) == ["u0", "u1", "u2", "u3"]
@@ -191,6 +192,31 @@ def test_a_folder_that_cannot_be_listed_is_a_row(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in read.collect()] == [("/a/b", None, "p", None)]
 
 
+def test_a_small_batch_reads_few_buckets(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    monkeypatch.setattr(cache, "BUCKET_ROWS", 10)
+    many = spark.range(400).select(F.concat(F.lit("http://e/"), F.col("id").cast("string")).alias("normalized_url"), F.lit(NOW).alias("last_valid"))
+    none = spark.createDataFrame([], cache.DOI_SCHEMA)
+    cache.replace(path, cache.load(spark, path), many, none, "r1")
+    state = cache.load(spark, path)
+    assert (state.buckets, state.n_rows) == (1, 400)
+    cache.replace(path, state, state.urls, none, "r2")
+    state = cache.load(spark, path)
+    assert (state.buckets, state.n_rows, state.urls.columns) == (40, 400, ["normalized_url", "last_valid"])
+    cache.add(path, state, spark.createDataFrame([("http://new/", NOW)], cache.URL_SCHEMA), none, "r3")
+    state = cache.load(spark, path)
+    assert (state.buckets, state.n_rows, state.depth) == (40, 401, 2)
+    batch = spark.createDataFrame([("http://e/7",), ("http://new/",), ("http://e/none",)], "normalized_url string")
+    held = cache.holding(state, "urls", batch)
+    plan = plan_of(held)
+    assert "PartitionFilters: [" in plan and "b#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert 2 <= held.count() <= 60
+    assert held.select(F.input_file_name()).distinct().count() <= 4 < state.urls.select(F.input_file_name()).distinct().count()
+    assert sorted(r[0] for r in queue.known_keys(held, batch, "normalized_url").collect()) == ["http://e/7", "http://new/"]
+    assert cache.holding(state, "urls", batch.limit(0)).collect() == []
+    assert sorted(r[0] for r in state.urls.collect()) == sorted([r[0] for r in many.collect()] + ["http://new/"])
+
+
 def test_a_flat_folder_is_shared_out_by_name(spark, tmp_path, monkeypatch):
     names = [f"{k:05}.md" for k in range(3000)]
     for k, name in enumerate(names):
@@ -214,7 +240,7 @@ def test_uris_take_names_as_they_are_and_open_one_client(tmp_path):
     for name in odd:
         (folder / name).write_text(name)
     files._store.cache_clear()
-    found = sorted(path for path, is_dir, _ in files._children(f"file://{folder}") if not is_dir)
+    found = sorted(path for path, is_dir, *_ in files._children(f"file://{folder}") if not is_dir)
     assert found == sorted(f"file://{folder}/{name}" for name in odd)
     assert [files.read_one(path) for path in found] == [(path.rpartition("/")[2], None) for path in found]
     assert files._store.cache_info().misses == 1
