@@ -102,7 +102,7 @@ def _findings(pending: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     parts = pending.withColumns({f"hits_{k}": _hits(rule) for k, rule in enumerate(rules)})
     tagged = [F.transform(f"hits_{k}", _tagged_by(rule)) for k, rule in enumerate(rules)]
     rows = parts.select("blob", F.inline(F.concat(*tagged)))
-    so_far = Window.partitionBy("blob", "rule").orderBy("nth")
+    so_far = Window.partitionBy("blob", "rule", "version").orderBy("nth")
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("chars")).over(so_far).cast("long"))
     return ends.where("ok").select("blob", "rule", "version", (F.col("end") - F.col("chars")).cast("long").alias("start"), "end")
 

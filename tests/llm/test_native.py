@@ -76,6 +76,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r.version for r in ledger.scanned().where("rule = 'hex'").collect()} == {1, 2}
 
 
+def test_two_versions_of_a_rule_in_one_scan(spark):
+    rules = (secret_scan.Rule("hex", 1, "[0-9a-f]+", 0, 24), secret_scan.Rule("hex", 2, "[0-9a-f]{12,}", 0, 12))
+    hexes = "0123456789abcdef01234567"
+    docs = spark.createDataFrame([(1, f"xx {hexes} zz {hexes} {hexes[:14]}")], "doc_id long, text string")
+    ledger = secret_scan.Ledger(spark, f"{scratch.run_folder(spark)}/ledger")
+    secret_scan.scan(docs, ledger, rules)
+    found = sorted((r.version, r.start, r.end) for r in ledger.findings().collect())
+    assert found == [(1, 3, 27), (1, 31, 55), (2, 3, 27), (2, 31, 55), (2, 56, 70)]
+    assert secret_scan.redacted(docs, ledger, rules).first().text == "xx [SECRET] zz [SECRET] [SECRET]"
+    # each version scanned alone finds the same
+    alone = secret_scan.Ledger(spark, f"{scratch.run_folder(spark)}/ledger")
+    for rule in rules:
+        secret_scan.scan(docs, alone, (rule,))
+    assert sorted((r.version, r.start, r.end) for r in alone.findings().collect()) == found
+
+
 def test_masks_and_overlaps(spark):
     ledger = secret_scan.Ledger(spark, f"{scratch.run_folder(spark)}/ledger")
     hexes = "0123456789abcdef01234567"
