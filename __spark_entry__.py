@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefwarden import scratch, shipping
-from hrefwarden.functions import urls
+from hrefwarden.functions import fixed, urls
 from hrefwarden.operators import extract, queue, report, spread, verdict
 from hrefwarden.options import AuditOptions
 from hrefwarden.plans import audit, corpora
-from hrefwarden.sources import cache, documents
+from hrefwarden.sources import cache, documents, snapshot
 from hrefwarden.streaming import audit_stream as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,13 +68,13 @@ class _Judged:
         targets = queue.url_targets(self.queue)
         self.verdicts = scratch.stage(_verdicts(spark, sf, targets), folder, "verdicts")
 
-    def hot(self, min_rows: int = spread.MIN_HOT_ROWS) -> spread.HotKeys | None:
+    def hot(self, min_rows: int = spread.MIN_HOT_ROWS, max_bytes: int = spread.MAX_HOT_BYTES) -> spread.HotKeys | None:
         # A lowered bound is to make keys hot that are not so for their share of a partition.
         keys = spread.KEYS_PER_PARTITION if min_rows == spread.MIN_HOT_ROWS else EVERY_KEY
-        return spread.hot_keys(self.verdicts, "normalized_url", "n_links", min_rows, keys=keys)
+        return spread.hot_keys(self.verdicts, "normalized_url", "n_links", min_rows, max_bytes, keys=keys)
 
-    def defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> DataFrame:
-        return report.defects(self.queue, self.verdicts, self.hot(min_rows))
+    def defects(self, min_rows: int = spread.MIN_HOT_ROWS, max_bytes: int = spread.MAX_HOT_BYTES) -> DataFrame:
+        return report.defects(self.queue, self.verdicts, self.hot(min_rows, max_bytes))
 
     def staged_defects(self, min_rows: int = spread.MIN_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
         rows = scratch.stage(self.defects(min_rows), self.folder, "defects")
@@ -183,6 +183,28 @@ def links_all_formats(spark, sf):
     return extract.findings(corpora.prose_corpus(spark, sf))
 
 
+def links_after_changes(spark, sf):
+    """Findings of a corpus of which a run before has read an older state: a fifth has changed, a part is new, a part gone."""
+    corpus = corpora.prose_corpus(spark, sf)
+    turn = F.pmod(F.xxhash64("path"), F.lit(20))
+    older = F.when(turn < 4, F.concat("content", F.lit("\n[old](http://old.example.com/)"))).otherwise(F.col("content"))
+    gone = corpus.where(turn == 5).select(F.concat(F.lit("/corpus/gone"), "path").alias("path"), "content")
+    before = corpus.where(turn != 4).select("path", older.alias("content")).unionByName(gone)
+    out = f"{scratch.run_folder(spark)}/snapshot"
+
+    def findings_of(documents_now: DataFrame) -> DataFrame:
+        # Rows of a table have no time of change; the hash of their content tells as much.
+        listing = documents_now.select("path", F.octet_length("content").cast("long").alias("size"), F.xxhash64("content").alias("modified"))
+
+        def read(changed: DataFrame) -> DataFrame:
+            return extract.findings(documents_now.join(changed.select("path"), "path", "left_semi"))
+
+        return snapshot.refreshed(spark, out, listing, fixed.SUPPORTED_SUFFIXES, scratch.run_folder(spark), read)
+
+    findings_of(before)
+    return findings_of(corpus).select("path", "kind", "pos", "value", "text")
+
+
 def prose_scan(spark, sf):
     """Texts of two tables read as Markdown; they hold no links, which costs one pass over the bytes."""
     docs = documents.from_table(corpora.table(spark, sf, "documents"), "doc_id", "text", ".md")
@@ -415,6 +437,11 @@ def errors_by_file_hot_urls(spark, sf):
     return report.by_file(_Judged(spark, sf).defects(min_rows=2), verdict.ERROR)
 
 
+def errors_by_file_dealt_urls(spark, sf):
+    """The same with hot URLs taken as too many to broadcast: each is dealt to tasks by its share of the links."""
+    return report.by_file(_Judged(spark, sf).defects(min_rows=2, max_bytes=0), verdict.ERROR)
+
+
 def error_report_hot_files(spark, sf):
     """The error report with every file of three or more errors treated as a hot one."""
     rows, counts = _Judged(spark, sf).staged_defects(min_rows=2)
@@ -501,13 +528,13 @@ def audit_queries() -> dict[str, Query]:
     named = [
         supported_format, doc_format_filter, decode_problems, access_errors, cache_fresh_urls, cache_dois,
         html_anchors, html_anchors_parser, html_malformed, hostile_markup, unsupported_documents, md_inline_links, md_pointy_links, tex_href_links, tex_url_links,
-        bib_urls, bib_dois, links_all_formats, prose_scan,
+        bib_urls, bib_dois, links_all_formats, links_after_changes, prose_scan,
         scheme_router, scheme_counts, hostname, normalize_url, normalize_query_conflict, link_queue, doi_queue,
         ignore_urls, rewrite_path,
         distinct_urls, url_targets, distinct_dois, prune_cached_links, prune_cached_dois, prune_counts,
         probe_map, probe_join, classify_status, classify_failure, verdicts, classify_doi, upsert_valid_dois,
         invalid_dois_by_file, refresh_url_cache, errors_by_code, count_errors,
-        errors_by_file_hot_urls, error_report_hot_files, nested_error_report, run_statistics, link_audit, link_audit_repeat, stream_link_audit,
+        errors_by_file_hot_urls, errors_by_file_dealt_urls, error_report_hot_files, nested_error_report, run_statistics, link_audit, link_audit_repeat, stream_link_audit,
     ]
     found: dict[str, Query] = {query.__name__: query for query in named}
     for outcome in (verdict.ERROR, verdict.REDIRECT, verdict.EXCEPTION):

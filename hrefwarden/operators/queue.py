@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hrefwarden import scratch
 from hrefwarden.functions import urls
 
 
@@ -99,9 +100,11 @@ def prune_counts(rows: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """Rows before pruning, rows the cache answers, rows left.
 
     Counted per key first, so that the join sees each key once and a hot key
-    weighs no more than any other.
+    weighs no more than any other. The counts are written, as both the search of the
+    cache and the join read them.
     """
-    per_key = rows.groupBy(key).agg(F.count("*").alias("n"))
+    spark = rows.sparkSession
+    per_key = scratch.stage(rows.groupBy(key).agg(F.count("*").alias("n")), scratch.run_folder(spark), "per_key")
     known = known_keys(cached, per_key, key).withColumn("hit", F.lit(True))
     n, hit = F.col("n"), F.col("hit").isNotNull()
     total = F.coalesce(F.sum(n), F.lit(0))

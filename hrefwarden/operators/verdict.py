@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+import itertools
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, as_completed, wait
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,9 @@ _FAILURE_OF = {
     "OSError": "ClientOSError",
 }
 
+#: Answers a task holds before it passes them on.
+ANSWERS_PER_BATCH = 1_000
+
 Fetch = Callable[[str], tuple[int | None, str | None]]
 
 
@@ -66,6 +70,24 @@ def failure_of(error: BaseException) -> str:
     return next(known, type(error).__name__)
 
 
+def answers_as_they_come(keys: Iterable[str], answer: Callable[[str], tuple], threads: int) -> Iterator[tuple]:
+    """(key, *answer(key)) of every key, in the order in which the answers arrive.
+
+    A key is taken when a thread is about to be free: one slow answer holds up its own
+    thread and nothing else, wherever the batches of keys begin and end.
+    """
+    threads = max(1, threads)
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        asked: dict[Future, str] = {}
+        for key in keys:
+            asked[pool.submit(answer, key)] = key
+            if len(asked) > threads:  # one waits for a thread
+                for done in wait(asked, return_when=FIRST_COMPLETED).done:
+                    yield asked.pop(done), *done.result()
+        for done in as_completed(asked):
+            yield asked[done], *done.result()
+
+
 def probe(
     targets: DataFrame,
     fetch: Fetch,
@@ -97,18 +119,11 @@ def probe(
             return None, failure_of(error)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(max_workers=max(1, threads_per_task)) as pool:
-            for batch in batches:
-                asked = batch.column(key)
-                answers = list(pool.map(answer, asked.to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        asked,
-                        pa.array([status for status, _ in answers], pa.int32()),
-                        pa.array([failure for _, failure in answers], pa.string()),
-                    ],
-                    names=[key, "status", "failure"],
-                )
+        keys = (url for batch in batches for url in batch.column(key).to_pylist())
+        answers = answers_as_they_come(keys, answer, threads_per_task)
+        while rows := list(itertools.islice(answers, ANSWERS_PER_BATCH)):
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "status", "failure"])
 
     return spread.mapInArrow(ask, f"{key} string, status int, failure string")
 

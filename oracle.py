@@ -343,7 +343,8 @@ def statements() -> dict[str, str]:
             "by_target", "probe_log",
         ),
     }
-    found["errors_by_file_hot_urls"] = with_ctes(
+    found["links_after_changes"] = found["links_all_formats"]
+    found["errors_by_file_hot_urls"] = found["errors_by_file_dealt_urls"] = with_ctes(
         "SELECT path, pos, url, linktext, code FROM defects WHERE outcome = 'error'", *JUDGED, "defects"
     )
     found["error_report_hot_files"] = with_ctes(

@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "BatchEvalPython", "FlatMapGroups")
 WITH_PYTHON = {"html_anchors_parser", "bib_urls", "bib_dois", "links_all_formats", "doi_queue", "distinct_dois", "prune_cached_dois",
                "classify_doi", "upsert_valid_dois", "html_malformed", "unsupported_documents"}
-EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "report_lines_plain", "errors_by_file_hot_urls", "error_report_hot_files", "nested_error_report", "invalid_dois_by_file",
-         "run_statistics", "prune_cached_links"}
+EAGER = {"link_audit", "link_audit_repeat", "stream_link_audit", "probe_map", "report_lines", "report_lines_plain", "errors_by_file_hot_urls", "errors_by_file_dealt_urls", "links_after_changes", "error_report_hot_files", "nested_error_report", "invalid_dois_by_file",
+         "run_statistics", "prune_cached_links", "prune_counts"}
 
 
 def lazy_names():
@@ -72,7 +72,7 @@ def test_distinct_urls_aggregate_before_the_shuffle(spark):
     assert tree.count("HashAggregate") >= 2
 
 
-@pytest.mark.parametrize("name", ["errors_by_file_hot_urls", "error_report_hot_files"])
+@pytest.mark.parametrize("name", ["errors_by_file_hot_urls", "errors_by_file_dealt_urls", "error_report_hot_files"])
 def test_hot_queries_take_both_ways(spark, name):
     frame = registered.queries()[name](spark, SF)
     assert "Union" in plan_of(frame) and frame.count() > 0

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import threading
 import http.client
 import io
 import socket
@@ -77,6 +79,27 @@ def test_probe_asks_each_url_once_and_spreads_a_hot_host(spark):
     assert hot.select("task").distinct().count() == 1
 
 
+def test_one_slow_answer_holds_up_itself_alone():
+    others = threading.Semaphore(0)
+
+    def answer(key):
+        if key == "slow":  # not before 500 others are answered
+            return (200, None) if all(others.acquire(timeout=20) for _ in range(500)) else (None, "held up")
+        others.release()
+        return 404, None
+
+    keys = ["a", "slow", *(f"k{n}" for n in range(600))]
+    taken = []
+    found = list(verdict.answers_as_they_come((taken.append(k) or k for k in keys), answer, 3))
+    assert sorted(k for k, *_ in found) == sorted(keys) and taken == keys
+    assert ("slow", 200, None) in found and found.index(("slow", 200, None)) > 400
+    # no more keys are taken than threads can ask soon
+    ahead = itertools.count()
+    first = next(verdict.answers_as_they_come((f"k{n}" for n in ahead), lambda k: (200, None), 4))
+    assert first[1:] == (200, None) and next(ahead) <= 8
+    assert list(verdict.answers_as_they_come([], answer, 2)) == []
+
+
 def test_exception_of_fetch_is_the_failure_of_its_url(spark):
     def fetch(url):
         raise KeyError(url)
