@@ -76,7 +76,10 @@ class Vocabulary:
 
     def fragments(self, piece: str) -> list[str]:
         """The piece, in symbols, cut wherever no token reaches across."""
-        cuts = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.joined]
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(map(str.__add__, piece, piece[1:]), 1) if pair not in joined]
+        if not cuts:
+            return [piece]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -94,12 +97,17 @@ class Vocabulary:
         return self._by_scanning(units) if len(units) <= SCANNED else self._by_heap(units)
 
     def _by_scanning(self, units: list[str]) -> list[str]:
-        ranks, none = self.ranks, len(self.ranks)
-        while len(units) > 1:
-            best, at = min((ranks.get(pair, none), i) for i, pair in enumerate(zip(units, units[1:])))
-            if best == none:
-                break
+        """The leftmost pair of the lowest rank again and again; only its neighbours' ranks change."""
+        get, none = self.ranks.get, len(self.ranks)
+        ranks = [get(pair, none) for pair in zip(units, units[1:])]
+        while ranks and (best := min(ranks)) != none:
+            at = ranks.index(best)
             units[at : at + 2] = [units[at] + units[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((units[at - 1], units[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((units[at], units[at + 1]), none)
         return units
 
     def _by_heap(self, units: list[str]) -> list[str]:
