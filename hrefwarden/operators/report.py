@@ -209,9 +209,9 @@ def _defect_lines(rows: DataFrame, markdown: bool) -> DataFrame:
 
 
 def _opening(timed_stats: DataFrame, markdown: bool) -> DataFrame:
+    # --- fixed values: title and sentences of the report
     kind = "links" if markdown else "hyperlinks"
     title = ["---", "title: Results of Linkcheck", "---"] if markdown else ["#" * 39, " RESULTS ".center(39, "#"), "#" * 39]
-    # --- fixed values: sentences of the report
     lines = [
         *[F.lit(text) for text in title],
         F.lit(""),

@@ -72,12 +72,22 @@ def test_distinct_urls_aggregate_before_the_shuffle(spark):
     assert tree.count("HashAggregate") >= 2
 
 
-@pytest.mark.parametrize("name", ["errors_by_file_hot_urls", "errors_by_file_dealt_urls", "error_report_hot_files"])
+@pytest.mark.parametrize("name", ["errors_by_file_hot_urls", "error_report_hot_files"])
 def test_hot_queries_take_both_ways(spark, name):
     frame = registered.queries()[name](spark, SF)
     assert "Union" in plan_of(frame) and frame.count() > 0
 
 
+def test_hot_keys_too_many_to_broadcast_are_dealt(spark):
+    from hrefwarden.operators import report, spread
+
+    judged = registered._Judged(spark, SF)
+    hot = judged.hot(min_rows=2, max_bytes=0)
+    assert hot.fans is not None and spread.hot_keys(judged.verdicts, "normalized_url", "n_links") is None
+    plan = plan_of(report.defects(judged.queue, judged.verdicts, hot))
+    assert "_part" in plan and "Union" not in plan
+
+
 def test_native_formats_do_not_pass_the_python_node(spark):
     """What the worker's node is given are paths, what was found already, and texts of its own formats."""
     docs = spark.createDataFrame([("a.md", "[t](http://u)")], "path string, content string")
