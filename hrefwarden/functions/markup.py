@@ -122,7 +122,8 @@ def html_simple(text: Column) -> Column:
     An explicit choice for machine-written HTML; the exact way is the parser.
     """
     # The last tag that can open an anchor ends before the last </a>; what lies between is text.
-    behind = F.substring_index(F.translate(text, "A", "a"), "</a>", -1)
+    closing = F.when(F.contains(text, F.lit("</A>")), F.translate(text, "A", "a")).otherwise(text)
+    behind = F.substring_index(closing, "</a>", -1)
     before = F.left(text, F.length(text) - F.length(behind) - 4)
     between = F.substring_index(before, ">", -1)
     # A tag without a quoted href is passed over whole, and no <a within it is tried.
@@ -132,7 +133,7 @@ def html_simple(text: Column) -> Column:
         anchors, lambda tag: F.when(tag.rlike(fixed.HTML_SIMPLE_ENDED), tag).otherwise(F.concat(tag, between, F.lit("</a>")))
     )
     links = _groups(whole, fixed.HTML_SIMPLE_A, 1, 2)
-    return F.when(F.contains(F.translate(text, "A", "a"), F.lit("</a>")), links).otherwise(_no_links())
+    return F.when(F.contains(text, F.lit("</a>")) | F.contains(text, F.lit("</A>")), links).otherwise(_no_links())
 
 
 def markdown_links(text: Column) -> Column:
