@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership.
 
-A classifier learnt from a labelled table gives each document a probability of
-belonging to each domain. Documents then get nonnegative rates such that the
+A classifier learnt from a labelled table, a softmax regression over word stems and
+marks of style, gives each document a probability of belonging to each domain. Documents then get nonnegative rates such that the
 expected tokens of each domain, the sum of rate x tokens x probability, meet the
 targets. The rates are found by projected gradient steps on least squares: the
 state is one number a document, a step needs the domains' sums over all documents
@@ -23,12 +23,14 @@ from hrefwarden.llm import words as W
 LABELLED_ROWS = 8_000
 #: Words and marks it looks at: those that tell most about the domain.
 VOCABULARY, LIFT = 120, 2.0
-#: Log-odds are divided by this, as words of a text are far from independent.
-TEMPERATURE = 1.5
+#: Letters of a word that make its stem, and different words of one stem in a text that are a mark of their own.
+STEM, KIN = 5, 3
+#: Steps of the regression, and how strongly what marks add is held near zero.
+FIT_STEPS, RIDGE = 300, 1.0
 #: Steps at most, the miss (in shares of all tokens) that ends them, and steps between written tables.
 STEPS, CLOSE, WRITE_EVERY = 40, 1e-9, 8
 
-#: The domains' log priors, and what the presence of a word or mark adds to each.
+#: Where the domains' log-odds start, and what the presence of a mark adds to each.
 Model = tuple[dict[str, float], dict[str, list[float]]]
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -40,18 +42,42 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _marks(text: Column, words: Column) -> Column:
-    """Words of the lowered text, each once, and marks of its style, which no word can equal as they hold a blank."""
+    """Stems of the words of the lowered text, stems of several different words, and marks of style, which no stem can equal as they hold a blank."""
     chars = F.length(text) + 1
 
-    def share(pattern: str) -> Column:
-        left = F.length(F.regexp_replace(text, pattern, ""))
-        return F.floor((F.length(text) - left) * 12 / chars).cast("string")
+    def grade(share: Column) -> Column:
+        return F.floor(F.log2(1 + 200 * share)).cast("string")
+
+    def share(without: Column) -> Column:
+        return (F.length(text) - F.length(without)) / chars
+
+    def lines(found: Column) -> Column:
+        return 1 - F.size(F.array_distinct(found)) / F.greatest(F.size(found), F.lit(1))
+
+    def kin(stems: Column) -> Column:
+        several = F.filter(stems, lambda stem, i: (i >= KIN - 1) & (stem == stems[F.greatest(i - (KIN - 1), F.lit(0))]))
+        return F.concat(F.array_distinct(stems), F.transform(F.array_distinct(several), lambda stem: F.concat(F.lit("kin "), stem)))
 
-    style = F.array(F.concat(F.lit("mark upper "), share("[A-Z]+")), F.concat(F.lit("mark symbols "), share("[#*$%&|<>]+")))
-    once = F.array_distinct(words)
-    repeats = F.floor(8 * F.size(once) / (F.size(words) + 1)).cast("string")
-    return F.concat(once, style, F.array(F.concat(F.lit("mark distinct "), repeats)))
+    def of(once: Column) -> Column:
+        repeats = F.floor(8 * F.size(once) / (F.size(words) + 1)).cast("string")
+        stems = F.sort_array(F.transform(once, lambda word: F.substring(word, 1, STEM)))
+        return F.concat(_bound(stems, kin), F.array(F.concat(F.lit("mark distinct "), repeats)))
+
+    filled = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
+    style = {
+        "upper": share(F.regexp_replace(text, "[A-Z]+", "")),
+        "symbols": share(F.regexp_replace(text, "[#*$%&|<>]+", "")),
+        "loud": share(F.replace(text, F.lit("!"), F.lit(""))),
+        "bars": share(F.replace(text, F.lit("|"), F.lit(""))),
+        "lines": _bound(filled, lines),
+    }
+    return F.concat(_bound(F.array_distinct(words), of), F.array(*[F.concat(F.lit(f"mark {k} "), grade(v)) for k, v in style.items()]))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -68,34 +94,54 @@ def _labelled(labels: DataFrame, most: int) -> DataFrame:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, folder: str, most: int = LABELLED_ROWS) -> Model:
-    """Naive Bayes over the words and marks a text has: the log prior of each domain and what a word's presence adds.
+    """A softmax regression over the marks a text has: where the domains' log-odds start and what a mark's presence adds.
 
-    What is absent counts too. The vocabulary holds what tells most about the domain among
-    what is at least ``LIFT`` times as frequent in one domain as overall, which the common
-    words of a language are not. The domain of a document is one of ``DOMAINS``; with
-    nothing labelled, all are equally likely.
+    The vocabulary holds what tells most about the domain among what is at least ``LIFT``
+    times as frequent in one domain as overall, which the common words of a language are
+    not. The domain of a document is one of ``DOMAINS``; with nothing labelled, all are
+    equally likely. A doc_id counts once: of several texts the one of the least marks.
+    What comes to the driver are the chosen marks of ``most`` rows at most.
     """
     chosen = scratch.stage(_labelled(labels, most), folder, "labelled")  # bounded, so it can be broadcast
     seen = marked(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    seen = scratch.stage(seen.select("domain", "marks"), folder, "seen")
+    seen = scratch.stage(seen.groupBy("doc_id", "domain").agg(F.min("marks").alias("marks")), folder, "seen")
     sizes = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in DOMAINS]
     counts = seen.select("domain", F.explode("marks").alias("mark")).groupBy("mark")
     counts = counts.agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(d) for d in DOMAINS])
-    total = sum(n) + 1
     rates = [(F.col(d) + 0.5) / (k + 1) for d, k in zip(DOMAINS, n)]
-    overall = (sum(F.col(d) for d in DOMAINS) + 0.5) / total
+    overall = (sum(F.col(d) for d in DOMAINS) + 0.5) / (sum(n) + 1)
     told = sum(F.log(r / overall) * F.col(d) for r, d in zip(rates, DOMAINS))
     lifted = F.greatest(*[r / overall for r in rates]) >= LIFT
-    top = counts.where(lifted).orderBy(told.desc(), "mark").limit(VOCABULARY).collect()
-    priors = {d: float(np.log((k + 1) / (sum(n) + len(DOMAINS)))) for d, k in zip(DOMAINS, n)}
-    adds = {}
-    for row in top:
-        p = [(row[d] + 0.5) / (k + 1) for d, k in zip(DOMAINS, n)]
-        adds[row.mark] = [float(np.log(x / (1 - x))) for x in p]
-        for d, x in zip(DOMAINS, p):
-            priors[d] += float(np.log(1 - x))
-    return priors, adds
+    top = [r.mark for r in counts.where(lifted).orderBy(told.desc(), "mark").limit(VOCABULARY).collect()]
+    found = F.array_intersect("marks", F.array(*[F.lit(mark) for mark in top])) if top else F.array().cast("array<string>")
+    rows = seen.orderBy("doc_id").select("domain", found.alias("marks")).collect()
+    start, adds = regression([(DOMAINS.index(r.domain), [top.index(m) for m in r.marks]) for r in rows], len(top))
+    return dict(zip(DOMAINS, start)), dict(zip(top, adds))
+
+
+def regression(rows: Sequence[tuple[int, Sequence[int]]], marks: int) -> tuple[list[float], list[list[float]]]:
+    """Log-odds of the domains without marks, and what each mark adds, from rows (domain, marks).
+
+    Steps with momentum on the likelihood's fixed curvature bound. Each domain has one row
+    without marks more than there are, so that none is impossible.
+    """
+    rows = [*rows, *[(k, ()) for k in range(len(DOMAINS))]]
+    x, y = np.zeros((len(rows), marks + 1)), np.zeros((len(rows), len(DOMAINS)))
+    x[:, marks] = 1
+    for i, (domain, found) in enumerate(rows):
+        y[i, domain] = 1
+        x[i, list(found)] = 1
+    held = np.append(np.full(marks, RIDGE), 1e-3)
+    bound = np.linalg.inv(x.T @ x / 2 + np.diag(held))
+    weights = ahead = np.zeros((marks + 1, len(DOMAINS)))
+    for step in range(FIT_STEPS):
+        logs = x @ ahead
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        moved_to = ahead - bound @ (x.T @ (p - y) + held[:, None] * ahead)
+        ahead, weights = moved_to + step / (step + 3) * (moved_to - weights), moved_to
+    return weights[marks].tolist(), weights[:marks].tolist()
 
 
 def posteriors(marks: Column, model: Model) -> Column:
@@ -111,11 +157,11 @@ def posteriors(marks: Column, model: Model) -> Column:
         logs = F.array(*[F.lit(priors[d]) for d in DOMAINS])
 
     def softened(found: Column) -> Column:
-        odds = F.transform(found, lambda x: F.exp((x - F.array_max(found)) / TEMPERATURE))
+        odds = F.transform(found, lambda x: F.exp(x - F.array_max(found)))
         sums = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(F.array(odds), lambda o: F.transform(o, lambda x: x / sums))[0]
+        return _bound(odds, lambda o: F.transform(o, lambda x: x / sums))
 
-    return F.transform(F.array(logs), softened)[0]
+    return _bound(logs, softened)
 
 
 def memberships(docs: DataFrame, model: Model, folder: str) -> DataFrame:
@@ -196,7 +242,7 @@ def mixed(docs: DataFrame, labels: DataFrame, folder: str, weights: Mapping[str,
     def shares(found: Column) -> Column:
         return posteriors(_marks(text, found), model)
 
-    rows = docs.withColumn("__shares", F.transform(F.array(W.words(F.lower(text))), shares)[0])
+    rows = docs.withColumn("__shares", _bound(W.words(F.lower(text)), shares))
     p = [F.col("__shares")[k] for k in range(len(DOMAINS))]
     n = copies(moved(F.lit(1.0), p, moves), F.xxhash64("doc_id", text))
     if keep is not None:
