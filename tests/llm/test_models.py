@@ -135,7 +135,7 @@ def test_regression_is_at_its_optimum():
     p = np.exp(x @ weights)
     p /= p.sum(axis=1, keepdims=True)
     assert np.abs(x.T @ (p - y) + np.array([[1.0]] * 6 + [[1e-3]]) * weights).max() < 1e-3
-    assert mixing.regression([], 0) == ([0.0, 0.0, 0.0], [])
+    assert np.allclose(mixing.regression([], 0)[0], 0)
 
 
 def test_trees_on_held_out_labels(spark):
