@@ -81,63 +81,6 @@ def test_domains_of_labelled_documents(spark):
     assert np.allclose(found.p_clean + found.p_poor + found.p_toxic, 1)
 
 
-def test_domains_of_held_out_labels(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8)
-    folder, half = scratch.run_folder(spark), F.expr("crc32(cast(doc_id as string)) % 2 = 0")
-    model = mixing.learnt(docs, labels.where(half), folder)
-    rows = mixing.memberships(docs.where(~half), model, folder)
-    found = rows.join(labels.select("doc_id", mixing.label_domain().alias("domain")), "doc_id").toPandas()
-    likeliest = found[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy().argmax(axis=1)
-    for k, domain in enumerate(mixing.DOMAINS):
-        own = found.domain == domain
-        assert (likeliest[own] == k).mean() > (0.99, 0.93, 0.8)[k], domain
-        assert abs(found[f"p_{domain}"].sum() / own.sum() - 1) < 0.1, domain  # what rates are made from
-
-
-def test_posteriors_and_marks_by_brute_force(spark):
-    texts = [(1, None), (2, ""), (3, "Idiots idiotic idioty ONE!!\nx\nx\n \n"), (3, "a | b ## c"), (3, "a | b ## c"), (4, "word " * 200_000), (None, "\n\n")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'w' as words", "1 as marks", "0 as n_tokens", "'d' as domain")
-    rng = np.random.default_rng(8)
-    names = ["kin idiot", "idiot", "one!!", "word", "mark bars 4", "mark lines 6", "mark upper 0"]
-    model = {d: float(x) for d, x in zip(mixing.DOMAINS, rng.normal(size=3))}, {m: rng.normal(size=3).tolist() for m in names}
-
-    def marks(text):
-        words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").split()]
-        once, lines = set(words), [x for x in (text or "").split("\n") if x.strip(" ")]
-        stems = [w[:5] for w in once]
-        found = set(stems) | {f"kin {x}" for x in stems if stems.count(x) >= 3} | {f"mark distinct {8 * len(once) // (len(words) + 1)}"}
-        size = len(text or "") + 1
-        shares = {k: sum(c in of for c in text or "") / size for k, of in {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "symbols": "#*$%&|<>", "loud": "!", "bars": "|"}.items()}
-        shares["lines"] = 1 - len(set(lines)) / max(1, len(lines))
-        return found | {f"mark {k} {math.floor(math.log2(1 + 200 * x))}" for k, x in shares.items()}
-
-    read = {(r.doc_id, r.n_tokens, frozenset(r.marks)) for r in mixing.marked(docs).collect()}
-    assert read == {(i, len((t or "").split()), frozenset(marks(t))) for i, t in texts}
-    rows = mixing.memberships(docs, model, scratch.run_folder(spark)).collect()
-    assert len(rows) == len(texts)
-    for i, text in texts:
-        logs = np.array([model[0][d] for d in mixing.DOMAINS]) + sum((np.array(model[1][m]) for m in marks(text) if m in model[1]), np.zeros(3))
-        p = np.exp(logs) / np.exp(logs).sum()
-        assert any(r.doc_id == i and np.allclose([r[f"p_{d}"] for d in mixing.DOMAINS], p) for r in rows), text
-
-
-def test_regression_is_at_its_optimum():
-    rng = np.random.default_rng(3)
-    rows = [(int(k), list({int(m) for m in rng.integers(0, 6, 3)} | {int(k)})) for k in rng.integers(0, 3, 300)]
-    start, adds = mixing.regression(rows, 6)
-    weights = np.array([*adds, start])
-    x = np.zeros((303, 7))
-    x[:, 6] = 1
-    for i, (_, found) in enumerate(rows):
-        x[i, found] = 1
-    y = np.eye(3)[[k for k, _ in rows] + [0, 1, 2]]
-    p = np.exp(x @ weights)
-    p /= p.sum(axis=1, keepdims=True)
-    assert np.abs(x.T @ (p - y) + np.array([[1.0]] * 6 + [[1e-3]]) * weights).max() < 1e-3
-    assert np.allclose(mixing.regression([], 0)[0], 0)
-
-
 def test_trees_on_held_out_labels(spark):
     rows = registered.queries()["op10_quality_trees"](spark, SF).toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
