@@ -52,16 +52,15 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 pointed.append(p)
         if len(pointed) == 1:
             _leave(pointed, group, order, size, where)
-        elif pointed:
-            times = Counter(pointed)
-            if len(times) == len(pointed):
+        elif len(set(pointed)) == len(pointed):
+            if pointed:
                 _leave(pointed, group, order, size, where)
-            else:
-                classes: dict[int, list[int]] = {}
-                for p, k in times.items():
-                    classes.setdefault(k, []).append(p)
-                for k in sorted(classes, reverse=True):
-                    _leave(classes[k], group, order, size, where)
+        else:
+            classes: dict[int, list[int]] = {}
+            for p, k in Counter(pointed).items():
+                classes.setdefault(k, []).append(p)
+            for k in sorted(classes, reverse=True):
+                _leave(classes[k], group, order, size, where)
     return _emitted(n, group, before)
 
 

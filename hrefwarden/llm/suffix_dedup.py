@@ -10,9 +10,9 @@ in the same text or another. No text is compared with all others:
 * Only contexts whose anchor occurs again matter. Equal contexts are folded into
   one with a count: all windows of a context that occurs twice are repeated.
 * What remains to be found are windows that a context which occurs once shares with
-  other contexts of its anchor. Contexts are dealt out by anchor. Stretches whose ``BLOCKS`` blocks, by
-  their hash, another context has at the same distance from the anchor are laid end to end and sorted by a
-  suffix array; windows that begin neighbouring suffixes and agree in all bytes are repeated.
+  other contexts of its anchor. Contexts are dealt out by anchor, laid end to end and sorted by a
+  suffix array over symbols of ``SYMBOL`` bytes counted from the anchor; windows that begin
+  neighbouring suffixes and agree in all bytes are repeated.
 * An anchor with more than ``MOST`` different contexts would not fit a task. Its
   windows are counted by their digests instead, which is as exact and may be split.
 """
@@ -30,14 +30,17 @@ from hrefwarden import scratch
 from hrefwarden.llm import arrow_text
 from hrefwarden.llm import words as W
 from hrefwarden.llm.grouping import suffix_array
+from hrefwarden.operators import spread
 
 LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
-#: Blocks counted from the anchor, and how many of them each window holds whole at least.
-BLOCK = 25
-BLOCKS = (LENGTH - BLOCK + 1) // BLOCK
+#: Bytes of a symbol of the suffix array, and how many symbols each window holds whole at least.
+SYMBOL = 8
+SYMBOLS = (LENGTH - SYMBOL + 1) // SYMBOL
 #: Contexts of one anchor that one suffix array takes, and bytes it is made of.
-MOST, SORTED_BYTES = 2000, 1 << 18
+MOST, SORTED_BYTES = 10_000, 1 << 18
+#: Rows from which an anchor or context may be joined apart from the others.
+HOT_ROWS = 100_000
 
 _OCCURRENCES = "doc_id long, row long, anchors array<long>, contexts array<long>, starts array<int>, windows array<int>, places array<int>"
 
@@ -111,25 +114,58 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "context", "n", "place", "bytes"])
 
 
-def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
+def repeated_windows(contexts: list[bytes], places: list[int]) -> list[np.ndarray]:
     """For each context, at which of its windows begins a string that one of them also has elsewhere.
 
-    One suffix array over all of them; a symbol below all bytes parts them.
+    Equal windows have their anchor at the same distance, so it is enough to sort the
+    suffixes that begin every ``SYMBOL`` bytes from it, ``SYMBOL`` bytes being one symbol;
+    a symbol below all others parts the contexts. Neighbours in the suffix array that agree in
+    ``SYMBOLS`` symbols are of one class. A window holds that many, the first of them
+    less than ``SYMBOL`` bytes behind its begin: windows are equal if class, distance to
+    it and the ``SYMBOL`` bytes around are.
     """
-    joined = np.concatenate([x for c in contexts for x in (np.frombuffer(c, dtype=np.uint8).astype(np.int64) + 1, [0])])
-    order = np.asarray(suffix_array(joined.tolist()))
-    begins = np.cumsum([0] + [len(c) + 1 for c in contexts])
-    owner = np.searchsorted(begins, np.arange(len(joined)), side="right") - 1
-    fits = np.arange(len(joined)) + LENGTH < begins[owner + 1]
-    order = order[fits[order]]
-    a, b = order[:-1], order[1:]
-    same = np.ones(len(a), dtype=bool)
-    for k in range(LENGTH):  # neighbours that still agree
-        live = np.flatnonzero(same) if k % 20 == 0 else live
-        same[live] &= joined[a[live] + k] == joined[b[live] + k]
-    twice = np.zeros(len(joined), dtype=bool)
-    twice[a[same]] = twice[b[same]] = True
-    return [np.flatnonzero(twice[x : y - 1]) for x, y in zip(begins, begins[1:])]
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    lengths = np.array([len(c) for c in contexts])
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    phase = np.asarray(places) % SYMBOL
+    counts = np.maximum(lengths - phase, 0) // SYMBOL
+    owner = np.repeat(np.arange(len(contexts)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = begins[owner] + phase[owner] + SYMBOL * nth
+    _, symbols = np.unique(_packed(data, at[:, None] + np.arange(SYMBOL)), return_inverse=True)
+    # one place more behind each context, for the symbol that parts them
+    joined = np.zeros(len(owner) + len(contexts), dtype=np.int64)
+    where = np.arange(len(owner)) + owner
+    joined[where] = symbols + 1
+    first = np.full(len(joined), -1)
+    first[where[nth + SYMBOLS <= counts[owner]]] = at[nth + SYMBOLS <= counts[owner]]
+    order = np.asarray(suffix_array(joined.tolist()), dtype=np.int64)
+    order = order[first[order] >= 0]
+    same = np.ones(max(0, len(order) - 1), dtype=bool)
+    for k in range(SYMBOLS):
+        same &= joined[order[:-1] + k] == joined[order[1:] + k]
+    kind = np.concatenate(([0], np.cumsum(~same)))[: len(order)]
+    shared = np.bincount(kind)[kind] > 1 if len(kind) else np.zeros(0, dtype=bool)
+    kind, start = kind[shared], first[order[shared]]
+    low, high = begins[np.searchsorted(begins, start, side="right") - 1], begins[np.searchsorted(begins, start, side="right")]
+    windows, keys, around = [], [], []
+    for lead in range(SYMBOL):
+        fits = (start - lead >= low) & (start - lead + LENGTH <= high)
+        beside = np.concatenate((np.arange(-lead, 0), np.arange(SYMBOL * SYMBOLS, LENGTH - lead)))
+        windows.append(start[fits] - lead)
+        keys.append(kind[fits] * SYMBOL + lead)
+        around.append(_packed(data, start[fits][:, None] + beside))
+    windows, keys, around = (np.concatenate(x) for x in (windows, keys, around))
+    order = np.lexsort((around, keys))
+    equal = (keys[order[:-1]] == keys[order[1:]]) & (around[order[:-1]] == around[order[1:]])
+    twice = np.zeros(len(data), dtype=bool)
+    twice[windows[order[:-1][equal]]] = twice[windows[order[1:][equal]]] = True
+    return [np.flatnonzero(twice[x:y]) for x, y in zip(begins, begins[1:])]
+
+
+def _packed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ``SYMBOL`` bytes at each row of places as one number."""
+    return np.ascontiguousarray(data[at]).view(">u8").ravel().astype(np.uint64)
 
 
 def _sorted_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,40 +183,14 @@ def _sorted_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _spans(rows)
 
 
-def _stretches(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """(row, first, last) of the windows that hold ``BLOCKS`` blocks that another context of the same anchor has there too."""
-    data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-    begins = np.cumsum([0] + [len(r[4]) for r in rows])
-    places = np.array([r[3] for r in rows])
-    sums = arrow_text.running_sums(data)
-    runs = [np.arange(place % BLOCK, len(r[4]) - BLOCK * BLOCKS + 1, BLOCK) for r, place in zip(rows, places)]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in runs])
-    at = np.concatenate(runs) if runs else np.zeros(0, dtype=np.int64)
-    hashes = arrow_text.stretch_hashes(sums, begins[owner] + at, begins[owner] + at + BLOCK * BLOCKS)
-    anchors = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)[owner]
-    keys = arrow_text.mixed(hashes * np.uint64(5) + arrow_text.mixed(anchors + (at - places[owner]).astype(np.uint64)))
-    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    found = []
-    for row, place in zip(owner[n[which] > 1], at[n[which] > 1]):
-        first, last = max(0, place - BLOCK), min(place, len(rows[row][4]) - LENGTH)
-        if first > last:
-            continue
-        if found and found[-1][0] == row and first <= found[-1][2] + 1:
-            found[-1] = (row, found[-1][1], last)
-        else:
-            found.append((row, first, last))
-    return found
-
-
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     """What contexts that occur once share with others; those that occur more often are whole already."""
     spans: dict[int, list] = {k: [] for k, r in enumerate(rows) if r[2] == 1}
-    taken = _stretches(rows)
-    for (row, begin, _), found in zip(taken, repeated_windows([rows[r][4][a : b + LENGTH] for r, a, b in taken]) if taken else (), strict=True):
+    for row, found in enumerate(repeated_windows([r[4] for r in rows], [r[3] for r in rows])):
         if row in spans and len(found):
             breaks = np.flatnonzero(np.diff(found) > 1)
             ends = zip(found[np.concatenate(([0], breaks + 1))], found[np.concatenate((breaks, [-1]))])
-            spans[row] += [{"first": int(begin + a), "last": int(begin + b)} for a, b in ends]
+            spans[row] = [{"first": int(a), "last": int(b)} for a, b in ends]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     names = [pa.array([rows[k][i] for k in spans], pa.int64()) for i in (0, 1)]
     return pa.RecordBatch.from_arrays([*names, pa.array(list(spans.values()), kind)], names=["anchor", "context", "spans"])
@@ -203,10 +213,12 @@ def _counted(crowded: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, row, spans) of docs(doc_id, row, text): the bytes to remove, each [first, last), in order and disjoint."""
     found = scratch.stage(docs.mapInArrow(_occurring, _OCCURRENCES), folder, "anchors")
-    again = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.stage(again, folder, "again")
     parts = F.arrays_zip("anchors", "contexts", "starts", "windows", "places")
     rows = found.select("doc_id", "row", F.inline(parts)).withColumnsRenamed({"anchors": "anchor", "contexts": "context", "starts": "start", "places": "place"})
-    rows = scratch.stage(rows.join(again, "anchor"), folder, "occurrences")
+    hot = spread.hot_keys(again, "anchor", "n", HOT_ROWS)
+    rows = scratch.stage(spread.lookup(rows, again.select("anchor"), "anchor", hot), folder, "occurrences")
     scratch.release(docs.sparkSession, f"{folder}/anchors")
 
     first = F.min(F.struct("doc_id", "row", "start", "windows", "place")).alias("at")
@@ -228,7 +240,9 @@ def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     by_counting = _counted(cut.where(F.col("kinds") > MOST))
     spans = scratch.stage(whole.unionByName(by_sorting).unionByName(by_counting), folder, "spans").where(F.size("spans") > 0)
 
-    covered = rows.join(spans, ["anchor", "context"]).select("doc_id", "row", "start", F.inline("spans"))
+    # a hot context is one that occurs again, so it has one span
+    hot = spread.hot_keys(folded, ("anchor", "context"), "n", HOT_ROWS)
+    covered = spread.lookup(rows, spans, ("anchor", "context"), hot).select("doc_id", "row", "start", F.inline("spans"))
     covered = covered.select("doc_id", "row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + LENGTH).alias("last"))
     merged = covered.distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
     return scratch.stage(merged, folder, "removed")
@@ -283,5 +297,6 @@ def deduplicated(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
+    """Removed bytes of every document; null and empty texts have 0 bytes, repeated rows lose what they share."""
     rows = deduplicated(W.table(spark, sf_dir, "documents"), W.workspace(spark))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -65,6 +65,36 @@ def test_crowded_anchors_are_counted(spark, monkeypatch):
     assert found(spark, rows) == expected(rows)
 
 
+def test_hot_anchors_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+    rows = list(enumerate(passages()))
+    assert found(spark, rows) == expected(rows)
+
+
+def test_windows_at_every_distance_from_the_anchor():
+    """Contexts that share what ends or begins at any place, the anchor at the same distance."""
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    for _ in range(200):
+        core = noise(rng.randint(200, 260))
+        contexts, places = [], []
+        for _ in range(rng.randint(1, 6)):
+            first, last = rng.randint(0, 30), rng.randint(0, 30)
+            before = noise(rng.randint(0, 20))
+            contexts.append(before + core[first : len(core) - last] + noise(rng.randint(0, 20)))
+            places.append(100 + len(before) - first)
+        counts = Counter(c[i : i + LENGTH] for c in contexts for i in range(len(c) - LENGTH + 1))
+        again = [[i for i in range(len(c) - LENGTH + 1) if counts[c[i : i + LENGTH]] > 1] for c in contexts]
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(contexts, places)] == again
+
+
+def test_text_longer_than_a_piece(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range((1 << 20) + 70_000))
+    rows = [(1, long), (2, "x" + long[(1 << 20) - 150 : (1 << 20) + 150] + "y"), (3, long[-210:])]
+    assert found(spark, rows) == expected(rows)
+
+
 def test_repeated_rows_and_odd_columns(spark):
     text = passages()[0]
     rows = [(1, text, 0, "x"), (1, text, 0, "x"), (None, text[100:], 0, "y"), (2, None, 0, None), (2, "short", 1, "z")]
