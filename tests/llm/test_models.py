@@ -90,6 +90,44 @@ def test_trees_on_held_out_labels(spark):
     assert (held.predicted == held.quality).mean() > 0.93 and rows.score.between(0, 1).all()
 
 
+@pytest.fixture
+def odd(spark, tmp_path):
+    """A folder of documents with missing, empty, long and repeated rows and clashing columns, and their labels."""
+    good = [(k, f"The study number {k} shows how rivers carry fine sand to the sea, and why it settles there.") for k in range(40)]
+    poor = [(k, f"BUY!!! now $$$ {k} ### click click click click >>> free $$$ {k}") for k in range(40, 80)]
+    rows = [*good, *poor, (80, None), (81, ""), (82, " \n\t"), (83, "word " * 30_000), (None, good[0][1]), (1, good[1][1]), (1, good[1][1]), (84, good[1][1])]
+    extra = ["'x' as stats", "1 as score", "0 as label", "2 as rate", "'t' as tokens", "true as held_out", "'en' as lang", "'web' as source"]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, int(k < 40), 0) for k in range(80)] + [(None, 1, 0), (1, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path), rows
+
+
+def test_odd_rows_of_trees(spark, odd):
+    sf, rows = odd
+    found = registered.queries()["op10_quality_trees"](spark, sf).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((i for i, _ in rows), key=str)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    scores = {}
+    for r in found:  # equal texts have equal scores, null and empty ones too
+        text = next((t or "") for i, t in rows if i == r.doc_id)
+        assert scores.setdefault(text, r.score) == r.score
+    by_id = {r.doc_id: r for r in found}
+    assert all(by_id[k].predicted == int(k < 40) for k in range(80))
+
+
+def test_odd_rows_of_mixing(spark, odd):
+    sf, rows = odd
+    found = registered.queries()["op5_mixing"](spark, sf).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((i for i, _ in rows), key=str)
+    p = [f"p_{d}" for d in mixing.DOMAINS]
+    assert all(math.isclose(sum(r[x] for x in p), 1.0, abs_tol=1e-9) and r.rate >= 0 and r.n_copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in found)
+    same = [tuple(r[x] for x in (*p, "rate")) for r in found if r.doc_id in (1, 84)]
+    assert len(same) == 4 and len(set(same)) == 1
+    assert len({tuple(r[x] for x in (*p, "rate")) for r in found if r.doc_id in (80, 81)}) == 1
+
+
 def test_flat_trees_equal_walked_ones():
     rng = np.random.default_rng(0)
     rows = rng.normal(size=(900, 6)).astype(np.float32)
