@@ -207,6 +207,23 @@ def test_pipeline_stages(spark):
         docs, before = after, {r.doc_id: r.text for r in after.collect()} if k < 4 else {}
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    sf, rows = odd
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_chars", F.length("text").cast("long"))
+    run = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted((r.doc_id for r in found.select("doc_id").collect()), key=str) for name, found in run.items()}
+    every = sorted((i for i, _ in rows), key=str)
+    assert ids["quality rules"] == []  # all have fewer than 50 words or repeat themselves
+    # blank texts are linked with nothing
+    assert {80, 81, 82, 83} <= set(ids["MinHash near-dedup"])
+    assert 84 not in ids["MinHash near-dedup"] and 1 in ids["MinHash near-dedup"]
+    assert ids["secret scans"] == every and ids["BPE encoding and decoding"] == every
+    masked = run["secret scans"]
+    assert masked.columns == docs.columns and masked.where("text is null").count() == 1
+    assert {i for i in range(40)} <= set(ids["mixing sources to target weights"]) <= set(every)
+    assert {r.n_tokens for r in run["BPE encoding and decoding"].where("doc_id in (80, 81)").collect()} == {0}
+
+
 def near_groups(texts):
     from test_minhash import brute_force
 
