@@ -509,10 +509,7 @@ def stream_link_audit(spark, sf):
     """Pages arrive as a stream of TeX documents; the defects of all batches."""
     out = scratch.run_folder(spark)
     scratch.make_parent(spark, f"{out}/cache")
-    arriving = (
-        spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf)
-    )
-    docs = corpora.tex_documents_of(arriving)
+    docs = corpora.tex_documents_of(corpora.pages_stream(spark, sf))
     options = _audit_options(cache_path=f"{out}/cache")
     running = stream.audit_stream(docs, options, out, corpora.probe_log(spark, sf), corpora.doi_log(spark, sf))
     running.awaitTermination()

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hrefwarden import scratch
 from hrefwarden.functions import urls
 
 AS_OF = dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc)
@@ -26,6 +27,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as a stream of its files, whether the table is a folder of files or one file."""
+    path = f"{sf_dir}/pages.parquet"
+    reader = spark.readStream.schema("page_id long, url string, html string")
+    if scratch.path_kind(spark, path) == "file":  # streams read folders only
+        return reader.option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 

@@ -217,6 +217,25 @@ def test_named_run_takes_up_stored_answers(spark, docs, tmp_path):
     assert defects_of(again.defects) == before != []
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_of_pages_reads_a_table_of_one_file_or_a_folder(spark, tmp_path, files):
+    import __spark_entry__
+
+    rows = [(k, f"http://h{k % 7}.example.com/en/{k % 20}.html", "<p>x</p>") for k in range(60)] + [(None, None, None), (5, "http://h5.example.com/", None)]
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    table = str(tmp_path / "pages.parquet")
+    if files:
+        pages.repartition(files).write.parquet(table)
+    else:
+        pages.toPandas().astype({"page_id": "Int64"}).to_parquet(table)
+    spark.createDataFrame([(1, "http://other.example.com/", "")], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["stream_link_audit"](spark, str(tmp_path))
+    logs = corpora.probe_log(spark, str(tmp_path)), corpora.doi_log(spark, str(tmp_path))
+    whole = audit.run_audit(spark, corpora.tex_corpus(spark, str(tmp_path)), AuditOptions(as_of=corpora.AS_OF), *logs)
+    assert defects_of(found) == defects_of(whole.defects) != []
+
+
 def test_stream_needs_a_cache(spark, arriving, tmp_path):
     with pytest.raises(ValueError):
         stream.audit_stream(read_stream(spark, arriving), options(), str(tmp_path))
