@@ -37,8 +37,10 @@ WORDS = CLASSES * CLASSES
 SIDE, WIDTH = 2, 24
 #: Rounds of training, places a step, and its length.
 ROUNDS, STEP_PLACES, STEP_LENGTH = 2, 16384, 0.06
-#: Places scored at once.
-SCORED = 1 << 15
+#: Places scored at once, and logits made at once, which are to stay in the cache of a core.
+SCORED, BLOCK_CELLS = 1 << 15, 1 << 17
+#: Logits up to which sums of exponentials stay within 32 bits.
+LARGEST_LOGIT = 80
 
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 _EDGE = -1  # stands before the first and after the last word of a document; the last row of its weights
@@ -72,13 +74,26 @@ class Network:
     def own(self) -> int:
         return len(self.weights["word"]) - len(self.totals)
 
+    def __post_init__(self):
+        # Words are looked up by the leading bits of their hashes, so many that few slots hold two words.
+        bits = max(8, (8 * len(self.hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
     def words_of(self, hashed: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word hash."""
-        shared = self.own + hashed.view(np.int64) % np.int64(len(self.totals))
-        if not len(self.hashes):
-            return shared
-        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashed, self.places[at], shared)
+        words = self.own + hashed.view(np.int64) % np.int64(len(self.totals))
+        slot = (hashed >> self.shift).astype(np.int64)
+        at, ends = self.slots[slot], self.slots[slot + 1]
+        left = np.flatnonzero(at < ends)
+        at, ends = at[left], ends[left]
+        while len(left):
+            found = self.hashes[at] == hashed[left]
+            words[left[found]] = self.places[at[found]]
+            at += 1
+            more = ~found & (at < ends)
+            left, at, ends = left[more], at[more], ends[more]
+        return words
 
     def least_shares(self, words: np.ndarray) -> np.ndarray:
         """Log of the share of its place that a word seen once or never has; n times that for a word seen n times."""
@@ -133,95 +148,128 @@ def drawn(hashed: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
 # Of logits and what is made of them, each column is a place.
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    np.subtract(logits, logits.max(axis=0), out=logits)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=0)
-    return logits
+def _layer(w: dict, layer: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights and biases of a layer, and whether logits can get so large that exponentials need the largest subtracted."""
+    rows, bias = w[layer], w[f"{layer}_bias"][:, None]
+    largest = (np.abs(rows).sum(axis=1) + np.abs(bias[:, 0])).max()  # as the inner layer is within -1 and 1
+    return rows, bias, not largest <= LARGEST_LOGIT
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """As ``_softmax`` overwrites its argument."""
-    top = logits.max(axis=0)
-    np.subtract(logits, top, out=logits)
-    return top + np.log(np.exp(logits, out=logits).sum(axis=0))
+def _blocks(first: int, last: int, rows: int) -> Iterator[slice]:
+    step = max(1, BLOCK_CELLS // rows)
+    for a in range(first, last, step):
+        yield slice(a, min(a + step, last))
 
 
-def _logits(w: dict, layer: str, h: np.ndarray, own: slice = slice(None)) -> np.ndarray:
-    logits = w[layer][own] @ h.T
-    logits += w[f"{layer}_bias"][own, None]
+def _logits(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray) -> np.ndarray:
+    logits = rows @ h.T
+    logits += bias
+    if shifted:
+        logits -= logits.max(axis=0)
     return logits
 
 
-def _by_class(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, slice]]]:
-    """The order of places by the class of their words; classes and numbers within them in that order; (first, last, places) of each class."""
+def _log_shares(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The log of the share that the row ``number`` has of each place."""
+    logits = _logits(rows, bias, shifted, h)
+    found = logits[number, np.arange(len(h))]
+    found -= np.log(np.exp(logits, out=logits).sum(axis=0))
+    return found
+
+
+def _gradients_of(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradients of a layer's rows, of their biases and of the inner layer."""
+    off = _logits(rows, bias, shifted, h)
+    np.exp(off, out=off)
+    total = off.sum(axis=0)
+    off[number, np.arange(len(h))] -= total  # now the shares less the word's own, times the total
+    part = 1 / total
+    back = off.T @ rows
+    back *= part[:, None]
+    return off @ (h * part[:, None]), off @ part, back
+
+
+def _levels(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[str, np.ndarray, list]]]:
+    """The order of places by the class of their words, and for each layer in that order: numbers within the rows that
+    can be there, and (first, last, these rows) of places that have them in common."""
     classes = len(w["class"])
     size = len(w["word"]) // classes
-    kind, number = np.divmod(text[at], size)
+    kind, number = np.divmod(text[at].astype(np.int32), np.int32(size))
     order = np.argsort(kind.astype(np.uint16), kind="stable")
     kind, number = kind[order], number[order]
     ends = np.searchsorted(kind, np.arange(classes + 1))
-    return order, kind, number, [(ends[k], ends[k + 1], slice(k * size, (k + 1) * size)) for k in np.flatnonzero(np.diff(ends))]
+    parts = [(ends[k], ends[k + 1], slice(k * size, (k + 1) * size)) for k in np.flatnonzero(np.diff(ends))]
+    return order, [("class", kind, [(0, len(at), slice(0, classes))]), ("word", number, parts)]
 
 
-def _around(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The neighbours of places (offsets x places), and their weights for each offset."""
-    around = np.stack([text[at + k] for k in _OFFSETS])
-    around[around < 0] = len(w["seen"]) - 1
-    return around, [np.take(w["seen"], words, axis=0) for words in around]
-
-
-def _inner(w: dict, seen: list[np.ndarray]) -> np.ndarray:
-    """The inner layer at places whose neighbours have the weights ``seen``."""
-    total = seen[0] * w["offset"][0]
-    for k in range(1, len(_OFFSETS)):
-        total += seen[k] * w["offset"][k]
-    total += w["inner"]
-    return np.tanh(total, out=total)
+def _inner(w: dict, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The inner layer at places."""
+    h = np.empty((len(at), WIDTH), dtype=w["seen"].dtype)
+    sent = [w["seen"] * offset for offset in w["offset"]]
+    sent[0] += w["inner"]
+    for part in _blocks(0, len(at), WIDTH):
+        here = at[part]
+        total = np.take(sent[0], text[here + _OFFSETS[0]], axis=0)  # an edge, -1, has the last row
+        for k in range(1, len(_OFFSETS)):
+            total += np.take(sent[k], text[here + _OFFSETS[k]], axis=0)
+        np.tanh(total, out=h[part])
+    return h
 
 
 def log_probabilities(w: dict, text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of the vocabulary's number at each place, given its neighbours."""
     out = np.empty(len(at))
+    layers = {name: _layer(w, name) for name in ("class", "word")}
     for first in range(0, len(at), SCORED):
         here = at[first : first + SCORED]
-        order, kind, number, parts = _by_class(w, text, here)
-        h = _inner(w, _around(w, text, here[order])[1])
-        logits = _logits(w, "class", h)
-        scores = logits[kind, np.arange(len(h))]
-        scores -= _log_sum(logits)
-        for a, b, own in parts:
-            logits = _logits(w, "word", h[a:b], own)
-            scores[a:b] += logits[number[a:b], np.arange(b - a)]
-            scores[a:b] -= _log_sum(logits)
+        order, levels = _levels(w, text, here)
+        h = _inner(w, text, here[order])
+        scores = np.zeros(len(h), dtype=h.dtype)
+        for name, number, parts in levels:
+            rows, bias, shifted = layers[name]
+            for a, b, own in parts:
+                for part in _blocks(a, b, own.stop - own.start):
+                    scores[part] += _log_shares(rows[own], bias[own], shifted, h[part], number[part])
         out[first + order] = scores
     return out
 
 
 def _gradients(w: dict, text: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    order, kind, number, parts = _by_class(w, text, at)
-    around, seen = _around(w, text, at[order])
-    h = _inner(w, seen)
+    order, levels = _levels(w, text, at)
+    at = at[order]
+    h = _inner(w, text, at)
     g = {name: np.zeros_like(v) for name, v in w.items()}
-    off = _softmax(_logits(w, "class", h))
-    off[kind, np.arange(len(h))] -= 1
-    g["class"], g["class_bias"] = off @ h, off.sum(axis=1)
-    back = off.T @ w["class"]
-    for a, b, own in parts:
-        off = _softmax(_logits(w, "word", h[a:b], own))
-        off[number[a:b], np.arange(b - a)] -= 1
-        g["word"][own], g["word_bias"][own] = off @ h[a:b], off.sum(axis=1)
-        back[a:b] += off.T @ w["word"][own]
-    back *= 1 - h * h
+    back = np.zeros_like(h)
+    for name, number, parts in levels:
+        rows, bias, shifted = _layer(w, name)
+        for a, b, own in parts:
+            for part in _blocks(a, b, own.stop - own.start):
+                weights, biases, more = _gradients_of(rows[own], bias[own], shifted, h[part], number[part])
+                g[name][own] += weights
+                g[f"{name}_bias"][own] += biases
+                back[part] += more
+    h *= h
+    back *= np.subtract(1, h, out=h)
     g["inner"] = back.sum(axis=0)
-    for k in range(len(_OFFSETS)):
-        g["offset"][k] = np.einsum("ij,ij->j", back, seen[k])
-    rows, towards = around.ravel(), np.ascontiguousarray(back.T)
-    for d in range(WIDTH):
-        g["seen"][:, d] = np.bincount(rows, np.outer(w["offset"][:, d], towards[d]).ravel(), minlength=len(w["seen"]))
+    for k, offset in enumerate(_OFFSETS):
+        g["offset"][k] = np.einsum("ij,ij->j", back, np.take(w["seen"], text[at + offset], axis=0))
+    # What all places send to a neighbour meets there before it is summed by word.
+    first = at.min() - SIDE
+    near = text[first : at.max() + SIDE + 1]
+    near = np.where(near < 0, len(w["seen"]) - 1, near)
+    sent, from_place = np.zeros(len(near) + 2 * SIDE, dtype=back.dtype), at - first + SIDE
+    for d, column in enumerate(np.ascontiguousarray(back.T)):
+        sent[from_place] = column
+        towards = sum(w["offset"][k, d] * sent[SIDE - offset : SIDE - offset + len(near)] for k, offset in enumerate(_OFFSETS))
+        g["seen"][:, d] = np.bincount(near, towards, minlength=len(w["seen"]))
     return g
 
 
+def _keep_freed_memory() -> None:
+    """Have the C library keep the memory that steps free and take again; it goes by the largest array freed, up to 32 MB."""
+    np.empty((32 << 20) - (1 << 16), dtype=np.uint8)
+
+
 class Trainer:
     """Adaptive gradient steps from given weights; ``places`` counts what it has learnt from."""
 
@@ -284,6 +332,7 @@ def trained(docs: DataFrame, network: Network, turn: int) -> Network:
     shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed_memory()
         own = shared.value
         trainer = Trainer(own.weights)
         for batch in batches:
@@ -338,6 +387,7 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed_memory()
         own = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -363,7 +413,9 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
         return rows.select("doc_id", "n_tokens", "log_prob")
     rows = scratch.stage(rows, scratch.run_folder(docs.sparkSession), "scored")
     words = rows.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
-    more = words.join(network.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    # The counts are the smaller side, so that the many words of the rows need not be sorted.
+    counts = network.counts.select("word", F.log("n").alias("log_n")).hint("shuffle_hash")
+    more = words.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
     return rows.join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
 
 

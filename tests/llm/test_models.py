@@ -5,7 +5,6 @@ import math
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -168,6 +167,31 @@ def test_gradients_are_those_of_the_log_probability():
         assert math.isclose((up - down) / 2e-5, g[name][place], rel_tol=1e-3, abs_tol=1e-5), name
 
 
+def test_large_logits_do_not_overflow_and_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    network = pseudo_likelihood.started([(k, 900 - k) for k in range(800)], 900_000)
+    w = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in network.weights.items()}
+    text, at = pseudo_likelihood.padded(rng.integers(0, pseudo_likelihood.WORDS, 3000), np.array([0, 1200, 3000]))
+    found, steps = pseudo_likelihood.log_probabilities(w, text, at), pseudo_likelihood._gradients(w, text, at)
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK_CELLS", 1000)  # 15 places at once
+    far = w | {f"{layer}_bias": w[f"{layer}_bias"] + np.float32(100) for layer in ("class", "word")}
+    for weights in (w, far):  # the same to all words, but beyond what an exponential can be
+        assert np.allclose(pseudo_likelihood.log_probabilities(weights, text, at), found, atol=1e-3)
+        g = pseudo_likelihood._gradients(weights, text, at)
+        assert all(np.allclose(g[name], steps[name], atol=1e-2) for name in steps)
+
+
+def test_words_are_found_by_the_leading_bits_of_their_hashes():
+    rng = np.random.default_rng(6)
+    near = (np.uint64(7) << np.uint64(60)) + np.arange(40, dtype=np.uint64)  # all in one slot
+    hashes = np.concatenate([near, rng.integers(0, 1 << 64, 2000, dtype=np.uint64), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+    network = pseudo_likelihood.started([(int(h), 9) for h in hashes.view(np.int64)], 100_000)
+    other = np.concatenate([near + np.uint64(50), rng.integers(0, 1 << 64, 500, dtype=np.uint64)])
+    assert (network.words_of(hashes) == np.arange(len(hashes))).all()
+    assert (network.words_of(other) == network.own + other.view(np.int64) % len(network.totals)).all()
+    assert not len(network.words_of(hashes[:0]))
+
+
 def test_language_model_learns_and_scores_every_row(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "the")], docs.schema)
