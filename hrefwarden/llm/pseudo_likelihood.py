@@ -4,8 +4,8 @@ A window network sees the words on both sides of a place, but not the word itsel
 and gives the probability of every word of the vocabulary to stand there. A
 document's score is the sum of the log-probabilities of its own words. The network
 is trained in numpy inside tasks: each task starts from the shared weights, runs
-over all its documents and sends back what it arrived at; Spark sums the weights
-cell by cell. The rounds learn from disjoint parts of the places, which together are
+over all its documents and sends back what it arrived at; Spark sums the weights,
+many in a row. The rounds learn from disjoint parts of the places, which together are
 all places of all documents. What is gathered grows with the number of tasks.
 
 The output has three factors: the class of the word (words of like frequency), the
@@ -38,7 +38,9 @@ SIDE, WIDTH = 2, 24
 #: Rounds of training, places a step, and its length.
 ROUNDS, STEP_PLACES, STEP_LENGTH = 2, 16384, 0.06
 #: Places scored at once, and logits made at once, which are to stay in the cache of a core.
-SCORED, BLOCK_CELLS = 1 << 15, 1 << 17
+SCORED, BLOCK_CELLS = 1 << 17, 1 << 17
+#: Weights that tasks send in one row.
+CELLS = 32
 #: Logits up to which sums of exponentials stay within 32 bits.
 LARGEST_LOGIT = 80
 
@@ -145,48 +147,71 @@ def drawn(hashed: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
     return arrow_text.mixed(hashed + within.astype(np.uint64)) % np.uint64(ROUNDS) == np.uint64(turn)
 
 
-# Of logits and what is made of them, each column is a place.
+# Of logits and what is made of them, each column is a place. Biases are the last weight of each row, which meets a
+# one after the numbers of the inner layer, so that products add them.
 
 
-def _layer(w: dict, layer: str) -> tuple[np.ndarray, np.ndarray, bool]:
+def _layer(w: dict, layer: str) -> tuple[np.ndarray, bool]:
     """Weights and biases of a layer, and whether logits can get so large that exponentials need the largest subtracted."""
-    rows, bias = w[layer], w[f"{layer}_bias"][:, None]
-    largest = (np.abs(rows).sum(axis=1) + np.abs(bias[:, 0])).max()  # as the inner layer is within -1 and 1
-    return rows, bias, not largest <= LARGEST_LOGIT
+    rows = np.column_stack((w[layer], w[f"{layer}_bias"]))
+    largest = (np.abs(rows) @ np.ones(WIDTH + 1, dtype=rows.dtype)).max()  # as the inner layer is within -1 and 1
+    return rows, not largest <= LARGEST_LOGIT
 
 
-def _blocks(first: int, last: int, rows: int) -> Iterator[slice]:
+def _blocks(n: int, rows: int) -> Iterator[slice]:
     step = max(1, BLOCK_CELLS // rows)
-    for a in range(first, last, step):
-        yield slice(a, min(a + step, last))
+    for a in range(0, n, step):
+        yield slice(a, min(a + step, n))
 
 
-def _logits(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray) -> np.ndarray:
-    logits = rows @ h.T
-    logits += bias
+def _within(parts: list[tuple[int, int, slice]], block: slice) -> Iterator[tuple[slice, slice, slice]]:
+    """What a block has of each part: where in the block, where among all places, and the rows of the part."""
+    for first, last, own in parts:
+        a, b = max(first, block.start), min(last, block.stop)
+        if a < b:
+            yield slice(a - block.start, b - block.start), slice(a, b), own
+
+
+def _logits(rows: np.ndarray, shifted: bool, h: np.ndarray, found: list[tuple[slice, slice, slice]]) -> np.ndarray:
+    logits = np.empty((found[0][2].stop - found[0][2].start, found[-1][0].stop), dtype=h.dtype)
+    for here, places, own in found:
+        np.matmul(rows[own], h[places].T, out=logits[:, here])
     if shifted:
         logits -= logits.max(axis=0)
     return logits
 
 
-def _log_shares(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The log of the share that the row ``number`` has of each place."""
-    logits = _logits(rows, bias, shifted, h)
-    found = logits[number, np.arange(len(h))]
-    found -= np.log(np.exp(logits, out=logits).sum(axis=0))
-    return found
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), dtype=x.dtype) @ x
+
+
+def _log_shares(layer: tuple[np.ndarray, bool], h: np.ndarray, number: np.ndarray, parts: list[tuple[int, int, slice]]) -> np.ndarray:
+    """The log of the share that the row ``number`` of its part has of each place."""
+    out = np.empty(len(h), dtype=h.dtype)
+    for block in _blocks(len(h), parts[0][2].stop - parts[0][2].start):
+        logits = _logits(*layer, h, list(_within(parts, block)))
+        found = logits[number[block], np.arange(logits.shape[1])]
+        out[block] = found - np.log(_column_sums(np.exp(logits, out=logits)))
+    return out
 
 
-def _gradients_of(rows: np.ndarray, bias: np.ndarray, shifted: bool, h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The gradients of a layer's rows, of their biases and of the inner layer."""
-    off = _logits(rows, bias, shifted, h)
-    np.exp(off, out=off)
-    total = off.sum(axis=0)
-    off[number, np.arange(len(h))] -= total  # now the shares less the word's own, times the total
-    part = 1 / total
-    back = off.T @ rows
-    back *= part[:, None]
-    return off @ (h * part[:, None]), off @ part, back
+def _gradients_of(layer: tuple[np.ndarray, bool], h: np.ndarray, number: np.ndarray, parts: list[tuple[int, int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of a layer's rows and of the inner layer."""
+    rows, _ = layer
+    weights, back = np.zeros_like(rows), np.empty((len(h), WIDTH), dtype=h.dtype)
+    for block in _blocks(len(h), parts[0][2].stop - parts[0][2].start):
+        found = list(_within(parts, block))
+        off = _logits(*layer, h, found)
+        np.exp(off, out=off)
+        total = _column_sums(off)
+        off[number[block], np.arange(len(total))] -= total  # now the shares less the word's own, times the total
+        share = (1 / total)[:, None]
+        scaled = h[block] * share
+        for here, places, own in found:
+            np.matmul(off[:, here].T, rows[own, :WIDTH], out=back[places])
+            weights[own] += off[:, here] @ scaled[here]
+        back[block] *= share
+    return weights, back
 
 
 def _levels(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[str, np.ndarray, list]]]:
@@ -203,16 +228,16 @@ def _levels(w: dict, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list
 
 
 def _inner(w: dict, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The inner layer at places."""
-    h = np.empty((len(at), WIDTH), dtype=w["seen"].dtype)
+    """The inner layer at places, and a one after it."""
+    h = np.ones((len(at), WIDTH + 1), dtype=w["seen"].dtype)
     sent = [w["seen"] * offset for offset in w["offset"]]
     sent[0] += w["inner"]
-    for part in _blocks(0, len(at), WIDTH):
+    for part in _blocks(len(at), WIDTH):
         here = at[part]
         total = np.take(sent[0], text[here + _OFFSETS[0]], axis=0)  # an edge, -1, has the last row
         for k in range(1, len(_OFFSETS)):
             total += np.take(sent[k], text[here + _OFFSETS[k]], axis=0)
-        np.tanh(total, out=h[part])
+        h[part, :WIDTH] = np.tanh(total, out=total)
     return h
 
 
@@ -226,10 +251,7 @@ def log_probabilities(w: dict, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = _inner(w, text, here[order])
         scores = np.zeros(len(h), dtype=h.dtype)
         for name, number, parts in levels:
-            rows, bias, shifted = layers[name]
-            for a, b, own in parts:
-                for part in _blocks(a, b, own.stop - own.start):
-                    scores[part] += _log_shares(rows[own], bias[own], shifted, h[part], number[part])
+            scores += _log_shares(layers[name], h, number, parts)
         out[first + order] = scores
     return out
 
@@ -238,30 +260,32 @@ def _gradients(w: dict, text: np.ndarray, at: np.ndarray) -> dict[str, np.ndarra
     order, levels = _levels(w, text, at)
     at = at[order]
     h = _inner(w, text, at)
-    g = {name: np.zeros_like(v) for name, v in w.items()}
-    back = np.zeros_like(h)
+    g = {"offset": np.empty_like(w["offset"])}
+    back = np.zeros((len(at), WIDTH), dtype=h.dtype)
     for name, number, parts in levels:
-        rows, bias, shifted = _layer(w, name)
-        for a, b, own in parts:
-            for part in _blocks(a, b, own.stop - own.start):
-                weights, biases, more = _gradients_of(rows[own], bias[own], shifted, h[part], number[part])
-                g[name][own] += weights
-                g[f"{name}_bias"][own] += biases
-                back[part] += more
+        weights, more = _gradients_of(_layer(w, name), h, number, parts)
+        g[name], g[f"{name}_bias"] = weights[:, :WIDTH], weights[:, WIDTH]
+        back += more
     h *= h
-    back *= np.subtract(1, h, out=h)
-    g["inner"] = back.sum(axis=0)
+    back *= np.subtract(1, h, out=h)[:, :WIDTH]
+    g["inner"] = _column_sums(back)
     for k, offset in enumerate(_OFFSETS):
-        g["offset"][k] = np.einsum("ij,ij->j", back, np.take(w["seen"], text[at + offset], axis=0))
+        seen = np.take(w["seen"], text[at + offset], axis=0)
+        g["offset"][k] = _column_sums(np.multiply(back, seen, out=seen))
     # What all places send to a neighbour meets there before it is summed by word.
     first = at.min() - SIDE
     near = text[first : at.max() + SIDE + 1]
     near = np.where(near < 0, len(w["seen"]) - 1, near)
-    sent, from_place = np.zeros(len(near) + 2 * SIDE, dtype=back.dtype), at - first + SIDE
-    for d, column in enumerate(np.ascontiguousarray(back.T)):
-        sent[from_place] = column
-        towards = sum(w["offset"][k, d] * sent[SIDE - offset : SIDE - offset + len(near)] for k, offset in enumerate(_OFFSETS))
-        g["seen"][:, d] = np.bincount(near, towards, minlength=len(w["seen"]))
+    sent = np.zeros((len(near) + 2 * SIDE, WIDTH), dtype=back.dtype)
+    sent[at - first + SIDE] = back
+    towards, more = np.empty((2, len(near)), dtype=back.dtype)
+    sums = np.empty((WIDTH, len(w["seen"])), dtype=back.dtype)
+    for d, column in enumerate(np.ascontiguousarray(sent.T)):
+        towards[:] = 0
+        for k, offset in enumerate(_OFFSETS):
+            towards += np.multiply(column[SIDE - offset : SIDE - offset + len(near)], w["offset"][k, d], out=more)
+        sums[d] = np.bincount(near, towards, minlength=len(w["seen"]))
+    g["seen"] = np.ascontiguousarray(sums.T)
     return g
 
 
@@ -327,6 +351,28 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _sent(weights: dict[str, np.ndarray], places: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a task's weights times the places it learnt from; these places are the last number of the last row."""
+    flat = _flat(weights)
+    values = np.zeros((len(flat) // CELLS + 1, CELLS))  # one number more at least
+    np.multiply(flat, places, out=values.ravel()[: len(flat)], dtype=np.float64)
+    values[-1, -1] = places
+    rows = np.arange(len(values))
+    for a in range(0, len(rows), 2_000):
+        part = slice(a, a + 2_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[part], *np.ascontiguousarray(values[part].T))], names=["row", *_cells()])
+
+
+def _averaged(sums: pa.Table, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    values = np.empty((sums.num_rows, CELLS))
+    values[np.asarray(sums["row"])] = np.column_stack([np.asarray(sums[cell]) for cell in _cells()])
+    return _shaped(values.ravel() / values[-1, -1], like)
+
+
+def _cells() -> list[str]:
+    return [f"cell{k}" for k in range(CELLS)]
+
+
 def trained(docs: DataFrame, network: Network, turn: int) -> Network:
     """One round: every task learns from its documents, the weights are averaged by the places learnt from."""
     shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
@@ -341,20 +387,11 @@ def trained(docs: DataFrame, network: Network, turn: int) -> Network:
                 text, at = padded(own.words_of(hashed), bounds)
                 trainer.learn(text, at[drawn(hashed, bounds, turn)])
         if trainer.places:
-            flat = _flat(trainer.weights).astype(np.float64) * trainer.places
-            cells = np.arange(-1, len(flat))
-            values = np.concatenate(([trainer.places], flat))
-            for a in range(0, len(cells), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(cells[a : a + 50_000]), pa.array(values[a : a + 50_000])], names=["cell", "value"])
-
-    sums = docs.select("text").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-    found = sums.toArrow()
-    if not found.num_rows:
-        return network
-    cells, values = np.asarray(found["cell"]), np.asarray(found["value"])
-    flat = np.empty(len(cells))
-    flat[cells] = values  # cell -1, the places, comes last
-    return replace(network, weights=_shaped(flat[:-1] / flat[-1], network.weights))
+            yield from _sent(trainer.weights, trainer.places)
+
+    rows = docs.select("text").mapInArrow(run, "row long, " + ", ".join(f"{cell} double" for cell in _cells()))
+    sums = rows.groupBy("row").agg(*[F.sum(cell).alias(cell) for cell in _cells()]).toArrow()
+    return replace(network, weights=_averaged(sums, network.weights)) if sums.num_rows else network
 
 
 def fitted(docs: DataFrame) -> Network:

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -181,6 +182,51 @@ def test_large_logits_do_not_overflow_and_blocks_change_nothing(monkeypatch):
         assert all(np.allclose(g[name], steps[name], atol=1e-2) for name in steps)
 
 
+def test_a_layer_is_worked_on_across_its_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, h, number = rng.normal(0, 0.5, (30, pseudo_likelihood.WIDTH + 1)), rng.normal(0, 0.5, (50, pseudo_likelihood.WIDTH + 1)), rng.integers(0, 10, 50)
+    h[:, -1] = 1
+    parts = [(0, 3, slice(0, 10)), (3, 4, slice(10, 20)), (4, 50, slice(20, 30))]
+    own = np.concatenate([np.tile(rows[r], (b - a, 1, 1)) for a, b, r in parts])  # the rows of each place
+    share = np.exp(np.einsum("prw,pw->pr", own, h))
+    share /= share.sum(axis=1, keepdims=True)
+    off = share.copy()
+    off[np.arange(50), number] -= 1
+    weights = np.concatenate([off[a:b].T @ h[a:b] for a, b, _ in parts])
+    back = np.einsum("pr,prw->pw", off, own)[:, :-1]
+    for cells in (70, 1000):  # seven places at once, and all
+        monkeypatch.setattr(pseudo_likelihood, "BLOCK_CELLS", cells)
+        for shifted in (False, True):
+            assert np.allclose(pseudo_likelihood._log_shares((rows, shifted), h, number, parts), np.log(share[np.arange(50), number]))
+            found = pseudo_likelihood._gradients_of((rows, shifted), h, number, parts)
+            assert np.allclose(found[0], weights) and np.allclose(found[1], back)
+
+
+def test_weights_travel_many_in_a_row():
+    for size in (31, 32, 33, 70_000):
+        weights = {"a": np.arange(size, dtype=np.float32), "b": np.ones((3, 1), dtype=np.float32)}
+        sums = pa.Table.from_batches(pseudo_likelihood._sent(weights, 5))
+        assert sums.num_rows == (size + 3) // pseudo_likelihood.CELLS + 1
+        found = pseudo_likelihood._averaged(sums.take(np.arange(sums.num_rows)[::-1]), weights)
+        assert all((found[k] == weights[k]).all() for k in weights)
+
+
+def test_a_round_averages_what_its_tasks_learn(spark):
+    docs = spark.range(40, numPartitions=2).selectExpr("concat_ws(' ', transform(sequence(0, id * 3), i -> concat('w', i * id % 17))) as text")
+    network = pseudo_likelihood.vocabulary(docs)
+    learnt = []
+    for texts in (docs.where(f"size(split(text, ' ')) {half} 60").toArrow()["text"].combine_chunks() for half in ("<", ">")):
+        hashed, bounds = arrow_text.word_hashes(*arrow_text.text_bytes(texts))
+        text, at = pseudo_likelihood.padded(network.words_of(hashed), bounds)
+        learnt.append(pseudo_likelihood.Trainer(network.weights))
+        learnt[-1].learn(text, at[pseudo_likelihood.drawn(hashed, bounds, 1)])
+    found = pseudo_likelihood.trained(docs, network, 1)
+    total = sum(t.places for t in learnt)
+    assert learnt[0].places != learnt[1].places
+    for name, values in found.weights.items():
+        assert np.allclose(values, sum(t.weights[name] * (t.places / total) for t in learnt), atol=1e-5), name
+
+
 def test_words_are_found_by_the_leading_bits_of_their_hashes():
     rng = np.random.default_rng(6)
     near = (np.uint64(7) << np.uint64(60)) + np.arange(40, dtype=np.uint64)  # all in one slot
